@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import near_dup
+from tessera.llm import near_dup, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,12 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(table(spark, sf_dir, "documents"), near_dup.NearDup(width=4))
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"), batches=2).drop("kept_text")
+
+
 QUERIES = {
+    "op1_substring": op1_substring,
     "op8_near_dup": op8_near_dup,
 }
 
@@ -23,6 +28,16 @@ WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]
 LOWER_WORDS = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 ORACLES = {
+    "op1_substring": f"""
+        WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        v AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM w WHERE len(w) >= 20),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM v),
+        d AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM g) WHERE r > 1),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM d),
+        x AS (SELECT doc_id, list(i) AS x FROM c GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(x), 0) AS BIGINT) AS n_removed,
+            sha256(array_to_string(list_filter(w, (t, i) -> NOT coalesce(list_contains(x, i), false)), ' ')) AS kept_sha256
+        FROM w LEFT JOIN x USING (doc_id)""",
     "op8_near_dup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
