@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import near_dup, substring
+from tessera.llm import near_dup, quality_rules, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +19,17 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"), batches=2).drop("kept_text")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring": op1_substring,
+    "op4_quality_rules": op4_quality_rules,
     "op8_near_dup": op8_near_dup,
 }
 
-WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER_WORDS = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 ORACLES = {
@@ -36,12 +41,12 @@ ORACLES = {
         c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM d),
         x AS (SELECT doc_id, list(i) AS x FROM c GROUP BY doc_id)
         SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(x), 0) AS BIGINT) AS n_removed,
-            sha256(array_to_string(list_filter(w, (t, i) -> NOT coalesce(list_contains(x, i), false)), ' ')) AS kept_sha256
+            sha256(array_to_string(list_filter(w, lambda t, i: NOT coalesce(list_contains(x, i), false)), ' ')) AS kept_sha256
         FROM w LEFT JOIN x USING (doc_id)""",
     "op8_near_dup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-                ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
         x AS (SELECT doc_id, unnest(s) AS t FROM s),
         c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
         l AS (SELECT c.a, c.b FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b WHERE 100 * c.n >= 80 * (len(x.s) + len(y.s) - c.n)),
