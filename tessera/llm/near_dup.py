@@ -10,9 +10,14 @@ beyond it with probability P(Binomial(hashes, 1 - threshold) > distance), 2e-5 f
 the defaults. Candidates are confirmed on whole shingle sets.
 
 Groups are never expanded into all their pairs. Documents with equal sets are one
-class. In each bucket every class is first tried against the bucket's smallest;
-pairs are formed afterwards only across components that still share a bucket, so
-no link between different components is missed.
+class. In each bucket every class is first tried against the bucket's smallest.
+Afterwards only links between different components matter. Buckets of at most
+``direct`` entries give the pairs across their components. The classes of larger
+buckets that still hold several components meet on their rarest shingles: a pair at
+the threshold must share a shingle within both prefixes, at a position that leaves
+room for the overlap its sizes ask for. Edited copies of one text are then told apart
+by their edits, not by what all copies share, and the members of a shingle's
+commonest component are not compared with each other.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, written
@@ -32,13 +37,14 @@ from tessera.llm.textlib import LANE, LOWER, U64, mix, room, slices
 
 @dataclass(frozen=True)
 class NearDup:
-    """Parameters: shingle length in words, similarity in percent, signature values, chunks, largest signature distance."""
+    """Parameters: shingle length in words, similarity in percent, signature values, chunks, largest signature distance, entries of a bucket paired directly."""
 
     width: int = 5
     percent: int = 80
     hashes: int = 40
     chunks: int = 10
     distance: int = 19
+    direct: int = 16
 
     def __post_init__(self):
         if self.hashes % self.chunks or self.distance // self.chunks > 1:
@@ -128,6 +134,35 @@ def _sets(p: NearDup):
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            part = b.slice(i, 256)
+            sets = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column(2)]
+            n = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in (0, 1)), pa.array(np.repeat(n, n))], ["shingle", "id", "root", "n"])
+
+
+def _prefix_pairs(sets: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs of different roots that may reach the threshold, by prefix, length and positional filters on rarest-first shingles.
+
+    ``sets``: id, root, shingles. A pair's first common shingle in the order of rarity
+    stands where the rest of both sets can still hold the overlap that the threshold asks for.
+    """
+    tokens = written(sets.mapInArrow(_tokens, "shingle long, id long, root long, n long"), "tokens")
+    many = tokens.groupBy("shingle").agg(F.count("*").alias("freq")).where("freq > 1")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("freq", F.lit(1)), "shingle"))
+    tokens = tokens.join(many, "shingle", "left").withColumn("at", rank).where(f"freq IS NOT NULL AND 100 * (n - at + 1) >= {p.percent} * n")
+    tokens = written(tokens.select("shingle", "id", "root", "n", "at"), "prefixes")
+    counts = tokens.groupBy("shingle", "root").agg(F.count("*").alias("c"))
+    main = counts.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    x = tokens.join(main, "shingle").where("root <> main").select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("id", "root", "n", "at")))
+    y = tokens.select("shingle", *(F.col(c).alias(f"{c}_y") for c in ("id", "root", "n", "at")))
+    fits = f"{100 + p.percent} * (1 + least(n_x - at_x, n_y - at_y)) >= {p.percent} * (n_x + n_y) AND 100 * least(n_x, n_y) >= {p.percent} * greatest(n_x, n_y)"
+    pairs = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("root_x") != F.col("root_y")) & F.expr(fits))
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def _close(p: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,13 +207,15 @@ def link(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     shared = entries.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
     entries = written(entries.join(shared.select("bucket", "pivot"), "bucket"), "entries")
 
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        return written(docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(p), "id long, shingles binary"), name)
+
     def close(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) that are within the signature distance, then on whole sets within the similarity."""
         x, y = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
         near = pairs.join(x, "a").join(y, "b").where(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
         near = written(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_within(p), "a long, b long"), f"{name}-near")
-        ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(p), "id long, shingles binary"), f"{name}-sets")
+        sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-sets")
         x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
         full = near.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b")
         return written(full.mapInArrow(_close(p), "a long, b long"), name)
@@ -187,13 +224,14 @@ def link(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     stars = close(pivots, "stars")
     roots = components(stars)
     # Buckets that still hold several components: compare across these only.
-    at = entries.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    mixed = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    at = at.join(mixed, "bucket")
-    x, y = (at.select("bucket", F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    rest = x.join(y, "bucket").where("a < b AND root_a <> root_b").select("a", "b").distinct()
-    rest = rest.join(pivots, ["a", "b"], "left_anti")
-    roots = components(stars.union(close(rest, "rest")))
+    at = written(entries.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")), "placed")
+    mixed = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    few = at.join(mixed.where(f"size <= {p.direct}").select("bucket"), "bucket")
+    x, y = (few.select("bucket", F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    rest = x.join(y, "bucket").where("a < b AND root_a <> root_b").select("a", "b")
+    crowd = written(at.join(mixed.where(f"size > {p.direct}").select("bucket"), "bucket").select("id", "root").distinct(), "crowd")
+    rest = rest.union(_prefix_pairs(sets_of(crowd, "crowd-sets").join(crowd, "id").select("id", "root", "shingles"), p)).distinct()
+    roots = components(stars.union(close(rest.join(pivots, ["a", "b"], "left_anti"), "rest")))
 
     classes = nodes.join(roots, "id", "left").select(F.col("class_key"), F.coalesce("root", "id").alias("root"))
     out = base.select("doc_id", "n_shingles", "class_key").join(classes, "class_key", "left")

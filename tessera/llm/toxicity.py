@@ -31,10 +31,10 @@ class Ftrl:
     rows: int = 8_000
     bits: int = 20
     skips: tuple[int, ...] = (1, 2)
-    passes: int = 3
+    passes: int = 2
     alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 4.0
     l2: float = 1.0
 
 
