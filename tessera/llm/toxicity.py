@@ -26,9 +26,10 @@ OTHER = ~(ALPHA | DIGIT)
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Most labelled rows, bits of a bucket, words skipped, passes, rate (alpha, beta), penalties (l1, l2), prior of an unseen text."""
+    """Most labelled rows, documents that must have a bucket, bits of a bucket, words skipped, passes, rate (alpha, beta), penalties (l1, l2)."""
 
-    rows: int = 8_000
+    rows: int = 12_000
+    least: int = 20
     bits: int = 20
     skips: tuple[int, ...] = (1, 2)
     passes: int = 2
@@ -75,6 +76,11 @@ def fit(docs: list[np.ndarray], y: np.ndarray, p: Ftrl) -> Weights:
     """FTRL-proximal over documents given as arrays of distinct buckets; an empty sample gives a score of 0 < s < 0.3 for all."""
     if not len(y):
         return Weights(-2.0, np.zeros(0, np.int64), np.zeros(0))
+    common = np.zeros(2**p.bits, np.int64)
+    for x in docs:
+        common[x] += 1
+    common = common >= min(p.least, 1 + len(y) // 100)
+    docs = [x[common[x]] for x in docs]
     share = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
     z, n = np.zeros(2**p.bits), np.zeros(2**p.bits)
