@@ -207,15 +207,15 @@ def link(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     shared = entries.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
     entries = written(entries.join(shared.select("bucket", "pivot"), "bucket"), "entries")
 
-    def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        return written(docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(p), "id long, shingles binary"), name)
+    # The texts are shuffled once; every later step takes the shingle sets of these classes.
+    shared_ids = entries.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    sets = written(docs.join(shared_ids, "doc_id", "left_semi").mapInArrow(_sets(p), "id long, shingles binary"), "sets")
 
     def close(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) that are within the signature distance, then on whole sets within the similarity."""
         x, y = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
         near = pairs.join(x, "a").join(y, "b").where(f"100 * least(n_a, n_b) >= {p.percent} * greatest(n_a, n_b)")
         near = written(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_within(p), "a long, b long"), f"{name}-near")
-        sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-sets")
         x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
         full = near.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b")
         return written(full.mapInArrow(_close(p), "a long, b long"), name)
@@ -230,7 +230,7 @@ def link(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     x, y = (few.select("bucket", F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     rest = x.join(y, "bucket").where("a < b AND root_a <> root_b").select("a", "b")
     crowd = written(at.join(mixed.where(f"size > {p.direct}").select("bucket"), "bucket").select("id", "root").distinct(), "crowd")
-    rest = rest.union(_prefix_pairs(sets_of(crowd, "crowd-sets").join(crowd, "id").select("id", "root", "shingles"), p)).distinct()
+    rest = rest.union(_prefix_pairs(sets.join(crowd, "id").select("id", "root", "shingles"), p)).distinct()
     roots = components(stars.union(close(rest.join(pivots, ["a", "b"], "left_anti"), "rest")))
 
     classes = nodes.join(roots, "id", "left").select(F.col("class_key"), F.coalesce("root", "id").alias("root"))
