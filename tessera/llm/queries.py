@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import boosting, language, near_dup, quality_rules, substring, toxicity
+from tessera.llm import boosting, decontaminate, language, license_scan, near_dup, quality_rules, substring, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,28 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Rules of the URL query, and the entries its list holds: whole domains.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+URL_LIST = tuple(f"{name}.example.{top}/" for name in ("spam-farm", "cheap-pills", "casino-win", "ads-track", "free-bets", "adult-x") for top in ("com", "net", "org"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(k,) for k in URL_LIST], "key string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), listed, URL_RULES)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -38,8 +56,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_toxicity": op2_toxicity,
+    "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
+    "op7_license_scan": op7_license_scan,
     "op8_near_dup": op8_near_dup,
     "op10_language": op10_language,
 }
@@ -47,7 +68,47 @@ QUERIES = {
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER_WORDS = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
+UNICODE_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+SHINGLES = "list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)"
+
+def _license_sql() -> str:
+    words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    phrases = ", ".join(f"('{label}', {p.split()}, {len(p.split())})" for p, label in license_scan.PHRASES)
+    parts = [(label, list(dict.fromkeys(t.split())), len(t.split())) for label, t in license_scan.TEMPLATES]
+    templates = ", ".join(f"('{label}', {tokens}, {n}, {-(-license_scan.PERCENT * len(tokens) // 100)})" for label, tokens, n in parts)
+    return f"""
+        WITH w AS (SELECT doc_id, {words} AS w FROM documents), p(label, phrase, n) AS (VALUES {phrases}), t(label, tokens, n, need) AS (VALUES {templates}),
+        b AS (SELECT doc_id, label, list_filter(range(0, len(w) - n + 1), lambda i: w[i + 1:i + n] = phrase) AS places FROM w, p),
+        base AS (SELECT doc_id, CAST(sum(len(places)) AS BIGINT) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
+            coalesce(string_agg(label, ',' ORDER BY label) FILTER (len(places) > 0), '') AS base_labels FROM b GROUP BY doc_id),
+        k AS (SELECT doc_id, label, tokens, need, w[i * n + 1:i * n + 2 * n] AS part FROM (SELECT *, unnest(range(0, len(w) // n + 1)) AS i FROM w, t)),
+        m AS (SELECT doc_id, label, len(list_intersect(tokens, part)) / len(tokens) AS share FROM k WHERE len(list_intersect(tokens, part)) >= need),
+        found AS (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM b WHERE len(places) > 0),
+        l AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM found GROUP BY doc_id),
+        s AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, n_base, first_word, last_word, base_labels, coalesce(labels, '') AS labels,
+            CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+        FROM w JOIN base USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
 ORACLES = {
+    "op7_license_scan": _license_sql(),
+    "op3_url_filter": """
+        WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
+        r(rule, verdict) AS (VALUES %s),
+        k(name) AS (VALUES %s),
+        m AS (SELECT p.*, (SELECT max(struct_pack(n := length(rule), rule := rule, verdict := verdict)) FROM r
+            WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substring(rule, length(split_part(rule, '/', 1)) + 1))) AS best FROM p)
+        SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict,
+            CASE WHEN EXISTS (SELECT 1 FROM k WHERE host = name OR ends_with(host, '.' || name)) THEN 'block' ELSE 'allow' END) AS verdict FROM m"""
+    % (", ".join(f"('{rule}', '{verdict}')" for verdict, rule in URL_RULES), ", ".join(f"('{k[:-1]}')" for k in URL_LIST)),
+    "op5_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {UNICODE_WORDS} AS w FROM documents), b AS (SELECT item_id, {UNICODE_WORDS} AS w FROM benchmark),
+        i AS (SELECT item_id, unnest({SHINGLES}) AS t FROM b), n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+        s AS (SELECT doc_id, unnest({SHINGLES}) AS t FROM d),
+        c AS (SELECT doc_id, item_id, count(*) AS n_found FROM s JOIN i USING (t) GROUP BY ALL)
+        SELECT doc_id, item_id, n_item, n_found, round(n_found / n_item, 6) AS containment FROM c JOIN n USING (item_id) WHERE 100 * n_found >= 80 * n_item""",
     "op1_substring": f"""
         WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),
         v AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM w WHERE len(w) >= 20),
