@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import boosting, decontaminate, language, license_scan, near_dup, quality_rules, substring, toxicity, url_filter
+from tessera.llm import boosting, decontaminate, language, license_scan, near_dup, quality_rules, sentencepiece_codec, substring, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digest(table(spark, sf_dir, "documents"), sentencepiece_codec.load())
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_near_dup": op8_near_dup,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_language": op10_language,
 }
 
