@@ -39,7 +39,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Words under windows that start earlier in the corpus go; a changed text is its kept words joined by one space, any other stays as it is."""
     ship(spark)
     rows = docs.select(*COLUMNS)
-    kept = substring.dedup(rows, batches=2).where("kept_text IS NOT NULL").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
+    kept = substring.dedup(rows, shares=(0.25, 0.75)).where("kept_text IS NOT NULL").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
     text = F.coalesce("kept_text", "text")
     return rows.join(kept, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 

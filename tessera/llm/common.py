@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(table(spark, sf_dir, "documents"), batches=2).drop("kept_text")
+    return substring.dedup(table(spark, sf_dir, "documents"), shares=(0.25, 0.75)).drop("kept_text")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,9 +179,9 @@ def _windows(p: Substring):
                 h[~want] = 0
                 at = np.flatnonzero((h != 0) & ~d.again(h))
                 if len(at):
-                    check = d.hashes(CHECK)[at] >> U64(32)
-                    place = ((at - d.ptr[d.row[at]]).astype(np.uint64) << U64(32)) | check
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[s.first + d.row[at]].astype(np.int64)), pa.array(place.view(np.int64))], ["h", "doc_id", "place"])
+                    check = (d.hashes(CHECK)[at] >> U64(32)).astype(np.uint32).view(np.int32)
+                    place = (at - d.ptr[d.row[at]]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(check), pa.array(ids[s.first + d.row[at]].astype(np.int64)), pa.array(place)], ["h", "check", "doc_id", "place"])
 
     return run
 
@@ -259,7 +259,7 @@ class FingerprintIndex:
         shared = seen.where(low < high).select("fp")
         by_doc = lambda t: self.spark.table(t).join(shared, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
         # Whole copies: the text's digest stands under a smaller doc_id.
-        digest = F.md5("text").alias("digest")
+        digest = F.unhex(F.md5("text")).alias("digest")
         texts = known.select("doc_id", digest)
         everything = texts if history is None else texts.union(history.select("doc_id", digest))
         firsts = everything.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -269,12 +269,11 @@ class FingerprintIndex:
         work = written(work.mapInArrow(_settle(p), f"{RESULT}, kept_text string, text string, fps array<long>"), "work")
         todo = work.where("fps IS NOT NULL")
         rows = todo.select("doc_id", "text", "fps")
-        for r in self.runs:
+        for r in self.runs if history is not None else ():
             rows = rows.union(history.join(by_doc(r), "doc_id").select("doc_id", "text", "fps"))
-        windows = rows.mapInArrow(_windows(p), "h long, doc_id long, place long")
-        first = windows.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
-        same = F.expr("(place & 4294967295) = (first.place & 4294967295)")
-        dup = windows.join(first, "h").where(same & (F.col("first.doc_id") < F.col("doc_id"))).groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 32).cast("int")).alias("at"))
+        windows = rows.mapInArrow(_windows(p), "h long, check int, doc_id long, place int")
+        first = windows.groupBy("h", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+        dup = windows.join(first, ["h", "check"]).where("first < doc_id").groupBy("doc_id").agg(F.collect_set("place").alias("at"))
         late = todo.select("doc_id", "text").join(dup, "doc_id", "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<int>")).alias("at"))
         late = late.mapInArrow(_finish(p), f"{RESULT}, kept_text string")
         late = late.withColumn("kept_text", F.expr("CASE WHEN n_removed > 0 THEN kept_text END"))
@@ -284,16 +283,17 @@ class FingerprintIndex:
         return work.where("fps IS NULL").select(*late.columns).union(late)
 
 
-def dedup(docs: DataFrame, p: Substring = Substring(), batches: int = 1) -> DataFrame:
-    """All rows of ``docs`` through a new index, in ``batches`` of ascending doc_id; columns as of ``FingerprintIndex.add``."""
+def dedup(docs: DataFrame, p: Substring = Substring(), shares: tuple[float, ...] = (1.0,)) -> DataFrame:
+    """All rows of ``docs`` through a new index, in batches of ascending doc_id that hold about the given shares of the rows; columns as of ``FingerprintIndex.add``."""
     index = FingerprintIndex(docs.sparkSession, p)
     docs = docs.select("doc_id", "text")
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
+    ends = np.cumsum(shares)[:-1].tolist()
+    cuts = sorted(set(docs.approxQuantile("doc_id", ends, 0.01))) if ends else []
     out, low = None, None
     for high in [*cuts, None]:
-        part = docs.where((F.lit(True) if low is None else F.col("doc_id") > low) & (F.lit(True) if high is None else F.col("doc_id") <= high))
-        if low is None and high is not None:
-            part = docs.where((F.col("doc_id") <= high) | F.col("doc_id").isNull())
+        above = F.col("doc_id").isNull() if low is None else F.lit(False)  # rows without doc_id go with the first batch
+        inside = (F.lit(True) if low is None else F.col("doc_id") > low) & (F.lit(True) if high is None else F.col("doc_id") <= high)
+        part = docs.where(inside | above)
         got = index.add(part, docs.where(F.col("doc_id") <= low) if low is not None else None)
         out, low = got if out is None else out.union(got), high
     return out
