@@ -1 +1,33 @@
-"""Filled below."""
+"""Batch twins of the event streams; tests compare them with the streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.plans.registry import query
+from tessera.streaming import events as S
+
+
+@query("stream_latest_status", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS at, count(*) AS n FROM events GROUP BY user_id")
+def stream_latest_status(t):
+    return S.latest_status(t("events"))
+
+
+@query("stream_once", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_once(t):
+    return S.once(t("events").select("user_id", "event_type", "ts"), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("stream_idle_jobs", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 900 SECOND THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+    SELECT user_id, min(ts) AS first_at, max(ts) + INTERVAL 900 SECOND AS due_at, count(*) AS n FROM s GROUP BY user_id, s""")
+def stream_idle_jobs(t):
+    return S.idle(t("events"), seconds=900)
+
+
+@query("stream_token_pieces", "SELECT doc_id AS message_id, text, doc_id * 10 + 2 AS usage FROM documents WHERE length(text) >= 3")
+def stream_token_pieces(t):
+    d = t("documents").where("length(text) >= 3").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    third = F.expr("length(text) div 3")
+    piece = F.expr("CASE WHEN k = 2 THEN substring(text, 2 * (length(text) div 3) + 1) ELSE substring(text, k * (length(text) div 3) + 1, length(text) div 3) END")
+    usage = F.when(F.col("k") > 0, F.col("doc_id") * 10 + F.col("k"))
+    return S.accumulate(d.where(third > 0).select(F.col("doc_id").alias("message_id"), F.col("k").alias("seq"), piece.alias("piece"), usage.alias("usage")))
