@@ -35,7 +35,7 @@ UNKNOWN = "und"
 class Language:
     """Most labelled rows, bits of a bucket, longest subword in bytes, embedding width, batch, passes, rate, part kept for calibration, label smoothing there, spared part, highest bound."""
 
-    rows: int = 4_000
+    rows: int = 1_500
     bits: int = 14
     longest: int = 4
     width: int = 16
@@ -93,6 +93,17 @@ class Model:
         return x / x.sum(1, keepdims=True)
 
 
+class _Means:
+    """Share of each of a document's buckets, worked out when asked for: the counts stay as they came."""
+
+    def __init__(self, docs):
+        self.docs = docs
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        c = self.docs[k][1]
+        return c / max(int(c.sum()), 1)
+
+
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], p: Language) -> Model:
     """SGD over documents given as (distinct buckets, counts); no labelled document gives a model that knows no language."""
     names = sorted(set(labels))
@@ -104,7 +115,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], p: Languag
     held = order[: int(len(y) * p.calibrate)]
     train = order[len(held) :]
     embed, soft = rng.normal(0, 0.1, (2**p.bits, p.width)), np.zeros((p.width, len(names)))
-    mean = [c / max(c.sum(), 1) for _, c in docs]
+    mean = _Means(docs)
     for step in range(p.passes):
         rate = p.rate * (1 - step / p.passes)
         for i in range(0, len(train), p.batch):
@@ -172,7 +183,7 @@ def train(docs: DataFrame, folds: int = 4, hold: int = 2, p: Language = Language
     """A model from documents with a language outside the held-out fold; bucket counts of at most ``p.rows`` texts reach the driver."""
     rows = sample(docs, docs, "lang", folds, hold, p.rows)
     got = rows.select("doc_id", "text", F.col("label").cast("string").alias("label")).mapInArrow(_extract(p), "doc_id long, label string, buckets binary, counts binary").toPandas().sort_values("doc_id")
-    return fit([(np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32).astype(float)) for k, c in zip(got["buckets"], got["counts"])], list(got["label"]), p)
+    return fit([(np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32)) for k, c in zip(got["buckets"], got["counts"])], list(got["label"]), p)
 
 
 def identify(docs: DataFrame, folds: int = 4, hold: int = 2, p: Language = Language(), model: Model | None = None) -> DataFrame:

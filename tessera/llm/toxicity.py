@@ -76,11 +76,6 @@ def fit(docs: list[np.ndarray], y: np.ndarray, p: Ftrl) -> Weights:
     """FTRL-proximal over documents given as arrays of distinct buckets; an empty sample gives a score of 0 < s < 0.3 for all."""
     if not len(y):
         return Weights(-2.0, np.zeros(0, np.int64), np.zeros(0))
-    common = np.zeros(2**p.bits, np.int64)
-    for x in docs:
-        common[x] += 1
-    common = common >= min(p.least, 1 + len(y) // 100)
-    docs = [x[common[x]] for x in docs]
     share = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
     z, n = np.zeros(2**p.bits), np.zeros(2**p.bits)
@@ -105,14 +100,36 @@ def fit(docs: list[np.ndarray], y: np.ndarray, p: Ftrl) -> Weights:
     return Weights(float(shown), keep, w[keep])
 
 
-def _extract(p: Ftrl):
+def _present(s: Slice, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of every distinct bucket of a row, in order."""
+    row, key = buckets(s, p)
+    pair = np.unique(row << p.bits | key)
+    return pair >> p.bits, pair & (2**p.bits - 1)
+
+
+def _count(p: Ftrl):
+    """In how many documents of a batch each bucket occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.zeros(2**p.bits, np.int64)
+            for s in slices(b.column(1)):
+                n += np.bincount(_present(s, p)[1], minlength=len(n))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+    return run
+
+
+def _extract(p: Ftrl, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(2**p.bits, bool)
+        table[common] = True
         for b in batches:
             for s in slices(b.column(1)):
-                row, key = buckets(s, p)
-                pair = np.unique(row << p.bits | key)
-                ptr = np.searchsorted(pair >> p.bits, np.arange(len(s) + 1))
-                key = (pair & (2**p.bits - 1)).astype(np.uint32)
+                row, key = _present(s, p)
+                row, key = row[table[key]], key[table[key]].astype(np.uint32)
+                ptr = np.searchsorted(row, np.arange(len(s) + 1))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), b.column(2).slice(s.first, len(s)), pa.array([key[i:j].tobytes() for i, j in zip(ptr, ptr[1:])], pa.binary())], ["doc_id", "label", "buckets"])
 
     return run
@@ -128,9 +145,15 @@ def _score(w: Weights, p: Ftrl):
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, hold: int = 2, p: Ftrl = Ftrl()) -> Weights:
-    """Weights from labelled documents outside the held-out fold; the buckets of at most ``p.rows`` texts reach the driver."""
-    rows = sample(docs, labels, "toxic", folds, hold, p.rows)
-    got = rows.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(_extract(p), "doc_id long, label int, buckets binary").toPandas().sort_values("doc_id")
+    """Weights from labelled documents outside the held-out fold.
+
+    Only buckets of at least ``p.least`` sampled documents (fewer in a small sample) can
+    get a weight; these, of at most ``p.rows`` texts, reach the driver.
+    """
+    rows = sample(docs, labels, "toxic", folds, hold, p.rows).select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    least = min(p.least, 1 + labels.limit(p.rows).count() // 100)
+    common = rows.mapInArrow(_count(p), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("bucket").toPandas()["bucket"].to_numpy()
+    got = rows.mapInArrow(_extract(p, common), "doc_id long, label int, buckets binary").toPandas().sort_values("doc_id")
     return fit([np.frombuffer(x, np.uint32) for x in got["buckets"]], got["label"].to_numpy(float), p)
 
 
