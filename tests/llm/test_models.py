@@ -124,13 +124,14 @@ def test_quality_rules(spark, docs):
     assert quality_rules.judge(docs.where("false")).count() == 0
 
 
-def test_em_finds_the_better_rule():
-    r = np.random.default_rng(3)
-    truth = r.random(4000) < 0.7
-    say = lambda right: np.where((r.random(4000) < right) == truth, quality_rules.GOOD, quality_rules.BAD)
-    votes, weight = np.unique(np.stack([say(0.97), say(0.97), say(0.92)], 1), axis=0, return_counts=True)
-    m = quality_rules.fit(votes, weight.astype(float))
-    assert m.accuracy[0, 1] > m.accuracy[2, 1] and m.accuracy.shape == (3, 2)
+def test_em_trusts_rules_that_others_bear_out():
+    g, a, b = quality_rules.GOOD, quality_rules.ABSTAIN, quality_rules.BAD
+    votes = np.array([[a, a, a, g], [b, b, a, a], [a, a, b, g]])
+    m = quality_rules.fit(votes, np.array([900.0, 60.0, 60.0]))
+    assert m.accuracy[0, 1] > m.accuracy[2, 1] and m.accuracy[1, 1] > m.accuracy[2, 1]
+    p = m.posterior(votes)
+    assert p[0] > 0.5 > p[1] and p[1] < p[2]
+    assert quality_rules.fit(votes[:0], np.zeros(0)).good == quality_rules.START_GOOD
 
 
 def test_url_filter(spark):
