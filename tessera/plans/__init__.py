@@ -1,6 +1,6 @@
 """Registered queries over the standard tables, each with SQL that another engine can run."""
 
-from tessera.plans import conversations, corpus, files, relational, streams
+from tessera.plans import conversations, corpus, files, ingestion, relational, streams
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "conversations", "corpus", "files", "relational", "streams"]
+__all__ = ["ORACLES", "QUERIES", "conversations", "corpus", "files", "ingestion", "relational", "streams"]
