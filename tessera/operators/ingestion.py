@@ -72,7 +72,7 @@ def error_report(context: Column, kind: Column, message: Column) -> Column:
 
 
 def anchored(children: DataFrame) -> DataFrame:
-    """Rows (id, parent_id, title) in display order: roots by title, each followed by its children by title."""
+    """Rows (id, parent_id, title) in display order: roots by title, each followed by its children by title. Meant for the rows of one view."""
     parent = children.select(F.col("id").alias("pid"), F.lower("title").alias("ptitle"))
     rows = children.join(parent, F.col("parent_id") == F.col("pid"), "left")
     order = Window.orderBy(F.coalesce("ptitle", F.lower("title")), F.coalesce("pid", "id"), F.col("pid").isNotNull(), F.lower("title"), "id")
