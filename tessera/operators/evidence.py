@@ -8,13 +8,35 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 
+def _capped(results: DataFrame, cap: int, group: str) -> DataFrame:
+    by_doc = Window.partitionBy(group, "doc_id")
+    return results.withColumn("nth", F.row_number().over(by_doc.orderBy("rank"))).withColumn("first_rank", F.min("rank").over(by_doc)).where(F.col("nth") <= cap)
+
+
 def cap_and_interleave(results: DataFrame, cap: int = 3, group: str = "query_id") -> DataFrame:
     """At most ``cap`` results of a document, dealt round: first each document's best, then its second, and so on."""
-    by_doc = Window.partitionBy(group, "doc_id")
-    rows = results.withColumn("nth", F.row_number().over(by_doc.orderBy("rank"))).withColumn("first_rank", F.min("rank").over(by_doc)).where(F.col("nth") <= cap)
+    rows = _capped(results, cap, group)
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy("nth", "first_rank"))).drop("nth", "first_rank")
 
 
+def fill(results: DataFrame, tokens: int = 3500, cap: int = 3, group: str = "query_id", parts: int = 64) -> DataFrame:
+    """``budget(cap_and_interleave(results))`` for large groups: query_id, doc_id, chunk_number, position, used.
+
+    ``rank`` may be any sortable column without ties. A group is first dealt into ``parts`` by document.
+    What exceeds the budget among its part's rows exceeds it among all, so only rows that
+    fit within their part meet in the group's one window.
+    """
+    rows = _capped(results.select(group, "doc_id", "chunk_number", "rank", T.token_estimate(F.col("content")).alias("cost")), cap, group)
+
+    def fit(rows, *keys):
+        w = Window.partitionBy(*keys).orderBy("nth", "first_rank")
+        rows = rows.withColumn("used", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("position", F.row_number().over(w))
+        return rows.where((F.col("used") <= tokens) | (F.col("position") == 1))
+
+    own = fit(rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))), group, "part")
+    return fit(own, group).select(group, "doc_id", "chunk_number", "position", "used")
+
+
 def budget(results: DataFrame, tokens: int = 3500, group: str = "query_id", order: str = "position") -> DataFrame:
     """The leading results whose estimated tokens fit; the first always. As every cost is at least 1, a running sum stops where the loop would."""
     w = Window.partitionBy(group).orderBy(order)

@@ -158,6 +158,16 @@ def evidence_packet(t):
     return evidence.packet(evidence.budget(evidence.cap_and_interleave(r)))
 
 
+@query("evidence_packet_all", f"""WITH chunks AS ({CHUNKS}), r AS (SELECT doc_id % 7 AS query_id, doc_id, chunk_number, content, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY md5(doc_id || ':' || chunk_number)) AS rank FROM chunks),
+    c AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS nth, min(rank) OVER (PARTITION BY query_id, doc_id) AS fr FROM r QUALIFY nth <= 3),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nth, fr) AS position FROM c),
+    b AS (SELECT *, sum(greatest(1, length(content) // 4)) OVER (PARTITION BY query_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS used FROM p QUALIFY used <= 3500 OR position = 1)
+    SELECT query_id, list('[doc:' || doc_id || ' chunk:' || chunk_number || ']' ORDER BY position) AS citation_tokens, list_sort(list(DISTINCT doc_id)) AS doc_ids, count(*) AS n_chunks FROM b GROUP BY query_id""")
+def evidence_packet_all(t):
+    r = chunking.chunk(t("documents")).select((F.col("doc_id") % 7).alias("query_id"), "doc_id", "chunk_number", "content")
+    return evidence.packet(evidence.fill(r.withColumn("rank", F.md5(F.concat_ws(":", "doc_id", "chunk_number")))))
+
+
 @query("answer_summary", r"""WITH d AS (SELECT doc_id, doc_id % 11 AS query_id, row_number() OVER (PARTITION BY doc_id % 11 ORDER BY doc_id) AS position, trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')) AS one FROM documents),
     h AS (SELECT *, CASE WHEN regexp_extract(one, '^(.+?[.!?])( |$)', 1) = '' THEN one ELSE regexp_extract(one, '^(.+?[.!?])( |$)', 1) END AS head FROM d),
     p AS (SELECT query_id, position, '- ' || CASE WHEN length(head) > 240 THEN rtrim(substring(head, 1, 237)) || '...' ELSE head END || ' [doc:' || doc_id || ' chunk:0]' AS point FROM h WHERE position <= 5)
