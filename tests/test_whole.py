@@ -8,7 +8,10 @@ from tessera.operators import evidence
 from tests.test_queries import DATA, rows, sql  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["evidence_packet_all"])
+ACCESS = [f"access_{x}_all" for x in ("direct", "inherited", "source", "owner", "latest_grant", "documents", "viewers_only", "mirror")]
+
+
+@pytest.mark.parametrize("name", ["evidence_packet_all", *ACCESS])
 def test_whole_query(spark, sql, name):  # noqa: F811
     got, want = plans.QUERIES[name](spark, DATA).toPandas(), sql.sql(plans.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -26,3 +29,9 @@ def test_fill_equals_budget_of_interleaved(spark, tokens):
     keep = ["query_id", "doc_id", "chunk_number", "position", "used"]
     want = evidence.budget(evidence.cap_and_interleave(r), tokens).select(*keep).collect()
     assert sorted(want) == sorted(evidence.fill(r, tokens, parts=8).collect())
+
+
+def test_grants_of_all_customers(spark):
+    got = plans.QUERIES["access_latest_grant_all"](spark, DATA)
+    assert got.agg(F.max("grant_id")).first()[0] == spark.read.parquet(f"{DATA}/customer.parquet").agg(F.max("c_custkey")).first()[0] > 300
+    assert not any("c_custkey <= 300" in plans.ORACLES[name] for name in ACCESS)
