@@ -119,6 +119,19 @@ def continuation_merge(t):
     return C.continue_text(d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("previous"), F.substring("text", 21, 70).alias("following"))).where(F.lit(True))
 
 
+#: Two parts of a whole text that overlap by 12 to 400 characters, by its length; a shorter text is cut without.
+SHARED = "CASE WHEN length(text) < 12 THEN 0 ELSE least(length(text), 12 + length(text) % 389) END"
+
+
+@query("continuation_merge_all", f"""WITH o AS (SELECT doc_id AS id, text, {SHARED} AS o FROM documents WHERE text IS NOT NULL), c AS (SELECT *, (length(text) + o) // 2 AS m FROM o),
+    p AS (SELECT id, substring(text, 1, CAST(m AS BIGINT)) AS previous, substring(text, CAST(m - o + 1 AS BIGINT)) AS following FROM c),
+    n AS (SELECT *, coalesce(list_max(list_filter(range(12, least(400, length(previous), length(following)) + 1), lambda n: ends_with(previous, substring(following, 1, n)))), 0) AS n FROM p)
+    SELECT id, previous || substring(following, CAST(n + 1 AS BIGINT)) AS merged FROM n""")
+def continuation_merge_all(t):
+    d = t("documents").where("text IS NOT NULL").selectExpr("doc_id AS id", "text", f"{SHARED} AS o").selectExpr("id", "text", "o", "int((length(text) + o) div 2) AS m")
+    return C.continue_text(d.selectExpr("id", "substring(text, 1, m) AS previous", "substring(text, m - o + 1) AS following"))
+
+
 @query("fact_extraction", r"""WITH f AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')), '(?i)^(please )?remember( this)?( going forward)? ?[:,-]? ?', ''), '(?i)^that ', ''), '^[ "'']+|[ "'']+$', '', 'g') AS fact FROM conversations WHERE role = 'user')
     SELECT conv_id, turn, fact, CASE WHEN regexp_matches(lower(fact), 'prefer|like|favou?rite|love|hate') THEN 'preference' WHEN regexp_matches(lower(fact), 'want|goal|plan|aim') THEN 'goal'
     WHEN regexp_matches(lower(fact), 'i am|i work|my job|my name|experience') THEN 'background' WHEN regexp_matches(lower(fact), 'project|paper|thesis|dataset') THEN 'project' ELSE 'general' END AS category FROM f

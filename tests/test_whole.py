@@ -11,7 +11,7 @@ from tests.test_queries import DATA, rows, sql  # noqa: F401
 ACCESS = [f"access_{x}_all" for x in ("direct", "inherited", "source", "owner", "latest_grant", "documents", "viewers_only", "mirror")]
 
 
-@pytest.mark.parametrize("name", ["evidence_packet_all", *ACCESS])
+@pytest.mark.parametrize("name", ["evidence_packet_all", *ACCESS, "continuation_merge_all"])
 def test_whole_query(spark, sql, name):  # noqa: F811
     got, want = plans.QUERIES[name](spark, DATA).toPandas(), sql.sql(plans.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -35,3 +35,19 @@ def test_grants_of_all_customers(spark):
     got = plans.QUERIES["access_latest_grant_all"](spark, DATA)
     assert got.agg(F.max("grant_id")).first()[0] == spark.read.parquet(f"{DATA}/customer.parquet").agg(F.max("c_custkey")).first()[0] > 300
     assert not any("c_custkey <= 300" in plans.ORACLES[name] for name in ACCESS)
+
+
+def test_continuation_of_whole_texts(spark, tmp_path):
+    """Against the longest overlap by brute force: long, short, blank-lined, repetitive and empty texts."""
+    texts = ["", "short", "twelve chars", "ab" * 700, "a paragraph\n\nanother " * 30, *("".join(chr(97 + (i * i + i * k) % 23) for i in range(n)) for k, n in enumerate((13, 89, 90, 400, 788, 5000)))]
+    spark.createDataFrame(list(enumerate(texts, 500)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.merged for r in plans.QUERIES["continuation_merge_all"](spark, str(tmp_path)).collect()}
+    shared = set()
+    for i, text in enumerate(texts, 500):
+        o = 0 if len(text) < 12 else min(len(text), 12 + len(text) % 389)
+        shared.add(o)
+        m = (len(text) + o) // 2
+        a, b = text[:m], text[m - o :]
+        longest = max((n for n in range(12, min(400, len(a), len(b)) + 1) if a[-n:] == b[:n]), default=0)
+        assert got[i] == a + b[longest:]
+    assert len(got) == len(texts) and len(shared) > 5
