@@ -153,9 +153,10 @@ def seconds(clock: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """``hh:mm:ss`` of a number of seconds."""
+    """``hh:mm:ss`` of a number of seconds; from 100 hours on with more digits."""
     n = F.floor(seconds)
-    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    digits = lambda x: x.cast("int").cast("string")
+    two = lambda x: F.lpad(digits(x), F.greatest(F.lit(2), F.length(digits(x))), F.lit("0"))
     return F.concat_ws(":", two(n / 3600), two((n % 3600) / 60), two(n % 60))
 
 

@@ -51,3 +51,11 @@ def test_continuation_of_whole_texts(spark, tmp_path):
         longest = max((n for n in range(12, min(400, len(a), len(b)) + 1) if a[-n:] == b[:n]), default=0)
         assert got[i] == a + b[longest:]
     assert len(got) == len(texts) and len(shared) > 5
+
+
+def test_captions_of_long_conversations(spark, tmp_path):
+    """Beyond turn 30, past a minute, an hour and a hundred hours."""
+    turns = spark.range(2000).union(spark.range(180000, 180002)).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("said "), F.col("id")).alias("text"))
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = plans.QUERIES["caption_rows"](spark, str(tmp_path)).orderBy("idx").collect()
+    assert [(r.idx, r.start_s, r.end_s, r.text) for r in got] == [(n, i * 2.0, i * 2 + 1.5, f"said {i}") for n, i in enumerate([*range(2000), 180000, 180001], 1)]
