@@ -34,16 +34,13 @@ def path(url: Column) -> Column:
 
 
 def keys(host: Column, path: Column) -> Column:
-    """List entries a URL may be found under: up to five domains, each with ``/`` and the canonical path.
+    """List entries a URL may be found under: its host and each parent domain, each with ``/`` and the canonical path.
 
     Canonical: no user, port or trailing dot in the host; no index page, ``.html`` or trailing slash in the path.
     """
     name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:\d*)?$", "")
     labels = F.split(name, r"\.")
-    first = F.greatest(F.lit(1), F.size(labels) - 4)
-    domains = F.when(name == "", F.array().cast("array<string>")).otherwise(
-        F.array_union(F.array(name), F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    )
+    domains = F.when(name == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     page = F.regexp_replace(F.regexp_replace(path, r"(/index)?\.html?$", ""), r"/+$", "")
     page = F.when(page == "", "/").otherwise(page)
     return F.flatten(F.transform(domains, lambda d: F.array_distinct(F.array(F.concat(d, F.lit("/")), F.concat(d, page)))))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import plans
+from tessera.llm import url_filter
 from tessera.operators import evidence
 from tests.test_queries import DATA, rows, sql  # noqa: F401
 
@@ -59,3 +60,12 @@ def test_captions_of_long_conversations(spark, tmp_path):
     turns.write.parquet(f"{tmp_path}/conversations.parquet")
     got = plans.QUERIES["caption_rows"](spark, str(tmp_path)).orderBy("idx").collect()
     assert [(r.idx, r.start_s, r.end_s, r.text) for r in got] == [(n, i * 2.0, i * 2 + 1.5, f"said {i}") for n, i in enumerate([*range(2000), 180000, 180001], 1)]
+
+
+def test_listed_domains_of_many_labels(spark):
+    """A listed domain is found from any host below it, however deep either lies."""
+    deep = ".".join("abcdefghijkl") + ".com"
+    hosts = {1: "x.a.b.c.d.e.com", 2: "y.x.a.b.c.d.e.com", 3: "a.b.c.d.e.com", 4: "b.c.d.e.com", 5: f"q.{deep}", 6: "xa.b.c.d.e.com"}
+    pages = spark.createDataFrame([(i, f"http://{h}/p/") for i, h in hosts.items()], "page_id long, url string")
+    listed = spark.createDataFrame([("a.b.c.d.e.com/",), (f"{deep}/p",)], "key string")
+    assert {r.page_id for r in url_filter.judge(pages, listed, []).where("verdict = 'block'").collect()} == {1, 2, 3, 5}
