@@ -33,20 +33,11 @@ def shingles(words: Column, width: int) -> Column:
     return F.when(F.size(words) >= width, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
 
 
-def search(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Pairs of a document and an item it contains.
-
-    ``docs`` (doc_id, text), ``items`` (item_id, text); other columns are ignored. An item
-    of fewer than ``width`` words is one shingle, its whole sequence; one without words
-    is contained in nothing. Returns doc_id, item_id, n_item (its shingles), n_found (those
-    in the document), containment, for pairs with 100 * n_found >= ``percent`` * n_item.
-    Rows that share an id count as one; rows without an id, null and empty texts give no
-    pairs, nor do empty tables.
-    """
+def item_index(items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Distinct shingles of the items: item_id, width, h, n_item, in_sketch."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("words")).where("item_id IS NOT NULL AND size(words) > 0")
     size = F.least(F.size("words"), F.lit(width))
     items = written(items.select("item_id", size.alias("width"), F.coalesce(*(F.when(size == k, shingles(F.col("words"), k)) for k in range(1, width + 1))).alias("hashes")), "items")
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most ``width`` rows
     index = items.select("item_id", "width", F.explode("hashes").alias("h")).distinct()
     sizes = index.groupBy("item_id").agg(F.count("*").alias("n_item"))
     # A partition's sketch is as long as its largest item needs.
@@ -54,20 +45,48 @@ def search(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80,
     longest = sizes.groupBy("part").agg(F.max("s").alias("sketch"))
     sizes = sizes.join(longest, "part").select("item_id", "n_item", "sketch")
     order = F.row_number().over(Window.partitionBy("item_id").orderBy("h"))
-    index = written(index.join(sizes, "item_id").withColumn("at", order).select("item_id", "width", "h", "n_item", (F.col("at") <= F.col("sketch")).alias("in_sketch")), "index")
+    return written(index.join(sizes, "item_id").withColumn("at", order).select("item_id", "width", "h", "n_item", (F.col("at") <= F.col("sketch")).alias("in_sketch")), "index")
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("words")).where("doc_id IS NOT NULL")
-    side = F.broadcast(index) if index.count() <= broadcast_rows else index
+
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def _held(docs: DataFrame, side: DataFrame, widths: list[int]) -> DataFrame:
+    """Shingles of ``docs`` (doc_id, words) that ``side`` has: doc_id, item_id, n_item, h."""
     found = None
     for k in widths:
         rows = docs.select("doc_id", F.explode_outer(shingles(F.col("words"), k)).alias("h"))
-        rows = rows.join(side.where(F.col("width") == k), "h").select("doc_id", "item_id", "n_item", "h", "in_sketch")
+        rows = rows.join(side.where(F.col("width") == k), "h").select("doc_id", "item_id", "n_item", "h")
         found = rows if found is None else found.union(rows)
-    if found is None:
+    return found
+
+
+def candidates(docs: DataFrame, index: DataFrame, widths: list[int], broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Pairs doc_id, item_id of a document (doc_id, words) and an item one of whose sketch's hashes it holds."""
+    return _held(docs, _small(index.where("in_sketch"), broadcast_rows), widths).select("doc_id", "item_id").distinct()
+
+
+def search(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Pairs of a document and an item it contains.
+
+    ``docs`` (doc_id, text), ``items`` (item_id, text); other columns are ignored. An item
+    of fewer than ``width`` words is one shingle, its whole sequence; one without words
+    is contained in nothing. Returns doc_id, item_id, n_item (its shingles), n_found (those
+    in the document), containment, for pairs with 100 * n_found >= ``percent`` * n_item.
+    Rows that share an id count as one; rows without an id, null and empty texts give no
+    pairs, nor do empty tables.
+    """
+    index = item_index(items, width, percent)
+    widths = sorted(r[0] for r in index.select("width").distinct().collect())  # at most ``width`` rows
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("words")).where("doc_id IS NOT NULL")
+    if not widths:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_found long, containment double")
-    pairs = found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("in_sketch").alias("candidate"), F.count_distinct("h").alias("n_found"))
-    pairs = pairs.where(f"candidate AND 100 * n_found >= {percent} * n_item")
-    return pairs.select("doc_id", "item_id", "n_item", "n_found", F.round(F.col("n_found") / F.col("n_item"), 6).alias("containment"))
+    pairs = written(candidates(docs, index, widths, broadcast_rows), "pairs")
+    held = _held(docs.join(_small(pairs.select("doc_id").distinct(), broadcast_rows), "doc_id", "left_semi"), _small(index, broadcast_rows), widths)
+    found = held.join(_small(pairs, broadcast_rows), ["doc_id", "item_id"]).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.count_distinct("h").alias("n_found"))
+    found = found.where(f"100 * n_found >= {percent} * n_item")
+    return found.select("doc_id", "item_id", "n_item", "n_found", F.round(F.col("n_found") / F.col("n_item"), 6).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:

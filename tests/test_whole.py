@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import plans
-from tessera.llm import url_filter
+from tessera.llm import decontaminate, url_filter
 from tessera.operators import evidence
 from tests.test_queries import DATA, rows, sql  # noqa: F401
 
@@ -69,3 +69,12 @@ def test_listed_domains_of_many_labels(spark):
     pages = spark.createDataFrame([(i, f"http://{h}/p/") for i, h in hosts.items()], "page_id long, url string")
     listed = spark.createDataFrame([("a.b.c.d.e.com/",), (f"{deep}/p",)], "key string")
     assert {r.page_id for r in url_filter.judge(pages, listed, []).where("verdict = 'block'").collect()} == {1, 2, 3, 5}
+
+
+def test_sketch_selects_candidates(spark):
+    """Of the documents that hold one shingle of an item each, only those with a sketch's hash are counted exactly."""
+    w = [f"w{i}" for i in range(30)]
+    index = decontaminate.item_index(spark.createDataFrame([(1, " ".join(w))], "item_id long, text string"))
+    docs = spark.createDataFrame([(i, w[i : i + 5]) for i in range(26)], "doc_id long, words array<string>")
+    assert index.count() == 26
+    assert decontaminate.candidates(docs, index, [5]).count() == index.where("in_sketch").count() == 6
