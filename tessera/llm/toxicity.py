@@ -5,6 +5,10 @@ A document's features are the buckets its words, pairs of neighbours and pairs w
 learning rate, and the L1 term leaves most weights at exactly zero: only the others,
 as sorted (bucket, weight) arrays, go to the executors. Training is one sequential
 pass after another over a bounded sample of labelled documents (``Ftrl.rows``).
+
+No feature is left out for being rare. While a weight is zero, each document that has
+the bucket moves its sum by less than 1 a pass, so a bucket of ``n`` documents can leave
+zero only if ``n * passes > l1``; the others (``Ftrl.least``) are never sent to the driver.
 """
 
 from __future__ import annotations
@@ -26,18 +30,22 @@ OTHER = ~(ALPHA | DIGIT)
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Most labelled rows, documents that must have a bucket, bits of a bucket, words skipped, passes, rate (alpha, beta), penalties (l1, l2)."""
+    """Most labelled rows, bits of a bucket, words skipped, passes, rate (alpha, beta), penalties (l1, l2)."""
 
     rows: int = 12_000
-    least: int = 20
     bits: int = 20
     skips: tuple[int, ...] = (1, 2)
-    passes: int = 2
-    alpha: float = 0.5
+    passes: int = 4
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 4.0
+    l1: float = 6.0
     l2: float = 1.0
 
+    @property
+    def least(self) -> int:
+        """The fewest documents whose bucket can get a weight."""
+        return int(self.l1 // self.passes) + 1
+
 
 def buckets(s: Slice, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """Row and bucket of every word, pair and skip pair of a slice; words are runs of letters and digits, A-Z lower-cased."""
@@ -147,12 +155,10 @@ def _score(w: Weights, p: Ftrl):
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, hold: int = 2, p: Ftrl = Ftrl()) -> Weights:
     """Weights from labelled documents outside the held-out fold.
 
-    Only buckets of at least ``p.least`` sampled documents (fewer in a small sample) can
-    get a weight; these, of at most ``p.rows`` texts, reach the driver.
+    Buckets that can get a weight, of at most ``p.rows`` texts, reach the driver.
     """
     rows = sample(docs, labels, "toxic", folds, hold, p.rows).select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    least = min(p.least, 1 + labels.limit(p.rows).count() // 100)
-    common = rows.mapInArrow(_count(p), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("bucket").toPandas()["bucket"].to_numpy()
+    common = rows.mapInArrow(_count(p), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= p.least).select("bucket").toPandas()["bucket"].to_numpy()
     got = rows.mapInArrow(_extract(p, common), "doc_id long, label int, buckets binary").toPandas().sort_values("doc_id")
     return fit([np.frombuffer(x, np.uint32) for x in got["buckets"]], got["label"].to_numpy(float), p)
 
