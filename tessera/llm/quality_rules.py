@@ -1,12 +1,14 @@
 """Quality rules under weak supervision.
 
 Each rule looks at one ratio of a whole text and votes good, votes bad or
-abstains. How far its votes can be trusted is estimated: expectation-maximisation
-over the vote patterns of all documents gives each rule the accuracy of its good and
-of its bad votes. A document's posterior probability of being good takes the place of
-passing every rule. An abstention says nothing: most junk shows in one or two rules
-only, so a rule that sees nothing wrong mostly abstains. Only counts of vote patterns
-reach the driver: at most ``3 ** len(RULES)`` rows, however many documents there are.
+abstains. What its votes are worth is estimated, not set: expectation-maximisation over
+the vote patterns of all documents gives, for good and for bad documents, the share of
+each rule's three votes. A rule is trusted as far as the others agree with it, so one bad
+vote of a weak rule is outvoted by good votes of strong ones, and a document that good
+rules abstain on loses without a single bad vote, as good documents rarely leave them
+undecided. The posterior probability of being good takes the place of passing every
+rule. Only counts of vote patterns reach the driver: at most ``3 ** len(RULES)`` rows,
+however many documents there are.
 """
 
 from __future__ import annotations
@@ -24,24 +26,22 @@ from tessera.llm.stats import stream
 
 GOOD, ABSTAIN, BAD = 0, 1, 2
 
-#: Rule: (numerator, denominator, good from, good to, bad below, bad above); it abstains elsewhere, and on a zero denominator.
+#: Rule: (numerator, denominator, good from, good to, bad below, bad above); it abstains between, and on a zero denominator.
 RULES = {
-    "symbols": ("n_symbols", "n_chars", 1.0, -1.0, -1.0, 0.03),
-    "symbol_words": ("n_symbol_words", "n_words", 1.0, -1.0, -1.0, 0.2),
-    "upper_case": ("n_upper", "n_letters", 0.002, 0.05, -1.0, 0.25),
-    "marks": ("n_marks", "n_words", 1.0, -1.0, -1.0, 0.3),
-    "word_length": ("word_chars", "n_words", 3.5, 9.0, 2.0, 14.0),
-    "distinct_words": ("n_distinct_words", "n_words", 1.0, -1.0, 0.1, 2.0),
-    "top_word": ("n_top_word", "n_words", 1.0, -1.0, -1.0, 0.4),
-    "same_next": ("n_same_next", "n_words", 1.0, -1.0, -1.0, 0.15),
-    "repeats": ("n_repeat_words", "n_words", 1.0, -1.0, -1.0, 0.3),
-    "dup_lines": ("n_dup_lines", "n_lines", 1.0, -1.0, -1.0, 0.5),
+    "symbols": ("n_symbols", "n_chars", 0.0, 0.005, -1.0, 0.03),
+    "symbol_words": ("n_symbol_words", "n_words", 0.0, 0.02, -1.0, 0.2),
+    "upper_case": ("n_upper", "n_letters", 0.002, 0.06, -1.0, 0.25),
+    "marks": ("n_marks", "n_words", 0.0, 0.05, -1.0, 0.3),
+    "punctuation": ("n_punct", "n_words", 0.08, 0.3, 0.02, 0.6),
+    "word_length": ("word_chars", "n_words", 4.4, 7.0, 3.0, 10.0),
+    "distinct_words": ("n_distinct_words", "n_words", 0.55, 0.95, 0.2, 2.0),
+    "top_word": ("n_top_word", "n_words", 0.0, 0.1, -1.0, 0.3),
+    "same_next": ("n_same_next", "n_words", 0.0, 0.03, -1.0, 0.15),
+    "repeats": ("n_repeat_words", "n_words", 0.0, 0.02, -1.0, 0.2),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.0, 0.1, -1.0, 0.3),
 }
-#: EM: starting accuracy of good and of bad votes, votes' worth of belief in it, its bounds (low and high, good and bad), starting share
-#: of good documents and its bounds. Nearly every document gets some good vote, junk too, so good votes are held to be weak evidence;
-#: without the bounds EM calls every document good and all bad votes wrong.
-START, BELIEF, BOUNDS = (0.55, 0.95), 10.0, ((0.5, 0.9), (0.6, 0.995))
-START_GOOD, GOOD_BOUNDS = 0.8, (0.05, 0.9)
+#: Where EM starts: shares of (good, abstain, bad) votes on good and on bad documents, share of good documents; documents' worth of belief in it.
+START, START_GOOD, BELIEF = ((0.8, 0.18, 0.02), (0.4, 0.3, 0.3)), 0.8, 10.0
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -60,31 +60,31 @@ def votes(counts: dict[str, np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Share of good documents, and accuracy[rule, (good votes, bad votes)]."""
+    """Share of good documents, and votes[class (good, bad), rule, vote] as shares."""
 
     good: float
-    accuracy: np.ndarray
+    votes: np.ndarray
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        odds = np.log(self.accuracy) - np.log1p(-self.accuracy)
-        x = np.log(self.good) - np.log1p(-self.good) + (v == GOOD) @ odds[:, 0] - (v == BAD) @ odds[:, 1]
-        return 1 / (1 + np.exp(-x))
+        """Probability that a document with the votes ``v`` (a row each) is good."""
+        odds = np.log(self.votes[0]) - np.log(self.votes[1])
+        x = np.log(self.good) - np.log1p(-self.good) + odds[np.arange(v.shape[1]), v].sum(1)
+        return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(patterns: np.ndarray, weight: np.ndarray, rounds: int = 50) -> Model:
+def fit(patterns: np.ndarray, weight: np.ndarray, rounds: int = 100) -> Model:
     """EM over distinct vote patterns and how many documents have each.
 
-    The starting accuracies fix which class is called good. Without documents the
-    starting model is returned.
+    The start fixes which class is called good. Without documents the starting model is
+    returned.
     """
-    start = np.tile(np.array(START), (patterns.shape[1], 1))
+    start = np.repeat(np.array(START)[:, None, :], patterns.shape[1], 1)
     model = Model(START_GOOD, start)
+    cast = np.stack([patterns == v for v in (GOOD, ABSTAIN, BAD)], axis=2).astype(float)
     for _ in range(rounds if len(weight) else 0):
         p = model.posterior(patterns)
-        cast = np.stack([weight @ (patterns == v) for v in (GOOD, BAD)], axis=1)
-        right = np.stack([(weight * p) @ (patterns == GOOD), (weight * (1 - p)) @ (patterns == BAD)], axis=1)
-        accuracy = np.clip((right + BELIEF * start) / (cast + BELIEF), *BOUNDS)
-        model = Model(float(np.clip((weight @ p + BELIEF * START_GOOD) / (weight.sum() + BELIEF), *GOOD_BOUNDS)), accuracy)
+        seen = np.einsum("cp,prv->crv", np.stack([weight * p, weight * (1 - p)]), cast) + BELIEF * start
+        model = Model(float((weight @ p + BELIEF * START_GOOD) / (weight.sum() + BELIEF)), seen / seen.sum(2, keepdims=True))
     return model
 
 
@@ -99,7 +99,8 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Votes, posterior and verdict for each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Returns doc_id, the base counts (long), base_failed, kept, posterior. Null text
+    Returns doc_id, the base counts (long), base_failed, kept, posterior and pattern (the
+    votes as digits to the base of 3, the first rule's the lowest). Null text
     counts as empty: all counts are 0, base_failed is true. Repeated rows and rows without
     doc_id are judged like any other. An empty table gives an empty result.
     """
@@ -114,4 +115,4 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     known = spark.createDataFrame([(int(c), float(x)) for c, x in zip(code, p)], "pattern long, posterior double")
     failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
     out = rows.join(F.broadcast(known), "pattern", "left")
-    return out.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (F.col("posterior") >= threshold)).alias("kept"), F.round("posterior", 9).alias("posterior"))
+    return out.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (F.col("posterior") >= threshold)).alias("kept"), F.round("posterior", 9).alias("posterior"), "pattern")
