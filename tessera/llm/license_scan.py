@@ -1,12 +1,17 @@
-"""License scans: an exact set-similarity join of text blocks with license templates.
+"""License scans: an exact set-similarity join of text blocks with license texts.
 
-A template's blocks are the runs of twice its number of words that start at every
-multiple of that number, so any passage as long as the template lies in one block. A block
-matches if it holds at least ``percent`` per cent of the template's distinct words.
-The template's words are ordered by how often they occur in the corpus, rarest
-first. A matching block must hold one of the first ``n - need + 1`` of them (prefix
-filter; a later word would leave too few to reach the overlap: positional filter), and
-have ``need`` distinct words at all (length filter). What is left is counted exactly.
+A template's blocks are all runs of twice its number of words, at every place of a text (a
+shorter text is one block), so no passage that holds the template can straddle two. A
+block matches if it holds at least ``percent`` per cent of the template's distinct words
+(``need`` of them) and all its telling phrases.
+
+The template's words are ordered by how often they occur in the whole corpus, rarest
+first. A matching block must hold one of the first ``n - need + 1``: a text without one of
+these is never looked at again (prefix filter). Blocks that begin with a template word
+suffice, since moving a block's start on to its next one loses nothing. Such a block must
+have ``need`` words left in the text (length filter), and the ``need - 1``-th template word
+after its first must still stand inside it (positional filter: what is left of the block
+after the first match bounds the overlap). What remains is counted exactly.
 
 Templates are parameters of bounded number and length, so their prefixes are an index in
 the plan itself: each text is judged in one pass within its row, without shuffles,
@@ -21,23 +26,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.licenses import TEMPLATES, Template
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All but digits, a-z and what is not ASCII separates words of a lower-cased text.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrase and label that count wherever the words stand consecutively.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Label and template.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("reserved", "all rights reserved"),
-)
 PERCENT = 80
 
 
@@ -46,17 +42,43 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATOR), "")
 
 
+def split(text: str) -> list[str]:
+    """``words`` of a parameter."""
+    return [w for w in re.split(SEPARATOR, text.translate(str.maketrans(UPPER, LOWER))) if w]
+
+
 def frequencies(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
     """How often each word of ``vocabulary`` occurs in all texts; at most that many rows reach the driver."""
-    some = docs.select(F.explode_outer(F.filter(words(F.col("text")), lambda w: w.isin(list(vocabulary)))).alias("w"))
-    return {r[0]: r[1] for r in some.where("w IS NOT NULL").groupBy("w").count().collect()}
+    some = docs.select(words(F.col("text")).alias("words")).select(F.expr(f"explode(filter(words, w -> w IN ({_texts(vocabulary)})))").alias("w"))
+    return {r[0]: r[1] for r in some.groupBy("w").count().collect()}
 
 
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+def _texts(values: Sequence[str]) -> str:
+    """SQL list of words or phrases, which have no quotes or backslashes by ``split``."""
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _share(tokens: list[str], length: int, need: int, prefix: list[str], telling: Sequence[str]) -> str:
+    """SQL of the greatest share of a template in a block that matches, else null; over ``words`` and ``rare``, the row's words that any prefix has.
+
+    For each hit ``x``, the ``k``-th of a text's template words ``hits``, the block that begins there.
+    """
+    block = f"transform(filter(slice(hits, k + 1, {2 * length}), y -> y.i < x.i + {2 * length}), y -> y.w)"
+    text = f"concat(' ', array_join(slice(words, x.i + 1, {2 * length}), ' '), ' ')"
+    told = "".join(f" AND contains({text}, ' {' '.join(split(p))} ')" for p in telling)
+    left = f"size(words) - x.i >= {need} AND get(hits, k + {need - 1}).i < x.i + {2 * length}"
+    overlap = f"CASE WHEN {left} AND arrays_overlap({block}, array({_texts(prefix)})){told} THEN size(array_distinct({block})) END"
+    hits = f"filter(transform(words, (w, i) -> struct(w, i)), y -> y.w IN ({_texts(tokens)}))"
+    # An array of one element, so that the hits are worked out once.
+    most = f"array_max(transform(array({hits}), hits -> array_max(transform(hits, (x, k) -> {overlap}))))"
+    return f"CASE WHEN exists(rare, w -> w IN ({_texts(prefix)})) THEN get(filter(array({most}), m -> m >= {need}), 0) / double({len(tokens)}) END"
+
+
+def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[Template] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """Licenses named in each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Returns doc_id, n_words, n_base (places of phrases), first_word and last_word (least
@@ -67,37 +89,21 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     An empty table gives an empty result.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    wanted = [(label, list(dict.fromkeys(t.split())), len(t.split())) for label, t in templates]
-    freq = frequencies(docs, sorted({w for _, t, _ in wanted for w in t})) if wanted else {}
-    rows = docs.select("doc_id", words(F.col("text")).alias("words"))
+    wanted = [(t.label, list(dict.fromkeys(split(t.text))), len(split(t.text)), t.telling) for t in templates]
+    freq = frequencies(docs, sorted({w for _, t, _, _ in wanted for w in t})) if wanted else {}
 
     plans = []
-    for label, tokens, length in wanted:
+    for label, tokens, length, telling in wanted:
         need = -(-percent * len(tokens) // 100)
         order = sorted(tokens, key=lambda w: (freq.get(w, 0), w))
-        plans.append((label, tokens, length, need, order[: len(order) - need + 1]))
-    rare = sorted({w for *_, prefix in plans for w in prefix})
-    # Places of prefix words, found once for all templates.
-    seen = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull()) if rare else F.lit(None).cast("array<struct<w:string,i:int>>")
-    rows = rows.withColumn("seen", seen).withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
-
-    def share(tokens: list[str], length: int, need: int, prefix: list[str]) -> Column:
-        """The greatest exact share of a candidate block, or 0 below the threshold."""
-        at = F.filter("seen", lambda x: x["w"].isin(prefix))
-        blocks = F.filter(F.array_distinct(F.flatten(F.transform(at, lambda x: F.array((x["i"] / length).cast("int"), (x["i"] / length).cast("int") - 1)))), lambda b: b >= 0)
-
-        def overlap(b: Column) -> Column:
-            block = F.slice(F.col("words"), b * length + 1, F.lit(2 * length))
-            return F.when(F.size(F.array_distinct(block)) >= need, F.size(F.array_intersect(block, F.array(*map(F.lit, tokens))))).otherwise(0)
-
-        most = F.array_max(F.transform(blocks, overlap))
-        return F.when((F.size("seen") > 0) & (most >= need), most / F.lit(len(tokens))).otherwise(0.0)
-
-    labels, shares = [F.col("found")], []
-    for k, (label, *plan) in enumerate(plans):
-        rows = rows.withColumn(f"share{k}", share(*plan))
-        shares.append(F.col(f"share{k}"))
-        labels.append(F.when(F.col(f"share{k}") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")))
+        plans.append((label, tokens, length, need, order[: len(order) - need + 1], telling))
+    prefixes = sorted({w for p in plans for w in p[4]})
+    rows = docs.select("doc_id", words(F.col("text")).alias("words"))
+    rows = rows.withColumn("rare", F.expr(f"filter(words, w -> w IN ({_texts(prefixes)}))") if prefixes else F.array().cast("array<string>"))
+    rows = rows.withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+    # One pass for all templates, and none where a text has no rare word: its shares are null.
+    rows = rows.withColumn("shares", F.expr(f"CASE WHEN size(rare) > 0 THEN array({', '.join(_share(*p[1:]) for p in plans)}) END" if plans else "CAST(NULL AS array<double>)"))
+    matched = F.expr(f"array_compact(transform(shares, (s, k) -> CASE WHEN s > 0 THEN get(array({_texts([p[0] for p in plans])}), k) END))" if plans else "CAST(NULL AS array<string>)")
 
     count, first, last, found = [], [], [], []
     for phrase, label in phrases:
@@ -114,6 +120,6 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     rows = rows.withColumn("found", F.array_compact(F.array(*found).cast("array<string>")))
     return rows.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), total.alias("n_base"), F.least(none, none, *first).cast("long").alias("first_word"),
-        F.greatest(none, none, *last).cast("long").alias("last_word"), join(F.col("found")).alias("base_labels"), join(F.concat(*labels)).alias("labels"),
-        F.when(total > 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(0.0), *shares)).alias("score"),
+        F.greatest(none, none, *last).cast("long").alias("last_word"), join(F.col("found")).alias("base_labels"), join(F.concat("found", F.coalesce(matched, F.array().cast("array<string>")))).alias("labels"),
+        F.when(total > 0, 1.0).otherwise(F.coalesce(F.array_max("shares"), F.lit(0.0))).alias("score"),
     )
