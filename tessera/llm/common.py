@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Where that is unset a local master gets a folder of its own; on a cluster it is an
+    error, as executors don't share the driver's local folders.
+    """
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         got = sc._jsc.sc().getCheckpointDir()
-        top = got.get() if got.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
         if not got.isDefined():
-            sc.setCheckpointDir(top)
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
+            got = sc._jsc.sc().getCheckpointDir()
+        top = got.get()
     return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 

@@ -14,7 +14,7 @@ which at most ``spare`` of the rightly predicted calibration documents fall.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.stats import ALPHA
 from tessera.llm.textlib import LANE, Slice, slices
@@ -164,7 +165,7 @@ def _extract(p: Language):
     return run
 
 
-def _predict(m: Model, p: Language):
+def _predict(m: Model, p: Language, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(_text(b.column(1))):
@@ -174,7 +175,8 @@ def _predict(m: Model, p: Language):
                     lang, score = [m.names[k] for k in sure.argmax(1)], sure.max(1)
                 else:
                     lang, score = [UNKNOWN] * n, np.zeros(n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, n), pa.array(lang, pa.string()), pa.array(score, pa.float64()), b.column(2).slice(s.first, n)], ["doc_id", "lang_pred", "score", "lettered"])
+                same = [b.column(k).slice(s.first, n) for k in range(b.num_columns) if k != 1]
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), *same], names)
 
     return run
 
@@ -186,19 +188,21 @@ def train(docs: DataFrame, folds: int = 4, hold: int = 2, p: Language = Language
     return fit([(np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32)) for k, c in zip(got["buckets"], got["counts"])], list(got["label"]), p)
 
 
-def identify(docs: DataFrame, folds: int = 4, hold: int = 2, p: Language = Language(), model: Model | None = None) -> DataFrame:
+def identify(docs: DataFrame, folds: int = 4, hold: int = 2, p: Language = Language(), model: Model | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Predicts the language of each row of ``docs`` (doc_id, text, and lang to learn from; other columns are ignored).
 
     Returns doc_id, held_out, lang_pred (a learned language; ``und`` if the text is null
     or has no letter, or nothing was learned), score (calibrated confidence, 0 for
-    ``und``), rejected (``und``, or confidence below the calibrated bound). Rows repeated
+    ``und``), rejected (``und``, or confidence below the calibrated bound), and the columns
+    ``keep`` of ``docs``, each verdict beside its own row. Rows repeated
     or without doc_id are predicted like any other; without doc_id held_out is false. An
     empty table gives an empty result.
     """
     model = model or train(docs, folds, hold, p)
     lettered = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lettered.alias("lettered"))
-    out = rows.mapInArrow(_predict(model, p), "doc_id long, lang_pred string, score double, lettered boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("judged"), lettered.alias("lettered"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *(f for f in rows.schema if f.name != "judged")])
+    out = rows.mapInArrow(_predict(model, p, schema.names), schema)
     known = F.col("lettered") & (F.col("lang_pred") != UNKNOWN)
     score = F.when(known, F.col("score")).otherwise(0.0)
-    return out.select("doc_id", held_out(folds, hold).alias("held_out"), F.when(known, F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), score.alias("score"), (~known | (score < model.bound)).alias("rejected"))
+    return out.select("doc_id", held_out(folds, hold).alias("held_out"), F.when(known, F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), score.alias("score"), (~known | (score < model.bound)).alias("rejected"), *(F.col(f"kept_{c}").alias(c) for c in keep))

@@ -16,7 +16,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(table(spark, sf_dir, "documents"), shares=(0.25, 0.75)).drop("kept_text")
+    return substring.dedup(table(spark, sf_dir, "documents")).drop("kept_text", "text_key")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,20 +74,24 @@ WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]
 LOWER_WORDS = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 UNICODE_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-SHINGLES = "list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)"
+SHINGLES = "list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))"
+
 
 def _license_sql() -> str:
     words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     phrases = ", ".join(f"('{label}', {p.split()}, {len(p.split())})" for p, label in license_scan.PHRASES)
-    parts = [(label, list(dict.fromkeys(t.split())), len(t.split())) for label, t in license_scan.TEMPLATES]
-    templates = ", ".join(f"('{label}', {tokens}, {n}, {-(-license_scan.PERCENT * len(tokens) // 100)})" for label, tokens, n in parts)
+    split, percent = license_scan.split, license_scan.PERCENT
+    parts = [(k, t.label, list(dict.fromkeys(split(t.text))), len(split(t.text)), list(t.telling)) for k, t in enumerate(license_scan.TEMPLATES)]
+    templates = ", ".join(f"({k}, '{label}', {tokens}, {n}, {-(-percent * len(tokens) // 100)}, {telling or 'CAST([] AS VARCHAR[])'})" for k, label, tokens, n, telling in parts)
     return f"""
-        WITH w AS (SELECT doc_id, {words} AS w FROM documents), p(label, phrase, n) AS (VALUES {phrases}), t(label, tokens, n, need) AS (VALUES {templates}),
+        WITH w AS (SELECT doc_id, {words} AS w FROM documents), p(label, phrase, n) AS (VALUES {phrases}), t(k, label, tokens, n, need, telling) AS (VALUES {templates}),
         b AS (SELECT doc_id, label, list_filter(range(0, len(w) - n + 1), lambda i: w[i + 1:i + n] = phrase) AS places FROM w, p),
         base AS (SELECT doc_id, CAST(sum(len(places)) AS BIGINT) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
             coalesce(string_agg(label, ',' ORDER BY label) FILTER (len(places) > 0), '') AS base_labels FROM b GROUP BY doc_id),
-        k AS (SELECT doc_id, label, tokens, need, w[i * n + 1:i * n + 2 * n] AS part FROM (SELECT *, unnest(range(0, len(w) // n + 1)) AS i FROM w, t)),
-        m AS (SELECT doc_id, label, len(list_intersect(tokens, part)) / len(tokens) AS share FROM k WHERE len(list_intersect(tokens, part)) >= need),
+        c AS (SELECT doc_id, w, label, tokens, n, need, telling FROM w, t WHERE len(list_intersect(tokens, w)) >= need),
+        x AS (SELECT *, w[i + 1:i + 2 * n] AS part FROM (SELECT *, unnest(range(0, greatest(1, len(w) - 2 * n + 1))) AS i FROM c)),
+        m AS (SELECT doc_id, label, len(list_intersect(tokens, part)) / len(tokens) AS share FROM x
+            WHERE len(list_intersect(tokens, part)) >= need AND len(list_filter(telling, lambda f: NOT contains(' ' || array_to_string(part, ' ') || ' ', ' ' || f || ' '))) = 0),
         found AS (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM b WHERE len(places) > 0),
         l AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM found GROUP BY doc_id),
         s AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
@@ -109,10 +113,11 @@ ORACLES = {
             CASE WHEN EXISTS (SELECT 1 FROM k WHERE host = name OR ends_with(host, '.' || name)) THEN 'block' ELSE 'allow' END) AS verdict FROM m"""
     % (", ".join(f"('{rule}', '{verdict}')" for verdict, rule in URL_RULES), ", ".join(f"('{k[:-1]}')" for k in URL_LIST)),
     "op5_decontaminate": f"""
-        WITH d AS (SELECT doc_id, {UNICODE_WORDS} AS w FROM documents), b AS (SELECT item_id, {UNICODE_WORDS} AS w FROM benchmark),
-        i AS (SELECT item_id, unnest({SHINGLES}) AS t FROM b), n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
-        s AS (SELECT doc_id, unnest({SHINGLES}) AS t FROM d),
-        c AS (SELECT doc_id, item_id, count(*) AS n_found FROM s JOIN i USING (t) GROUP BY ALL)
+        WITH d AS (SELECT doc_id, {UNICODE_WORDS} AS w FROM documents), b AS (SELECT item_id, {UNICODE_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        z AS (SELECT item_id, w, least(len(w), 5) AS k FROM b WHERE len(w) > 0), k AS (SELECT DISTINCT k FROM z),
+        i AS (SELECT item_id, k, unnest(list_distinct({SHINGLES})) AS t FROM z), n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+        s AS (SELECT doc_id, k, unnest(list_distinct({SHINGLES})) AS t FROM d, k WHERE doc_id IS NOT NULL AND len(w) >= k),
+        c AS (SELECT doc_id, item_id, count(*) AS n_found FROM s JOIN i USING (k, t) GROUP BY ALL)
         SELECT doc_id, item_id, n_item, n_found, round(n_found / n_item, 6) AS containment FROM c JOIN n USING (item_id) WHERE 100 * n_found >= 80 * n_item""",
     "op1_substring": f"""
         WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),

@@ -124,14 +124,142 @@ def test_quality_rules(spark, docs):
     assert quality_rules.judge(docs.where("false")).count() == 0
 
 
-def test_em_trusts_rules_that_others_bear_out():
-    g, a, b = quality_rules.GOOD, quality_rules.ABSTAIN, quality_rules.BAD
-    votes = np.array([[a, a, a, g], [b, b, a, a], [a, a, b, g]])
-    m = quality_rules.fit(votes, np.array([900.0, 60.0, 60.0]))
-    assert m.accuracy[0, 1] > m.accuracy[2, 1] and m.accuracy[1, 1] > m.accuracy[2, 1]
-    p = m.posterior(votes)
-    assert p[0] > 0.5 > p[1] and p[1] < p[2]
-    assert quality_rules.fit(votes[:0], np.zeros(0)).good == quality_rules.START_GOOD
+def test_verdict_is_not_all_must_pass(spark):
+    """On documents: one bad vote is outvoted, and abstentions lose without a bad vote."""
+    rows = quality_rules.judge(spark.read.parquet(f"{DATA.replace('0.01', '0.1')}/documents.parquet")).where("NOT base_failed")
+    power = [3**k for k in range(len(quality_rules.RULES))]
+    bad = F.lit(False)
+    for p in power:
+        bad |= F.floor(F.col("pattern") / p) % 3 == quality_rules.BAD
+    got = {(r.bad, r.kept): r["count"] for r in rows.groupBy(bad.alias("bad"), "kept").count().collect()}
+    assert got[True, True] > 0 and got[False, False] > 0 and got[False, True] > got[True, False] > 0
+
+
+def test_em_by_hand():
+    """Against a plain loop over documents, and what it should find: rules that others bear out are trusted."""
+    r = random.Random(3)
+    docs = []
+    for _ in range(600):
+        good = r.random() < 0.8
+        docs.append([r.choices((0, 1, 2), w)[0] for w in ((9, 1, 0.1) if good else (1, 3, 6), (8, 2, 0.3) if good else (2, 4, 4), (5, 3, 2), (7, 3, 0.2) if good else (1, 8, 1))])
+    patterns = sorted(set(map(tuple, docs)))
+    m = quality_rules.fit(np.array(patterns), np.array([float(docs.count(list(p))) for p in patterns]), rounds=20)
+    share, votes = quality_rules.START_GOOD, [[list(c) for _ in range(4)] for c in quality_rules.START]
+
+    def posterior(d):
+        a, b = share, 1 - share
+        for k, v in enumerate(d):
+            a, b = a * votes[0][k][v], b * votes[1][k][v]
+        return a / (a + b)
+
+    for _ in range(20):
+        p = [posterior(d) for d in docs]
+        seen = [[[quality_rules.BELIEF * quality_rules.START[c][v] + sum((x if c == 0 else 1 - x) for x, d in zip(p, docs) if d[k] == v) for v in range(3)] for k in range(4)] for c in (0, 1)]
+        votes = [[[x / sum(row) for x in row] for row in c] for c in seen]
+        share = (sum(p) + quality_rules.BELIEF * quality_rules.START_GOOD) / (len(docs) + quality_rules.BELIEF)
+    assert m.good == pytest.approx(share) and m.votes == pytest.approx(np.array(votes))
+    assert m.posterior(np.array(patterns)) == pytest.approx(np.array([posterior(d) for d in patterns]))
+    odds = np.log(m.votes[0] / m.votes[1])
+    assert odds[0, 2] < odds[2, 2] - 1 and odds[3, 1] < -0.5
+    one_bad, abstains = m.posterior(np.array([[0, 0, 2, 0], [1, 1, 1, 1]]))
+    assert one_bad > 0.9 and abstains < 0.5
+    assert quality_rules.fit(np.zeros((0, 4), int), np.zeros(0)).good == quality_rules.START_GOOD
+
+
+def test_ftrl_by_hand(spark):
+    """Weights and scores of a small corpus against dictionaries and words in plain Python."""
+    p = toxicity.Ftrl(bits=18, passes=3, l1=0.5)
+    r = random.Random(8)
+    texts = [" ".join(r.choice(("bad", "Fine", "day", "so", "é!", "x-y")) for _ in range(r.randrange(0, 9))) for _ in range(60)]
+    y = [float("bad" in t) for t in texts]
+    import pyarrow as pa
+
+    s = next(toxicity.slices(pa.array(texts)))
+    row, key = toxicity._present(s, p)
+    docs = [key[row == i] for i in range(60)]
+    for t, d in zip(texts, docs):
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in t))
+        assert len(d) == len({(0, x) for x in w} | {(g, a, b) for g in (1, 2, 3) for a, b in zip(w, w[g:])})
+    m = toxicity.fit(docs, np.array(y), p)
+    share = (sum(y) + 0.5) / 61
+    bias, z, n, zb, nb = np.log(share / (1 - share)), {}, {}, 0.0, 0.0
+    weight = lambda k: 0.0 if abs(z.get(k, 0)) <= p.l1 else -(z[k] - np.sign(z[k]) * p.l1) / ((p.beta + n[k] ** 0.5) / p.alpha + p.l2)
+    order = np.random.default_rng(2).permutation(60)
+    shown = bias
+    for _ in range(p.passes):
+        for i in order:
+            w = {k: weight(k) for k in docs[i].tolist()}
+            shown = bias - zb / ((p.beta + nb**0.5) / p.alpha + p.l2)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + shown))) - y[i]
+            for k, v in w.items():
+                z[k] = z.get(k, 0) + g - ((n.get(k, 0) + g * g) ** 0.5 - n.get(k, 0) ** 0.5) / p.alpha * v
+                n[k] = n.get(k, 0) + g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / p.alpha * (shown - bias)
+            nb += g * g
+    want = {k: weight(k) for k in z if weight(k)}
+    assert dict(zip(m.bucket.tolist(), m.weight)) == pytest.approx(want) and m.bias == pytest.approx(shown)
+    scored = m.score(60, *toxicity.buckets(next(toxicity.slices(pa.array(texts))), p), p.bits)
+    assert scored == pytest.approx([1 / (1 + np.exp(-(m.bias + sum(want.get(k, 0) for k in d.tolist())))) for d in docs])
+
+
+def test_rare_buckets_that_are_left_out_have_no_weight():
+    r = np.random.default_rng(6)
+    p = toxicity.Ftrl(bits=12)
+    docs = [np.unique(r.integers(0, 4096, 30)) for _ in range(300)]
+    y = (r.random(300) < 0.3).astype(float)
+    count = np.bincount(np.concatenate(docs), minlength=4096)
+    some = toxicity.fit([d[count[d] >= p.least] for d in docs], y, p)
+    full = toxicity.fit(docs, y, p)
+    assert p.least > 1 and (count == 1).any()
+    assert full.bucket.tolist() == some.bucket.tolist() and full.weight == pytest.approx(some.weight)
+
+
+def test_first_split_by_hand():
+    """The root of the first tree is the best of all cuts at the bins' edges."""
+    r = np.random.default_rng(9)
+    x = r.random((300, 15)).round(2)
+    y = (x[:, 3] + 0.3 * r.random(300) > 0.7).astype(float)
+    p = boosting.Boosting(trees=1, depth=1)
+    f = boosting.fit(x, y, p)
+    share = (y.sum() + 0.5) / 301
+    g, h, best = share - y, share * (1 - share), None
+    for j in range(15):
+        for e in np.unique(np.quantile(x[:, j], np.linspace(0, 1, p.bins + 1)[1:-1])):
+            a = x[:, j] <= e
+            if min(a.sum(), (~a).sum()) * h >= p.least:
+                gain = sum(g[k].sum() ** 2 / (k.sum() * h + p.penalty) for k in (a, ~a))
+                best = max(best or (-1,), (gain, -j, e))
+    assert (f.feature[0, 0], f.cut[0, 0]) == (-best[1], best[2])
+    for leaf, k in enumerate((x[:, f.feature[0, 0]] <= f.cut[0, 0], x[:, f.feature[0, 0]] > f.cut[0, 0])):
+        assert f.value[0, leaf] == pytest.approx(-p.rate * g[k].sum() / (k.sum() * h + p.penalty))
+
+
+def test_language_scores_by_hand():
+    """A document's scores are the mean over its subwords, listed in plain Python, of their class scores."""
+    import pyarrow as pa
+
+    p = language.Language(bits=8)
+    m = language.Model(["a", "b", "c"], np.random.default_rng(5).normal(size=(256, 3)))
+    texts = ["the und, 12 of", "", "é", "a  b", None, "x" * 50]
+    slice_ = next(language.slices(language._text(pa.array(texts))))
+    got = m.raw(slice_, p)
+    mask = 2**64 - 1
+    for t, row in zip(texts, got):
+        raw = bytes(c if language.ALPHA[c] else 32 for c in (t or "").lower().encode())
+        buckets = []
+        for w in raw.split():
+            one = next(language.slices(pa.array([w.decode()])))
+            buckets.append(int(language.LANE.words(one.buf, np.array([0]), np.array([len(w)]))[0]) >> (64 - p.bits))
+        for n in range(1, p.longest + 1):
+            for i in range(len(raw) - n + 1):
+                run = raw[i : i + n]
+                if run == b" " or (n > 1 and run[:2] == b"  "):
+                    continue
+                code = n
+                for c in run:
+                    code = (code * 257 + c) & mask
+                buckets.append((code * 0x9E3779B97F4A7C15 & mask) >> (64 - p.bits))
+        assert row == pytest.approx(m.table[buckets].mean(0) if buckets else np.zeros(3))
 
 
 def test_url_filter(spark):
@@ -194,6 +322,84 @@ def test_counts_are_named():
     assert set(boosting.COUNTS) == set(COUNTS)
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shingled(text, width=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} - {()}
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage on its own input: null and shared ids, repeated rows, null, empty and letterless texts."""
+    import corpus_pipeline as P
+
+    stage = dict(P.STAGES)
+    r = random.Random(11)
+    make = lambda n: " ".join(f"w{r.randrange(500)}" for _ in range(n))
+    base, passage, item = make(80), make(30), make(20)
+    edited = base.split()
+    edited[40] = "changed"
+    rows = [(i, make(60)) for i in range(1, 20)] + [
+        (30, base), (31, " ".join(edited)), (32, base), (33, make(5) + " " + passage), (34, passage + " " + make(9)), (35, make(50) + " " + item + " " + make(5)), (36, None), (37, ""), (38, "12 !"),
+        (40, make(40)), (40, make(41)), (41, passage), (41, make(12)), (None, make(30)), (None, make(31)), (None, make(32)), (None, None), (None, "34 ?"), (1, None), (30, base), (None, item + " zz"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).withColumn("root", F.lit(1)).withColumn("label", F.lit("x"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = lambda name, df=docs: sorted((str(x.doc_id), str(x.text)) for x in stage[name](spark, df, str(tmp_path)).collect())
+    text = lambda some: sorted((str(i), str(t)) for i, t in some)
+
+    lettered = [(i, t) for i, t in rows if re.search(r"[^\W\d_]", t or "")]
+    assert out("language_id") == text(lettered)
+
+    first = {}
+    sets = {i: {} for i, _ in rows if i is not None}
+    for i, t in rows:
+        if i is not None:
+            sets[i][t] = shingled(t)
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+    for i in ids:
+        for j in ids:
+            for a in sets[i].values():
+                for b in sets[j].values():
+                    if i < j and a and b and len(a & b) >= 0.8 * len(a | b):
+                        root[j] = min(root[j], root[i])
+    want = [(i, t) for i, t in dict.fromkeys(rows) if i is None or root[i] == i]
+    assert root[31] == root[32] == 30 and out("near_duplicates") == text(want)
+
+    seen = {}
+    for i, t in rows:
+        for k in range(len((t or "").split()) - 19):
+            w = tuple(t.split()[k : k + 20])
+            if i is not None:
+                seen[w] = min(seen.get(w, i), i)
+    want = []
+    for i, t in rows:
+        w, own = (t or "").split(), set()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            x = tuple(w[k : k + 20])
+            if x in own or (i is not None and seen[x] < i):
+                gone[k : k + 20] = [True] * 20
+            own.add(x)
+        want.append((i, " ".join(x for x, g in zip(w, gone) if not g) if any(gone) else t))
+    assert out("substring_dedup") == text(want) and want != rows
+
+    grams = shingled(item)
+    want = [(i, t) for i, t in rows if len(grams & shingled(t)) < 0.8 * len(grams)]
+    assert out("decontamination") == text(want) and len(want) == len(rows) - 2
+
+    got = stage["tokens"](spark, docs, "").collect()
+    codec = sentencepiece_codec.load().tokenizer()
+    assert sorted((str(x.doc_id), str(list(x.ids))) for x in got) == sorted((str(i), str(codec.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+
+    for name, f in P.STAGES:
+        empty = f(spark, docs.where("false"), str(tmp_path))
+        assert empty.count() == 0 and (name == "tokens" or tuple(empty.columns) == COLUMNS)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -1,6 +1,7 @@
 """Near duplicates, substring dedup, decontamination and license scans against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -114,10 +115,10 @@ def removed(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("shares", [(1.0,), (0.3, 0.3, 0.4)])
-def test_substring(spark, shares):
+@pytest.mark.parametrize("batches", [1, 2, 5, 8])
+def test_substring(spark, batches):
     rows = corpus(2)
-    got = substring.dedup(frame(spark, [*rows, rows[0]]), shares=shares).collect()
+    got = substring.dedup(frame(spark, [*rows, rows[0]]), batches=batches).collect()
     want = removed(rows)
     assert len(got) == len(rows) + 1
     for r in got:
@@ -125,14 +126,32 @@ def test_substring(spark, shares):
         assert (r.kept_text is None) == (r.n_removed == 0)
 
 
-def test_substring_index_survives_compaction(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_substring_index_is_compacted_and_reopened(spark, limit):
     rows = sorted(corpus(5, n=30), key=lambda r: r[0])
-    index, want = substring.FingerprintIndex(spark, substring.Substring(fanout=1)), removed(rows)
-    docs = frame(spark, rows)
+    params, want = substring.Substring(fanout=1, broadcast_rows=limit), removed(rows)
+    index, docs = substring.FingerprintIndex(spark, params), frame(spark, rows)
     for low, high in ((0, 30), (31, 60), (61, 2000)):
-        for r in index.add(docs.where(F.col("doc_id").between(low, high)), docs.where(F.col("doc_id") < low)).collect():
+        for r in index.add(docs.where(F.col("doc_id").between(low, high)), docs.where(F.col("doc_id") < low) if index.runs else None).collect():
             assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
         assert len(index.runs) == 1
+        here = index.path.removeprefix("file:")
+        assert sum(n.startswith("run_") for n in os.listdir("/" + here.lstrip("/"))) == 1
+        spark.sql(f"DROP TABLE tessera_{index.runs[0][0]}")  # as a new session would begin
+        index = substring.FingerprintIndex(spark, params, index.path)
+    with pytest.raises(ValueError):
+        index.add(docs)
+
+
+def test_substring_of_shared_ids_and_long_texts(spark):
+    """Rows of one doc_id lose what smaller ids have, each by its own words; a very long text and windows that begin alike."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    long = " ".join(f"q{i % 997}x{i % 1009}" for i in range(40_000))
+    rows = [(1, passage), (2, "a b c " + passage + " d"), (2, "z " + passage + " y x"), (3, "e f"), (4, long), (5, "g " + long), (6, "g " + passage[:-3] + "other")]
+    got = {(r.doc_id, r.n_words): r for r in substring.dedup(frame(spark, rows), batches=3).collect()}
+    assert [(k, got[k].n_removed, got[k].kept_text) for k in ((2, 29), (2, 28))] == [((2, 29), 25, "a b c d"), ((2, 28), 25, "z y x")]
+    assert (got[4, 40_000].n_removed, got[5, 40_001].n_removed, got[5, 40_001].kept_text) == (0, 40_000, "g")
+    assert got[6, 26].kept_text == "g other" and got[3, 2].n_removed == 0 and len(got) == len(rows)
 
 
 def test_substring_of_nothing(spark):
@@ -177,23 +196,81 @@ def test_decontamination(spark):
     assert decontaminate.clean(frame(spark, rows), bench).columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def shares(text, templates, percent=80):
+    """Greatest share by template over all runs of twice its words, in plain Python."""
+    w, out = license_scan.split(text or ""), []
+    for t in templates:
+        words = license_scan.split(t.text)
+        tokens, size, best = set(words), 2 * len(words), 0.0
+        for i in range(max(1, len(w) - size + 1)):
+            block = w[i : i + size]
+            share = len(tokens & set(block)) / len(tokens)
+            if 100 * share >= percent - 1e-9 and all(f" {f} " in f" {' '.join(block)} " for f in t.telling):
+                best = max(best, share)
+        out.append(best)
+    return out
+
+
 def test_license_scan(spark):
-    full = license_scan.TEMPLATES[1][1]
-    missing = full.split()
-    del missing[3:7]
+    by = {}
+    for t in license_scan.TEMPLATES:
+        by.setdefault(t.label, t.text)
+    mit, r = by["mit"].split(), random.Random(4)
     rows = [
-        (1, "x Under the MIT License, under the mit license!"), (2, None), (3, ""), (4, "cc by nc cc by nc"), (5, "Permission " + full[11:].upper()), (6, "a " * 500 + " ".join(missing)),
-        (7, "mit license under"), (8, "APACHE license version 2 and underthe mit license"), (9, "All rights reserved"), (1, "dup"), (None, "released under the mit license"),
+        (1, "x Under the MIT License, under the mit license!"), (2, None), (3, ""), (4, "cc by nc cc by nc"), (7, "mit license under"), (8, "APACHE license version 2 and underthe mit license"), (1, "dup"),
+        (10, "licensed under CC BY 4.0"), (11, "GNU General Public License version 2"), (12, "Apache License version 1 0"), (13, "released under the license"), (14, "rights reserved to all"),
+        (15, by["apache-2"].replace("2.0", "1.1")), (16, "and the of to " * 10_000 + by["gpl-3"].upper()), (17, " ".join(mit[:60] + ["x"] * 120 + mit[60:])), (18, " ".join(mit[:60] + ["x"] * 400 + mit[60:])),
+        (None, by["isc"]), *((100 + k, text) for k, text in enumerate(by.values())), *((200 + k, " ".join(w for w in t.text.split() if r.random() > 0.05 * (k % 5))) for k, t in enumerate(license_scan.TEMPLATES * 2)),
     ]
-    got = {(r.doc_id, r.n_words): r for r in license_scan.scan(frame(spark, rows)).collect()}
+    got = license_scan.scan(frame(spark, rows)).collect()
     assert len(got) == len(rows)
-    r = got[1, 9]
-    assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == (2, 1, 5, "mit", "mit", 1.0)
-    assert (got[2, 0].n_base, got[2, 0].first_word, got[2, 0].labels, got[2, 0].score) == (0, None, "", 0.0)
-    assert (got[4, 6].n_base, got[4, 6].first_word, got[4, 6].last_word) == (2, 0, 3)
-    assert (got[5, 27].n_base, got[5, 27].labels, got[5, 27].score) == (0, "mit", 1.0)
-    assert got[6, 523].labels == "mit" and 0.8 <= got[6, 523].score < 1
-    assert (got[7, 3].labels, got[7, 3].score) == ("", 0.0)
-    assert got[8, 8].base_labels == "apache-2"
-    assert got[9, 3].labels == "reserved" and got[None, 5].labels == "mit"
+    one = {(x.doc_id, x.n_words): x for x in got}
+    for i, text in rows:
+        x = one[i, len(license_scan.split(text or ""))]
+        want = shares(text if i != 16 else "and the of to " * 50 + by["gpl-3"], license_scan.TEMPLATES)
+        assert set(x.labels.split(",")) - {""} == {t.label for t, s in zip(license_scan.TEMPLATES, want) if s} | set(x.base_labels.split(",")) - {""}
+        assert x.score == pytest.approx(1.0 if x.n_base else max(want))
+    x = one[1, 9]
+    assert (x.n_base, x.first_word, x.last_word, x.base_labels, x.labels, x.score) == (2, 1, 5, "mit", "mit", 1.0)
+    assert (one[2, 0].n_base, one[2, 0].first_word, one[2, 0].labels, one[2, 0].score) == (0, None, "", 0.0)
+    assert (one[4, 6].n_base, one[4, 6].first_word, one[4, 6].last_word) == (2, 0, 3)
+    for i in range(10, 16):
+        assert [x.labels for x in got if x.doc_id == i] == [""]
+    assert [x.labels for x in got if x.doc_id in (16, 17, 18, None)] == ["gpl-3", "mit", "", "isc"]
     assert license_scan.scan(frame(spark, [])).count() == 0
+    assert license_scan.scan(frame(spark, rows[:3]), templates=()).count() == 3
+
+
+def test_recall_of_signatures():
+    """Pairs at the threshold itself: the share whose signatures lie within the distance."""
+    import numpy as np
+
+    p, r, lost = near_dup.NearDup(), np.random.default_rng(12), 0
+    for _ in range(100):
+        n = 40 * int(r.integers(1, 6))
+        key = r.integers(0, 2**63, n + n // 8, dtype=np.uint64)
+        x, y = np.sort(key[:n]), np.sort(key[n // 8 :])
+        x, y = np.sort(np.append(key[: n // 9], key[2 * (n // 9) :])), np.sort(key[n // 9 :])  # 0.8 or a little more or less
+        both = len(np.intersect1d(x, y))
+        if 100 * both < 80 * (len(x) + len(y) - both):
+            continue
+        a, b = (near_dup.signatures(z, np.array([0, len(z)]), p.hashes)[0] for z in (x, y))
+        lost += int((a != b).sum() > p.distance)
+    assert lost == 0
+
+
+def test_near_duplicates_of_long_texts(spark):
+    long = [f"u{i % 997}v{i % 1013}" for i in range(50_000)]
+    edited = list(long)
+    edited[::500] = ["e"] * 100
+    got = near_dup.link(frame(spark, [(1, " ".join(long)), (2, " ".join(edited)), (3, " ".join(long[:9000]))])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
+def test_decontamination_of_long_texts_and_rows(spark):
+    item = " ".join(f"b{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, "w " * 60_000 + item), (1, "clean one"), (None, item), (None, "clean two"), (2, None), (3, "")]
+    kept = decontaminate.clean(frame(spark, rows), bench).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("1", "clean one"), ("2", "None"), ("3", ""), ("None", "clean two")]
+    assert decontaminate.clean(frame(spark, rows), bench.where("false")).count() == len(rows)
