@@ -8,8 +8,31 @@ from pyspark.sql import functions as F
 #: Marker after a cut tool text.
 CUT_MARK = "... [truncated]"
 
-#: Words that carry no entity (fixed values).
-SEED_STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "what", "when", "where", "which", "who", "how", "are", "was", "were", "does", "did", "has", "have", "had", "about", "into", "user", "assistant")
+#: Words that carry no entity, names that stand for the two speakers, other names of relations, relations that say nothing.
+SEED_STOP_WORDS = (
+    "about", "and", "are", "do", "for", "from", "have", "how", "into", "me", "remember", "tell", "that", "the", "their", "them", "they", "this", "use", "what", "who", "with", "you", "your",
+)
+SPEAKERS = {"assistant": "assistant", "me": "user", "myself": "user", "the assistant": "assistant", "the user": "user", "user": "user"}
+RELATIONS = {"likes": "PREFERS", "prefers": "PREFERS", "profession": "PROFESSION", "uses": "USES", "work_on": "WORKS_ON", "working_on": "WORKS_ON", "works_on": "WORKS_ON"}
+WEAK_RELATIONS = ("HAS", "IS", "NAME", "RELATED_TO")
+#: Words that are no search term of their own.
+TERM_STOP_WORDS = ("about", "after", "answer", "before", "could", "document", "documents", "explain", "information", "selected", "should", "through", "where", "which", "would")
+#: Patterns of a request to remember, and of talk about remembering.
+REMEMBER, REMEMBER_THAT = r"(?i)^(please )?remember( this)?( going forward)? ?[:,-]? ?", r"(?i)^that "
+LOW_VALUE = r"(?i)^user asked to remember:|^remembered context:|\byou should remember this\b|\bremember this\b|\bi('| a)?ll remember that\b|\bkeep that in mind\b"
+LOW_VALUE_WORDS = ("", "this", "that", "it", "remember this", "remember that")
+#: Category cues in the order they are tried; the first are prefixes.
+FACT_PREFIXES = ("i prefer", "i like", "i want", "i need")
+FACT_CUES = (
+    ("project", ("we use", "our stack", "project", "memory", "tool", "database", "qdrant", "memgraph")),
+    ("tone", ("tone", "style", "concise", "verbose")),
+    ("goals", ("goal", "working on", "building", "trying to")),
+)
+#: What a user says of themselves, and what asks to remember.
+FACT_PATTERNS = (
+    r"\bi prefer\b.+", r"\bi like\b.+", r"\bcall me\b.+", r"\bmy name is\b.+", r"\bi work on\b.+", r"\bi am working on\b.+", r"\bour stack is\b.+", r"\bwe use\b.+", r"\bthe project is\b.+",
+)
+REMEMBER_CUES = ("remember", "going forward", "from now on")
 
 
 def squeeze(text: Column) -> Column:
@@ -24,11 +47,16 @@ def drop_nul(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the lower-cased words (letters and digits), each padded by two spaces before and one after."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
+def similarity_to(text: Column, known: Column) -> Column:
+    """``similarity`` of a text's trigrams with a known set; the text's are worked out once, as the only element of an array."""
+    return F.transform(F.array(trigrams(text)), lambda s: similarity(s, known))[0]
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Share of the trigrams of two sets that are in both; 0 without trigrams."""
     both = F.size(F.array_intersect(a, b))
@@ -80,9 +108,13 @@ def useful_sentence(text: Column) -> Column:
 
 
 def snippet(text: Column, most: int = 420) -> Column:
-    """Up to two useful sentences, at most ``most`` characters."""
-    parts = F.split(F.regexp_replace(squeeze(text), r"([.!?]) ", "$1\n"), "\n")
-    return F.substring(F.array_join(F.slice(F.filter(parts, useful_sentence), 1, 2), " "), 1, most)
+    """Up to two useful sentences of the rejoined text, the second only while the first is shorter than ``most``; else a useful first sentence; a cut one ends with dots."""
+    whole = squeeze(unhyphenate(text))
+    good = F.filter(F.split(F.regexp_replace(whole, r"([.!?]) ", "$1\n"), "\n"), useful_sentence)
+    some = F.array_join(F.when(F.length(F.get(good, F.lit(0))) >= most, F.slice(good, 1, 1)).otherwise(F.slice(good, 1, 2)), " ")
+    first = first_sentence(whole, most)
+    out = F.when(some != "", some).when(useful_sentence(first), first).otherwise("")
+    return F.when(F.length(out) > most, F.concat(F.rtrim(F.substring(out, 1, most)), F.lit("..."))).otherwise(out)
 
 
 def cut(text: Column, most: int = 1500) -> Column:
@@ -181,45 +213,74 @@ def number_map(text: Column) -> Column:
     return F.map_from_entries(F.transform(good, lambda x: F.struct(x["k"], x["v"].cast("int"))))
 
 
+def _renamed(name: Column, names: dict[str, str], other: Column) -> Column:
+    out = F
+    for k, v in names.items():
+        out = out.when(name == k, v)
+    return out.otherwise(other)
+
+
 def entity(text: Column) -> Column:
-    """Entity name: lower-cased, squeezed, without a leading article or outer quotes."""
-    return F.regexp_replace(F.regexp_replace(F.lower(squeeze(text)), r"^[\"'(]+|[\"').,;:!?]+$", ""), r"^(the|a|an) ", "")
+    """Entity name: squeezed, without outer quotes and odd characters, lower-cased; the speakers under one name each."""
+    bare = F.regexp_replace(squeeze(F.coalesce(text, F.lit(""))), r"^[`'\"]+|[`'\"]+$", "")
+    name = F.trim(F.lower(F.regexp_replace(bare, r"[^A-Za-z0-9_.+\- ]+", "")))
+    return _renamed(name, SPEAKERS, name)
 
 
 def relation(text: Column) -> Column:
-    """Relation name: upper-cased, other characters as single underscores."""
-    return F.upper(F.regexp_replace(F.regexp_replace(squeeze(text), r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", ""))
+    """Relation name: upper-cased, other characters as single underscores, one name for those that mean the same."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    return _renamed(name, RELATIONS, F.upper(name))
 
 
 def seed_terms(text: Column) -> Column:
-    """Distinct lower-cased words of three or more letters or digits that aren't stop words."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*SEED_STOP_WORDS)))
+    """Distinct words of three or more characters of an entity name that aren't stop words or speakers."""
+    words = F.regexp_extract_all(entity(text), F.lit(r"([a-z0-9_.+\-]+)"), F.lit(1))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*SEED_STOP_WORDS, *sorted(set(SPEAKERS.values())))))
+
+
+def exact_terms(text: Column, most: int = 8) -> Column:
+    """Quoted phrases, then words with a digit, a symbol, two capitals or ten letters; trimmed, distinct whatever the case, at most ``most``."""
+    quoted = F.regexp_extract_all(text, F.lit("(\"[^\"]{3,96}\"|'[^']{3,96}')"), F.lit(1))
+    words = F.filter(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9][A-Za-z0-9_./:+\-]{2,})"), F.lit(1)), lambda w: w.rlike(r"[-_./:+0-9]|[A-Z].*[A-Z]") | (F.length(w) >= 10))
+    bare = F.transform(F.concat(quoted, words), lambda w: F.regexp_replace(w, r"^[ \t\r\n\"'`.,;:!?()\[\]{}]+|[ \t\r\n\"'`.,;:!?()\[\]{}]+$", ""))
+    good = F.filter(bare, lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*TERM_STOP_WORDS))
+    first = F.filter(good, lambda w, i: F.array_position(F.transform(good, lambda x: F.lower(x)), F.lower(w)) == i + 1)
+    return F.slice(first, 1, most)
 
 
 def fact(text: Column) -> Column:
     """Fact-first form of a memory candidate: squeezed, without a request to remember and outer quotes."""
-    bare = F.regexp_replace(squeeze(text), r"(?i)^(please )?remember( this)?( going forward)? ?[:,-]? ?", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"(?i)^that ", ""), r"^[ \"']+|[ \"']+$", "")
+    bare = F.trim(F.regexp_replace(squeeze(text), REMEMBER, ""))
+    return F.regexp_replace(F.trim(F.regexp_replace(bare, REMEMBER_THAT, "")), r"^[ \"']+|[ \"']+$", "")
 
 
 def low_value_fact(text: Column) -> Column:
     """Empty, a bare pronoun, or talk about remembering."""
-    low = F.lower(fact(text))
-    return (F.regexp_replace(low, r"^[ .!?,:;]+|[ .!?,:;]+$", "").isin("", "this", "that", "it", "remember this", "remember that")) | low.rlike(r"^user asked to remember:|^remembered context:|you should remember this|remember this|i('| a)?ll remember that|keep that in mind")
-
-
-#: Category cues in the order they are tried (fixed values).
-FACT_CUES = (("preference", "prefer|like|favou?rite|love|hate"), ("goal", "want|goal|plan|aim"), ("background", "i am|i work|my job|my name|experience"), ("project", "project|paper|thesis|dataset"))
+    one = fact(text)
+    return F.regexp_replace(F.lower(one), r"^[ .!?,:;]+|[ .!?,:;]+$", "").isin(*LOW_VALUE_WORDS) | one.rlike(LOW_VALUE)
 
 
 def fact_category(text: Column) -> Column:
-    """The first category with a cue in the text, else ``general``."""
-    out = F
+    """``preference`` by how a text begins, else the first category with a cue in it, else ``general``."""
+    low = F.lower(F.trim(text))
+    out = F.when(low.rlike(f"^({'|'.join(FACT_PREFIXES)})"), "preference")
     for name, cues in FACT_CUES:
-        out = out.when(F.lower(text).rlike(cues), name)
+        out = out.when(low.rlike("|".join(cues)), name)
     return out.otherwise("general")
 
 
+def heuristic_facts(text: Column) -> Column:
+    """Facts of a user's turn: what they ask to remember, then what they say of themselves to the line's end; normal forms, distinct, without those of low value."""
+    whole = F.trim(text)
+    asks = F.lower(whole).rlike("|".join(REMEMBER_CUES))
+    said = [F.nullif(F.trim(F.regexp_extract(whole, f"(?i)({p})", 1)), F.lit("")) for p in FACT_PATTERNS]
+    upper = [F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x))) for x in said]
+    found = F.array_compact(F.array(F.when(asks, whole), *upper))
+    facts = F.transform(F.filter(found, lambda x: ~low_value_fact(x)), fact)
+    return F.array_distinct(F.filter(facts, lambda x: x != ""))
+
+
 def cache_key(prefix: str, *parts: Column) -> Column:
     """Prefix and canonical JSON of the parts; as SHA-256 where longer than 180 characters."""
     body = F.to_json(F.array(*(p.cast("string") for p in parts)))

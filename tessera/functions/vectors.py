@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -41,10 +40,11 @@ def hashing_embedding(text: Column, n: int = 64) -> Column:
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        def one(t: str) -> np.ndarray:
-            at = [zlib.crc32(w.encode()) % n for w in re.findall(r"\w+", (t or "").lower())]
-            return np.bincount(at, minlength=n).astype(np.float32) if at else np.zeros(n, np.float32)
-
-        return texts.map(one)
+        words = texts.fillna("").str.lower().str.findall(r"\w+")
+        flat = words.explode().dropna()
+        known = {w: zlib.crc32(w.encode()) % n for w in flat.unique()}
+        row = np.repeat(np.arange(len(words)), words.str.len().to_numpy())
+        counts = np.bincount(row * n + flat.map(known).to_numpy(np.int64), minlength=len(words) * n).reshape(-1, n)
+        return pd.Series(list(counts.astype(np.float32)))
 
     return embed(text)

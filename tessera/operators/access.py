@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.shared import written
+
 LEVELS = {"VIEW": 1, "EDIT": 2, "MANAGE": 3}
 
 
@@ -26,15 +28,26 @@ def direct(grants: DataFrame, least: str) -> DataFrame:
     return grants.where(level() >= LEVELS[least]).select("user_id", "collection_id").distinct()
 
 
+#: Levels of a collection tree.
+MOST_LEVELS = 1000
+
+
 def ancestors(collections: DataFrame) -> DataFrame:
-    """Each collection (id, parent_id) with itself and all above it: id, ancestor_id, depth."""
-    spark = collections.sparkSession
-    collections.createOrReplaceTempView("tessera_collections")
-    return spark.sql("""
-        WITH RECURSIVE up(id, ancestor_id, depth) AS (
-            SELECT id, id, 0 FROM tessera_collections
-            UNION ALL SELECT up.id, c.parent_id, up.depth + 1 FROM up JOIN tessera_collections c ON c.id = up.ancestor_id WHERE c.parent_id IS NOT NULL)
-        SELECT * FROM up""")
+    """Each collection (id, parent_id) with itself and all above it: id, ancestor_id, depth (the least, should links form a cycle).
+
+    A frontier goes up one level a round and keeps only pairs that are new, so a cycle ends
+    by itself. The number of rounds is the tree's depth; each is written to the shared folder.
+    """
+    parent = collections.where("parent_id IS NOT NULL").select(F.col("id").alias("ancestor_id"), "parent_id")
+    found = collections.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
+    frontier = found
+    for depth in range(1, MOST_LEVELS + 1):
+        up = frontier.join(parent, "ancestor_id").select("id", F.col("parent_id").alias("ancestor_id"), F.lit(depth).alias("depth"))
+        frontier = written(up.distinct().join(found.select("id", "ancestor_id"), ["id", "ancestor_id"], "left_anti").select("id", "ancestor_id", "depth"), "frontier")
+        if frontier.isEmpty():
+            return found
+        found = found.union(frontier)
+    raise ValueError(f"a tree of more than {MOST_LEVELS} levels")
 
 
 def inherited(collections: DataFrame, grants: DataFrame, least: str) -> DataFrame:
@@ -84,3 +97,9 @@ def counted_tree(collections: DataFrame, items: DataFrame) -> DataFrame:
 def nearest_wins(rows: DataFrame, key: str, order: str, n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key."""
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("rn") <= n).drop("rn")
+
+
+def viewers_only(grants: DataFrame) -> DataFrame:
+    """User and collection of every grant to view without one to edit or manage the same collection."""
+    pairs = lambda rows: rows.select("user_id", "collection_id").distinct()
+    return pairs(grants.where("permission = 'VIEW'")).join(pairs(grants.where("permission IN ('EDIT', 'MANAGE')")), ["user_id", "collection_id"], "left_anti")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.vectors import cosine
 
+#: Query vectors of one question.
+MOST_QUERIES = 64
+
 
 def expand(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Outgoing and incoming edges (source_id, relationship, destination_id) of the nodes (id); one with both ends among them appears twice."""
@@ -19,19 +22,54 @@ def expand(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def similar_nodes(nodes: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """Nodes (id, embedding) with the greatest cosine over the query vectors (q, vector), at least the threshold. The queries are few terms of one question."""
-    rows = nodes.crossJoin(F.broadcast(queries)).select("id", cosine(F.col("embedding"), F.col("vector")).alias("score"))
-    return rows.groupBy("id").agg(F.round(F.max("score"), 6).alias("score")).where(F.col("score") >= threshold)
+    """Nodes (id, embedding) with the greatest cosine over the query vectors (q, vector), at least the threshold. The queries are the terms of one question, so they are part of the plan; each node is scored in place."""
+    vectors = [r["vector"] for r in queries.select("vector").limit(MOST_QUERIES + 1).collect()]
+    if len(vectors) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors")
+    scores = [cosine(F.col("embedding"), F.lit(v)) for v in vectors]
+    best = F.greatest(F.lit(-1.0), F.lit(-1.0), *scores)
+    return nodes.select("id", F.round(best, 6).alias("score")).groupBy("id").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)
 
 
-def seeds(nodes: DataFrame, terms: Sequence[str], limit: int = 256) -> DataFrame:
-    """Candidate nodes (id, name): exact names first, then names with a term, newest first."""
+def seeds(nodes: DataFrame, terms: Sequence[str], limit: int = 256, exact: Sequence[str] | None = None) -> DataFrame:
+    """Candidate nodes (id, name): exact names (``terms`` unless given) first, then names with a term, newest first."""
     name = F.lower("name")
-    exact, part = name.isin(list(terms)), F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(name, t))
+    exact, part = name.isin(list(terms if exact is None else exact)), F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(name, t))
     return nodes.where(exact | part).withColumn("seed_rank", F.when(exact, 0).otherwise(1)).orderBy("seed_rank", F.desc("id")).limit(limit)
 
 
 def normalise(relations: DataFrame) -> DataFrame:
-    """Normal forms of (source, relationship, destination); self-loops and empty ends are dropped, equal edges merged."""
+    """Normal forms of (source, relationship, destination), equal edges merged; empty names, self-loops, relations that say nothing and edges between the two speakers go."""
     rows = relations.select(T.entity(F.col("source")).alias("source"), T.relation(F.col("relationship")).alias("relationship"), T.entity(F.col("destination")).alias("destination"))
-    return rows.where("source <> '' AND destination <> '' AND relationship <> '' AND source <> destination").distinct()
+    speakers = sorted(set(T.SPEAKERS.values()))
+    keep = ~F.col("relationship").isin("", *T.WEAK_RELATIONS) & (F.col("source") != F.col("destination")) & ~(F.col("source").isin(*speakers) & F.col("destination").isin(*speakers))
+    return rows.where("source <> '' AND destination <> ''").where(keep).distinct()
+
+
+def by_query(nodes: DataFrame, texts: Sequence[str], limit: int = 256) -> DataFrame:
+    """``seeds`` of the query's entity names: those of one word as exact names, all words as parts of names; without any, or if none is found, the newest ``limit`` nodes."""
+    rows = nodes.sparkSession.createDataFrame([(x,) for x in texts], "text string").select(T.seed_terms(F.col("text"))).collect()
+    terms = list(dict.fromkeys(w for r in rows for w in r[0]))
+    exact = [r[0][0] for r in rows if len(r[0]) == 1]
+    found = seeds(nodes, terms, limit, exact) if terms else None
+    return found if found is not None and not found.isEmpty() else nodes.withColumn("seed_rank", F.lit(1)).orderBy(F.desc("id")).limit(limit)
+
+
+def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, threshold: float = 0.7, limit: int = 100) -> DataFrame:
+    """Edges of the nodes near any query vector: direction, both ends, and the similarity of the end that was found; the most similar first.
+
+    ``nodes`` (id, embedding): the candidates, as ``by_query`` bounds them; ``edges``
+    (source_id, relationship, destination_id); ``queries`` (q, vector).
+    """
+    near = similar_nodes(nodes, queries, threshold)
+    rows = expand(edges, near.select("id")).withColumn("id", F.when(F.col("direction") == "out", F.col("source_id")).otherwise(F.col("destination_id")))
+    return rows.join(near, "id").drop("id").orderBy(F.desc("score"), "direction", "source_id", "relationship", "destination_id").limit(limit)
+
+
+def upsert(edges: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """Edge table (source, relationship, destination, mentions, created_at, updated_at) after a batch of normalised relations: known edges are counted once more, new ones enter."""
+    keys = ["source", "relationship", "destination"]
+    new = found.groupBy(*keys).agg(F.count("*").alias("seen"))
+    rows = edges.join(new, keys, "full")
+    again = F.col("seen").isNotNull()
+    return rows.select(*keys, (F.coalesce("mentions", F.lit(0)) + F.coalesce("seen", F.lit(0))).cast("long").alias("mentions"), F.coalesce("created_at", now).alias("created_at"), F.when(again, now).otherwise(F.col("updated_at")).alias("updated_at"))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -13,7 +12,6 @@ from tessera.functions.vectors import l2_distance
 
 #: Short and long queries by length, the scale of each, the multiplier and caps (fixed values).
 SHORT, LONG, SCALES, MULTIPLIER, CAP = 48, 160, (0.9, 1.0, 1.1), 3.0, 12
-TERM_STOP = {"what", "which", "where", "when", "does", "about", "these", "those", "there", "their", "document", "documents", "information"}
 
 
 def limits(query: str, top_k: int) -> int:
@@ -23,15 +21,9 @@ def limits(query: str, top_k: int) -> int:
     return max(top_k + 2, min(CAP, int(top_k * MULTIPLIER * scale)))
 
 
-def exact_terms(query: str, most: int = 8) -> list[str]:
-    """Quoted phrases first, then words with a digit or symbol, two capitals or ten letters; lower-cased, distinct, at most ``most``."""
-    out = [q.strip().lower() for q in re.findall(r"\"([^\"]+)\"", query) if q.strip()]
-    for w in re.findall(r"[^\s\"]+", query):
-        bare = w.strip(".,;:!?()[]{}'")
-        marked = bool(re.search(r"[0-9_\-/.+#]", bare)) or sum(c.isupper() for c in bare) >= 2 or len(bare) >= 10
-        if len(bare) >= 3 and marked and bare.lower() not in TERM_STOP:
-            out.append(bare.lower())
-    return list(dict.fromkeys(out))[:most]
+def exact_terms(spark: SparkSession, query: str, most: int = 8) -> list[str]:
+    """``text.exact_terms`` of one query, worked out once for the plan."""
+    return spark.range(1).select(T.exact_terms(F.lit(query), most)).first()[0]
 
 
 def vector_top(vectors: DataFrame, query: Sequence[float], n: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -41,9 +33,14 @@ def vector_top(vectors: DataFrame, query: Sequence[float], n: int, id_col: str =
 
 
 def trigram_top(chunks: DataFrame, query: str, n: int, least: float = 1e-6) -> DataFrame:
-    """The ``n`` chunks most similar to the query by trigrams, ties by doc_id and chunk_number."""
-    rows = chunks.withColumn("similarity", T.similarity(T.trigrams(F.col("content")), T.trigrams(F.lit(query)))).where(F.col("similarity") > least)
-    return rows.orderBy(F.desc("similarity"), "doc_id", "chunk_number").limit(n)
+    """The ``n`` chunks most similar to the query by trigrams, ties by doc_id and chunk_number.
+
+    The threshold applies to the best ``n``, which gives the same rows; before, it would be
+    pushed below the projection and every set worked out twice.
+    """
+    known = chunks.sparkSession.range(1).select(T.trigrams(F.lit(query))).first()[0]
+    rows = chunks.withColumn("similarity", T.similarity_to(F.col("content"), F.lit(known) if known else F.array().cast("array<string>")))
+    return rows.orderBy(F.desc("similarity"), "doc_id", "chunk_number").limit(n).where(F.col("similarity") > least)
 
 
 def term_match(content: Column, terms: Sequence[str]) -> Column:
@@ -86,7 +83,7 @@ def hybrid(chunks: DataFrame, query: str, top_k: int = 10, vectors: DataFrame |
     n = limits(query, top_k)
     legs = [] if vectors is None else [placed(vectors.orderBy("distance", "doc_id", "chunk_number").limit(n), "distance", "doc_id", "chunk_number")]
     legs.append(placed(trigram_top(chunks, query, n), F.desc("similarity"), "doc_id", "chunk_number"))
-    terms = exact_terms(query)
+    terms = exact_terms(chunks.sparkSession, query)
     if terms:
         legs.append(placed(exact_top(chunks, terms, n), "doc_id", "chunk_number"))
     return rerank(union_keep_first(legs), top_k, score)
@@ -110,7 +107,15 @@ def around(chunks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("doc_id", "center").agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n").alias("text"), F.count("*").alias("n_chunks"))
 
 
+def highlight(text: Column, start: Column, end: Column, threshold: int = 500_000, padding: int = 5_000) -> Column:
+    """The part of a text that is shown around a chunk: text_offset and window. Only texts longer than ``threshold`` are cut, to ``padding`` characters on both sides."""
+    n = F.length(text)
+    low = F.when(n > threshold, F.greatest(F.lit(0), start - padding)).otherwise(0).cast("int")
+    high = F.when(n > threshold, F.least(n, end + padding)).otherwise(n).cast("int")
+    return F.struct(low.cast("long").alias("text_offset"), F.substring(text, low + 1, high - low).alias("window"))
+
+
 def by_given_order(df: DataFrame, ids: Sequence[int], id_col: str) -> DataFrame:
     """The rows with the given ids, ``pos`` being their place in the list."""
-    spark = df.sparkSession
-    return df.join(F.broadcast(spark.createDataFrame([(i, p) for p, i in enumerate(ids)], f"{id_col} long, pos int")), id_col).orderBy("pos")
+    places = df.sparkSession.createDataFrame([(i, p) for p, i in enumerate(ids)], f"{id_col} long, pos int")  # as large as the caller's list
+    return df.join(F.broadcast(places) if len(ids) <= 100_000 else places, id_col).orderBy("pos")

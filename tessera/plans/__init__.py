@@ -1,6 +1,6 @@
 """Registered queries over the standard tables, each with SQL that another engine can run."""
 
-from tessera.plans import answers, conversations, corpus, files, ingestion, relational, streams
+from tessera.plans import answers, conversations, corpus, documents, files, ingestion, memory, prompts, relational, speech, streams
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "answers", "conversations", "corpus", "files", "ingestion", "relational", "streams"]
+__all__ = ["ORACLES", "QUERIES", "answers", "conversations", "corpus", "documents", "files", "ingestion", "memory", "prompts", "relational", "speech", "streams"]

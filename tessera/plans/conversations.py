@@ -8,6 +8,7 @@ from tessera.functions import text as T
 from tessera.operators import conversation as C
 from tessera.operators import graph
 from tessera.plans.registry import query
+from tessera.sources import sinks
 
 
 def sql_word(p: str) -> str:
@@ -102,10 +103,29 @@ def feedback_validation(t):
     return t("events").select("event_id", C.valid_rating((F.floor("value") % 8).cast("string")).alias("rating"), C.valid_feedback(F.concat(F.lit("  "), F.col("event_type"))).alias("feedback_text"))
 
 
-@query("tool_budget_fold", None)
+#: Tool calls: each turn as a call of the tool its role names, with results that now and then repeat, fail or are missing.
+CALLS = """SELECT conv_id, turn, role AS tool_name, CAST(length(text) % 3 AS VARCHAR) AS signature, CASE WHEN length(text) % 4 > 0 THEN CAST(length(text) % 5 AS VARCHAR) END AS result, length(text) % 7 = 0 AS failed FROM conversations"""
+
+
+def calls(t):
+    n = F.length("text")
+    return t("conversations").select("conv_id", "turn", F.col("role").alias("tool_name"), (n % 3).cast("string").alias("signature"), F.when(n % 4 > 0, (n % 5).cast("string")).alias("result"), (n % 7 == 0).alias("failed"))
+
+
+@query("tool_budget_fold", f"""WITH c AS ({CALLS}), a AS (SELECT *, coalesce(lag(signature) OVER w = signature, false) AS again,
+        last_value(CASE WHEN NOT failed THEN result END IGNORE NULLS) OVER (PARTITION BY conv_id, tool_name ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last, row_number() OVER (PARTITION BY conv_id, tool_name ORDER BY turn) AS calls, row_number() OVER w AS n,
+        sum(CASE WHEN tool_name = 'user' THEN 2 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS spent FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    b AS (SELECT *, failed OR coalesce(result = last, false) OR (again AND result IS NULL) AS stuck FROM a),
+    s AS (SELECT *, n - coalesce(max(CASE WHEN NOT again THEN n END) OVER w, 0) AS repeated, n - coalesce(max(CASE WHEN NOT stuck THEN n END) OVER w, 0) AS streak FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
+    r AS (SELECT conv_id, turn, CASE WHEN calls >= CASE WHEN tool_name = 'system' THEN 1 ELSE 4 END THEN 'per_tool_limit_reached' WHEN repeated >= 3 THEN 'repeat_signature_break' WHEN streak >= 2 THEN 'no_progress_break' WHEN spent > 9 THEN 'budget_units_exhausted' END AS stop_reason FROM s)
+    SELECT conv_id, turn, stop_reason FROM (SELECT *, count(stop_reason) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) WHERE before = 0""")
 def tool_budget_fold(t):
-    calls = t("conversations").select("conv_id", "turn", F.col("role").alias("tool_name"), (F.length("text") % 3).cast("string").alias("signature"))
-    return C.tool_budget(calls, 2)
+    return C.tool_budget(calls(t), 4, {"system": 1}, units=9, weights={"user": 2})
+
+
+@query("tool_call_counts", f"SELECT conv_id, tool_name, count(*) AS n_calls FROM ({CALLS}) GROUP BY ALL")
+def tool_call_counts(t):
+    return C.tool_counts(calls(t).withColumn("stop_reason", F.lit(None).cast("string")))
 
 
 @query("caption_coalesce", None)
@@ -113,34 +133,53 @@ def caption_coalesce(t):
     return C.coalesce_captions(t("conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text"), 256)
 
 
-@query("continuation_merge", "SELECT doc_id AS id, substring(text, 1, 90) AS merged FROM documents WHERE length(text) >= 90 AND doc_id < 300 AND NOT contains(text, chr(10) || chr(10))")
-def continuation_merge(t):
-    d = t("documents").where("length(text) >= 90 AND doc_id < 300 AND NOT contains(text, '\n\n')")
-    return C.continue_text(d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("previous"), F.substring("text", 21, 70).alias("following"))).where(F.lit(True))
+#: A whole text and its end again as a continuation: up to 600 characters, which overlap what comes before them by a length that varies, or by none.
+PARTS = """SELECT doc_id AS id, substring(text, 1, CAST(m AS BIGINT)) AS previous, substring(text, CAST(m - least(m, doc_id % 7 * (doc_id % 31)) + 1 AS BIGINT)) AS following
+    FROM (SELECT doc_id, text, length(text) - least(length(text) // 2, 20 + doc_id % 400) AS m FROM documents WHERE text IS NOT NULL)"""
+CONTINUATION = f"""WITH p AS ({PARTS}), a AS (SELECT *, ltrim(following, chr(13) || chr(10)) AS c, ltrim(previous, chr(13) || chr(10)) AS w FROM p),
+    b AS (SELECT *, coalesce(list_max(list_filter(range(1, least(length(w), length(c)) + 1), lambda n: substring(w, 1, n) = substring(c, 1, n))), 0) AS same FROM a),
+    d AS (SELECT *, CASE WHEN previous = '' OR following = '' THEN following WHEN starts_with(w, c) THEN '' WHEN starts_with(c, previous) THEN substring(c, length(previous) + 1) WHEN same >= 24 THEN substring(c, same + 1) ELSE c END AS e FROM b),
+    f AS (SELECT *, coalesce(list_max(list_filter(range(1, least(length(previous), length(e)) + 1), lambda n: ends_with(previous, substring(e, 1, n)))), 0) AS o FROM d),
+    g AS (SELECT id, previous, ltrim(substring(e, CASE WHEN o >= CASE WHEN o <= 12 THEN 3 ELSE greatest(3, least(96, least(length(previous), length(e)) // 8)) END THEN o + 1 ELSE 1 END), chr(13) || chr(10)) AS rest FROM f)
+    SELECT id, md5(rest) AS rest, CASE WHEN previous = '' OR regexp_matches(previous, '[\\n ]$') OR regexp_matches(previous, '!\\[[^\\]]*\\]\\([^)]*$') OR regexp_matches(rest, '^[)\\]/.,:;!?]') OR regexp_matches(previous, '[&*(\\[{{—-]\\s*$') OR len(regexp_extract_all(previous, '\\*\\*')) % 2 = 1 THEN '' ELSE chr(10) END AS separator FROM g"""
 
 
-#: Two parts of a whole text that overlap by 12 to 400 characters, by its length; a shorter text is cut without.
-SHARED = "CASE WHEN length(text) < 12 THEN 0 ELSE least(length(text), 12 + length(text) % 389) END"
+@query("continuation_merge_all", CONTINUATION)
+@query("continuation_merge", CONTINUATION)
+def continuation_merge(t):
+    d = t("documents").where("text IS NOT NULL").selectExpr("doc_id AS id", "text", "int(length(text) - least(length(text) div 2, 20 + doc_id % 400)) AS m")
+    parts = d.selectExpr("id", "substring(text, 1, m) AS previous", "substring(text, m - int(least(m, id % 7 * (id % 31))) + 1) AS following")
+    return C.continue_text(parts).select("id", F.md5("rest").alias("rest"), "separator")
 
 
-@query("continuation_merge_all", f"""WITH o AS (SELECT doc_id AS id, text, {SHARED} AS o FROM documents WHERE text IS NOT NULL), c AS (SELECT *, (length(text) + o) // 2 AS m FROM o),
-    p AS (SELECT id, substring(text, 1, CAST(m AS BIGINT)) AS previous, substring(text, CAST(m - o + 1 AS BIGINT)) AS following FROM c),
-    n AS (SELECT *, coalesce(list_max(list_filter(range(12, least(400, length(previous), length(following)) + 1), lambda n: ends_with(previous, substring(following, 1, n)))), 0) AS n FROM p)
-    SELECT id, previous || substring(following, CAST(n + 1 AS BIGINT)) AS merged FROM n""")
-def continuation_merge_all(t):
-    d = t("documents").where("text IS NOT NULL").selectExpr("doc_id AS id", "text", f"{SHARED} AS o").selectExpr("id", "text", "o", "int((length(text) + o) div 2) AS m")
-    return C.continue_text(d.selectExpr("id", "substring(text, 1, m) AS previous", "substring(text, m - o + 1) AS following"))
+FACT = r"""trim(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace({}, '[ \t\r\n\f\v]+', ' ', 'g')), '(?i)^(please )?remember( this)?( going forward)? ?[:,-]? ?', '')), '(?i)^that ', '')), ' "''')"""
+LOW_VALUE = r"""(trim(lower({0}), ' .!?,:;') IN ('', 'this', 'that', 'it', 'remember this', 'remember that') OR regexp_matches({0}, '(?i)^user asked to remember:|^remembered context:|\byou should remember this\b|\bremember this\b|\bi(''| a)?ll remember that\b|\bkeep that in mind\b'))"""
+CATEGORY = """CASE WHEN regexp_matches(lower(trim({0})), '^(i prefer|i like|i want|i need)') THEN 'preference' WHEN regexp_matches(lower({0}), 'we use|our stack|project|memory|tool|database|qdrant|memgraph') THEN 'project'
+    WHEN regexp_matches(lower({0}), 'tone|style|concise|verbose') THEN 'tone' WHEN regexp_matches(lower({0}), 'goal|working on|building|trying to') THEN 'goals' ELSE 'general' END"""
+#: What a user's turn says of them, by its length.
+SAID = """CASE length(text) % 6 WHEN 0 THEN 'Please remember: that ' || text WHEN 1 THEN text || ' I prefer ' || substring(text, 1, 9) WHEN 2 THEN 'we use the ' || text WHEN 3 THEN 'Hi, my name is ' || substring(text, 1, 12) || '. I am working on ' || text WHEN 4 THEN 'remember this' ELSE text END"""
 
 
-@query("fact_extraction", r"""WITH f AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')), '(?i)^(please )?remember( this)?( going forward)? ?[:,-]? ?', ''), '(?i)^that ', ''), '^[ "'']+|[ "'']+$', '', 'g') AS fact FROM conversations WHERE role = 'user')
-    SELECT conv_id, turn, fact, CASE WHEN regexp_matches(lower(fact), 'prefer|like|favou?rite|love|hate') THEN 'preference' WHEN regexp_matches(lower(fact), 'want|goal|plan|aim') THEN 'goal'
-    WHEN regexp_matches(lower(fact), 'i am|i work|my job|my name|experience') THEN 'background' WHEN regexp_matches(lower(fact), 'project|paper|thesis|dataset') THEN 'project' ELSE 'general' END AS category FROM f
-    WHERE NOT (regexp_replace(lower(fact), '^[ .!?,:;]+|[ .!?,:;]+$', '', 'g') IN ('', 'this', 'that', 'it', 'remember this', 'remember that') OR regexp_matches(lower(fact), '^user asked to remember:|^remembered context:|you should remember this|remember this|i(''| a)?ll remember that|keep that in mind'))""")
+@query("fact_extraction", f"""WITH s AS (SELECT conv_id, turn, {SAID} AS text FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, turn, {FACT.format('text')} AS fact FROM s)
+    SELECT conv_id, turn, fact, {CATEGORY.format('fact')} AS category FROM f WHERE NOT {LOW_VALUE.format('fact')}""")
 def fact_extraction(t):
-    rows = t("conversations").where("role = 'user'").where(~T.low_value_fact(F.col("text")))
+    rows = t("conversations").where("role = 'user'").select("conv_id", "turn", F.expr(SAID).alias("text")).where(~T.low_value_fact(F.col("text")))
     return rows.select("conv_id", "turn", T.fact(F.col("text")).alias("fact"), T.fact_category(T.fact(F.col("text"))).alias("category"))
 
 
+FOUND = "list_filter([CASE WHEN regexp_matches(lower(text), 'remember|going forward|from now on') THEN trim(text) END, " + ", ".join(
+    f"CASE WHEN x{k} <> '' THEN upper(substring(x{k}, 1, 1)) || substring(x{k}, 2) END" for k in range(len(T.FACT_PATTERNS))) + "], lambda x: x IS NOT NULL)"
+HEURISTIC = f"""s AS (SELECT conv_id, turn, {SAID} AS text FROM conversations WHERE role = 'user'), x AS (SELECT *, {', '.join(f"trim(regexp_extract(trim(text), '(?i){p}')) AS x{k}" for k, p in enumerate(T.FACT_PATTERNS))} FROM s),
+    l AS (SELECT conv_id, turn, {FOUND} AS found FROM x), u AS (SELECT conv_id, turn, unnest(found) AS raw, unnest(range(0, len(found))) AS i FROM l),
+    f AS (SELECT conv_id, turn, i, {FACT.format('raw')} AS fact FROM u), k AS (SELECT conv_id, turn, fact, min(i) AS i FROM f WHERE NOT {LOW_VALUE.format('fact')} AND fact <> '' GROUP BY ALL)"""
+
+
+@query("heuristic_facts", f"WITH {HEURISTIC} SELECT conv_id, turn, list(fact ORDER BY i) AS facts FROM k GROUP BY conv_id, turn")
+def heuristic_facts(t):
+    rows = t("conversations").where("role = 'user'").select("conv_id", "turn", T.heuristic_facts(F.expr(SAID)).alias("facts"))
+    return rows.where("size(facts) > 0")
+
+
 @query("graph_edges", """WITH e AS (SELECT vec_id AS source_id, 'REL_' || label AS relationship, (vec_id * 7 + 3) % 500 AS destination_id FROM embeddings), n AS (SELECT vec_id AS id FROM embeddings WHERE label = 1)
     SELECT source_id, relationship, destination_id, 'out' AS direction FROM e WHERE source_id IN (SELECT id FROM n) UNION ALL SELECT source_id, relationship, destination_id, 'in' FROM e WHERE destination_id IN (SELECT id FROM n)""")
 def graph_edges(t):
@@ -153,10 +192,50 @@ def graph_seeds(t):
     return graph.seeds(t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), ["customer#000000007", "00001"])
 
 
-@query("graph_normalise", r"""SELECT DISTINCT lower(c_name) AS source, 'IN_NATION' AS relationship, lower(n_name) AS destination FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+#: Relations as a model writes them: other cases, quotes, speakers, relations under several names or that say nothing.
+RAW_EDGES = """SELECT CASE WHEN c_custkey % 5 = 0 THEN ' The  User ' WHEN c_custkey % 5 = 1 THEN '"' || c_name || '!"' ELSE 'The ' || c_name END AS source,
+    CASE c_custkey % 4 WHEN 0 THEN 'works on' WHEN 1 THEN ' in nation' WHEN 2 THEN 'Likes ' ELSE 'related-to' END AS relationship, CASE WHEN c_custkey % 11 = 0 THEN 'assistant' ELSE n_name END AS destination FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+NORMAL_EDGES = f"""SELECT s AS source, CASE r WHEN 'works_on' THEN 'WORKS_ON' WHEN 'likes' THEN 'PREFERS' ELSE upper(r) END AS relationship, d AS destination FROM (SELECT CASE WHEN lower(trim(source)) = 'the  user' THEN 'user' ELSE lower(regexp_replace(trim(source), '["!#]', '', 'g')) END AS s,
+    trim(regexp_replace(lower(trim(relationship)), '[^a-z0-9]+', '_', 'g'), '_') AS r, lower(destination) AS d FROM ({RAW_EDGES})) WHERE r <> 'related_to' AND s <> d AND NOT (s IN ('user', 'assistant') AND d IN ('user', 'assistant'))"""
+
+
+def raw_edges(t):
+    return t("customer").join(t("nation"), F.expr("c_nationkey = n_nationkey")).select(
+        F.expr("""CASE WHEN c_custkey % 5 = 0 THEN ' The  User ' WHEN c_custkey % 5 = 1 THEN '"' || c_name || '!"' ELSE 'The ' || c_name END""").alias("source"),
+        F.expr("CASE c_custkey % 4 WHEN 0 THEN 'works on' WHEN 1 THEN ' in nation' WHEN 2 THEN 'Likes ' ELSE 'related-to' END").alias("relationship"), F.expr("CASE WHEN c_custkey % 11 = 0 THEN 'assistant' ELSE n_name END").alias("destination"),
+    )
+
+
+@query("graph_normalise", f"SELECT DISTINCT * FROM ({NORMAL_EDGES})")
 def graph_normalise(t):
-    rows = t("customer").join(t("nation"), F.expr("c_nationkey = n_nationkey")).select(F.concat(F.lit(" The "), F.col("c_name")).alias("source"), F.lit("in nation ").alias("relationship"), F.concat(F.lit('"'), F.col("n_name"), F.lit('" ')).alias("destination"))
-    return graph.normalise(rows)
+    return graph.normalise(raw_edges(t))
+
+
+@query("graph_upsert", f"""WITH n AS (SELECT DISTINCT * FROM ({NORMAL_EDGES})), o AS (SELECT *, 2 AS mentions FROM n WHERE length(source) % 2 = 0 OR source = 'user'), f AS (SELECT * FROM n WHERE relationship <> 'PREFERS')
+    SELECT source, relationship, destination, CAST(coalesce(o.mentions, 0) + CASE WHEN f.source IS NULL THEN 0 ELSE 1 END AS BIGINT) AS mentions, CASE WHEN o.source IS NULL THEN TIMESTAMP '2024-02-02 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS created_at,
+    CASE WHEN f.source IS NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-02-02 00:00:00' END AS updated_at FROM o FULL JOIN f USING (source, relationship, destination)""")
+def graph_upsert(t):
+    n, old = graph.normalise(raw_edges(t)), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    edges = n.where("length(source) % 2 = 0 OR source = 'user'").withColumn("mentions", F.lit(2)).withColumn("created_at", old).withColumn("updated_at", old)
+    return graph.upsert(edges, n.where("relationship <> 'PREFERS'"), F.lit("2024-02-02 00:00:00").cast("timestamp"))
+
+
+@query("graph_search", """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (3, 8)), e AS (SELECT vec_id AS source_id, 'REL_' || label AS relationship, (vec_id * 7 + 3) % 500 AS destination_id FROM embeddings),
+    n AS (SELECT vec_id AS id, round(max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v)), 6) AS score FROM embeddings, q GROUP BY vec_id HAVING score >= 0.25)
+    SELECT * FROM (SELECT source_id, relationship, destination_id, 'out' AS direction, score FROM e JOIN n ON id = source_id UNION ALL SELECT source_id, relationship, destination_id, 'in', score FROM e JOIN n ON id = destination_id)
+    ORDER BY score DESC, direction, source_id, relationship, destination_id LIMIT 100""")
+def graph_search(t):
+    e = t("embeddings")
+    edges = e.select(F.col("vec_id").alias("source_id"), F.concat(F.lit("REL_"), F.col("label")).alias("relationship"), ((F.col("vec_id") * 7 + 3) % 500).alias("destination_id"))
+    queries = e.where("vec_id IN (3, 8)").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
+    return graph.search(e.select(F.col("vec_id").alias("id"), "embedding"), edges, queries, 0.25)
+
+
+@query("graph_query_seeds", """WITH s AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN lower(c_name) = 'customer#000000007' THEN 0 ELSE 1 END AS seed_rank FROM customer), g AS (SELECT * FROM s ORDER BY id DESC LIMIT 256)
+    SELECT id, name, CAST(1 AS INTEGER) AS seed_rank FROM g""")
+def graph_query_seeds(t):
+    """No customer's name holds the question's words, so the newest nodes stand in."""
+    return graph.by_query(t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), ["Tell me about the nebula", "me"])
 
 
 @query("message_sync", """WITH o AS (SELECT conv_id, turn, text FROM conversations WHERE turn % 5 <> 0), n AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || '!' ELSE text END AS text FROM conversations WHERE turn % 4 <> 0)
@@ -164,7 +243,14 @@ def graph_normalise(t):
     FROM n FULL JOIN o ON n.conv_id = o.conv_id AND n.turn = o.turn""")
 def message_sync(t):
     c = t("conversations")
-    old = c.where("turn % 5 <> 0").select("conv_id", "turn", F.col("text").alias("have"))
-    new = c.where("turn % 4 <> 0").select("conv_id", "turn", F.expr("CASE WHEN turn % 3 = 0 THEN text || '!' ELSE text END").alias("want"))
-    change = F.when(F.col("have").isNull(), "insert").when(F.col("want").isNull(), "delete").when(F.col("want") != F.col("have"), "update").otherwise("keep")
-    return new.join(old, ["conv_id", "turn"], "full").select("conv_id", "turn", change.alias("change"))
+    new = c.where("turn % 4 <> 0").select("conv_id", "turn", F.expr("CASE WHEN turn % 3 = 0 THEN text || '!' ELSE text END").alias("text"))
+    return sinks.changes(c.where("turn % 5 <> 0").select("conv_id", "turn", "text"), new, ["conv_id", "turn"]).select("conv_id", "turn", "change")
+
+
+@query("message_upsert", """WITH o AS (SELECT conv_id, turn, text FROM conversations WHERE turn % 5 <> 0), n AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || '!' ELSE text END AS text FROM conversations WHERE turn % 4 <> 0)
+    SELECT conv_id, turn, coalesce(n.text, o.text) AS text FROM n FULL JOIN o USING (conv_id, turn)""")
+def message_upsert(t):
+    c = t("conversations").select("conv_id", "turn", "text")
+    new = c.where("turn % 4 <> 0").select("conv_id", "turn", F.expr("CASE WHEN turn % 3 = 0 THEN text || '!' ELSE text END").alias("text"), F.lit(2).alias("seq"))
+    stale = c.where("turn % 4 <> 0").select("conv_id", "turn", F.lit("stale").alias("text"), F.lit(1).alias("seq"))
+    return sinks.upsert(c.where("turn % 5 <> 0"), new.union(stale), ["conv_id", "turn"], "seq", delete_missing=False)

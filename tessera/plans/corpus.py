@@ -70,14 +70,27 @@ def exact_term_topk(t):
     return search.exact_top(chunking.chunk(t("documents")), TERMS, 12).select("doc_id", "chunk_number")
 
 
-@query("hybrid_search", f"""WITH chunks AS ({CHUNKS}), g AS ({TRIGRAM_LEG}),
+#: Vectors of the hybrid search: those of ``embeddings`` with a document's id stand for its first chunk; the query's is one of them.
+HYBRID = f"""WITH chunks AS ({CHUNKS}), g AS ({TRIGRAM_LEG}), q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 7),
+    v AS (SELECT doc_id, chunk_number, content, row_number() OVER (ORDER BY list_distance(CAST(embedding AS DOUBLE[]), v), doc_id, chunk_number) AS place FROM chunks JOIN embeddings ON vec_id = doc_id, q WHERE chunk_number = 0 QUALIFY place <= 12),
     e AS (SELECT doc_id, chunk_number, content, row_number() OVER (ORDER BY doc_id, chunk_number) AS place FROM chunks WHERE contains(lower(content), 'therouou') QUALIFY place <= 12),
-    u AS (SELECT doc_id, chunk_number, content, 0 AS leg, place FROM g UNION ALL SELECT doc_id, chunk_number, content, 1, place FROM e),
-    f AS (SELECT doc_id, chunk_number, any_value(content) AS content, min(leg * 1000 + place) AS spot FROM u GROUP BY ALL)
-    SELECT CAST(row_number() OVER (ORDER BY spot) AS INTEGER) AS rank, doc_id, chunk_number, 'Untitled Document' AS title, '[doc:' || doc_id || ' chunk:' || chunk_number || ']' AS citation,
-        CASE WHEN length(content) > 1500 THEN rtrim(substring(content, 1, 1500)) || '... [truncated]' ELSE content END AS text FROM f QUALIFY rank <= 10""")
+    u AS (SELECT doc_id, chunk_number, content, 0 AS leg, place FROM v UNION ALL SELECT doc_id, chunk_number, content, 1, place FROM g UNION ALL SELECT doc_id, chunk_number, content, 2, place FROM e),
+    f AS (SELECT doc_id, chunk_number, any_value(content) AS content, min(leg * 1000 + place) AS spot FROM u GROUP BY ALL)"""
+
+
+def first_chunk_vectors(t, chunks):
+    e = t("embeddings")
+    q = e.where("vec_id = 7").first()["embedding"]
+    near = e.select(F.col("vec_id").alias("doc_id"), V.l2_distance(F.col("embedding"), F.array(*map(F.lit, map(float, q)))).alias("distance"))
+    return chunks.where("chunk_number = 0").join(near, "doc_id").select("doc_id", "chunk_number", "content", "distance")
+
+
+@query("hybrid_search", HYBRID + """ SELECT CAST(row_number() OVER (ORDER BY spot) AS INTEGER) AS rank, doc_id, chunk_number, coalesce(source || '-' || lang, 'Untitled Document') AS title, '[doc:' || doc_id || ' chunk:' || chunk_number || ']' AS citation,
+        CASE WHEN length(content) > 1500 THEN rtrim(substring(content, 1, 1500)) || '... [truncated]' ELSE content END AS text FROM f JOIN documents USING (doc_id) QUALIFY rank <= 10""")
 def hybrid_search(t):
-    return search.pack(search.hybrid(chunking.chunk(t("documents")), QUESTION + ' "therouou"', 10))
+    chunks = chunking.chunk(t("documents"))
+    found = search.hybrid(chunks, QUESTION + ' "therouou"', 10, vectors=first_chunk_vectors(t, chunks))
+    return search.pack(found, t("documents").select("doc_id", F.concat_ws("-", "source", "lang").alias("title")))
 
 
 @query("more_context", f"""WITH chunks AS ({CHUNKS}) SELECT w.doc_id, w.chunk_number AS center, string_agg(c.content, chr(10) ORDER BY c.chunk_number) AS text, count(*) AS n_chunks
@@ -140,38 +153,32 @@ def text_first_sentence(t):
     return t("documents").select("doc_id", T.first_sentence(F.col("text")).alias("head"))
 
 
-@query("text_cleaning", r"""SELECT doc_id, md5(regexp_replace(text, '([A-Za-z])-[ \t\r\n]+([A-Za-z])', '\1\2', 'g')) AS joined, md5(replace(text, 'e', '')) AS dropped, CASE WHEN length(text) > 1500 THEN length(rtrim(substring(text, 1, 1500))) + 15 ELSE length(text) END AS cut_length,
+@query("text_cleaning", r"""SELECT doc_id, md5(regexp_replace(text, '([A-Za-z])-[ \t\r\n]+([A-Za-z])', '\1\2', 'g')) AS joined, md5(regexp_replace(text, 'é', '', 'g')) AS dropped, CASE WHEN length(text) > 1500 THEN length(rtrim(substring(text, 1, 1500))) + 15 ELSE length(text) END AS cut_length,
     CASE WHEN length(title) > 60 THEN substring(title, 1, 51) || '-' || substring(sha1(title), 1, 8) ELSE title END AS name FROM (SELECT *, substring(text, 1, CAST(20 + doc_id % 80 AS BIGINT)) AS title FROM documents)""")
 def text_cleaning(t):
     d = t("documents").withColumn("title", F.substring("text", F.lit(1), (20 + F.col("doc_id") % 80).cast("int")))
-    return d.select("doc_id", F.md5(T.unhyphenate(F.col("text"))).alias("joined"), F.md5(F.replace("text", F.lit("e"), F.lit(""))).alias("dropped"), F.length(T.cut(F.col("text"))).cast("long").alias("cut_length"), T.fit_name(F.col("title"), 60).alias("name"))
+    return d.select("doc_id", F.md5(T.unhyphenate(F.col("text"))).alias("joined"), F.md5(T.drop_nul(F.replace("text", F.lit("é"), F.lit("\x00")))).alias("dropped"), F.length(T.cut(F.col("text"))).cast("long").alias("cut_length"), T.fit_name(F.col("title"), 60).alias("name"))
 
 
-@query("evidence_packet", f"""WITH chunks AS ({CHUNKS}), r AS (SELECT doc_id % 7 AS query_id, doc_id, chunk_number, content, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY md5(doc_id || ':' || chunk_number)) AS rank FROM chunks WHERE doc_id < 400),
+EVIDENCE = f"""WITH chunks AS ({CHUNKS}), r AS (SELECT doc_id % 7 AS query_id, doc_id, chunk_number, content, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY md5(doc_id || ':' || chunk_number)) AS rank FROM chunks),
     c AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS nth, min(rank) OVER (PARTITION BY query_id, doc_id) AS fr FROM r QUALIFY nth <= 3),
     p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nth, fr) AS position FROM c),
     b AS (SELECT *, sum(greatest(1, length(content) // 4)) OVER (PARTITION BY query_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS used FROM p QUALIFY used <= 3500 OR position = 1)
-    SELECT query_id, list('[doc:' || doc_id || ' chunk:' || chunk_number || ']' ORDER BY position) AS citation_tokens, list_sort(list(DISTINCT doc_id)) AS doc_ids, count(*) AS n_chunks FROM b GROUP BY query_id""")
-def evidence_packet(t):
-    r = chunking.chunk(t("documents")).where("doc_id < 400").select((F.col("doc_id") % 7).alias("query_id"), "doc_id", "chunk_number", "content")
-    r = r.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY md5(doc_id || ':' || chunk_number))"))
-    return evidence.packet(evidence.budget(evidence.cap_and_interleave(r)))
+    SELECT query_id, list('[doc:' || doc_id || ' chunk:' || chunk_number || ']' ORDER BY position) AS citation_tokens, list_sort(list(DISTINCT doc_id)) AS doc_ids, count(*) AS n_chunks FROM b GROUP BY query_id"""
 
 
-@query("evidence_packet_all", f"""WITH chunks AS ({CHUNKS}), r AS (SELECT doc_id % 7 AS query_id, doc_id, chunk_number, content, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY md5(doc_id || ':' || chunk_number)) AS rank FROM chunks),
-    c AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS nth, min(rank) OVER (PARTITION BY query_id, doc_id) AS fr FROM r QUALIFY nth <= 3),
-    p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nth, fr) AS position FROM c),
-    b AS (SELECT *, sum(greatest(1, length(content) // 4)) OVER (PARTITION BY query_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS used FROM p QUALIFY used <= 3500 OR position = 1)
-    SELECT query_id, list('[doc:' || doc_id || ' chunk:' || chunk_number || ']' ORDER BY position) AS citation_tokens, list_sort(list(DISTINCT doc_id)) AS doc_ids, count(*) AS n_chunks FROM b GROUP BY query_id""")
-def evidence_packet_all(t):
+@query("evidence_packet_all", EVIDENCE)
+@query("evidence_packet", EVIDENCE)
+def evidence_packet(t):
     r = chunking.chunk(t("documents")).select((F.col("doc_id") % 7).alias("query_id"), "doc_id", "chunk_number", "content")
     return evidence.packet(evidence.fill(r.withColumn("rank", F.md5(F.concat_ws(":", "doc_id", "chunk_number")))))
 
 
 @query("answer_summary", r"""WITH d AS (SELECT doc_id, doc_id % 11 AS query_id, row_number() OVER (PARTITION BY doc_id % 11 ORDER BY doc_id) AS position, trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')) AS one FROM documents),
     h AS (SELECT *, CASE WHEN regexp_extract(one, '^(.+?[.!?])( |$)', 1) = '' THEN one ELSE regexp_extract(one, '^(.+?[.!?])( |$)', 1) END AS head FROM d),
-    p AS (SELECT query_id, position, '- ' || CASE WHEN length(head) > 240 THEN rtrim(substring(head, 1, 237)) || '...' ELSE head END || ' [doc:' || doc_id || ' chunk:0]' AS point FROM h WHERE position <= 5)
-    SELECT query_id, string_agg(point, chr(10) ORDER BY position) AS summary FROM p GROUP BY query_id""")
+    p AS (SELECT query_id, position, '- ' || CASE WHEN length(head) > 240 THEN rtrim(substring(head, 1, 237)) || '...' ELSE head END || ' [doc:' || doc_id || ' chunk:0]' AS point FROM h),
+    u AS (SELECT query_id, point, min(position) AS position FROM p GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS n FROM u)
+    SELECT query_id, string_agg(point, chr(10) ORDER BY position) AS summary FROM n WHERE n <= 5 GROUP BY query_id""")
 def answer_summary(t):
     d = t("documents").select("doc_id", (F.col("doc_id") % 11).alias("query_id"), F.lit(0).alias("chunk_number"), F.col("text").alias("content"))
     return evidence.summary(d.withColumn("position", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY doc_id)")))
@@ -186,11 +193,12 @@ def citation_checks(t):
     return d.select("doc_id", evidence.invalid_citations(answer, allowed).alias("invalid"), evidence.allowed_or_all(T.citations(answer), allowed).alias("kept"))
 
 
-@query("line_scan", r"""WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, string_split(text, chr(10)) AS p FROM documents), x AS (SELECT doc_id, line_no, p[line_no + 1] AS line FROM l)
-    SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count_if(regexp_matches(line, '^[ \t]*([-*]|[0-9]+[.)]) ')) AS BIGINT) AS n_bullets, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM x GROUP BY doc_id""")
+@query("line_scan", r"""WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(t, chr(10))))) AS line_no, string_split(t, chr(10)) AS p FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10) || '```' || chr(10)) AS t FROM documents)),
+    x AS (SELECT doc_id, line_no, p[line_no + 1] AS line FROM l), f AS (SELECT *, starts_with(ltrim(line), '```') AS fence, sum(CAST(starts_with(ltrim(line), '```') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS n FROM x)
+    SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count_if(regexp_matches(line, '^[ \t]*([-*]|[0-9]+[.)]) ')) AS BIGINT) AS n_bullets, CAST(count_if(fence OR n % 2 = 1) AS BIGINT) AS n_code, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM f GROUP BY doc_id""")
 def line_scan(t):
-    rows = evidence.lines(t("documents").select("doc_id", "text"), "doc_id")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("bullet").alias("n_bullets"), F.sum(F.length("line")).cast("long").alias("n_chars"))
+    rows = evidence.lines(t("documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n```\n")).alias("text")), "doc_id")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("bullet").alias("n_bullets"), F.count_if("in_code").alias("n_code"), F.sum(F.length("line")).cast("long").alias("n_chars"))
 
 
 @query("document_filter", "SELECT d.doc_id, d.source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
@@ -203,15 +211,28 @@ def collection_counts(t):
     return t("documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
-@query("highlight_window", """WITH c AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS s FROM documents) SELECT doc_id, CASE WHEN n > 5000 THEN greatest(0, s - 500) ELSE 0 END AS text_offset,
-    md5(CASE WHEN n > 5000 THEN substring(text, CAST(greatest(0, s - 500) + 1 AS BIGINT), CAST(least(n, s + 600) - greatest(0, s - 500) AS BIGINT)) ELSE text END) AS window_md5 FROM c""")
+@query("highlight_window", f"""WITH chunks AS ({CHUNKS}), c AS (SELECT doc_id, chunk_number, text, length(text) AS n, start_position AS s, end_position AS e FROM chunks JOIN documents USING (doc_id))
+    SELECT doc_id, chunk_number, CAST(CASE WHEN n > 5000 THEN greatest(0, s - 500) ELSE 0 END AS BIGINT) AS text_offset,
+    md5(CASE WHEN n > 5000 THEN substring(text, CAST(greatest(0, s - 500) + 1 AS BIGINT), CAST(least(n, e + 500) - greatest(0, s - 500) AS BIGINT)) ELSE text END) AS window_md5 FROM c""")
 def highlight_window(t):
-    n = F.length("text")
-    s = F.expr("length(text) div 2")
-    big = n > 5000
-    low = F.when(big, F.greatest(F.lit(0), s - 500)).otherwise(0)
-    high = F.when(big, F.least(n, s + 600)).otherwise(n)
-    return t("documents").select("doc_id", low.cast("long").alias("text_offset"), F.md5(F.substring("text", (low + 1).cast("int"), (high - low).cast("int"))).alias("window_md5"))
+    c = chunking.chunk(t("documents")).select("doc_id", "chunk_number", "start_position", "end_position").join(t("documents").select("doc_id", "text"), "doc_id")
+    w = search.highlight(F.col("text"), F.col("start_position"), F.col("end_position"), threshold=5_000, padding=500)
+    return c.select("doc_id", "chunk_number", w["text_offset"].alias("text_offset"), F.md5(w["window"]).alias("window_md5"))
+
+
+@query("exact_terms", r"""WITH q AS (SELECT item_id, CASE WHEN item_id %% 3 = 0 THEN text || ' "' || substring(text, 3, 20) || '" NGC-1275 which document' ELSE 'EU-x.y ' || text || ' ''' || substring(text, 1, 9) || '''' END AS text FROM benchmark),
+    r AS (SELECT item_id, list_concat(regexp_extract_all(text, '("[^"]{3,96}"|''[^'']{3,96}'')', 1), list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_./:+\-]{2,}'), lambda w: regexp_matches(w, '[-_./:+0-9]|[A-Z].*[A-Z]') OR length(w) >= 10)) AS a FROM q),
+    b AS (SELECT item_id, list_filter(list_transform(a, lambda w: trim(w, ' "''`.,;:!?()[]{}' || chr(9) || chr(10) || chr(13))), lambda w: length(w) >= 3 AND NOT list_contains(%s, lower(w))) AS b FROM r)
+    SELECT item_id, list_filter(b, lambda w, i: list_position(list_transform(b, lambda x: lower(x)), lower(w)) = i)[1:8] AS terms FROM b""" % list(T.TERM_STOP_WORDS))
+def exact_terms(t):
+    text = F.expr("""CASE WHEN item_id % 3 = 0 THEN text || ' "' || substring(text, 3, 20) || '" NGC-1275 which document' ELSE 'EU-x.y ' || text || " '" || substring(text, 1, 9) || "'" END""")
+    return t("benchmark").select("item_id", T.exact_terms(text).alias("terms"))
+
+
+@query("seed_terms", r"""WITH w AS (SELECT item_id, regexp_extract_all(regexp_replace(lower(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '[^a-z0-9_.+\- ]+', '', 'g'), '[a-z0-9_.+\-]+') AS w FROM benchmark)
+    SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i AND length(x) >= 3 AND NOT list_contains(%s, x)) AS terms FROM w""" % [*T.SEED_STOP_WORDS, "assistant", "user"])
+def seed_terms(t):
+    return t("benchmark").select("item_id", T.seed_terms(F.col("text")).alias("terms"))
 
 
 @query("embedding_hash_rank", None)

@@ -37,7 +37,7 @@ def file_types(t):
     return t("documents").select("doc_id", files.detect(name, F.lit("text/html; charset=utf-8")).alias("type"))
 
 
-@query("caption_rows", """SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS idx, CAST(turn * 2 AS DOUBLE) AS start_s, CAST(turn * 2 + 1.5 AS DOUBLE) AS end_s, role AS speaker, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM conversations WHERE turn < 30""")
+@query("caption_rows", """SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS idx, CAST(turn * 2 AS DOUBLE) AS start_s, CAST(turn * 2 + 1.5 AS DOUBLE) AS end_s, role AS speaker, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM conversations""")
 def caption_rows(t):
     c = t("conversations")
     two = lambda s: F.concat(T.clock(s), F.lit("."))

@@ -31,3 +31,22 @@ def stream_token_pieces(t):
     piece = F.expr("CASE WHEN k = 2 THEN substring(text, 2 * (length(text) div 3) + 1) ELSE substring(text, k * (length(text) div 3) + 1, length(text) div 3) END")
     usage = F.when(F.col("k") > 0, F.col("doc_id") * 10 + F.col("k"))
     return S.accumulate(d.where(third > 0).select(F.col("doc_id").alias("message_id"), F.col("k").alias("seq"), piece.alias("piece"), usage.alias("usage")))
+
+
+@query("stream_replay", """SELECT user_id AS key, event_type AS status, ts, live FROM (SELECT user_id, event_type, ts, false AS live FROM events WHERE event_id % 2 = 0 AND event_type <> 'error' UNION ALL SELECT user_id, event_type, ts, true FROM events WHERE event_id % 2 = 1)""")
+def stream_replay(t):
+    e = t("events").select(F.col("user_id").alias("key"), F.col("event_type").alias("status"), "ts", "event_id")
+    return S.replayed(e.where("event_id % 2 = 0").drop("event_id"), e.where("event_id % 2 = 1"))
+
+
+@query("stream_fresh", """WITH l AS (SELECT user_id AS key, arg_max(value, ts) AS value, max(ts) AS ts FROM events GROUP BY user_id) SELECT * FROM l WHERE ts + INTERVAL 86400 SECOND > TIMESTAMP '2024-01-31 00:00:00'""")
+def stream_fresh(t):
+    return S.fresh(t("events").select(F.col("user_id").alias("key"), "value", "ts"), F.lit("2024-01-31 00:00:00").cast("timestamp"), 86_400)
+
+
+@query("stream_published", "SELECT doc_id AS message_id, text, doc_id AS usage FROM documents WHERE doc_id % 3 = 0 AND length(text) >= 2")
+def stream_published(t):
+    """Messages in two pieces; of two thirds the closing one hasn't come."""
+    d = t("documents").where("length(text) >= 2").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    piece = F.expr("CASE WHEN k = 0 THEN left(text, length(text) div 2) ELSE substring(text, length(text) div 2 + 1) END")
+    return S.published(d.select(F.col("doc_id").alias("message_id"), F.col("k").alias("seq"), piece.alias("piece"), F.when(F.col("k") == 1, F.col("doc_id")).alias("usage"), ((F.col("k") == 1) & (F.col("doc_id") % 3 == 0)).alias("last")))

@@ -15,9 +15,23 @@ def write_csv(df: DataFrame, path: str, gzip: bool = False, one_file: bool = Fal
     df.write.mode("overwrite").option("header", True).option("compression", "gzip" if gzip else "none").csv(path)
 
 
-def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """The table after all incoming rows replace those of equal keys; rows that aren't in it any more go."""
-    return incoming.dropDuplicates(keys)
+def changes(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """What each key of two tables of the same columns needs: the columns (those of ``incoming`` where it has the key) and ``change``: insert, update, delete or keep. Keys are unique in both."""
+    rest = [c for c in current.columns if c not in keys]
+    old = current.select(*keys, F.struct(*rest).alias("_old"), F.lit(True).alias("_had"))
+    new = incoming.select(*keys, F.struct(*rest).alias("_new"), F.lit(True).alias("_has"))
+    same = F.to_json("_old", {"ignoreNullFields": "false"}).eqNullSafe(F.to_json("_new", {"ignoreNullFields": "false"}))
+    change = F.when(F.col("_had").isNull(), "insert").when(F.col("_has").isNull(), "delete").when(same, "keep").otherwise("update")
+    value = F.when(F.col("_has").isNull(), F.col("_old")).otherwise(F.col("_new"))
+    return new.join(old, keys, "full").select(*keys, *(value[c].alias(c) for c in rest), change.alias("change"))
+
+
+def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: str, delete_missing: bool = True) -> DataFrame:
+    """The table after a batch: incoming rows enter or replace those of equal keys, of several the last by ``order``; keys that the batch lacks go, or stay if ``delete_missing`` is false."""
+    rest = [c for c in current.columns if c not in keys]
+    last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v")).select(*keys, *(F.col(f"_v.{c}").alias(c) for c in rest))
+    rows = changes(current, last, keys)
+    return (rows.where("change <> 'delete'") if delete_missing else rows).select(*current.columns)
 
 
 def as_json(df: DataFrame, *columns: str) -> DataFrame:

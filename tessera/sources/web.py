@@ -37,3 +37,10 @@ def crawl(pages: DataFrame, start: DataFrame, depth: int = 1, least: int = 50) -
         frontier = pages.join(found, "url", "left_semi").join(seen.select("page_id"), "page_id", "left_anti").select("page_id", "url", F.lit(d).alias("depth"))
         seen = seen.union(frontier)
     return seen.join(pages.select("page_id", text(F.col("html")).alias("text")), "page_id").where(F.length("text") >= least)
+
+
+def joined(pages: DataFrame, key: str) -> DataFrame:
+    """Texts of each group's pages (place, url, text) in order of visit, each under a line that names its source: key, text, n."""
+    part = F.concat(F.lit("--- Source: "), "url", F.lit(" ---\n\n"), "text")
+    ordered = F.array_sort(F.collect_list(F.struct("place", part.alias("part"))))
+    return pages.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n").alias("text"), F.count("*").alias("n"))

@@ -79,3 +79,30 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 def as_event(kind: str, **fields) -> str:
     """An event as JSON text with sorted keys."""
     return json.dumps({"type": kind, **fields}, sort_keys=True)
+
+
+def replayed(snapshot: DataFrame, events: DataFrame) -> DataFrame:
+    """What a dashboard shows that connects late: the jobs still in progress (snapshot: key, status, ts), then the events; column ``live`` tells them apart. Over batches."""
+    old = snapshot.where("status NOT IN ('success', 'error')").withColumn("live", F.lit(False))
+    return old.unionByName(events.select(*snapshot.columns).withColumn("live", F.lit(True)))
+
+
+def replay_then_live(stream: DataFrame, snapshot: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
+    """``replayed`` over a stream: the first micro-batch follows the jobs in progress, later ones come alone."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        handle(replayed(snapshot, batch) if number == 0 else batch.select(*snapshot.columns).withColumn("live", F.lit(True)), number)
+
+    return on_arrival(stream, step, checkpoint)
+
+
+def fresh(cached: DataFrame, now, seconds: int) -> DataFrame:
+    """The last value of each key (key, value, ts) that isn't older than ``seconds`` at ``now``; what has expired is as if it were never there."""
+    last = cached.groupBy("key").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
+    return last.where(F.col("ts") + F.make_dt_interval(secs=F.lit(seconds)) > now)
+
+
+def published(pieces: DataFrame) -> DataFrame:
+    """Messages (message_id, seq, piece, usage, last) that are complete, once each, with all their pieces; of a message still running nothing is sent."""
+    done = pieces.groupBy("message_id").agg(F.bool_or("last").alias("done")).where("done")
+    return accumulate(pieces.join(done.select("message_id"), "message_id", "left_semi"))

@@ -37,11 +37,6 @@ def test_candidate_limits():
     assert search.limits("x", 15) == 17
 
 
-def test_exact_terms():
-    assert search.exact_terms('find "Dark Matter" in NGC-1275 and HST photometric data') == ["dark matter", "ngc-1275", "hst", "photometric"]
-    assert search.exact_terms("") == []
-
-
 def test_trigram_similarity(spark):
     sim = lambda a, b: one(spark, T.similarity(T.trigrams(F.lit(a)), T.trigrams(F.lit(b))))
     assert sim("word", "word") == 1.0
@@ -148,18 +143,7 @@ def test_direct_and_inherited_access(spark):
     assert {r.id: r.path for r in access.paths(tree).collect()} == {1: "a", 2: "a/b"}
 
 
-def test_tool_budget_counts_only_allowed(spark):
-    calls = spark.createDataFrame([(1, i, "s", sig) for i, sig in enumerate("aabcd")], "conv_id long, turn long, tool_name string, signature string")
-    got = [r.verdict for r in conversation.tool_budget(calls, 3).orderBy("turn").collect()]
-    assert got == ["allow", "repeated_signature", "allow", "allow", "tool_cap"]
-
-
 def test_captions_of_other_speakers_stay_apart(spark):
     rows = spark.createDataFrame([(1, 1, "a", "x"), (1, 2, "a", "y"), (1, 3, "b", "z"), (1, 4, None, "u"), (1, 5, None, "v")], "conv_id long, turn long, speaker string, text string")
     got = [(r.start_turn, r.text) for r in conversation.coalesce_captions(rows).orderBy("start_turn").collect()]
     assert got == [(1, "x y"), (3, "z"), (4, "u"), (5, "v")]
-
-
-def test_overlap():
-    assert conversation.overlaps("the quick brown fox", "quick brown fox jumps") == 15
-    assert conversation.overlaps("abc", "xyz") == 0

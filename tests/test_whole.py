@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import plans
-from tessera.llm import decontaminate, url_filter
 from tessera.operators import evidence
 from tests.test_queries import DATA, rows, sql  # noqa: F401
 
@@ -38,43 +37,9 @@ def test_grants_of_all_customers(spark):
     assert not any("c_custkey <= 300" in plans.ORACLES[name] for name in ACCESS)
 
 
-def test_continuation_of_whole_texts(spark, tmp_path):
-    """Against the longest overlap by brute force: long, short, blank-lined, repetitive and empty texts."""
-    texts = ["", "short", "twelve chars", "ab" * 700, "a paragraph\n\nanother " * 30, *("".join(chr(97 + (i * i + i * k) % 23) for i in range(n)) for k, n in enumerate((13, 89, 90, 400, 788, 5000)))]
-    spark.createDataFrame(list(enumerate(texts, 500)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.id: r.merged for r in plans.QUERIES["continuation_merge_all"](spark, str(tmp_path)).collect()}
-    shared = set()
-    for i, text in enumerate(texts, 500):
-        o = 0 if len(text) < 12 else min(len(text), 12 + len(text) % 389)
-        shared.add(o)
-        m = (len(text) + o) // 2
-        a, b = text[:m], text[m - o :]
-        longest = max((n for n in range(12, min(400, len(a), len(b)) + 1) if a[-n:] == b[:n]), default=0)
-        assert got[i] == a + b[longest:]
-    assert len(got) == len(texts) and len(shared) > 5
-
-
 def test_captions_of_long_conversations(spark, tmp_path):
     """Beyond turn 30, past a minute, an hour and a hundred hours."""
     turns = spark.range(2000).union(spark.range(180000, 180002)).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("said "), F.col("id")).alias("text"))
     turns.write.parquet(f"{tmp_path}/conversations.parquet")
     got = plans.QUERIES["caption_rows"](spark, str(tmp_path)).orderBy("idx").collect()
     assert [(r.idx, r.start_s, r.end_s, r.text) for r in got] == [(n, i * 2.0, i * 2 + 1.5, f"said {i}") for n, i in enumerate([*range(2000), 180000, 180001], 1)]
-
-
-def test_listed_domains_of_many_labels(spark):
-    """A listed domain is found from any host below it, however deep either lies."""
-    deep = ".".join("abcdefghijkl") + ".com"
-    hosts = {1: "x.a.b.c.d.e.com", 2: "y.x.a.b.c.d.e.com", 3: "a.b.c.d.e.com", 4: "b.c.d.e.com", 5: f"q.{deep}", 6: "xa.b.c.d.e.com"}
-    pages = spark.createDataFrame([(i, f"http://{h}/p/") for i, h in hosts.items()], "page_id long, url string")
-    listed = spark.createDataFrame([("a.b.c.d.e.com/",), (f"{deep}/p",)], "key string")
-    assert {r.page_id for r in url_filter.judge(pages, listed, []).where("verdict = 'block'").collect()} == {1, 2, 3, 5}
-
-
-def test_sketch_selects_candidates(spark):
-    """Of the documents that hold one shingle of an item each, only those with a sketch's hash are counted exactly."""
-    w = [f"w{i}" for i in range(30)]
-    index = decontaminate.item_index(spark.createDataFrame([(1, " ".join(w))], "item_id long, text string"))
-    docs = spark.createDataFrame([(i, w[i : i + 5]) for i in range(26)], "doc_id long, words array<string>")
-    assert index.count() == 26
-    assert decontaminate.candidates(docs, index, [5]).count() == index.where("in_sketch").count() == 6
