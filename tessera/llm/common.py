@@ -1,38 +1,13 @@
-"""Shared pieces: tables in the cluster's shared folder, connected components."""
+"""Connected components, and tables in the shared folder for the operators here."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shared import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
-
-    Where that is unset a local master gets a folder of its own; on a cluster it is an
-    error, as executors don't share the driver's local folders.
-    """
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        got = sc._jsc.sc().getCheckpointDir()
-        if not got.isDefined():
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
-            got = sc._jsc.sc().getCheckpointDir()
-        top = got.get()
-    return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "shared_dir", "written"]
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
