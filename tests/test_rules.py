@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tessera.functions import speech as S
 from tessera.functions import text as T
 from tessera.functions import toolcalls, vectors
-from tessera.operators import access, conversation, documents, evaluation, graph, memory, prompts, search
-from tessera.sources import sinks
+from tessera.operators import access, anchors, citations, conversation, documents, evaluation, graph, memory, prompts, reranking, search
+from tessera import skills
+from tessera.sources import arxiv, media, sinks
 from tessera.streaming import events
 
 
@@ -253,3 +254,89 @@ def test_hybrid_search_by_hand(spark):
     assert [r.doc_id for r in search.hybrid(chunks, "alpha NGC-12", 3).orderBy("rank").collect()] == [3, 1, 0]
     with pytest.raises(ValueError):
         documents.search_one(chunks, 1, "x", 16)
+
+
+def test_passages_on_pages(spark):
+    """Found tight, spaced and by letters only, over pages, without an end, and not at all."""
+    words = [f"word{i}" for i in range(120)]
+    pages = {0: words[:40], 1: words[40:80], 2: words[80:]}
+    items = [(1, p, k, w) for p, ws in pages.items() for k, w in enumerate(ws)] + [(2, 0, k, x) for k, x in enumerate(["Some “quoted”", "text – that", "runs ON here"])] + [(3, 0, 0, "hyphen-"), (3, 0, 1, "ated words are letters only!")]
+    passages = [(1, 1, " ".join(words[3:9])), (2, 1, " ".join(words[5:70])), (3, 1, " ".join(words[5:110])), (4, 1, " ".join(words[5:60]) + " and an end that stands nowhere at all in this document, whatever one does to find it, as it is long enough to be an anchor"), (5, 2, 'some "quoted" text - that runs on'), (6, 3, "hyphenated words are letters only"), (7, 1, "short"), (8, 1, "nothing like this stands there")]
+    got = anchors.locate(spark.createDataFrame(items, "doc_id int, page int, item int, text string"), spark.createDataFrame(passages, "passage_id long, doc_id int, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 3, 8), (2, 0, 5, 39), (2, 1, 0, 29), (3, 0, 5, 39), (3, 1, 0, 39), (3, 2, 0, 29), (4, 0, 5, 39), (5, 0, 0, 2), (6, 0, 0, 1)]
+    assert each(spark, anchors.normal_form, ["ﬁne—“X” \u00ad y", None]) == ['fine-"x" y', ""]
+
+
+def test_citations_of_answers(spark):
+    text = "Intro [doc:a chunk:1]\n  - an indented claim here\n- a claim without source\n```\n- code is no claim\n```\n# - heading is no claim\n1. a cited claim [doc:a chunk:2]\n- leads to this:\n- two words\nNo source\n  - now this one counts"
+    rows = spark.createDataFrame([(1, text, ["[doc:a chunk:1]"]), (2, "All [doc:a chunk:1] fine", ["[doc:a chunk:1]"]), (3, "nothing", []), (4, "nothing", ["x"]), (5, None, ["x"])], "id int, text string, allowed array<string>")
+    assert sorted((r.id, r.line) for r in citations.uncited(rows).collect()) == [(1, "- a claim without source"), (1, "- now this one counts")]
+    got = {r.id: (r.invalid, r.n_uncited, r.passed) for r in citations.checked(rows).collect()}
+    assert got == {1: (["[doc:a chunk:2]"], 2, False), 2: ([], 0, True), 3: ([], 0, True), 4: ([], 0, False), 5: ([], 0, False)}
+
+
+def test_reranking_service(spark):
+    rows = spark.createDataFrame([(k, f"c{k}", k * 10) for k in range(1, 5)], "rank int, content string, doc_id long")
+    ask = lambda answer: [(r.rank, r.doc_id) for r in reranking.by_service(rows, "q", 3, lambda request: answer).orderBy("rank").collect()]
+    assert ask('{"results": [{"index": 2}, {"index": 0}, {"index": 2}, {"index": 7}, {"index": 1.5}]}') == [(1, 30), (2, 10)]
+    assert ask("no JSON") == ask("{}") == [(1, 10), (2, 20), (3, 30)]
+
+    def fails(request):
+        raise OSError("down")
+
+    assert reranking.by_service(rows, "q", 9, fails).count() == 4
+
+
+def test_media_and_papers(spark):
+    import gzip
+    import io
+    import tarfile
+    import zipfile
+
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/media/b.png", b"2")
+        z.writestr("word/media/a.jpg", b"1")
+        z.writestr("word/document.xml", b"x")
+    files = spark.createDataFrame([("x.docx", buf.getvalue()), ("bad.docx", b"zip?"), ("y.pdf", b"%PDF"), ("n.txt", b"t")], "path string, content binary")
+    got = sorted((r.path, r.number, r.name, r.error is None) for r in media.figures(files, {".pdf": lambda c: [("p1", c)]}).collect())
+    assert got == [("bad.docx", 0, None, False), ("x.docx", 1, "word/media/a.jpg", True), ("x.docx", 2, "word/media/b.png", True), ("y.pdf", 1, "p1", True)]
+    small = media.smaller(spark.createDataFrame([(1, "a.png", b"x" * 9), (2, "b.png", b"y")], "id long, name string, image binary"), lambda x, most: x[:most], 4)
+    assert sorted((r.id, r.name, bytes(r.image)) for r in small.collect()) == [(1, "a.png.jpg", b"xxxx"), (2, "b.png", b"y")]
+
+    feed = b'<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A\n B</title><summary>S</summary><author><name>X Y</name></author></entry></feed>'
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz") as t:
+        for n, c in (("b.tex", b"two"), ("a.tex", b"one"), ("c.sty", b"no")):
+            info = tarfile.TarInfo(n)
+            info.size = len(c)
+            t.addfile(info, io.BytesIO(c))
+    archives = {"1": tar.getvalue(), "2": gzip.compress(b"single"), "3": b"?"}
+    ids = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
+    rows = {r.id: r for r in arxiv.papers(ids, lambda i: feed, lambda i: archives[i]).collect()}
+    assert (rows["1"].title, rows["1"].authors, rows["1"].tex) == ("A B", "X Y", "one\n\ntwo") and rows["2"].tex == "single" and rows["3"].error and rows["3"].title == "A B"
+
+
+def test_skills_and_tools(spark):
+    import sys
+    import types
+
+    def hello(spark, n: int = 1):
+        """Says so."""
+        return spark.range(n)
+
+    a, b = types.ModuleType("skill_a"), types.ModuleType("skill_b")
+    a.tools, b.tools = lambda: [hello], lambda: [hello]
+    a.system_prompt_extra, b.system_prompt_extra = lambda: " A ", lambda: "  "
+    sys.modules.update(skill_a=a, skill_b=b)
+    mods, failed = skills.load(["skill_a", " skill_b", "skill_a", "no_such_skill", ""])
+    assert mods == [a, b] and list(failed) == ["no_such_skill"]
+    assert skills.collect_prompts(mods) == "A" and list(skills.collect_tools(mods).functions) == ["hello"]
+    chunks = spark.createDataFrame([(1, 0, "alpha beta"), (1, 1, "gamma"), (2, 0, "delta alpha")], "doc_id long, chunk_number int, content string")
+    docs = spark.createDataFrame([(1, "one", "alpha beta gamma"), (2, "two", "delta alpha")], "doc_id long, title string, text string")
+    tools = skills.document_tools(chunks, docs)
+    assert [r.doc_id for r in tools.call(spark, "vector_search", search_string="alpha beta", top_k=2)[0].orderBy("rank").collect()] == [1, 2]
+    assert tools.call(spark, "more_context", doc_id=1, chunk_number=0)[0].first()["text"] == "alpha beta\ngamma"
+    assert tools.call(spark, "whole_document", doc_id=2)[0].first()["text"] == "delta alpha" and tools.call(spark, "document_ids")[0].count() == 2
+    assert tools.call(spark, "search_single_document", doc_id=1, search_string=" ")[1] == "ValueError: search_string must not be empty"
+    assert each(spark, lambda c: skills.compressed(c, lambda x: F.substring(x, 1, 2)), ["abc", "a"]) == ["ab", "a"]
