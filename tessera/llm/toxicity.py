@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ class Ftrl:
     """Most labelled rows, bits of a bucket, words skipped, passes, rate (alpha, beta), penalties (l1, l2)."""
 
     rows: int = 12_000
-    bits: int = 20
+    bits: int = 24
     skips: tuple[int, ...] = (1, 2)
-    passes: int = 4
+    passes: int = 2
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 6.0
@@ -69,24 +70,31 @@ class Weights:
     bucket: np.ndarray
     weight: np.ndarray
 
+    @cached_property
+    def near(self) -> np.ndarray:
+        """Whether any bucket with a weight has the same lower 20 bits: a small table to look in first."""
+        out = np.zeros(2**20, bool)
+        out[self.bucket & (2**20 - 1)] = True
+        return out
+
     def score(self, n: int, row: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
         raw = np.full(n, self.bias)
         if len(self.bucket):
-            table = np.zeros(2**bits, bool)
-            table[self.bucket] = True
-            hit = table[key]
+            hit = np.flatnonzero(self.near[key & (2**20 - 1)])
+            hit = hit[np.isin(key[hit], self.bucket)]
             pair = np.unique(row[hit] << bits | key[hit])
             np.add.at(raw, pair >> bits, self.weight[np.searchsorted(self.bucket, pair & (2**bits - 1))])
         return 1 / (1 + np.exp(-np.clip(raw, -50, 50)))
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, p: Ftrl) -> Weights:
-    """FTRL-proximal over documents given as arrays of distinct buckets; an empty sample gives a score of 0 < s < 0.3 for all."""
+def fit(docs: list[np.ndarray], y: np.ndarray, p: Ftrl, size: int | None = None) -> Weights:
+    """FTRL-proximal over documents given as arrays of distinct buckets, below ``size``; an empty sample gives a score of 0 < s < 0.3 for all."""
     if not len(y):
         return Weights(-2.0, np.zeros(0, np.int64), np.zeros(0))
     share = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
-    z, n = np.zeros(2**p.bits), np.zeros(2**p.bits)
+    size = 2**p.bits if size is None else size
+    z, n = np.zeros(size), np.zeros(size)
     zb, nb = 0.0, 0.0
     order = np.random.default_rng(2).permutation(len(y))
     shown = bias
@@ -116,27 +124,27 @@ def _present(s: Slice, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(p: Ftrl):
-    """In how many documents of a batch each bucket occurs."""
+    """In how many documents of a slice each bucket occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.zeros(2**p.bits, np.int64)
             for s in slices(b.column(1)):
-                n += np.bincount(_present(s, p)[1], minlength=len(n))
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+                at, n = np.unique(_present(s, p)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], ["bucket", "n"])
 
     return run
 
 
 def _extract(p: Ftrl, common: np.ndarray):
+    """Each document's buckets among ``common``, as places in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2**p.bits, bool)
-        table[common] = True
         for b in batches:
             for s in slices(b.column(1)):
                 row, key = _present(s, p)
-                row, key = row[table[key]], key[table[key]].astype(np.uint32)
+                at = np.searchsorted(common, key)
+                hit = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == key) if len(common) else np.zeros(0, np.int64)
+                row, key = row[hit], at[hit].astype(np.uint32)
                 ptr = np.searchsorted(row, np.arange(len(s) + 1))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), b.column(2).slice(s.first, len(s)), pa.array([key[i:j].tobytes() for i, j in zip(ptr, ptr[1:])], pa.binary())], ["doc_id", "label", "buckets"])
 
@@ -159,8 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, hold: int = 2, p:
     """
     rows = sample(docs, labels, "toxic", folds, hold, p.rows).select("doc_id", "text", F.col("label").cast("int").alias("label"))
     common = rows.mapInArrow(_count(p), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= p.least).select("bucket").toPandas()["bucket"].to_numpy()
-    got = rows.mapInArrow(_extract(p, common), "doc_id long, label int, buckets binary").toPandas().sort_values("doc_id")
-    return fit([np.frombuffer(x, np.uint32) for x in got["buckets"]], got["label"].to_numpy(float), p)
+    common = np.sort(common)
+    got = rows.mapInArrow(_extract(p, common), "doc_id long, label int, buckets binary").toLocalIterator()  # a partition at a time
+    got = sorted(((r[0], r[1], np.frombuffer(r[2], np.uint32)) for r in got), key=lambda r: r[0])
+    w = fit([r[2] for r in got], np.array([r[1] for r in got], float), p, len(common))
+    return Weights(w.bias, common[w.bucket], w.weight)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, hold: int = 2, threshold: float = 0.3, p: Ftrl = Ftrl()) -> DataFrame:
