@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Odd multipliers, one for each word of a block.
 SALT = [int(x) * 2 + 1 for x in np.random.default_rng(3).integers(2**28, 2**30 - 1, 8)]
@@ -52,10 +53,9 @@ def bloom(listed: DataFrame, max_blocks: int = 1 << 20, bits_per_key: int = 16)
     blocks = max(1, min(max_blocks, n * bits_per_key // 256 + 1))
     bit = lambda i: F.expr(f"shiftleft(1, cast(shiftright((h & 2147483647) * {SALT[i]}, 26) & 31 AS int))")
     rows = listed.select(F.xxhash64("key").alias("h")).select(F.expr(f"pmod(shiftrightunsigned(h, 32), {blocks})").alias("block"), *(bit(i).alias(f"w{i}") for i in range(WORDS)))
-    rows = rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS))).collect()
+    rows = rows.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS))).toPandas()
     out = np.zeros((blocks, WORDS), np.uint32)
-    for r in rows:
-        out[r[0]] = np.array(r[1:], np.int64) & 0xFFFFFFFF
+    out[rows["block"].to_numpy()] = rows.drop(columns="block").to_numpy(np.int32).view(np.uint32)
     return out
 
 
@@ -68,14 +68,16 @@ def maybe(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _probe(table):
+    """Rows with whether any of their hashes (the last column, which goes) may be in the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
+            lists = b.column(b.num_columns - 1)
             hit = maybe(table.value, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)) if len(lists.flatten()) else np.zeros(0, bool)
             total = np.concatenate([[0], np.cumsum(hit)])
             ends = np.cumsum(pc_lengths(lists))
             some = total[ends] > total[np.concatenate([[0], ends[:-1]])] if len(ends) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some))], ["url"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(some, pa.bool_())], [*b.schema.names[:-1], "maybe"])
 
     return run
 
@@ -109,9 +111,12 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]])
     rows = rows.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("best", best)
 
     table = spark.sparkContext.broadcast(bloom(listed))
-    open_ = rows.where("best IS NULL AND host <> ''").select("url", keys(F.col("host"), F.col("path")).alias("keys"))
-    passed = open_.select("url", F.transform("keys", lambda k: F.xxhash64(k)).alias("hashes")).mapInArrow(_probe(table), "url string").distinct()
-    passed = passed.select("url", F.explode(keys(host(F.col("url")), path(F.col("url")))).alias("key"))
-    blocked = passed.join(listed, "key", "left_semi").select("url", F.lit(True).alias("blocked")).distinct()
-    out = rows.join(blocked, "url", "left")
+    looked = F.transform(F.when(F.col("best").isNull() & (F.col("host") != ""), keys(F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>")), lambda k: F.xxhash64(k))
+    schema = T.StructType([*rows.schema.fields, T.StructField("maybe", T.BooleanType())])
+    tagged = rows.withColumn("hashes", looked).mapInArrow(_probe(table), schema)
+    # Only what the filter lets on is shuffled; every other row has its verdict where it stands.
+    some = tagged.where("maybe")
+    wanted = some.select("url").distinct().select("url", F.explode(keys(host(F.col("url")), path(F.col("url")))).alias("key"))
+    blocked = wanted.join(listed, "key", "left_semi").select("url", F.lit(True).alias("blocked")).distinct()
+    out = tagged.where("NOT maybe").withColumn("blocked", F.lit(False)).unionByName(some.join(blocked, "url", "left"))
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
