@@ -234,7 +234,9 @@ def link(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     roots = components(stars.union(close(rest.join(pivots, ["a", "b"], "left_anti"), "rest")))
 
     classes = nodes.join(roots, "id", "left").select(F.col("class_key"), F.coalesce("root", "id").alias("root"))
-    out = base.select("doc_id", "n_shingles", "class_key").join(classes, "class_key", "left")
+    rows = base.select("doc_id", "n_shingles", "class_key")
+    alone = rows.where("class_key IS NULL").withColumn("root", F.lit(None).cast("long"))  # without shingles: no key to meet under
+    out = rows.where("class_key IS NOT NULL").join(classes, "class_key", "left").unionByName(alone)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
