@@ -35,10 +35,9 @@ def shingles(words: Column, width: int) -> Column:
 
 
 def runs(words: Column, width: int) -> Column:
-    """Distinct runs of ``width`` words, joined by spaces, and their hashes."""
-    row = lambda i: F.struct(F.xxhash64(*(F.get(words, i + k) for k in range(width))).alias("h"), F.array_join(F.slice(words, i + 1, F.lit(width)), " ").alias("run"))
-    found = F.transform(F.sequence(F.lit(0), F.size(words) - width), row)
-    return F.when(F.size(words) >= width, F.array_distinct(found)).otherwise(F.array().cast("array<struct<h:bigint,run:string>>"))
+    """Distinct runs of ``width`` words, joined by spaces."""
+    found = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, F.lit(width)), " "))
+    return F.when(F.size(words) >= width, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
 def item_index(items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -46,7 +45,9 @@ def item_index(items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     items = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("words")).where("item_id IS NOT NULL AND size(words) > 0")
     size = F.least(F.size("words"), F.lit(width))
     items = written(items.select("item_id", size.alias("width"), F.coalesce(*(F.when(size == k, runs(F.col("words"), k)) for k in range(1, width + 1))).alias("runs")), "items")
-    index = items.select("item_id", "width", F.inline("runs")).distinct()
+    part = F.split("run", " ")
+    h = F.coalesce(*(F.when(F.col("width") == k, F.xxhash64(*(F.get(part, F.lit(i)) for i in range(k)))) for k in range(1, width + 1)))
+    index = items.select("item_id", "width", F.explode("runs").alias("run")).distinct().withColumn("h", h)
     sizes = index.groupBy("item_id").agg(F.count("*").alias("n_item"))
     # A partition's sketch is as long as its largest item needs.
     sizes = sizes.withColumn("part", F.floor(F.log2("n_item"))).withColumn("s", F.expr(f"n_item - ceil({percent} * n_item / 100) + 1"))
@@ -75,7 +76,7 @@ def verify(docs: DataFrame, pairs: DataFrame, index: DataFrame, widths: list[int
     docs = docs.join(_small(pairs.select("doc_id").distinct(), broadcast_rows), "doc_id", "left_semi")
     held, side = None, _small(index.select("item_id", "width", "run", "n_item"), broadcast_rows)
     for k in widths:
-        rows = docs.select("doc_id", F.explode_outer(F.transform(runs(F.col("words"), k), lambda x: x["run"])).alias("run"))
+        rows = docs.select("doc_id", F.explode_outer(runs(F.col("words"), k)).alias("run"))
         rows = rows.join(side.where(F.col("width") == k), "run").select("doc_id", "item_id", "n_item", "run")
         held = rows if held is None else held.union(rows)
     return held.join(_small(pairs, broadcast_rows), ["doc_id", "item_id"]).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.count_distinct("run").alias("n_found"))
