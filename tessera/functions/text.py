@@ -52,11 +52,6 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 
-def similarity_to(text: Column, known: Column) -> Column:
-    """``similarity`` of a text's trigrams with a known set; the text's are worked out once, as the only element of an array."""
-    return F.transform(F.array(trigrams(text)), lambda s: similarity(s, known))[0]
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Share of the trigrams of two sets that are in both; 0 without trigrams."""
     both = F.size(F.array_intersect(a, b))

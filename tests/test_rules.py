@@ -340,3 +340,11 @@ def test_skills_and_tools(spark):
     assert tools.call(spark, "whole_document", doc_id=2)[0].first()["text"] == "delta alpha" and tools.call(spark, "document_ids")[0].count() == 2
     assert tools.call(spark, "search_single_document", doc_id=1, search_string=" ")[1] == "ValueError: search_string must not be empty"
     assert each(spark, lambda c: skills.compressed(c, lambda x: F.substring(x, 1, 2)), ["abc", "a"]) == ["ab", "a"]
+
+
+def test_trigram_scores_equal_the_columns(spark):
+    texts = ["a", "Ab, cd-EF!", "été d’Été 12x", "", None, "x " * 50, "dark matter in NGC 1275"]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id int, chunk_number int, content string")
+    query = "Dark été ab x"
+    got = search.trigram_scores(rows, query).withColumn("want", T.similarity(T.trigrams(F.coalesce("content", F.lit(""))), T.trigrams(F.lit(query)))).collect()
+    assert len(got) == 7 and all(r.similarity == pytest.approx(r.want) for r in got) and len({r.similarity for r in got}) > 4
