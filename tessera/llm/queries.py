@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import boosting, decontaminate, language, license_scan, near_dup, quality_rules, sentencepiece_codec, substring, toxicity, url_filter
+from tessera.shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
