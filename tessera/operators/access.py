@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.shared import written
@@ -103,3 +103,10 @@ def viewers_only(grants: DataFrame) -> DataFrame:
     """User and collection of every grant to view without one to edit or manage the same collection."""
     pairs = lambda rows: rows.select("user_id", "collection_id").distinct()
     return pairs(grants.where("permission = 'VIEW'")).join(pairs(grants.where("permission IN ('EDIT', 'MANAGE')")), ["user_id", "collection_id"], "left_anti")
+
+
+def related(rows: DataFrame, key: str, order: str, visible: Column, most: int = 3) -> DataFrame:
+    """At most ``most`` visible rows of each key, of the first three times as many by ``order``: what lies beyond is not looked at, visible or not."""
+    w = Window.partitionBy(key).orderBy(order)
+    near = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 3 * most).where(visible)
+    return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")

@@ -15,6 +15,17 @@ def admit(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
     return files.withColumn("verdict", F.when(F.col("size") <= 0, "empty").when(F.col("size") > most, "too_large").otherwise("accepted"))
 
 
+#: Files of one upload.
+MOST_FILES = 50
+
+
+def admit_batches(files: DataFrame, most_files: int = MOST_FILES, most: int = MAX_BYTES) -> DataFrame:
+    """``admit`` for uploads of several files (batch_id, name, size): every file of one with more than ``most_files`` is too_many."""
+    n = files.groupBy("batch_id").agg(F.count("*").alias("n_files"))
+    rows = admit(files, most).join(n, "batch_id")
+    return rows.withColumn("verdict", F.when(F.col("n_files") > most_files, "too_many").otherwise(F.col("verdict"))).drop("n_files")
+
+
 def batch_summary(items: DataFrame, statuses: tuple[str, ...] = ("queued", "processing", "success", "error")) -> DataFrame:
     """Per batch: a count for every status, zero included, sorted distinct types, and whether any item failed."""
     counts = [F.count_if(F.col("status") == s).alias(s) for s in statuses]
@@ -60,10 +71,16 @@ def figure_caption(title: Column, found: Column, number: Column, kind: Column) -
     return F.coalesce(F.nullif(F.trim(found), F.lit("")), F.concat(F.lit("Figure "), number.cast("string"), F.lit(" from "), title, F.lit(" ("), kind, F.lit(")")))
 
 
+#: How a caption begins, in the order they are tried: kind, number, text of ten characters at least.
+CAPTIONS = (r"(?i)(Figure|Fig\.?)\s*(\d+[a-z]?)\s*[:.\-–—]\s*(.{10,})", r"(?i)(Scheme|Chart|Diagram|Plot)\s*(\d+[a-z]?)\s*[:.\-–—]\s*(.{10,})")
+
+
 def captions_in(blocks: DataFrame) -> DataFrame:
-    """Text blocks (page, block, text) that begin with a figure or table label, with the label's number."""
-    number = F.regexp_extract("text", r"(?i)^[ ]*(?:figure|fig\.?|table)[ ]*([0-9]+)", 1)
-    return blocks.withColumn("number", number).where("number <> ''").withColumn("number", F.col("number").cast("int"))
+    """Text blocks (page, block, text and other columns) that hold a caption, with its label and text."""
+    part = lambda k: F.coalesce(*(F.nullif(F.regexp_extract("text", p, k), F.lit("")) for p in CAPTIONS))
+    label = F.concat(part(1), F.lit(" "), part(2))
+    rows = blocks.where(F.col("text").rlike(CAPTIONS[0]) | F.col("text").rlike(CAPTIONS[1]))
+    return rows.withColumn("label", label).withColumn("caption", F.regexp_replace(F.concat("label", F.lit(": "), part(3)), "^[: ]+|[: ]+$", ""))
 
 
 def error_report(context: Column, kind: Column, message: Column) -> Column:

@@ -112,6 +112,15 @@ def calls(t):
     return t("conversations").select("conv_id", "turn", F.col("role").alias("tool_name"), (n % 3).cast("string").alias("signature"), F.when(n % 4 > 0, (n % 5).cast("string")).alias("result"), (n % 7 == 0).alias("failed"))
 
 
+@query("retrieval_queries", f"""WITH m AS (SELECT conv_id, turn, role, CASE WHEN length(text) % 5 = 0 THEN ' Try again. ' ELSE text END AS text, CASE WHEN role <> 'user' AND length(text) % 2 = 0 THEN role || turn END AS q, CASE WHEN role <> 'user' AND length(text) % 2 = 0 AND turn % 3 < 2 THEN 'T' || turn END AS t FROM conversations),
+    l AS (SELECT *, last_value(q IGNORE NULLS) OVER w AS lq, last_value(t IGNORE NULLS) OVER w AS lt, trim(text) AS p FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT conv_id, turn, CASE WHEN regexp_matches(p, '(?i){C.RETRY}') THEN coalesce(lq, p) WHEN len(list_intersect(regexp_split_to_array(lower(p), '[^\\p{{L}}\\p{{N}}_]+'), {list(C.PRONOUNS)})) > 0 AND lt <> '' THEN lt || ': ' || p ELSE p END AS query FROM l WHERE role = 'user'""")
+def retrieval_queries(t):
+    searched = "role <> 'user' AND length(text) % 2 = 0"
+    c = t("conversations").selectExpr("conv_id", "turn", "role", "CASE WHEN length(text) % 5 = 0 THEN ' Try again. ' ELSE text END AS text", f"CASE WHEN {searched} THEN 'vector_search' END AS tool", f"CASE WHEN {searched} THEN role || turn END AS query", f"CASE WHEN {searched} AND turn % 3 < 2 THEN array('T' || turn, 'x') END AS titles")
+    return C.retrieval_queries(c)
+
+
 @query("tool_budget_fold", f"""WITH c AS ({CALLS}), a AS (SELECT *, coalesce(lag(signature) OVER w = signature, false) AS again,
         last_value(CASE WHEN NOT failed THEN result END IGNORE NULLS) OVER (PARTITION BY conv_id, tool_name ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last, row_number() OVER (PARTITION BY conv_id, tool_name ORDER BY turn) AS calls, row_number() OVER w AS n,
         sum(CASE WHEN tool_name = 'user' THEN 2 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS spent FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),

@@ -67,10 +67,15 @@ def figure_captions(t):
     return t("documents").select("doc_id", I.figure_caption(F.col("source"), F.when(F.col("doc_id") % 2 == 0, "  ").otherwise(F.col("lang")), F.col("doc_id"), F.lit("pdf")).alias("caption"))
 
 
-@query("caption_labels", "SELECT doc_id AS page, 0 AS block, 'Fig. ' || doc_id || ': x' AS text, CAST(doc_id AS INTEGER) AS number FROM documents WHERE doc_id % 2 = 1")
+#: Text blocks, some with a caption in them, by document.
+BLOCK = """CASE doc_id % 6 WHEN 0 THEN concat('Fig. ', CAST(doc_id AS VARCHAR(9)), 'b: ', text) WHEN 1 THEN concat('see  SCHEME 2 - ', text) WHEN 2 THEN concat('Figure 7: short', chr(10), text) WHEN 3 THEN concat('Chart 1', chr(10), text) WHEN 4 THEN concat('x figure ', CAST(doc_id AS VARCHAR(9)), '. ', substring(text, 1, 40)) ELSE text END"""
+
+
+@query("caption_labels", rf"""WITH b AS (SELECT doc_id AS page, {BLOCK} AS t FROM documents), m AS (SELECT page, CASE WHEN regexp_matches(t, '{I.CAPTIONS[0]}') THEN 0 ELSE 1 END AS k, regexp_extract(t, '{I.CAPTIONS[0]}', ['a', 'b', 'c']) AS f, regexp_extract(t, '{I.CAPTIONS[1]}', ['a', 'b', 'c']) AS g FROM b WHERE regexp_matches(t, '{I.CAPTIONS[0]}') OR regexp_matches(t, '{I.CAPTIONS[1]}'))
+    SELECT page, CASE k WHEN 0 THEN f.a || ' ' || f.b ELSE g.a || ' ' || g.b END AS label, trim(CASE k WHEN 0 THEN f.a || ' ' || f.b || ': ' || f.c ELSE g.a || ' ' || g.b || ': ' || g.c END, ': ') AS caption FROM m""")
 def caption_labels(t):
-    text = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("Fig. "), F.col("doc_id"), F.lit(": x"))).otherwise("see Figure 3")
-    return I.captions_in(t("documents").select(F.col("doc_id").alias("page"), F.lit(0).alias("block"), text.alias("text")))
+    blocks = t("documents").select(F.col("doc_id").alias("page"), F.lit(0).alias("block"), F.expr(BLOCK.replace("VARCHAR(9)", "STRING")).alias("text"))
+    return I.captions_in(blocks).select("page", "label", "caption")
 
 
 @query("error_reports", "SELECT doc_id, '[ingest] ValueError: ' || substring(text, 1, 200) AS report FROM documents")
@@ -122,3 +127,17 @@ def box_refinement(t):
     b = t("part").select((F.col("p_partkey") % 10).alias("page"), F.col("p_partkey").alias("box_id"), F.col("p_size").alias("x0"), F.col("p_size").alias("y0"), (F.col("p_size") + 10).alias("x1"), (F.col("p_size") + 10).alias("y1"))
     s = F.col("s_suppkey") % 50
     return images.refine_boxes(b, t("supplier").select((F.col("s_suppkey") % 10).alias("page"), s.alias("px0"), (s - 2).alias("py0"), (s + 4).alias("px1"), (s + 3).alias("py1")))
+
+
+@query("caption_regions", """WITH c AS (SELECT p_partkey AS page, 0 AS block, CAST(p_size * 7 AS DOUBLE) AS x0, CAST(p_size * 9 AS DOUBLE) AS y0, CAST(p_size * 7 + p_partkey % 90 AS DOUBLE) AS x1, 500.0::DOUBLE AS w FROM part), m AS (SELECT *, greatest(0, x0 - 20) AS l, least(w, x1 + 20) AS r FROM c)
+    SELECT page, block, CASE WHEN r - l < 150 THEN greatest(0, (l + r) / 2 - 75) ELSE l END AS x0, greatest(0, y0 - 400) AS y0, CASE WHEN r - l < 150 THEN least(w, (l + r) / 2 + 75) ELSE r END AS x1, y0 - 5 AS y1 FROM m WHERE y0 - 5 > greatest(0, y0 - 400) + 100""")
+def caption_regions(t):
+    n = F.col("p_size")
+    c = t("part").select(F.col("p_partkey").alias("page"), F.lit(0).alias("block"), (n * 7).cast("double").alias("x0"), (n * 9).cast("double").alias("y0"), (n * 7 + F.col("p_partkey") % 90).cast("double").alias("x1"), F.lit(500.0).alias("page_width"))
+    return images.caption_regions(c)
+
+
+@query("upload_batches", """WITH f AS (SELECT o_custkey AS batch_id, o_orderkey AS name, o_orderkey % 7 * 100 AS size, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+    SELECT batch_id, name, size, CASE WHEN n > 15 THEN 'too_many' WHEN size <= 0 THEN 'empty' WHEN size > 500 THEN 'too_large' ELSE 'accepted' END AS verdict FROM f""")
+def upload_batches(t):
+    return I.admit_batches(t("orders").select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("name"), (F.col("o_orderkey") % 7 * 100).alias("size")), 15, 500)

@@ -167,6 +167,12 @@ def related_top3(t):
     return access.nearest_wins(t("lineitem").where("l_quantity >= 10"), "l_orderkey", "l_linenumber", 3).select("l_orderkey", "l_linenumber")
 
 
+@query("related_visible", """WITH n AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer), v AS (SELECT * FROM n WHERE n <= 9 AND c_custkey % 4 = 1)
+    SELECT c_nationkey, c_custkey FROM v QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 3""")
+def related_visible(t):
+    return access.related(t("customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey", F.col("c_custkey") % 4 == 1)
+
+
 @query("id_prefix_join", """WITH h AS (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS hex FROM documents), q AS (SELECT substring(md5(CAST(doc_id AS VARCHAR)), 1, 16) AS prefix FROM documents WHERE doc_id % 10 = 0)
     SELECT prefix, min(doc_id) AS doc_id FROM q JOIN h ON starts_with(hex, prefix) GROUP BY prefix HAVING count(*) = 1""")
 def id_prefix_join(t):

@@ -50,3 +50,10 @@ def stream_published(t):
     d = t("documents").where("length(text) >= 2").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     piece = F.expr("CASE WHEN k = 0 THEN left(text, length(text) div 2) ELSE substring(text, length(text) div 2 + 1) END")
     return S.published(d.select(F.col("doc_id").alias("message_id"), F.col("k").alias("seq"), piece.alias("piece"), F.when(F.col("k") == 1, F.col("doc_id")).alias("usage"), ((F.col("k") == 1) & (F.col("doc_id") % 3 == 0)).alias("last")))
+
+
+@query("cache_read_through", """WITH l AS (SELECT user_id AS key, arg_max(value, ts) AS value, max(ts) AS ts FROM events GROUP BY user_id), f AS (SELECT key, value FROM l WHERE ts + INTERVAL 86400 SECOND > TIMESTAMP '2024-01-31 00:00:00')
+    SELECT c_custkey AS key, coalesce(value, CAST(c_custkey AS DOUBLE)) AS value, value IS NOT NULL AS hit FROM customer LEFT JOIN f ON key = c_custkey""")
+def cache_read_through(t):
+    cached = t("events").select(F.col("user_id").alias("key"), "value", "ts")
+    return S.read_through(t("customer").select(F.col("c_custkey").alias("key")), cached, F.lit("2024-01-31 00:00:00").cast("timestamp"), 86_400, lambda keys: keys.withColumn("value", F.col("key").cast("double")))

@@ -106,3 +106,11 @@ def published(pieces: DataFrame) -> DataFrame:
     """Messages (message_id, seq, piece, usage, last) that are complete, once each, with all their pieces; of a message still running nothing is sent."""
     done = pieces.groupBy("message_id").agg(F.bool_or("last").alias("done")).where("done")
     return accumulate(pieces.join(done.select("message_id"), "message_id", "left_semi"))
+
+
+def read_through(wanted: DataFrame, cached: DataFrame, now, seconds: int, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The value of each wanted key: the cached one while it is ``fresh``, else ``compute`` of the keys that lack one (key, value); column ``hit`` tells which. The misses are what a cache takes in."""
+    have = fresh(cached, now, seconds).select("key", "value")
+    keys = wanted.select("key").distinct()
+    missing = compute(keys.join(have, "key", "left_anti")).select("key", "value", F.lit(False).alias("hit"))
+    return keys.join(have, "key").select("key", "value", F.lit(True).alias("hit")).unionByName(missing)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import speech as S
 from tessera.functions import text as T
 from tessera.functions import toolcalls, vectors
-from tessera.operators import access, anchors, citations, conversation, documents, evaluation, graph, memory, prompts, reranking, search
+from tessera.operators import access, anchors, citations, conversation, documents, evaluation, graph, images, memory, prompts, reranking, search
 from tessera import skills
 from tessera.sources import arxiv, media, sinks
 from tessera.streaming import events
@@ -348,3 +348,10 @@ def test_trigram_scores_equal_the_columns(spark):
     query = "Dark été ab x"
     got = search.trigram_scores(rows, query).withColumn("want", T.similarity(T.trigrams(F.coalesce("content", F.lit(""))), T.trigrams(F.lit(query)))).collect()
     assert len(got) == 7 and all(r.similarity == pytest.approx(r.want) for r in got) and len({r.similarity for r in got}) > 4
+
+
+def test_text_near_figures(spark):
+    boxes = [(1, 1, 100.0, 100.0, 200.0, 200.0), (1, 2, 400.0, 100.0, 500.0, 200.0), (2, 1, 0.0, 0.0, 50.0, 50.0)]
+    lines = [(1, 0, 90.0, 60.0, 210.0, 70.0, "Above it stands a sentence"), (1, 1, 100.0, 205.0, 200.0, 215.0, "Figure 3 shows"), (1, 2, 100.0, 216.0, 200.0, 226.0, "all."), (1, 3, 100.0, 227.0, 200.0, 237.0, "More"), (1, 4, 390.0, 40.0, 510.0, 50.0, "Just a longer line of text"), (2, 0, 0.0, 60.0, 40.0, 70.0, "short")]
+    got = images.nearby_captions(spark.createDataFrame(boxes, "page int, box_id int, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(lines, "page int, line int, x0 double, y0 double, x1 double, y1 double, text string"))
+    assert {(r.page, r.box_id): r.caption for r in got.collect()} == {(1, 1): "Figure 3 shows all.", (1, 2): "Just a longer line of text", (2, 1): ""}
