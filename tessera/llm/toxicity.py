@@ -9,6 +9,9 @@ pass after another over a bounded sample of labelled documents (``Ftrl.rows``).
 No feature is left out for being rare. While a weight is zero, each document that has
 the bucket moves its sum by less than 1 a pass, so a bucket of ``n`` documents can leave
 zero only if ``n * passes > l1``; the others (``Ftrl.least``) are never sent to the driver.
+
+L1 keeps scores near the middle. A line through the raw scores of documents kept from a
+first fit, found by likelihood, stretches and shifts those of the final one.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ OTHER = ~(ALPHA | DIGIT)
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Most labelled rows, bits of a bucket, words skipped, passes, rate (alpha, beta), penalties (l1, l2)."""
+    """Most labelled rows, bits of a bucket, words skipped, passes, rate (alpha, beta), penalties (l1, l2), part kept for calibration, fewest documents of a label there."""
 
     rows: int = 12_000
     bits: int = 24
@@ -41,6 +44,8 @@ class Ftrl:
     beta: float = 1.0
     l1: float = 6.0
     l2: float = 1.0
+    calibrate: float = 0.2
+    enough: int = 10
 
     @property
     def least(self) -> int:
@@ -116,6 +121,35 @@ def fit(docs: list[np.ndarray], y: np.ndarray, p: Ftrl, size: int | None = None)
     return Weights(float(shown), keep, w[keep])
 
 
+def line(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve over raw scores, by Newton's method, with a faint pull of the slope to 1."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        prob = 1 / (1 + np.exp(-np.clip(a * raw + b, -35, 35)))
+        w = prob * (1 - prob)
+        slope = np.array([((prob - y) * raw).sum() + 1e-3 * (a - 1), (prob - y).sum()])
+        bend = np.array([[(w * raw * raw).sum() + 1e-3, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-6]])
+        step = np.clip(np.linalg.solve(bend, slope), -1, 1)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return max(a, 0.1), b
+
+
+def calibrated(docs: list[np.ndarray], y: np.ndarray, p: Ftrl, size: int) -> Weights:
+    """``fit`` with the line that suits documents it hasn't seen; as it is where too few can be spared."""
+    order = np.random.default_rng(4).permutation(len(y))
+    held, rest = order[: int(len(y) * p.calibrate)], order[int(len(y) * p.calibrate) :]
+    a, b = 1.0, 0.0
+    if min(y[held].sum(), (1 - y[held]).sum()) >= p.enough:
+        first = fit([docs[i] for i in rest], y[rest], p, size)
+        table = np.zeros(size)
+        table[first.bucket] = first.weight
+        a, b = line(np.array([first.bias + table[docs[i]].sum() for i in held]), y[held])
+    w = fit(docs, y, p, size)
+    return Weights(a * w.bias + b, w.bucket, a * w.weight)
+
+
 def _present(s: Slice, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """Row and bucket of every distinct bucket of a row, in order."""
     row, key = buckets(s, p)
@@ -170,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, hold: int = 2, p:
     common = np.sort(common)
     got = rows.mapInArrow(_extract(p, common), "doc_id long, label int, buckets binary").toLocalIterator()  # a partition at a time
     got = sorted(((r[0], r[1], np.frombuffer(r[2], np.uint32)) for r in got), key=lambda r: r[0])
-    w = fit([r[2] for r in got], np.array([r[1] for r in got], float), p, len(common))
+    w = calibrated([r[2] for r in got], np.array([r[1] for r in got], float), p, len(common))
     return Weights(w.bias, common[w.bucket], w.weight)
 
 

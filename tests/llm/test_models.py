@@ -214,6 +214,22 @@ def test_rare_buckets_that_are_left_out_have_no_weight():
     assert full.bucket.tolist() == some.bucket.tolist() and full.weight == pytest.approx(some.weight)
 
 
+def test_calibration_by_hand():
+    """The line is where the likelihood of a grid is greatest; few documents leave the fit as it is."""
+    r = np.random.default_rng(3)
+    raw = r.normal(size=400)
+    y = (r.random(400) < 1 / (1 + np.exp(-(2.5 * raw - 1)))).astype(float)
+    a, b = toxicity.line(raw, y)
+    loss = lambda a, b: np.log1p(np.exp(-(2 * y - 1) * (a * raw + b))).sum() + 0.0005 * (a - 1) ** 2
+    assert loss(a, b) <= min(loss(x, z) for x in np.linspace(0.5, 5, 46) for z in np.linspace(-3, 3, 61)) + 1e-9
+    docs, few = [np.array([i % 3]) for i in range(30)], np.array([float(i % 3 == 0) for i in range(30)])
+    p = toxicity.Ftrl(bits=4, l1=0.1)
+    plain, kept = toxicity.fit(docs, few, p, 16), toxicity.calibrated(docs, few, p, 16)
+    assert plain.bias == kept.bias and (plain.weight == kept.weight).all()
+    more = toxicity.calibrated(docs * 20, np.tile(few, 20), p, 16)
+    assert more.weight[more.bucket == 0][0] > 0 and more.score(1, np.zeros(1, int), np.zeros(1, int), 4)[0] > 0.9
+
+
 def test_first_split_by_hand():
     """The root of the first tree is the best of all cuts at the bins' edges."""
     r = np.random.default_rng(9)
