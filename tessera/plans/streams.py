@@ -57,3 +57,18 @@ def stream_published(t):
 def cache_read_through(t):
     cached = t("events").select(F.col("user_id").alias("key"), "value", "ts")
     return S.read_through(t("customer").select(F.col("c_custkey").alias("key")), cached, F.lit("2024-01-31 00:00:00").cast("timestamp"), 86_400, lambda keys: keys.withColumn("value", F.col("key").cast("double")))
+
+
+@query("stream_call_pieces", """SELECT doc_id AS message_id, 0 AS call, 'vector_search' AS name, '{"q": "' || source || '"}' AS arguments FROM documents UNION ALL SELECT doc_id, 1, NULL, lang FROM documents WHERE doc_id % 2 = 0""")
+def stream_call_pieces(t):
+    """A call in three pieces, its name in the second, and one that never got a name."""
+    d = t("documents")
+    part = lambda k, call, name, text, where="true": d.where(where).selectExpr("doc_id AS message_id", f"{call} AS call", f"{k} AS seq", f"{name} AS name", f"{text} AS arguments")
+    pieces = part(2, 0, "''", "'\"}'").union(part(0, 0, "'  '", "'{\"q\": \"'")).union(part(1, 0, "'vector_search'", "source")).union(part(0, 1, "CAST(NULL AS STRING)", "lang", "doc_id % 2 = 0"))
+    return S.accumulate_calls(pieces)
+
+
+@query("stream_current_work", "SELECT user_id AS key, event_id AS version FROM events WHERE event_id IN (SELECT max(event_id) FROM events WHERE event_type <> 'error' GROUP BY user_id)")
+def stream_current_work(t):
+    e = t("events").where("event_type <> 'error'").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"))
+    return S.current(e, e)

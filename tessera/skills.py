@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.models import Tools
-from tessera.operators import documents, search
+from tessera.operators import documents, images, search
 
 
 def load(paths: Iterable[str]) -> tuple[list[ModuleType], dict[str, str]]:
@@ -75,6 +75,37 @@ def document_tools(chunks: DataFrame, docs: DataFrame, vectors: Callable[[str],
     return tools
 
 
+def image_tools(arrays: dict[str, DataFrame]) -> Tools:
+    """Tools over named images as pixel relations (y, x, v): difference, quotient, clipped statistics, point sources. Images of other shapes are refused."""
+    tools = Tools()
+
+    def pair(a: str, b: str) -> tuple[DataFrame, DataFrame]:
+        if not images.same_shape(arrays[a], arrays[b]).isEmpty():
+            raise ValueError(f"{a} and {b} differ in shape")
+        return arrays[a], arrays[b]
+
+    def subtract(spark, image: str, sky: str) -> DataFrame:
+        """One image less another."""
+        return images.combine(*pair(image, sky), "subtract")
+
+    def divide(spark, image: str, flat: str) -> DataFrame:
+        """One image by another."""
+        return images.combine(*pair(image, flat), "divide")
+
+    def statistics(spark, image: str) -> DataFrame:
+        """Mean, deviation and number of an image's values without outliers."""
+        return images.clipped_stats(arrays[image].withColumn("image_id", F.lit(image)))
+
+    def point_sources(spark, image: str, times: float = 5.0) -> DataFrame:
+        """Pixels far above the rest."""
+        rows = arrays[image].withColumn("image_id", F.lit(image))
+        return images.bright(rows, images.clipped_stats(rows), times)
+
+    for f in (subtract, divide, statistics, point_sources):
+        tools.add(f)
+    return tools
+
+
 def compressed(text: Column, compress: Callable[[Column], Column] | None = None) -> Column:
     """A compressor's text where that is shorter and not empty, else the text; without a compressor, as by default, all texts stay."""
     if compress is None:

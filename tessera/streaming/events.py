@@ -114,3 +114,16 @@ def read_through(wanted: DataFrame, cached: DataFrame, now, seconds: int, comput
     keys = wanted.select("key").distinct()
     missing = compute(keys.join(have, "key", "left_anti")).select("key", "value", F.lit(False).alias("hit"))
     return keys.join(have, "key").select("key", "value", F.lit(True).alias("hit")).unionByName(missing)
+
+
+def accumulate_calls(pieces: DataFrame) -> DataFrame:
+    """Tool calls of their pieces (message_id, call, seq, name, arguments) in order: the first name that isn't blank, all arguments joined; update mode."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "arguments")))
+    named = F.when(F.trim("name") != "", F.col("seq"))
+    return pieces.groupBy("message_id", "call").agg(F.min_by("name", named).alias("name"), F.array_join(F.transform(ordered, lambda x: F.coalesce(x["arguments"], F.lit(""))), "").alias("arguments"))
+
+
+def current(work: DataFrame, latest: DataFrame) -> DataFrame:
+    """Work items (key, version, ...) whose version is still the latest of their key (key, version); stale ones go. A stream of work meets a table of versions."""
+    known = latest.groupBy("key").agg(F.max("version").alias("_latest"))
+    return work.join(known, "key").where(F.col("version") >= F.col("_latest")).drop("_latest")

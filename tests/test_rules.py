@@ -355,3 +355,13 @@ def test_text_near_figures(spark):
     lines = [(1, 0, 90.0, 60.0, 210.0, 70.0, "Above it stands a sentence"), (1, 1, 100.0, 205.0, 200.0, 215.0, "Figure 3 shows"), (1, 2, 100.0, 216.0, 200.0, 226.0, "all."), (1, 3, 100.0, 227.0, 200.0, 237.0, "More"), (1, 4, 390.0, 40.0, 510.0, 50.0, "Just a longer line of text"), (2, 0, 0.0, 60.0, 40.0, 70.0, "short")]
     got = images.nearby_captions(spark.createDataFrame(boxes, "page int, box_id int, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(lines, "page int, line int, x0 double, y0 double, x1 double, y1 double, text string"))
     assert {(r.page, r.box_id): r.caption for r in got.collect()} == {(1, 1): "Figure 3 shows all.", (1, 2): "Just a longer line of text", (2, 1): ""}
+
+
+def test_image_tools(spark):
+    a = spark.range(100).selectExpr("int(id div 10) AS y", "int(id % 10) AS x", "double(CASE WHEN id = 42 THEN 1000 ELSE id % 3 END) AS v")
+    tools = skills.image_tools({"a": a, "b": a.withColumn("v", F.lit(2.0)), "c": a.where("y < 5")})
+    got = {(r.y, r.x): r.v for r in tools.call(spark, "subtract", image="a", sky="b")[0].collect()}
+    assert got[4, 2] == 998.0 and len(got) == 100
+    assert [(r.y, r.x) for r in tools.call(spark, "point_sources", image="a")[0].collect()] == [(4, 2)]
+    assert tools.call(spark, "divide", image="a", flat="c")[1] == "ValueError: a and c differ in shape"
+    assert tools.call(spark, "statistics", image="a")[0].first()["n"] == 99
