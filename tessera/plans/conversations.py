@@ -137,9 +137,17 @@ def tool_call_counts(t):
     return C.tool_counts(calls(t).withColumn("stop_reason", F.lit(None).cast("string")))
 
 
-@query("caption_coalesce", None)
+#: Who speaks in a turn, as captions would name them: often the same, sometimes no one.
+SPEAKER = "CASE WHEN turn % 3 = 2 THEN role WHEN length(text) % 5 > 0 THEN 'x' END"
+
+
+@query("caption_coalesce", f"""WITH RECURSIVE m AS (SELECT conv_id, turn, {SPEAKER} AS speaker, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+    f AS (SELECT conv_id, i, turn AS start_turn, 1 AS n, speaker, text FROM m WHERE i = 1 UNION ALL
+        SELECT m.conv_id, m.i, CASE WHEN j THEN f.start_turn ELSE m.turn END, CASE WHEN j THEN f.n + 1 ELSE 1 END, m.speaker, CASE WHEN j THEN f.text || ' ' || m.text ELSE m.text END
+        FROM f JOIN m ON m.conv_id = f.conv_id AND m.i = f.i + 1, LATERAL (SELECT coalesce(m.speaker = f.speaker AND length(f.text) + 1 + length(m.text) <= 256, false) AS j))
+    SELECT conv_id, CAST(start_turn AS BIGINT) AS start_turn, CAST(max(n) AS BIGINT) AS n, arg_max(speaker, n) AS speaker, arg_max(text, n) AS text FROM f GROUP BY conv_id, start_turn""")
 def caption_coalesce(t):
-    return C.coalesce_captions(t("conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text"), 256)
+    return C.coalesce_captions(t("conversations").select("conv_id", "turn", F.expr(SPEAKER).alias("speaker"), "text"), 256)
 
 
 #: A whole text and its end again as a continuation: up to 600 characters, which overlap what comes before them by a length that varies, or by none.
