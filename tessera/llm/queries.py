@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import boosting, decontaminate, language, license_scan, near_dup, quality_rules, sentencepiece_codec, substring, toxicity, url_filter
+from tessera.llm import ball_tree, boosting, decontaminate, hard_negatives, html_text, language, license_scan, near_dup, quality_rules, sentencepiece_codec, substring, toxicity, url_filter
 from tessera.shared import spread
 
 
@@ -58,6 +59,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=relabelled)
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +83,9 @@ QUERIES = {
     "op8_near_dup": op8_near_dup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language": op10_language,
+    "op11_centroids": op11_centroids,
+    "op12_html_text": op12_html_text,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -101,7 +118,38 @@ def _license_sql() -> str:
         FROM w JOIN base USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 
+INTEGERS = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
+FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _centroid_sql(rounds: int = 5) -> str:
+    step = """
+        a{i} AS MATERIALIZED (SELECT r, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM
+            (SELECT r, c, list_inner_product(v, v) + list_inner_product(m, m) - 2 * list_inner_product(v, m) AS d FROM v, k{i}) GROUP BY r)"""
+    update = """
+        s{i} AS (SELECT c, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, 65)) AS j FROM a{i} JOIN v USING (r)) GROUP BY ALL),
+        k{n} AS MATERIALIZED (SELECT c, coalesce(x.m, k{i}.m) AS m FROM k{i} LEFT JOIN
+            (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS m FROM s{i} GROUP BY c) x USING (c))"""
+    steps = ",".join(step.format(i=i) + ("," + update.format(i=i, n=i + 1) if i < rounds else "") for i in range(rounds + 1))
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {INTEGERS} AS v FROM embeddings WHERE len(embedding) = 64 AND {FINITE}),
+        k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v AS m FROM v QUALIFY c < 40),{steps},
+        i AS (SELECT c, sum(d) AS own FROM a{rounds} GROUP BY c)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(own AS BIGINT) AS cluster_inertia, CAST((SELECT sum(own) FROM i) AS BIGINT) AS inertia,
+            sha256(array_to_string(list_transform(m, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+        FROM v JOIN a{rounds} USING (r) JOIN i USING (c) JOIN k{rounds} USING (c)"""
+
+
 ORACLES = {
+    "op11_centroids": _centroid_sql(),
+    "op13_hard_negatives": f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {INTEGERS} AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {FINITE}),
+        s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5""",
     "op7_license_scan": _license_sql(),
     "op3_url_filter": """
         WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
