@@ -204,9 +204,17 @@ def graph_edges(t):
     return graph.expand(e, t("embeddings").where("label = 1").select(F.col("vec_id").alias("id"))).select("source_id", "relationship", "destination_id", "direction")
 
 
-@query("graph_seeds", """SELECT c_custkey AS id, c_name AS name, CASE WHEN lower(c_name) = 'customer#000000007' THEN 0 ELSE 1 END AS seed_rank FROM customer WHERE contains(lower(c_name), '00001') OR lower(c_name) = 'customer#000000007' ORDER BY seed_rank, id DESC LIMIT 256""")
+#: Customers are the nodes; their vectors are those of ``embeddings`` with their key, and nodes without one can't be found.
+NODES = "(SELECT c_custkey AS id, c_name AS name FROM customer JOIN embeddings ON vec_id = c_custkey)"
+
+
+def customer_nodes(t):
+    return t("customer").join(t("embeddings").select(F.col("vec_id").alias("c_custkey"), "embedding"), "c_custkey", "left").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "embedding")
+
+
+@query("graph_seeds", f"""SELECT id, name, CASE WHEN lower(name) = 'customer#000000007' THEN 0 ELSE 1 END AS seed_rank FROM {NODES} WHERE contains(lower(name), '00001') OR lower(name) = 'customer#000000007' ORDER BY seed_rank, id DESC LIMIT 256""")
 def graph_seeds(t):
-    return graph.seeds(t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), ["customer#000000007", "00001"])
+    return graph.seeds(customer_nodes(t), ["customer#000000007", "00001"]).drop("embedding")
 
 
 #: Relations as a model writes them: other cases, quotes, speakers, relations under several names or that say nothing.
@@ -228,31 +236,22 @@ def graph_normalise(t):
     return graph.normalise(raw_edges(t))
 
 
-@query("graph_upsert", f"""WITH n AS (SELECT DISTINCT * FROM ({NORMAL_EDGES})), o AS (SELECT *, 2 AS mentions FROM n WHERE length(source) % 2 = 0 OR source = 'user'), f AS (SELECT * FROM n WHERE relationship <> 'PREFERS')
-    SELECT source, relationship, destination, CAST(coalesce(o.mentions, 0) + CASE WHEN f.source IS NULL THEN 0 ELSE 1 END AS BIGINT) AS mentions, CASE WHEN o.source IS NULL THEN TIMESTAMP '2024-02-02 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS created_at,
-    CASE WHEN f.source IS NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-02-02 00:00:00' END AS updated_at FROM o FULL JOIN f USING (source, relationship, destination)""")
-def graph_upsert(t):
-    n, old = graph.normalise(raw_edges(t)), F.lit("2024-01-01 00:00:00").cast("timestamp")
-    edges = n.where("length(source) % 2 = 0 OR source = 'user'").withColumn("mentions", F.lit(2)).withColumn("created_at", old).withColumn("updated_at", old)
-    return graph.upsert(edges, n.where("relationship <> 'PREFERS'"), F.lit("2024-02-02 00:00:00").cast("timestamp"))
-
-
 @query("graph_search", """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (3, 8)), e AS (SELECT vec_id AS source_id, 'REL_' || label AS relationship, (vec_id * 7 + 3) % 500 AS destination_id FROM embeddings),
-    n AS (SELECT vec_id AS id, round(max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v)), 6) AS score FROM embeddings, q GROUP BY vec_id HAVING score >= 0.25)
-    SELECT * FROM (SELECT source_id, relationship, destination_id, 'out' AS direction, score FROM e JOIN n ON id = source_id UNION ALL SELECT source_id, relationship, destination_id, 'in', score FROM e JOIN n ON id = destination_id)
+    b AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS score, row_number() OVER (PARTITION BY v ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) DESC, vec_id DESC) AS place FROM embeddings, q),
+    n AS (SELECT id, max(score) AS score FROM b WHERE score >= 0.25 AND place <= 100 GROUP BY id)
+    SELECT * REPLACE (round(score, 6) AS score) FROM (SELECT source_id, relationship, destination_id, 'out' AS direction, score FROM e JOIN n ON id = source_id UNION ALL SELECT source_id, relationship, destination_id, 'in', score FROM e JOIN n ON id = destination_id)
     ORDER BY score DESC, direction, source_id, relationship, destination_id LIMIT 100""")
 def graph_search(t):
     e = t("embeddings")
     edges = e.select(F.col("vec_id").alias("source_id"), F.concat(F.lit("REL_"), F.col("label")).alias("relationship"), ((F.col("vec_id") * 7 + 3) % 500).alias("destination_id"))
     queries = e.where("vec_id IN (3, 8)").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
-    return graph.search(e.select(F.col("vec_id").alias("id"), "embedding"), edges, queries, 0.25)
+    return graph.search(e.select(F.col("vec_id").alias("id"), "embedding"), edges, queries, 0.25).withColumn("score", F.round("score", 6))
 
 
-@query("graph_query_seeds", """WITH s AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN lower(c_name) = 'customer#000000007' THEN 0 ELSE 1 END AS seed_rank FROM customer), g AS (SELECT * FROM s ORDER BY id DESC LIMIT 256)
-    SELECT id, name, CAST(1 AS INTEGER) AS seed_rank FROM g""")
+@query("graph_query_seeds", f"SELECT id, name, CAST(1 AS INTEGER) AS seed_rank FROM {NODES} ORDER BY id DESC LIMIT 256")
 def graph_query_seeds(t):
     """No customer's name holds the question's words, so the newest nodes stand in."""
-    return graph.by_query(t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), ["Tell me about the nebula", "me"])
+    return graph.by_query(customer_nodes(t), ["Tell me about the nebula", "me"]).drop("embedding")
 
 
 @query("message_sync", """WITH o AS (SELECT conv_id, turn, text FROM conversations WHERE turn % 5 <> 0), n AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || '!' ELSE text END AS text FROM conversations WHERE turn % 4 <> 0)

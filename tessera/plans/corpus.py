@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import chunking, evidence, graph, search
+from tessera.operators import chunking, evidence, graph, search, vector_index
 from tessera.plans.registry import query
 
 #: Search text of the hybrid queries: a passage of the benchmark.
@@ -109,10 +109,27 @@ def vector_topk_l2(t):
 
 
 @query("vector_cosine_threshold", """WITH q AS (SELECT vec_id AS q, embedding AS v FROM embeddings WHERE vec_id < 5),
-    s AS (SELECT vec_id AS id, max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[]))) AS score FROM embeddings, q GROUP BY vec_id) SELECT id, round(score, 6) AS score FROM s WHERE round(score, 6) >= 0.25""")
+    s AS (SELECT vec_id AS id, max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[]))) AS score FROM embeddings, q GROUP BY vec_id) SELECT id, round(score, 6) AS score FROM s WHERE score >= 0.25""")
 def vector_cosine_threshold(t):
     e = t("embeddings")
-    return graph.similar_nodes(e.select(F.col("vec_id").alias("id"), "embedding"), e.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector")), 0.25)
+    return graph.similar_nodes(e.select(F.col("vec_id").alias("id"), "embedding"), e.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector")), 0.25).select("id", F.round("score", 6).alias("score"))
+
+
+@query("vector_index_topk", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+    SELECT q.vec_id AS q, b.vec_id AS id, round(list_distance(q.v, b.v), 6) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, b.v), b.vec_id) AS INTEGER) AS rank
+    FROM v q, v b WHERE q.vec_id % 100 = 0 QUALIFY rank <= 12""")
+def vector_index_topk(t):
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = vector_index.VectorIndex.build(rows, 64).nearest(rows.where("id % 100 = 0").withColumnRenamed("id", "q"), 12)
+    return found.select("q", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("vector_similar_pairs", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+    FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.35""")
+def vector_similar_pairs(t):
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = vector_index.similar(rows, rows.withColumnRenamed("id", "q"), 0.35, 64)
+    return found.where("q < id").select(F.col("q").alias("a_id"), F.col("id").alias("b_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query("vector_fit_dims", "SELECT vec_id, 1024 AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total, round(CAST(embedding[3] AS DOUBLE), 6) AS third FROM embeddings")
