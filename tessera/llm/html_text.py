@@ -221,17 +221,21 @@ def kept(order: list[Node]) -> Iterator[Node]:
 
     The block whose parts' densities have the greatest sum (of equals the outermost) is selected, or
     the article or main element around it. Beside the way from it up to the body are selected the blocks
-    whose density is at least the least one on that way, and headings before it.
+    whose density, and plain characters a tag, are at least the least ones on that way, and headings before it.
     """
     best = max((n for n in order if n.name and not n.apart), key=lambda n: n.total)
     root = best.nearest({"article"}) or best.nearest({"main"}) or best
     way = [root]
     while way[-1].up is not None and way[-1].name != "body":
         way.append(way[-1].up)
-    least = min(n.density for n in way)
+    least, plain = min(n.density for n in way), min(n.chars / max(1, n.tags) for n in way)
     on_way = set(way)
+
+    def dense(p: Node) -> bool:
+        return p.chars > 0 and p.density >= least and p.chars / max(1, p.tags) >= plain
+
     if root.name in ("body", "html"):
-        yield from (p for p in root.parts if p.name not in HOLDERS or p.density >= least or p.name == "body")
+        yield from (p for p in root.parts if p.name not in HOLDERS or dense(p) or p.name == "body")
         return
 
     def beside(node: Node) -> Iterator[Node]:
@@ -241,7 +245,7 @@ def kept(order: list[Node]) -> Iterator[Node]:
                 yield p
             elif p in on_way:
                 yield from beside(p)
-            elif p.density >= least and p.chars or before and p.name in HEADINGS and 2 * p.link_chars < p.chars:
+            elif dense(p) or before and p.name in HEADINGS and 2 * p.link_chars < p.chars:
                 yield p
             before = before and p not in on_way
 
