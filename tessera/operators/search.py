@@ -36,6 +36,11 @@ def vector_top(vectors: DataFrame, query: Sequence[float], n: int, id_col: str =
     return rows.orderBy("distance", id_col).limit(n)
 
 
+def plain_words(text: Column) -> Column:
+    """Lower-case words with single spaces between them."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
+
+
 def trigram_codes(plain: str) -> np.ndarray:
     """Distinct trigrams of words that single spaces part, each padded by two spaces before and one after, as sorted numbers of 63 bits."""
     c = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -51,8 +56,7 @@ def trigram_scores(chunks: DataFrame, query: str) -> DataFrame:
     As ``text.similarity`` of ``text.trigrams``, which make an object for every trigram; here
     a chunk's are numbers in one array.
     """
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")
-    known = trigram_codes(chunks.sparkSession.range(1).select(plain(F.lit(query))).first()[0])
+    known = trigram_codes(chunks.sparkSession.range(1).select(plain_words(F.lit(query))).first()[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,7 +68,7 @@ def trigram_scores(chunks: DataFrame, query: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], [*b.schema.names[:-1], "similarity"])
 
     schema = T_.StructType([*chunks.schema.fields, T_.StructField("similarity", T_.DoubleType())])
-    return chunks.withColumn("_plain", plain(F.col("content"))).mapInArrow(run, schema)
+    return chunks.withColumn("_plain", plain_words(F.col("content"))).mapInArrow(run, schema)
 
 
 def trigram_top(chunks: DataFrame, query: str, n: int, least: float = 1e-6) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import chunking, evidence, graph, search, vector_index
+from tessera.operators import chunking, evidence, graph, search, trigram_index, vector_index
 from tessera.plans.registry import query
 
 #: Search text of the hybrid queries: a passage of the benchmark.
@@ -53,11 +53,20 @@ def exact_dedupe(t):
 
 
 @query("trigram_similarity_benchmark", f"""WITH p AS (SELECT a.item_id AS a_id, b.item_id AS b_id, {TRIGRAMS.format('a.text')} AS a, {TRIGRAMS.format('b.text')} AS b FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id)
-    SELECT a_id, b_id, round({SIMILARITY}, 6) AS similarity FROM p""")
+    SELECT a_id, b_id, round({SIMILARITY}, 6) AS similarity FROM p WHERE {SIMILARITY} > 0.000001""")
 def trigram_similarity_benchmark(t):
-    sets = t("benchmark").select("item_id", T.trigrams(F.col("text")).alias("s"))
-    a, b = sets.toDF("a_id", "a"), sets.toDF("b_id", "b")
-    return a.join(b, F.col("a_id") < F.col("b_id")).select("a_id", "b_id", F.round(T.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    index = trigram_index.TrigramIndex.build(t("benchmark").select(F.col("item_id").alias("key"), "text"))
+    return index.pairs().withColumn("similarity", F.round("similarity", 6))
+
+
+@query("trigram_index_topk", f"""WITH chunks AS ({CHUNKS}), c AS MATERIALIZED (SELECT doc_id * 100000 + chunk_number AS key, {TRIGRAMS.format('content')} AS a FROM chunks), q AS MATERIALIZED (SELECT item_id AS q, {TRIGRAMS.format('text')} AS b FROM benchmark),
+    s AS (SELECT q, key, {SIMILARITY} AS similarity FROM c, q)
+    SELECT q, key, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY q ORDER BY similarity DESC, key) AS INTEGER) AS rank FROM s WHERE similarity > 0.000001 QUALIFY rank <= 12""")
+def trigram_index_topk(t):
+    """The chunks most like each item of ``benchmark``, for all items at once."""
+    keyed = chunking.chunk(t("documents")).select((F.col("doc_id") * 100_000 + F.col("chunk_number")).alias("key"), F.col("content").alias("text"))
+    found = trigram_index.TrigramIndex.build(keyed).top(t("benchmark").select(F.col("item_id").alias("q"), "text"), 12)
+    return found.select("q", "key", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query("trigram_topk", f"WITH chunks AS ({CHUNKS}) SELECT doc_id, chunk_number, round(similarity, 6) AS similarity FROM ({TRIGRAM_LEG})")
@@ -148,11 +157,12 @@ def vector_memory_topk(t):
 
 
 @query("lexical_salience_pairs", r"""WITH s AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 3)) AS w FROM benchmark)
-    SELECT a.item_id AS a_id, b.item_id AS b_id, round(CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w)) / greatest(1, sqrt(len(a.w)) * sqrt(len(b.w))) ELSE 0 END, 6) AS overlap FROM s a JOIN s b ON a.item_id < b.item_id""")
+    SELECT a.item_id AS a_id, b.item_id AS b_id, round(len(list_intersect(a.w, b.w)) / greatest(1, sqrt(len(a.w)) * sqrt(len(b.w))), 6) AS overlap FROM s a JOIN s b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) > 0""")
 def lexical_salience_pairs(t):
-    b = t("benchmark").select("item_id", "text")
-    x, y = b.toDF("a_id", "a"), b.toDF("b_id", "b")
-    return x.join(y, F.col("a_id") < F.col("b_id")).select("a_id", "b_id", F.round(T.lexical_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
+    """Texts meet in the words they share."""
+    words = t("benchmark").select("item_id", T.lexical_words(F.col("text")).alias("w")).select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    both = words.toDF("a_id", "m", "word").join(words.toDF("b_id", "n", "word"), "word").where("a_id < b_id").groupBy("a_id", "b_id").agg(F.count("*").alias("met"), F.max("m").alias("m"), F.max("n").alias("n"))
+    return both.select("a_id", "b_id", F.round(F.col("met") / F.greatest(F.lit(1.0), F.sqrt("m") * F.sqrt("n")), 6).alias("overlap"))
 
 
 @query("text_measures", r"""SELECT doc_id, greatest(1, length(text) // 4) AS tokens, CAST(CAST(regexp_matches(text, '\[[0-9]+\]') AS INTEGER) * 0.15 + CAST(regexp_matches(text, '(^|[^A-Za-z0-9_])10\.[0-9]{4,}/[^ \t\r\n]') OR contains(lower(text), 'doi:') AS INTEGER) * 0.2
