@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
 from tessera.streaming import events as S
+from tessera.streaming import timers
 
 
 @query("stream_latest_status", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS at, count(*) AS n FROM events GROUP BY user_id")
@@ -72,3 +73,28 @@ def stream_call_pieces(t):
 def stream_current_work(t):
     e = t("events").where("event_type <> 'error'").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"))
     return S.current(e, e)
+
+
+@query("stream_requeued_jobs", """WITH RECURSIVE a AS MATERIALIZED (SELECT DISTINCT user_id, event_type AS c, epoch_us(ts) // 1000 AS ms FROM events), q AS (SELECT *, lead(ms) OVER (PARTITION BY user_id, c ORDER BY ms) AS nxt FROM a),
+    j(user_id, c, ms, nxt, f) AS (SELECT user_id, c, ms, nxt, ms + 21600000 FROM q
+        UNION ALL SELECT user_id, c, ms, nxt, f + 21600000 FROM j WHERE (nxt IS NULL OR f < nxt) AND EXISTS (SELECT 1 FROM a WHERE a.user_id = j.user_id AND a.ms > f - 21600000 AND a.ms <= f))
+    SELECT user_id, c AS conversation, make_timestamp(ms * 1000) AS seen_at, make_timestamp(f * 1000) AS fired_at FROM j
+    WHERE (nxt IS NULL OR f < nxt) AND NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = j.user_id AND a.ms > f - 21600000 AND a.ms <= f)""")
+def stream_requeued_jobs(t):
+    return timers.idle_jobs(t("events").select("user_id", F.col("event_type").alias("conversation"), "ts"), 21_600).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("seen_at", "fired_at")})
+
+
+@query("stream_lookups", """WITH e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ms, event_id % 3 = 0 AS put, CAST(event_id AS VARCHAR) AS value FROM events),
+    l AS (SELECT *, last_value(CASE WHEN put THEN struct_pack(value := value, ms := ms) END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ms, NOT put, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM e)
+    SELECT key, make_timestamp(ms * 1000) AS at, CASE WHEN held.ms + 86400000 > ms THEN held.value END AS value, coalesce(held.ms + 86400000 > ms, false) AS hit FROM l WHERE NOT put""")
+def stream_lookups(t):
+    rows = t("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("value"), (F.col("event_id") % 3 == 0).alias("put"), "ts")
+    return timers.lookups(rows, 86_400).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("stream_turns", """WITH e AS (SELECT conv_id, min(turn) AS ending FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+    SELECT conv_id AS message_id, string_agg(text, '' ORDER BY turn) AS text, count(*) AS n_pieces FROM conversations JOIN e USING (conv_id) WHERE turn <= ending GROUP BY conv_id, ending HAVING count(*) = ending + 1""")
+def stream_turns(t):
+    """Turns stand for pieces; the first of the assistant ends a message."""
+    ts = F.timestamp_seconds(F.col("turn") + 1_700_000_000)
+    return timers.turns(t("conversations").select(F.col("conv_id").alias("message_id"), F.col("turn").alias("seq"), F.col("text").alias("piece"), (F.col("role") == "assistant").alias("last"), ts.alias("ts")))
