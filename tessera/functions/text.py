@@ -83,11 +83,11 @@ def citation_boost(text: Column) -> Column:
 
 
 def first_sentence(text: Column, most: int = 260) -> Column:
-    """Up to the first ``.``, ``!`` or ``?`` before white space or the end, cut to ``most`` characters with dots."""
+    """Up to the first ``.``, ``!`` or ``?`` before white space or the end; a longer one is cut to ``most`` characters with dots after them."""
     one = squeeze(text)
     head = F.regexp_extract(one, r"^(.+?[.!?])( |$)", 1)
     head = F.when(head == "", one).otherwise(head)
-    return F.when(F.length(head) > most, F.concat(F.rtrim(F.substring(head, 1, most - 3)), F.lit("..."))).otherwise(head)
+    return F.when(F.length(head) > most, F.concat(F.rtrim(F.substring(head, 1, most)), F.lit("..."))).otherwise(head)
 
 
 def unhyphenate(text: Column) -> Column:
@@ -95,11 +95,17 @@ def unhyphenate(text: Column) -> Column:
     return F.regexp_replace(text, r"([A-Za-z])-[ \t\r\n]+([A-Za-z])", "$1$2")
 
 
+#: Names of which a useful sentence holds at most one.
+BENCHMARK_NAMES = ("mmlu", "bbh", "gsm8k", "triviaqa", "humaneval", "mbpp", "cmath")
+
+
 def useful_sentence(text: Column) -> Column:
-    """At least 10 words and 40 letters, at most 8 % digits and 45 % capitals among its letters."""
-    one = squeeze(text)
-    letters, digits, caps = (F.regexp_count(one, F.lit(p)) for p in ("[A-Za-z]", "[0-9]", "[A-Z]"))
-    return (F.size(F.split(one, " ")) >= 10) & (letters >= 40) & (digits <= 0.08 * F.length(one)) & (caps <= 0.45 * letters)
+    """Begins with a capital, a double quote or a bracket; at least 10 words and 40 letters, at most 8 % digits and 45 % capitals among its letters; at most one of the benchmarks' names."""
+    one = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    count = lambda p: F.regexp_count(one, F.lit(p))
+    named = sum((F.contains(F.lower(one), F.lit(n)).cast("int") for n in BENCHMARK_NAMES), F.lit(0))
+    letters = count("[A-Za-z]")
+    return one.rlike('^[A-Z"(]') & (count("[A-Za-z0-9]+") >= 10) & (letters >= 40) & (count("[0-9]") <= 0.08 * F.length(one)) & (count("[A-Z]") <= 0.45 * letters) & (named < 2)
 
 
 def snippet(text: Column, most: int = 420) -> Column:
@@ -133,9 +139,14 @@ def title_key(text: Column) -> Column:
 
 
 def conversation_title(text: Column) -> Column:
-    """The first eight words, without closing punctuation, first letter upper-case; ``New conversation`` without words."""
-    some = F.regexp_replace(F.array_join(F.slice(F.split(squeeze(text), " "), 1, 8), " "), r"[.,;:!? ]+$", "")
-    return F.when(some == "", "New conversation").otherwise(F.concat(F.upper(F.substring(some, 1, 1)), F.substring(some, F.lit(2), F.length(some))))
+    """The first eight words without quotes, stars and punctuation around them, first letter upper-case, dots where there are more; ``Conversation`` without words."""
+    one = squeeze(F.coalesce(text, F.lit("")))
+    for mark in ('"', "'", r"\*"):
+        one = F.regexp_replace(one, f"^{mark}+|{mark}+$", "")
+    one = F.regexp_replace(F.trim(one), r"^[.,:;!? -]+|[.,:;!? -]+$", "")
+    words = F.split(one, " ")
+    some = F.concat(F.array_join(F.slice(words, 1, 8), " "), F.when(F.size(words) > 8, "...").otherwise(""))
+    return F.when(one == "", "Conversation").otherwise(F.concat(F.upper(F.substring(some, 1, 1)), F.substring(some, F.lit(2), F.length(some))))
 
 
 def visible(text: Column) -> Column:

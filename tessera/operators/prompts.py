@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.speech import is_evidence
 
 #: Tokens of a prompt and of a message besides their text; share, least and most of the guard and of the estimator's pad.
 PROMPT_TOKENS, MESSAGE_TOKENS = 12, 6
@@ -35,12 +36,6 @@ def reserve(limit: Column) -> tuple[Column, Column]:
     return part(GUARD), part(PAD)
 
 
-def is_evidence(role: Column, text: Column) -> Column:
-    """Whether a message holds a tool's result: a user's turn whose first line says so."""
-    line = F.substring_index(F.substring(F.regexp_replace(text, r"^\s+", ""), 1, 160), "\n", 1)
-    return (role == "user") & ((F.startswith(line, F.lit("Tool ")) & F.contains(line, F.lit("result:"))) | F.startswith(line, F.lit("Tool:")))
-
-
 def pinned(messages: DataFrame, last: int = 2) -> DataFrame:
     """Turns (conv_id, turn, role, text, has_calls) kept whatever the budget: conv_id, turn, pinned.
 
@@ -62,9 +57,14 @@ def pinned(messages: DataFrame, last: int = 2) -> DataFrame:
 def dedupe_headers(messages: DataFrame) -> DataFrame:
     """Neighbouring tools' results (conv_id, turn, role, text) without the first 2 to 16 lines that they share with the one before, as that one was left: conv_id, turn, text.
 
-    What a turn loses depends on what the turn before it lost, so this is a fold over each conversation.
+    A turn that no longer begins with a tool's header is no result to the next one. What a turn
+    loses depends on what the turn before it lost, so this is a fold over each conversation.
     """
 
+    def headed(text: str) -> bool:
+        line = text.lstrip()[:160].split("\n", 1)[0]
+        return line.startswith("Tool:") or line.startswith("Tool ") and "result:" in line
+
     def fold(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("turn")
         texts, flags = list(batch["text"]), list(batch["evidence"])
@@ -74,7 +74,7 @@ def dedupe_headers(messages: DataFrame) -> DataFrame:
                 same = next((k for k, (x, y) in enumerate(zip(above, here)) if x != y), min(len(above), len(here)))
                 if same >= HEADER_LINES[0]:
                     texts[i] = "\n".join(here[min(same, HEADER_LINES[1]) :])
-                    flags[i] = texts[i].lstrip().startswith("Tool")
+                    flags[i] = headed(texts[i])
         return pd.DataFrame({"conv_id": batch["conv_id"], "turn": batch["turn"], "text": texts})
 
     rows = messages.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(is_evidence(F.col("role"), F.col("text")), F.lit(False)).alias("evidence"))

@@ -8,6 +8,7 @@ from tessera.functions import text as T
 from tessera.operators import conversation as C
 from tessera.operators import graph
 from tessera.plans.registry import query
+from tessera.plans.rules import squeezed
 from tessera.sources import sinks
 
 
@@ -47,20 +48,25 @@ def last_user_message(t):
     return C.last_user(t("conversations"))
 
 
-@query("conversation_titles", r"""WITH f AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id),
-    s AS (SELECT conv_id, regexp_replace(array_to_string(string_split(trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')), ' ')[1:8], ' '), '[.,;:!? ]+$', '') AS s FROM f)
-    SELECT conv_id, CASE WHEN s = '' THEN 'New conversation' ELSE upper(substring(s, 1, 1)) || substring(s, 2) END AS title FROM s""")
+@query("conversation_titles", f"""WITH f AS (SELECT conv_id, trim(trim(trim(trim({squeezed("arg_min(text, turn)")}, '"'), chr(39)), '*')) AS s FROM conversations WHERE role = 'user' GROUP BY conv_id),
+    w AS (SELECT conv_id, string_split(trim(s, '.,:;!?- '), ' ') AS w FROM f), t AS (SELECT conv_id, array_to_string(w[1:8], ' ') || CASE WHEN len(w) > 8 THEN '...' ELSE '' END AS t FROM w)
+    SELECT conv_id, CASE WHEN t = '' THEN 'Conversation' ELSE upper(t[1]) || t[2:] END AS title FROM t""")
 def conversation_titles(t):
     return C.titles(t("conversations"))
 
 
-@query("message_salience", r"""WITH l AS (SELECT conv_id, arg_max(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id),
+#: Every third turn of a user holds a tool's result.
+RESULTS = "SELECT conv_id, turn, role, CASE WHEN role = 'user' AND turn % 3 = 2 THEN concat('Tool vector_search result: ', text) ELSE text END AS text FROM conversations"
+
+
+@query("message_salience", "WITH m AS (" + RESULTS + r"""), l AS (SELECT conv_id, trim(arg_max(text, turn)) AS q FROM m WHERE role = 'user' AND NOT starts_with(text, 'Tool vector_search result:') GROUP BY conv_id HAVING q <> ''),
     w AS (SELECT conv_id, turn, text, list_distinct(list_filter(regexp_split_to_array(lower(q), '[^a-z]+'), lambda x: length(x) >= 3)) AS a, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 3)) AS b,
-        row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations JOIN l USING (conv_id))
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM m JOIN l USING (conv_id))
     SELECT conv_id, turn, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / greatest(1, sqrt(len(a)) * sqrt(len(b))) ELSE 0 END + CAST(regexp_matches(text, '\[[0-9]+\]') AS INTEGER) * 0.15
         + CAST(regexp_matches(text, '(^|[^A-Za-z0-9_])10\.[0-9]{4,}/[^ \t\r\n]') OR contains(lower(text), 'doi:') AS INTEGER) * 0.2 + CAST(regexp_matches(text, '(^|[^A-Za-z0-9_])(19|20)[0-9]{2}([^A-Za-z0-9_]|$)') AS INTEGER) * 0.05 + i / n * 0.02, 6) AS salience FROM w""")
 def message_salience(t):
-    return C.salience(t("conversations"))
+    said = F.when((F.col("role") == "user") & (F.col("turn") % 3 == 2), F.concat(F.lit("Tool vector_search result: "), "text")).otherwise(F.col("text"))
+    return C.salience(t("conversations").select("conv_id", "turn", "role", said.alias("text")))
 
 
 @query("turn_groups", "SELECT conv_id, turn, role, CAST(sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS group_no FROM conversations")

@@ -8,6 +8,7 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import chunking, evidence, graph, search, trigram_index, vector_index
 from tessera.plans.registry import query
+from tessera.plans.rules import first_sentence, squeezed, useful
 
 #: Search text of the hybrid queries: a passage of the benchmark.
 QUESTION = "That and onesen erblest it hein ti inenan eranenes whou therouou"
@@ -166,16 +167,13 @@ def lexical_salience_pairs(t):
 
 
 @query("text_measures", r"""SELECT doc_id, greatest(1, length(text) // 4) AS tokens, CAST(CAST(regexp_matches(text, '\[[0-9]+\]') AS INTEGER) * 0.15 + CAST(regexp_matches(text, '(^|[^A-Za-z0-9_])10\.[0-9]{4,}/[^ \t\r\n]') OR contains(lower(text), 'doi:') AS INTEGER) * 0.2
-    + CAST(regexp_matches(text, '(^|[^A-Za-z0-9_])(19|20)[0-9]{2}([^A-Za-z0-9_]|$)') AS INTEGER) * 0.05 AS DOUBLE) AS boost, len(string_split(trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')), ' ')) >= 10 AND len(regexp_extract_all(text, '[A-Za-z]')) >= 40
-    AND len(regexp_extract_all(text, '[0-9]')) <= 0.08 * length(trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g'))) AND len(regexp_extract_all(text, '[A-Z]')) <= 0.45 * len(regexp_extract_all(text, '[A-Za-z]')) AS useful FROM documents""")
+    + CAST(regexp_matches(text, '(^|[^A-Za-z0-9_])(19|20)[0-9]{2}([^A-Za-z0-9_]|$)') AS INTEGER) * 0.05 AS DOUBLE) AS boost, """ + useful("trim(text, ' ' || chr(9) || chr(10) || chr(13))") + " AS useful FROM documents")
 def text_measures(t):
     c = F.col("text")
     return t("documents").select("doc_id", T.token_estimate(c).alias("tokens"), F.round(T.citation_boost(c), 2).alias("boost"), T.useful_sentence(c).alias("useful"))
 
 
-@query("text_first_sentence", r"""WITH s AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')) AS one FROM documents),
-    h AS (SELECT doc_id, CASE WHEN regexp_extract(one, '^(.+?[.!?])( |$)', 1) = '' THEN one ELSE regexp_extract(one, '^(.+?[.!?])( |$)', 1) END AS head FROM s)
-    SELECT doc_id, CASE WHEN length(head) > 260 THEN rtrim(substring(head, 1, 257)) || '...' ELSE head END AS head FROM h""")
+@query("text_first_sentence", f"SELECT doc_id, {first_sentence('one', 260)} AS head FROM (SELECT doc_id, {squeezed('text')} AS one FROM documents)")
 def text_first_sentence(t):
     return t("documents").select("doc_id", T.first_sentence(F.col("text")).alias("head"))
 
@@ -203,7 +201,7 @@ def evidence_packet(t):
 
 @query("answer_summary", r"""WITH d AS (SELECT doc_id, doc_id % 11 AS query_id, row_number() OVER (PARTITION BY doc_id % 11 ORDER BY doc_id) AS position, trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')) AS one FROM documents),
     h AS (SELECT *, CASE WHEN regexp_extract(one, '^(.+?[.!?])( |$)', 1) = '' THEN one ELSE regexp_extract(one, '^(.+?[.!?])( |$)', 1) END AS head FROM d),
-    p AS (SELECT query_id, position, '- ' || CASE WHEN length(head) > 240 THEN rtrim(substring(head, 1, 237)) || '...' ELSE head END || ' [doc:' || doc_id || ' chunk:0]' AS point FROM h),
+    p AS (SELECT query_id, position, '- ' || CASE WHEN length(head) > 240 THEN rtrim(substring(head, 1, 240)) || '...' ELSE head END || ' [doc:' || doc_id || ' chunk:0]' AS point FROM h),
     u AS (SELECT query_id, point, min(position) AS position FROM p GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS n FROM u)
     SELECT query_id, string_agg(point, chr(10) ORDER BY position) AS summary FROM n WHERE n <= 5 GROUP BY query_id""")
 def answer_summary(t):

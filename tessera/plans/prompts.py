@@ -10,6 +10,7 @@ from tessera.operators import prompts as P
 from tessera.plans.conversations import sql_word
 from tessera.operators import conversation as C
 from tessera.plans.registry import query
+from tessera.plans.rules import snippets
 
 TOKENS = "greatest(1, length({}) // 4)"
 #: Turns with tools' results among them, by their length.
@@ -41,7 +42,8 @@ def pinned_results(t):
 
 @query("header_dedupe", None)
 def header_dedupe(t):
-    return P.dedupe_headers(tooled(t).withColumn("conv_id", F.col("conv_id") % 50).withColumn("turn", F.col("turn") * 10_000 + F.xxhash64("text") % 1000))
+    """Turns of users alone, so that tools' results stand side by side."""
+    return P.dedupe_headers(tooled(t).where("role = 'user'"))
 
 
 @query("text_shortening", r"""WITH d AS (SELECT doc_id, regexp_replace(text, '\. ', '.' || repeat(chr(10), CAST(1 + doc_id % 5 AS INTEGER)), 'g') AS t FROM documents), s AS (SELECT doc_id, t, regexp_split_to_array(regexp_replace(trim(t, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM d)
@@ -96,11 +98,6 @@ def evaluation_tally(t):
     return evaluation.tally(t("labels").select((F.col("quality") == 1).alias("passed")))
 
 
-@query("evidence_snippets", r"""WITH o AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '([A-Za-z])-[ \t\r\n]+([A-Za-z])', '\1\2', 'g'), '[ \t\r\n\f\v]+', ' ', 'g')) AS one FROM documents), p AS (SELECT *, string_split(regexp_replace(one, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS p FROM o),
-    g AS (SELECT *, list_filter(p, lambda s: len(string_split(trim(s), ' ')) >= 10 AND len(regexp_extract_all(s, '[A-Za-z]')) >= 40 AND len(regexp_extract_all(s, '[0-9]')) <= 0.08 * length(trim(s)) AND len(regexp_extract_all(s, '[A-Z]')) <= 0.45 * len(regexp_extract_all(s, '[A-Za-z]'))) AS g,
-        CASE WHEN regexp_extract(one, '^(.+?[.!?])( |$)', 1) = '' THEN one ELSE regexp_extract(one, '^(.+?[.!?])( |$)', 1) END AS h FROM p),
-    f AS (SELECT *, CASE WHEN length(h) > 420 THEN rtrim(substring(h, 1, 417)) || '...' ELSE h END AS f FROM g),
-    s AS (SELECT doc_id, CASE WHEN len(g) > 0 THEN CASE WHEN length(g[1]) >= 420 THEN g[1] ELSE array_to_string(g[1:2], ' ') END WHEN len(string_split(f, ' ')) >= 10 AND len(regexp_extract_all(f, '[A-Za-z]')) >= 40 AND len(regexp_extract_all(f, '[0-9]')) <= 0.08 * length(f) AND len(regexp_extract_all(f, '[A-Z]')) <= 0.45 * len(regexp_extract_all(f, '[A-Za-z]')) THEN f ELSE '' END AS s FROM f)
-    SELECT doc_id, CASE WHEN length(s) > 420 THEN rtrim(substring(s, 1, 420)) || '...' ELSE s END AS snippet FROM s""")
+@query("evidence_snippets", f"WITH {snippets('documents')} SELECT doc_id, snippet FROM snippet")
 def evidence_snippets(t):
     return t("documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
