@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import conversation as C
-from tessera.operators import graph
+from tessera.operators import continuation, graph
 from tessera.plans.registry import query
 from tessera.plans.rules import squeezed
 from tessera.sources import sinks
@@ -167,12 +167,11 @@ CONTINUATION = f"""WITH p AS ({PARTS}), a AS (SELECT *, ltrim(following, chr(13)
     SELECT id, md5(rest) AS rest, CASE WHEN previous = '' OR regexp_matches(previous, '[\\n ]$') OR regexp_matches(previous, '!\\[[^\\]]*\\]\\([^)]*$') OR regexp_matches(rest, '^[)\\]/.,:;!?]') OR regexp_matches(previous, '[&*(\\[{{—-]\\s*$') OR len(regexp_extract_all(previous, '\\*\\*')) % 2 = 1 THEN '' ELSE chr(10) END AS separator FROM g"""
 
 
-@query("continuation_merge_all", CONTINUATION)
 @query("continuation_merge", CONTINUATION)
 def continuation_merge(t):
     d = t("documents").where("text IS NOT NULL").selectExpr("doc_id AS id", "text", "int(length(text) - least(length(text) div 2, 20 + doc_id % 400)) AS m")
     parts = d.selectExpr("id", "substring(text, 1, m) AS previous", "substring(text, m - int(least(m, id % 7 * (id % 31))) + 1) AS following")
-    return C.continue_text(parts).select("id", F.md5("rest").alias("rest"), "separator")
+    return continuation.continue_text(parts).select("id", F.md5("rest").alias("rest"), "separator")
 
 
 FACT = r"""trim(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace({}, '[ \t\r\n\f\v]+', ' ', 'g')), '(?i)^(please )?remember( this)?( going forward)? ?[:,-]? ?', '')), '(?i)^that ', '')), ' "''')"""

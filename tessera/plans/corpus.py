@@ -192,7 +192,6 @@ EVIDENCE = f"""WITH chunks AS ({CHUNKS}), r AS (SELECT doc_id % 7 AS query_id, d
     SELECT query_id, list('[doc:' || doc_id || ' chunk:' || chunk_number || ']' ORDER BY position) AS citation_tokens, list_sort(list(DISTINCT doc_id)) AS doc_ids, count(*) AS n_chunks FROM b GROUP BY query_id"""
 
 
-@query("evidence_packet_all", EVIDENCE)
 @query("evidence_packet", EVIDENCE)
 def evidence_packet(t):
     r = chunking.chunk(t("documents")).select((F.col("doc_id") % 7).alias("query_id"), "doc_id", "chunk_number", "content")

@@ -74,11 +74,6 @@ def access_mirror(t):
     return access.mirror(g.where("collection_id = 101"), g.where("collection_id = 102")).select("user_id", "want", "have", "change")
 
 
-#: The same queries under the names that they had while the others read part of the grants.
-for of in (access_direct, access_inherited, access_source, access_owner, access_latest_grant, access_documents, access_viewers_only, access_mirror):
-    query(f"{of.__name__}_all", ORACLES[of.__name__])(of)
-
-
 @query("tree_paths", f"""WITH RECURSIVE tree AS ({TREE}), {UP} SELECT up.id, string_agg(t.name, '/' ORDER BY depth DESC) AS path, max(depth) AS depth FROM up JOIN tree t ON t.id = up.ancestor_id GROUP BY up.id""")
 def tree_paths(t):
     return access.paths(tree(t))

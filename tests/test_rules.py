@@ -1,5 +1,6 @@
 """Rules by hand-made cases and against plain loops."""
 
+import json
 import random
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import speech as S
 from tessera.functions import text as T
 from tessera.functions import toolcalls, vectors
-from tessera.operators import access, anchors, citations, conversation, documents, evaluation, graph, images, memory, prompts, reranking, search
+from tessera.operators import access, anchors, citations, continuation, conversation, documents, evaluation, graph, images, memory, prompts, reranking, search
 from tessera import skills
 from tessera.sources import arxiv, media, sinks
 from tessera.streaming import events
@@ -51,17 +52,22 @@ def test_exact_terms(spark):
     assert search.exact_terms(spark, queries[0]) == got[0]
 
 
-def test_continuations():
-    c = conversation
-    assert c.trimmed("the quick brown fox", "quick brown fox jumps") == " jumps"
-    assert c.trimmed("abc", "xyz") == "xyz" and c.trimmed("", "xyz") == "xyz" and c.trimmed("abcdef", "\nabc") == ""
-    assert c.trimmed("it ends so", "so it goes") == "so it goes"  # two characters are no overlap
-    long = "".join(random.Random(1).choices("abcdefgh", k=900))
-    assert c.trimmed("x " + long[:650], long[200:]) == long[650:]  # 450 characters
-    assert c.trimmed("Shared beginning of both answers, first.", "Shared beginning of both answers, second.") == "second."
-    assert [c.separator(p, f) for p, f in (("a", "b"), ("a ", "b"), ("a", ", b"), ("a (", "b"), ("**a", "b"), ("![x](y", "b"), ("", "b"))] == ["\n", "", "", "", "", "", ""]
-    assert c.joined("grew by 12%", "12% in May") == "grew by 12%\n in May" and c.joined("one.", "Two.") == "one.\nTwo."
-    assert c.joined("it was 5% ", "5%5% more") == "it was 5% 5% more"
+LONG = "".join(random.Random(1).choices("abcdefgh", k=900))
+#: Earlier text, what follows, what it adds, and what comes between.
+CONTINUED = [
+    ("the quick brown fox", "quick brown fox jumps", " jumps", "\n"), ("abc", "xyz", "xyz", "\n"), ("", "xyz", "xyz", ""), ("abcdef", "\nabc", "", "\n"), ("it ends so", "so it goes", "so it goes", "\n"),
+    ("x " + LONG[:650], LONG[200:], LONG[650:], "\n"), ("Shared beginning of both answers, first.", "Shared beginning of both answers, second.", "second.", "\n"),
+    ("a", "b", "b", "\n"), ("a ", "b", "b", ""), ("a", ", b", ", b", ""), ("a (", "b", "b", ""), ("**a", "b", "b", ""), ("![x](y", "b", "b", ""), ("a —", "b", "b", ""), ("abc", "abc and more", " and more", "\n"), (None, None, "", ""), ("é😀x", "é😀xy", "y", "\n"),
+]
+
+
+def test_continuations(spark):
+    """An overlap of two characters is none, one of 450 is."""
+    rows = spark.createDataFrame([(i, p, f) for i, (p, f, _, _) in enumerate(CONTINUED)], "id long, previous string, following string")
+    got = {r.id: (r.rest, r.separator) for r in continuation.continue_text(rows).collect()}
+    assert [got[i] for i in range(len(CONTINUED))] == [c[2:] for c in CONTINUED]
+    seams = spark.createDataFrame([(1, "grew by 12%", "12% in May"), (2, "one.", "Two."), (3, "it was 5% ", "5%5% more"), (4, "", "x"), (5, "x" * 100 + " 7%", " 7%7%7% and 7%")], "id long, previous string, following string")
+    assert {r.id: r.merged for r in continuation.continue_text(seams).collect()} == {1: "grew by 12%\n in May", 2: "one.\nTwo.", 3: "it was 5% 5% more", 4: "x", 5: "x" * 100 + " 7%\n7%7% and 7%".replace("7%7%", "7%")}
 
 
 def stops(calls, limit, limits, repeats, idle, units, weights):
@@ -152,14 +158,16 @@ def test_what_is_shown(spark):
     assert each(spark, S.streamed, ["Let me explain", '{"name": "x"', "The answer", "<tool_call>a"]) == ["", "", "The answer", "a"]
 
 
-def test_calls_in_text():
+def test_calls_in_text(spark):
     tools = ("vector_search", "whole_document")
-    got = lambda t: toolcalls.recovered(t, tools)
-    assert got('{"name": "vector_search", "arguments": {"q": "a}"}}') == ("vector_search", {"q": "a}"})
-    assert got('so ```json\n{"tool_name": "whole_document", "args": {"d": 1}}\n``` ok') == ("whole_document", {"d": 1})
-    assert got("<function_call>{\"vector_search\": {\"q\": 1}}</function_call>") == ("vector_search", {"q": 1})
-    assert got("<vector_search>{\"q\": 2}</vector_search>") == ("vector_search", {"q": 2})
-    assert got('{"name": "other", "arguments": {}}') is None and got("none") is None and got(None) is None
+    texts = [
+        '{"name": "vector_search", "arguments": {"q": "a}"}}', 'so ```json\n{"tool_name": "whole_document", "args": {"d": 1}}\n``` ok', '<function_call>{"vector_search": {"q": 1}}</function_call>', '<vector_search>{"q": 2}</vector_search>',
+        '{"name": "other", "arguments": {}}', "none", None, 'I call {"name": "", "tool_name": "vector_search", "arguments": null, "parameters": {"q": "{"}} now {', '{"name": "vector_search", "arguments": "text"}', "<whole_document>no object</whole_document>",
+        '{"vector_search": 5}', '{"name": "vector_search"', "<tool_call>{}</tool_call> ```{\"whole_document\": {\"b\": 1, \"a\": [2]}}```",
+    ]
+    got = [None if r is None else (r["name"], json.loads(r["arguments"])) for r in each(spark, lambda c: toolcalls.call(c, tools), texts)]
+    search = lambda **a: ("vector_search", a)
+    assert got == [search(q="a}"), ("whole_document", {"d": 1}), search(q=1), search(q=2), None, None, None, search(q="{"), search(), ("whole_document", {}), None, None, ("whole_document", {"a": [2], "b": 1})]
     assert toolcalls.first_object('a } {"b": "\\"}"} {') == '{"b": "\\"}"}' and toolcalls.first_object('{"a": "x}') is None and toolcalls.first_object("{ {}") is None
 
 

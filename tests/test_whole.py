@@ -8,10 +8,10 @@ from tessera.operators import evidence
 from tests.test_queries import DATA, rows, sql  # noqa: F401
 
 
-ACCESS = [f"access_{x}_all" for x in ("direct", "inherited", "source", "owner", "latest_grant", "documents", "viewers_only", "mirror")]
+ACCESS = [f"access_{x}" for x in ("direct", "inherited", "source", "owner", "latest_grant", "documents", "viewers_only", "mirror")]
 
 
-@pytest.mark.parametrize("name", ["evidence_packet_all", *ACCESS, "continuation_merge_all"])
+@pytest.mark.parametrize("name", ["evidence_packet", *ACCESS, "continuation_merge"])
 def test_whole_query(spark, sql, name):  # noqa: F811
     got, want = plans.QUERIES[name](spark, DATA).toPandas(), sql.sql(plans.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -19,7 +19,7 @@ def test_whole_query(spark, sql, name):  # noqa: F811
 
 
 def test_evidence_packet_reads_all_documents(spark):
-    docs = {d for r in plans.QUERIES["evidence_packet_all"](spark, DATA).collect() for d in r.doc_ids}
+    docs = {d for r in plans.QUERIES["evidence_packet"](spark, DATA).collect() for d in r.doc_ids}
     assert max(docs) >= 400
 
 
@@ -32,7 +32,7 @@ def test_fill_equals_budget_of_interleaved(spark, tokens):
 
 
 def test_grants_of_all_customers(spark):
-    got = plans.QUERIES["access_latest_grant_all"](spark, DATA)
+    got = plans.QUERIES["access_latest_grant"](spark, DATA)
     assert got.agg(F.max("grant_id")).first()[0] == spark.read.parquet(f"{DATA}/customer.parquet").agg(F.max("c_custkey")).first()[0] > 300
     assert not any("c_custkey <= 300" in plans.ORACLES[name] for name in ACCESS)
 
