@@ -144,7 +144,11 @@ def skills(collections: DataFrame, documents: DataFrame, selected: DataFrame, mo
     text_doc = F.col("is_text") | F.endswith(F.lower(F.trim("title")), F.lit(".md"))
     docs = documents.select("collection_id", "title", marked.alias("marked"), text_doc.alias("plain"), skill_text(F.col("title"), F.col("text")).alias("part")).where("part IS NOT NULL AND (marked OR plain)")
     rows = own.union(below).join(docs, "collection_id").where("CASE WHEN pack THEN plain ELSE marked END")
-    ordered = F.array_sort(F.collect_list(F.struct("phase", "name", "collection_id", "title", "part")))
+    # What begins beyond the prompt's length can't be in it, so it is left out before anything is gathered.
+    keys = ["phase", "name", "collection_id", "title", "part"]
+    before = F.coalesce(F.sum(F.length("part") + len(BETWEEN)).over(Window.partitionBy("user_id").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before).where(F.col("before") < most).withColumn("part", F.left("part", F.lit(most)))
+    ordered = F.array_sort(F.collect_list(F.struct("before", "part")))
     prompt = F.array_join(F.transform(ordered, lambda x: x["part"]), BETWEEN)
     return rows.groupBy("user_id").agg(F.rtrim(F.substring(prompt, 1, most)).alias("prompt"))
 

@@ -12,7 +12,7 @@ from tessera.plans.registry import query
 from tessera.sources import arxiv, media
 
 #: Answers as a model writes them: sentences as list items under a cited line, with code and headings between.
-ANSWER = """concat('Intro ', CASE WHEN doc_id % 3 = 0 THEN concat('[doc:', CAST(doc_id AS VARCHAR(20)), ' chunk:1]') ELSE 'plain' END, chr(10), '```', chr(10), '- code line is here', chr(10), '```', chr(10), '# - Head of all', chr(10), '  - indented claim number one', chr(10), '- ', replace(replace(substring(text, 1, 400), chr(10), ' '), '. ', concat('.', chr(10), '* ')), chr(10), '2. ends with a colon:', chr(10), '- ok [doc:', CAST(doc_id AS VARCHAR(20)), ' chunk:2] [doc:x chunk:9]')"""
+ANSWER = """concat('Intro ', CASE WHEN doc_id % 3 = 0 THEN concat('[doc:', CAST(doc_id AS VARCHAR(20)), ' chunk:1]') ELSE 'plain' END, chr(10), '```', chr(10), '- code line is here', chr(10), '```', chr(10), '# - Head of all', chr(10), '  - indented claim number one', chr(10), '- ', replace(replace(text, chr(10), ' '), '. ', concat('.', chr(10), '* ')), chr(10), '2. ends with a colon:', chr(10), '- ok [doc:', CAST(doc_id AS VARCHAR(20)), ' chunk:2] [doc:x chunk:9]')"""
 LINES = rf"""l AS (SELECT doc_id AS id, unnest(range(0, len(string_split(t, chr(10))))) AS line_no, string_split(t, chr(10)) AS p FROM (SELECT doc_id, {ANSWER} AS t FROM documents)), x AS (SELECT id, line_no, p[line_no + 1] AS raw, regexp_replace(p[line_no + 1], '^\s+|\s+$', '', 'g') AS line FROM l),
     f AS (SELECT *, sum(CAST(starts_with(line, '```') AS INTEGER)) OVER (PARTITION BY id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS n FROM x), s AS (SELECT *, NOT starts_with(line, '```') AND n % 2 = 0 AND line <> '' AND NOT regexp_matches(line, '^(#|!\[)') AS said, regexp_matches(line, '\[doc:[^\]\s]+\s+chunk:[0-9]+\]') AS cites, regexp_matches(line, '^([-*]\s+|[0-9]+\.\s+)') AS item FROM f),
     r AS (SELECT *, coalesce(last_value(CASE WHEN said AND NOT item THEN cites END IGNORE NULLS) OVER (PARTITION BY id ORDER BY line_no ROWS UNBOUNDED PRECEDING), false) AS rests FROM s),

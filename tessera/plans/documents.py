@@ -32,12 +32,12 @@ def document_lookup(t):
     return D.by_ids(unified(t).withColumn("doc_order", order), t("labels").where("toxic = 1").select("doc_id")).select("doc_id", "doc_type")
 
 
-@query("enum_filter", "SELECT event_id, event_type FROM events WHERE event_type = 'purchase' UNION ALL SELECT -event_id, event_type FROM events WHERE event_id % 50 = 0")
+@query("enum_filter", "SELECT event_id, event_type FROM events WHERE event_type = 'purchase' UNION ALL SELECT -event_id, event_type FROM events")
 def enum_filter(t):
     """A known value selects, an unknown one is ignored."""
     known = ("signup", "purchase", "error")
     e = t("events").select("event_id", "event_type")
-    every = D.where_known(e.where("event_id % 50 = 0"), "event_type", "bogus", known).select((-F.col("event_id")).alias("event_id"), "event_type")
+    every = D.where_known(e, "event_type", "bogus", known).select((-F.col("event_id")).alias("event_id"), "event_type")
     return D.where_known(e, "event_type", "purchase", known).union(every)
 
 
@@ -74,9 +74,9 @@ def document_modality(t):
     return t("documents").select("doc_id", D.modality(kind, i % 3 == 0, i % 2 == 0).alias("modality"), provider.alias("provider"))
 
 
-@query("chunk_citation", f"WITH chunks AS ({CHUNKS}) SELECT doc_id * 100 + chunk_number AS chunk_id, doc_id, '[doc:' || doc_id || ' chunk:' || (doc_id * 100 + chunk_number) || ']' AS citation FROM chunks WHERE chunk_number < 100 AND doc_id % 2 = 0")
+@query("chunk_citation", f"WITH chunks AS ({CHUNKS}) SELECT doc_id * 100000 + chunk_number AS chunk_id, doc_id, '[doc:' || doc_id || ' chunk:' || (doc_id * 100000 + chunk_number) || ']' AS citation FROM chunks WHERE doc_id % 2 = 0")
 def chunk_citation(t):
-    chunks = chunking.chunk(t("documents")).where("chunk_number < 100").select((F.col("doc_id") * 100 + F.col("chunk_number")).alias("chunk_id"), "doc_id")
+    chunks = chunking.chunk(t("documents")).select((F.col("doc_id") * 100_000 + F.col("chunk_number")).alias("chunk_id"), "doc_id")
     return D.chunk_of(chunks, chunks.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(F.col("doc_id") + 1)))
 
 
@@ -118,7 +118,7 @@ def source_pages(t):
 
 
 #: Skill documents in a tree of collections: pages of a collection by id, some named as skills, packs below.
-SKILL_DOC = """CASE doc_id % 4 WHEN 0 THEN concat('---', chr(10), 'name: Skill ', source, chr(10), 'description: About ', lang, chr(10), '---', chr(10), substring(text, 1, 80)) WHEN 1 THEN substring(text, 1, 60) WHEN 2 THEN '  ' ELSE concat('---', chr(10), 'title: T', chr(10), '---', chr(10), 'body') END"""
+SKILL_DOC = """CASE doc_id % 4 WHEN 0 THEN concat('---', chr(10), 'name: Skill ', source, chr(10), 'description: About ', lang, chr(10), '---', chr(10), text) WHEN 1 THEN text WHEN 2 THEN '  ' ELSE concat('---', chr(10), 'title: T', chr(10), '---', chr(10), 'body') END"""
 SKILL_TITLE = "CASE doc_id % 3 WHEN 0 THEN concat('docs/Fits-header skill', CAST(doc_id AS VARCHAR(20)), '.md') WHEN 1 THEN concat('notes ', CAST(doc_id AS VARCHAR(20)), ' Skill.MD') ELSE 'SKILL' END"
 
 

@@ -65,11 +65,11 @@ def preflight_trim(t):
     return P.preflight(t("conversations"), limit=900, completion=400).select("conv_id", "turn", F.md5("text").alias("text"), "max_tokens")
 
 
-@query("summary_prompt", f"""WITH e AS (SELECT conv_id, turn + 1 AS n, role AS source, substring(text, 1, 90) AS text FROM conversations WHERE turn < 8), l AS (SELECT conv_id, string_agg(n || '. [' || source || '] ' || text, chr(10) ORDER BY n) AS lines FROM e GROUP BY conv_id), u AS (SELECT conv_id, arg_max(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id)
+@query("summary_prompt", f"""WITH e AS (SELECT conv_id, turn + 1 AS n, role AS source, text FROM conversations WHERE turn < 8), l AS (SELECT conv_id, string_agg(n || '. [' || source || '] ' || text, chr(10) ORDER BY n) AS lines FROM e GROUP BY conv_id), u AS (SELECT conv_id, arg_max(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id)
     SELECT conv_id, md5('User request: ' || coalesce(nullif(trim(q), ''), 'Summarize the key points from these retrieved document excerpts.') || chr(10) || chr(10) || 'Evidence snippets:' || chr(10) || lines) AS prompt FROM l LEFT JOIN u USING (conv_id)""")
 def summary_prompt(t):
     c = t("conversations")
-    found = c.select("conv_id", (F.col("turn") + 1).alias("n"), F.col("role").alias("source"), F.substring("text", 1, 90).alias("text"))
+    found = c.select("conv_id", (F.col("turn") + 1).alias("n"), F.col("role").alias("source"), "text")
     return P.summary_prompt(found, C.last_user(c)).select("conv_id", F.md5("prompt").alias("prompt"))
 
 
