@@ -28,26 +28,29 @@ def direct(grants: DataFrame, least: str) -> DataFrame:
     return grants.where(level() >= LEVELS[least]).select("user_id", "collection_id").distinct()
 
 
-#: Levels of a collection tree.
-MOST_LEVELS = 1000
-
-
 def ancestors(collections: DataFrame) -> DataFrame:
     """Each collection (id, parent_id) with itself and all above it: id, ancestor_id, depth (the least, should links form a cycle).
 
-    A frontier goes up one level a round and keeps only pairs that are new, so a cycle ends
-    by itself. The number of rounds is the tree's depth; each is written to the shared folder.
+    Steps double: once all ancestors nearer than n are known with the one at n, those of
+    that one are the next n, and its own n-th is the one at 2n. So the rounds are the logarithm of the
+    depth, each written to the shared folder, and none that brings no new pair is followed by another, which ends cycles.
     """
-    parent = collections.where("parent_id IS NOT NULL").select(F.col("id").alias("ancestor_id"), "parent_id")
     found = collections.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
-    frontier = found
-    for depth in range(1, MOST_LEVELS + 1):
-        up = frontier.join(parent, "ancestor_id").select("id", F.col("parent_id").alias("ancestor_id"), F.lit(depth).alias("depth"))
-        frontier = written(up.distinct().join(found.select("id", "ancestor_id"), ["id", "ancestor_id"], "left_anti").select("id", "ancestor_id", "depth"), "frontier")
-        if frontier.isEmpty():
-            return found
-        found = found.union(frontier)
-    raise ValueError(f"a tree of more than {MOST_LEVELS} levels")
+    jump = written(collections.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("far")).join(collections.select(F.col("id").alias("far")), "far", "left_semi"), "jump")
+    # A parent that is no collection itself is an ancestor with nothing above it.
+    outside = collections.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("far")).join(collections.select(F.col("id").alias("far")), "far", "left_anti")
+    step = 1
+    while True:
+        near = found.withColumnsRenamed({"id": "far", "ancestor_id": "over", "depth": "more"})
+        new = jump.join(near, "far").groupBy("id", F.col("over").alias("ancestor_id")).agg(F.min(F.col("more") + step).cast("int").alias("depth"))
+        new = written(new.join(found.select("id", "ancestor_id"), ["id", "ancestor_id"], "left_anti").select("id", "ancestor_id", "depth"), "above")
+        if new.isEmpty():
+            break
+        found = found.union(new)
+        jump = written(jump.join(jump.select(F.col("id").alias("far"), F.col("far").alias("farther")), "far").select("id", F.col("farther").alias("far")), "jump")
+        step *= 2
+    over = found.join(outside.select(F.col("id").alias("ancestor_id"), F.col("far").alias("out")), "ancestor_id").select("id", F.col("out").alias("ancestor_id"), (F.col("depth") + 1).alias("depth"))
+    return written(found.union(over), "ancestors")
 
 
 def inherited(collections: DataFrame, grants: DataFrame, least: str) -> DataFrame:

@@ -153,6 +153,8 @@ class VectorIndex:
         hold is farther. Returns q, id, distance, rank and scored, the number of vectors that were
         compared with the query.
         """
+        if not len(self.count):
+            return self.blocks.sparkSession.createDataFrame([], "q long, id long, distance double, rank int, scored long")
         asked, parts = self._asked(queries)
         count = self.count
 

@@ -11,7 +11,7 @@ from tessera.functions import speech as S
 from tessera.functions import text as T
 from tessera.functions import toolcalls, vectors
 from tessera.operators import access, anchors, citations, continuation, conversation, documents, evaluation, graph, images, memory, prompts, reranking, search
-from tessera import skills
+from tessera import shared, skills
 from tessera.sources import arxiv, media, sinks
 from tessera.streaming import events
 
@@ -212,6 +212,21 @@ def test_trees_with_cycles_and_depth(spark):
     assert {(r.id, r.ancestor_id) for r in up if r.id >= 50} == {(i, j) for i in (50, 51, 52) for j in (50, 51, 52)}
 
 
+def test_deep_trees_take_few_rounds(spark, monkeypatch):
+    """A chain of 300, a cycle of 7 with a tail, a parent that is no collection."""
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(400 + i, 400 + (i + 1) % 7) for i in range(7)] + [(500, 403), (600, 999), (601, 600)]
+    names = []
+    monkeypatch.setattr(access, "written", lambda df, name: names.append(name) or shared.written(df, name))
+    got = {(r.id, r.ancestor_id): r.depth for r in access.ancestors(spark.createDataFrame(rows, "id long, parent_id long")).collect()}
+    want, up = {}, dict(rows)
+    for i in up:
+        at, depth = i, 0
+        while at is not None and (i, at) not in want:
+            want[i, at] = depth
+            at, depth = up.get(at), depth + 1
+    assert got == want and names.count("above") <= 11
+
+
 def test_upsert(spark):
     schema = "k int, v string"
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], schema)
