@@ -1,14 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with license texts.
 
-A template's blocks are all runs of twice its number of words, at every place of a text (a
-shorter text is one block), so no passage that holds the template can straddle two. A
+A template's blocks are all runs of twice its number of words (fewer at a text's end) that
+begin with one of its words, so no passage that holds the template can straddle two. A
 block matches if it holds at least ``percent`` per cent of the template's distinct words
-(``need`` of them) and all its telling phrases.
+(``need`` of them) and all its telling phrases, and if none of its excluding ones stands in it
+or within a template's length of it.
 
 The template's words are ordered by how often they occur in the whole corpus, rarest
 first. A matching block must hold one of the first ``n - need + 1``: a text without one of
-these is never looked at again (prefix filter). Blocks that begin with a template word
-suffice, since moving a block's start on to its next one loses nothing. Such a block must
+these is never looked at again (prefix filter). A block must
 have ``need`` words left in the text (length filter), and the ``need - 1``-th template word
 after its first must still stand inside it (positional filter: what is left of the block
 after the first match bounds the overlap). What remains is counted exactly.
@@ -62,7 +62,7 @@ def _texts(values: Sequence[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def _share(tokens: list[str], length: int, need: int, prefix: list[str], telling: Sequence[str]) -> str:
+def _share(tokens: list[str], length: int, need: int, prefix: list[str], telling: Sequence[str], excluding: Sequence[str]) -> str:
     """SQL of the greatest share of a template in a block that matches, else null; over ``words`` and ``rare``, the row's words that any prefix has.
 
     For each hit ``x``, the ``k``-th of a text's template words ``hits``, the block that begins there.
@@ -70,6 +70,8 @@ def _share(tokens: list[str], length: int, need: int, prefix: list[str], telling
     block = f"transform(filter(slice(hits, k + 1, {2 * length}), y -> y.i < x.i + {2 * length}), y -> y.w)"
     text = f"concat(' ', array_join(slice(words, x.i + 1, {2 * length}), ' '), ' ')"
     told = "".join(f" AND contains({text}, ' {' '.join(split(p))} ')" for p in telling)
+    near = f"concat(' ', array_join(slice(words, greatest(0, x.i - {length}) + 1, least(x.i, {length}) + {3 * length}), ' '), ' ')"
+    told += "".join(f" AND NOT contains({near}, ' {' '.join(split(p))} ')" for p in excluding)
     left = f"size(words) - x.i >= {need} AND get(hits, k + {need - 1}).i < x.i + {2 * length}"
     overlap = f"CASE WHEN {left} AND arrays_overlap({block}, array({_texts(prefix)})){told} THEN size(array_distinct({block})) END"
     hits = f"filter(transform(words, (w, i) -> struct(w, i)), y -> y.w IN ({_texts(tokens)}))"
@@ -89,14 +91,14 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     An empty table gives an empty result.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    wanted = [(t.label, list(dict.fromkeys(split(t.text))), len(split(t.text)), t.telling) for t in templates]
-    freq = frequencies(docs, sorted({w for _, t, _, _ in wanted for w in t})) if wanted else {}
+    wanted = [(t.label, list(dict.fromkeys(split(t.text))), len(split(t.text)), t.telling, t.excluding) for t in templates]
+    freq = frequencies(docs, sorted({w for _, t, *_ in wanted for w in t})) if wanted else {}
 
     plans = []
-    for label, tokens, length, telling in wanted:
+    for label, tokens, length, telling, excluding in wanted:
         need = -(-percent * len(tokens) // 100)
         order = sorted(tokens, key=lambda w: (freq.get(w, 0), w))
-        plans.append((label, tokens, length, need, order[: len(order) - need + 1], telling))
+        plans.append((label, tokens, length, need, order[: len(order) - need + 1], telling, excluding))
     prefixes = sorted({w for p in plans for w in p[4]})
     rows = docs.select("doc_id", words(F.col("text")).alias("words"))
     rows = rows.withColumn("rare", F.expr(f"filter(words, w -> w IN ({_texts(prefixes)}))") if prefixes else F.array().cast("array<string>"))

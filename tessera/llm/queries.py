@@ -99,17 +99,18 @@ def _license_sql() -> str:
     words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     phrases = ", ".join(f"('{label}', {p.split()}, {len(p.split())})" for p, label in license_scan.PHRASES)
     split, percent = license_scan.split, license_scan.PERCENT
-    parts = [(k, t.label, list(dict.fromkeys(split(t.text))), len(split(t.text)), list(t.telling)) for k, t in enumerate(license_scan.TEMPLATES)]
-    templates = ", ".join(f"({k}, '{label}', {tokens}, {n}, {-(-percent * len(tokens) // 100)}, {telling or 'CAST([] AS VARCHAR[])'})" for k, label, tokens, n, telling in parts)
+    parts = [(k, t.label, list(dict.fromkeys(split(t.text))), len(split(t.text)), list(t.telling), list(t.excluding)) for k, t in enumerate(license_scan.TEMPLATES)]
+    templates = ", ".join(f"({k}, '{label}', {tokens}, {n}, {-(-percent * len(tokens) // 100)}, {telling or 'CAST([] AS VARCHAR[])'}, {excluding or 'CAST([] AS VARCHAR[])'})" for k, label, tokens, n, telling, excluding in parts)
     return f"""
-        WITH w AS (SELECT doc_id, {words} AS w FROM documents), p(label, phrase, n) AS (VALUES {phrases}), t(k, label, tokens, n, need, telling) AS (VALUES {templates}),
+        WITH w AS (SELECT doc_id, {words} AS w FROM documents), p(label, phrase, n) AS (VALUES {phrases}), t(k, label, tokens, n, need, telling, excluding) AS (VALUES {templates}),
         b AS (SELECT doc_id, label, list_filter(range(0, len(w) - n + 1), lambda i: w[i + 1:i + n] = phrase) AS places FROM w, p),
         base AS (SELECT doc_id, CAST(sum(len(places)) AS BIGINT) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
             coalesce(string_agg(label, ',' ORDER BY label) FILTER (len(places) > 0), '') AS base_labels FROM b GROUP BY doc_id),
-        c AS (SELECT doc_id, w, label, tokens, n, need, telling FROM w, t WHERE len(list_intersect(tokens, w)) >= need),
-        x AS (SELECT *, w[i + 1:i + 2 * n] AS part FROM (SELECT *, unnest(range(0, greatest(1, len(w) - 2 * n + 1))) AS i FROM c)),
+        c AS (SELECT doc_id, w, label, tokens, n, need, telling, excluding FROM w, t WHERE len(list_intersect(tokens, w)) >= need),
+        x AS (SELECT *, w[i + 1:i + 2 * n] AS part, ' ' || array_to_string(w[greatest(0, i - n) + 1:i + 3 * n], ' ') || ' ' AS near FROM (SELECT *, unnest(range(0, len(w))) AS i FROM c) WHERE list_contains(tokens, w[i + 1])),
         m AS (SELECT doc_id, label, len(list_intersect(tokens, part)) / len(tokens) AS share FROM x
-            WHERE len(list_intersect(tokens, part)) >= need AND len(list_filter(telling, lambda f: NOT contains(' ' || array_to_string(part, ' ') || ' ', ' ' || f || ' '))) = 0),
+            WHERE len(list_intersect(tokens, part)) >= need AND len(list_filter(telling, lambda f: NOT contains(' ' || array_to_string(part, ' ') || ' ', ' ' || f || ' '))) = 0
+            AND len(list_filter(excluding, lambda f: contains(near, ' ' || f || ' '))) = 0),
         found AS (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM b WHERE len(places) > 0),
         l AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM found GROUP BY doc_id),
         s AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)

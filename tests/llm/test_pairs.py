@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, license_scan, near_dup, substring
+from tessera.llm import decontaminate, license_scan, licenses, near_dup, substring
 
 SCHEMA = "doc_id long, text string, source string, a string, b string, id long, root long"
 
@@ -197,13 +197,16 @@ def test_decontamination(spark):
 
 
 def shares(text, templates, percent=80):
-    """Greatest share by template over all runs of twice its words, in plain Python."""
+    """Greatest share by template over all runs of twice its words that begin with one of them, in plain Python."""
     w, out = license_scan.split(text or ""), []
     for t in templates:
         words = license_scan.split(t.text)
         tokens, size, best = set(words), 2 * len(words), 0.0
-        for i in range(max(1, len(w) - size + 1)):
+        for i in range(len(w)):
             block = w[i : i + size]
+            near = f" {' '.join(w[max(0, i - len(words)) : i + size + len(words)])} "
+            if w[i] not in tokens or any(f" {f} " in near for f in t.excluding):
+                continue
             share = len(tokens & set(block)) / len(tokens)
             if 100 * share >= percent - 1e-9 and all(f" {f} " in f" {' '.join(block)} " for f in t.telling):
                 best = max(best, share)
@@ -241,6 +244,37 @@ def test_license_scan(spark):
     assert license_scan.scan(frame(spark, rows[:3]), templates=()).count() == 3
 
 
+#: Texts of neighbours and short lines, and their labels.
+GOOD_NOT_EVIL = "The Software shall be used for Good, not Evil."
+FOUR = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+BASE = licenses.TEMPLATES[0].text
+NEIGHBOURS = {
+    "MIT without conditions": (licenses.MIT_GRANT[: licenses.MIT_GRANT.index(", subject to")] + "." + licenses.MIT_DISCLAIMER, ""),
+    "JSON": (licenses.MIT_GRANT + GOOD_NOT_EVIL + licenses.MIT_DISCLAIMER, ""),
+    "JSON after other words": ("the copies of the rights to use " * 20 + licenses.MIT_GRANT + GOOD_NOT_EVIL + licenses.MIT_DISCLAIMER, ""),
+    "0BSD": (next(t.text for t in licenses.TEMPLATES if t.label == "isc").replace("provided that the above copyright notice and this permission\n        notice appear in all copies", ""), ""),
+    "BSD of four clauses": (licenses.BSD_CONDITIONS + FOUR + licenses.BSD_NAMES + licenses.BSD_DISCLAIMER, ""),
+    "BSD of three clauses": (licenses.BSD_CONDITIONS + licenses.BSD_NAMES + licenses.BSD_DISCLAIMER, "bsd-3"),
+    "BSD of two clauses": (licenses.BSD_CONDITIONS + licenses.BSD_DISCLAIMER, "bsd-2"),
+    "MIT": (BASE, "mit"),
+    "line of an identifier": ("// SPDX-License-Identifier: Apache-2.0\nint main", "apache-2"),
+    "identifier of MIT": ("# SPDX-License-Identifier: MIT", "mit"),
+    "identifier of its variant": ("# SPDX-License-Identifier: MIT-0", ""),
+    "LGPL identifier": ("SPDX-License-Identifier: LGPL-3.0-or-later", "lgpl-3"),
+    "GPL line": ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+    "AGPL line": ("It is licensed under the GNU Affero General Public License version 3", "agpl-3"),
+    "GPL named only": ("I like the GNU General Public License version 3", ""),
+    "no license": ("licensed driver under the version 3 of the general public", ""),
+}
+
+
+def test_licenses_and_their_neighbours(spark):
+    """Labels that only the join finds: no phrase of the base stands in these texts."""
+    rows = [(i, text) for i, (text, _) in enumerate(NEIGHBOURS.values())]
+    got = {r.doc_id: (r.labels, r.base_labels) for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert {name: got[i] for i, name in enumerate(NEIGHBOURS)} == {name: (label, "") for name, (_, label) in NEIGHBOURS.items()}
+
+
 def test_recall_of_signatures():
     """Pairs at the threshold itself: the share whose signatures lie within the distance."""
     import numpy as np
