@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import written
+
 #: Odd multipliers, one for each word of a block.
 SALT = [int(x) * 2 + 1 for x in np.random.default_rng(3).integers(2**28, 2**30 - 1, 8)]
 WORDS = len(SALT)
@@ -113,7 +115,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]])
     table = spark.sparkContext.broadcast(bloom(listed))
     looked = F.transform(F.when(F.col("best").isNull() & (F.col("host") != ""), keys(F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>")), lambda k: F.xxhash64(k))
     schema = T.StructType([*rows.schema.fields, T.StructField("maybe", T.BooleanType())])
-    tagged = rows.withColumn("hashes", looked).mapInArrow(_probe(table), schema)
+    # Written once: the rows to look up, their entries and the rest are three readings of it.
+    tagged = written(rows.withColumn("hashes", looked).mapInArrow(_probe(table), schema), "tagged")
     # Only what the filter lets on is shuffled; every other row has its verdict where it stands.
     some = tagged.where("maybe")
     wanted = some.select("url").distinct().select("url", F.explode(keys(host(F.col("url")), path(F.col("url")))).alias("key"))
