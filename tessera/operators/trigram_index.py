@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from pyspark.sql import types as T_
 from tessera.operators.search import plain_words, trigram_codes
 from tessera.shared import spread, written
 
-#: Keys of a posting list: a trigram that most texts hold has many lists.
+#: Texts whose posting lists are made together: a trigram that most texts hold has a list for each such block.
 LIST = 4096
+#: Most rows of queries' trigrams that are sent to the lists; more of them meet by a shuffle.
+SENT = 500_000
 #: A query's rarest trigrams are looked up first, until so many postings for each wanted row are at hand.
 SEEDS = 8
 
@@ -38,7 +41,7 @@ def share(both: Column, a: Column, b: Column) -> Column:
 
 @dataclass(frozen=True)
 class TrigramIndex:
-    """``sets``: key, grams, n of every text. ``lists``: gram, keys and ns of at most about ``LIST`` texts. ``known``: gram and df, in how many texts it is."""
+    """``sets``: key, grams, n of every text. ``lists``: gram, keys and ns of about ``LIST`` texts at most. ``known``: gram and df, in how many texts it is."""
 
     sets: DataFrame
     lists: DataFrame
@@ -48,20 +51,40 @@ class TrigramIndex:
     def build(cls, texts: DataFrame) -> TrigramIndex:
         """Indexes ``texts`` (key, text); keys are long numbers, each once. Texts without a word have no trigram and can't be found.
 
-        A trigram's texts are dealt to lists by hash of their key, as many as its frequency asks for, so no
-        list grows with the table; lists are written sorted by trigram, which lets a scan for few trigrams skip most.
+        A task inverts about ``LIST`` texts at a time, so no posting is shuffled and no list grows with
+        the table; lists come sorted by trigram, which lets a scan for few trigrams skip most.
         """
         sets = written(with_grams(spread(texts.select("key", "text")), "text").drop("text"), "sets")
-        posts = sets.select("key", "n", F.explode("grams").alias("gram"))
-        known = written(posts.groupBy("gram").agg(F.count("*").alias("df")), "known")
-        dealt = posts.join(known, "gram").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("df") / LIST)))
-        lists = dealt.groupBy("gram", "part").agg(F.collect_list(F.struct("key", "n")).alias("at")).select("gram", "at").sortWithinPartitions("gram")
-        return cls(sets, written(lists, "lists"), known)
-
-    def _met(self, grams: DataFrame, where: Column | None = None) -> DataFrame:
-        """For (q, gram, m; and more): q, key, the sizes m and n, and in how many of the trigrams both meet."""
-        posts = self.lists.join(grams, "gram").select("q", "m", F.explode("at").alias("x"), *(c for c in ("least", "left") if c in grams.columns))
-        rows = posts.select(F.col("x.key").alias("key"), F.col("x.n").alias("n"), *(c for c in posts.columns if c != "x"))
+
+        def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+
+            def lists() -> pa.RecordBatch:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                n = rows.column("n").to_numpy()
+                gram = rows.column("grams").combine_chunks().flatten().to_numpy()
+                order = np.argsort(gram, kind="stable")
+                at = np.repeat(np.arange(len(n)), n)[order]
+                each, first = np.unique(gram[order], return_index=True)
+                cuts = pa.array(np.append(first, len(at)).astype(np.int32))
+                keys, sizes = (pa.ListArray.from_arrays(cuts, pa.array(x[at])) for x in (rows.column("key").to_numpy(), n))
+                return pa.RecordBatch.from_arrays([pa.array(each), keys, sizes], ["gram", "keys", "ns"])
+
+            for b in batches:
+                held.append(b)
+                if sum(x.num_rows for x in held) >= LIST:
+                    yield lists()
+                    held.clear()
+            if held:
+                yield lists()
+
+        lists = written(sets.mapInArrow(invert, "gram long, keys array<long>, ns array<int>"), "lists")
+        return cls(sets, lists, written(lists.groupBy("gram").agg(F.sum(F.size("keys")).alias("df")), "known"))
+
+    def _met(self, grams: DataFrame, where: Column | None = None, small: bool = False) -> DataFrame:
+        """For (q, gram, m; and more): q, key, the sizes m and n, and in how many of the trigrams both meet. Where the grams are few they go to the lists, and a block's postings are counted in its task."""
+        posts = self.lists.join(F.broadcast(grams) if small else grams, "gram").select("q", "m", F.explode(F.arrays_zip("keys", "ns")).alias("x"), *(c for c in ("least", "left") if c in grams.columns))
+        rows = posts.select(F.col("x.keys").alias("key"), F.col("x.ns").alias("n"), *(c for c in posts.columns if c != "x"))
         rows = rows.where(where) if where is not None else rows
         keys = [c for c in rows.columns if c not in ("q", "key")]
         return rows.groupBy("q", "key").agg(F.count("*").alias("met"), *(F.max(c).alias(c) for c in keys))
@@ -83,8 +106,9 @@ class TrigramIndex:
         rare = Window.partitionBy("q").orderBy("df", "gram")
         grams = asked.select("q", "m", F.explode("grams").alias("gram")).join(self.known, "gram")
         grams = written(grams.withColumn("place", F.row_number().over(rare)).withColumn("before", F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1))), "grams")
+        small = grams.count() <= SENT
         order = Window.partitionBy("q").orderBy(F.desc("similarity"), "key")
-        seeds = self._met(grams.where(F.coalesce("before", F.lit(0)) < SEEDS * k).select("q", "m", "gram"))
+        seeds = self._met(grams.where(F.coalesce("before", F.lit(0)) < SEEDS * k).select("q", "m", "gram"), small=small)
         seeds = seeds.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(share(F.col("met"), F.col("m"), F.col("n"))), "key"))).where(F.col("place") <= 2 * k)
         seeds = self._scored(seeds, asked).withColumn("place", F.row_number().over(order)).where(F.col("place") == k)
         bound = asked.select("q").join(seeds.select("q", F.col("similarity").alias("kth")), "q", "left").select("q", F.greatest(F.coalesce("kth", F.lit(0.0)) * (1 - 1e-9), F.lit(least)).alias("least"))
@@ -94,7 +118,7 @@ class TrigramIndex:
         need = F.ceil(F.col("least") * F.col("m") - 1e-9)
         prefix = grams.join(bound, "q").join(held, "q").withColumn("left", F.greatest(need - 1, F.lit(0)).cast("int")).where(F.col("place") <= F.col("held") - F.col("left"))
         fits = (F.col("n") >= F.col("least") * F.col("m") - 1e-9) & (F.col("n") * F.col("least") <= F.col("m") + 1e-9)
-        met = self._met(prefix.select("q", "m", "gram", "least", "left"), fits)
+        met = self._met(prefix.select("q", "m", "gram", "least", "left"), fits, small)
         most = F.least(F.col("met") + F.col("left"), F.col("m"), F.col("n"))
         met = written(met.withColumn("whole", F.col("left") == 0).where(share(most, F.col("m"), F.col("n")) >= F.col("least")), "met")
         sure = met.where("whole").select("q", "key", share(F.col("met"), F.col("m"), F.col("n")).alias("similarity"))
