@@ -16,11 +16,11 @@ from tessera.shared import written
 #: Most cells, so many rows of a bounded sample a cell, and rounds in which the sample places them.
 CELLS, SAMPLE, ROUNDS = 1024, 8, 4
 #: Vectors and query vectors of a block: a task holds one of each.
-BLOCK, QUERIES = 2048, 256
+BLOCK, QUERIES = 2048, 1024
 #: Room for rounding in bounds on distances.
 SLACK = 1e-6
 
-PACKED = "cell int, ids binary, points binary"
+PACKED = "pool int, ids binary, cells binary, points binary"
 FOUND = "q long, id long, distance double, scored long"
 
 
@@ -54,23 +54,34 @@ def centres(sample: np.ndarray, cells: int) -> np.ndarray:
     return middle
 
 
+def pooled(count: np.ndarray) -> np.ndarray:
+    """The pool of each cell: neighbours by number share one as long as it holds at most ``BLOCK``."""
+    pool, held, out = 0, 0, np.zeros(len(count), np.int64)
+    for c, n in enumerate(count):
+        if held and held + n > BLOCK:
+            pool, held = pool + 1, 0
+        out[c], held = pool, held + n
+    return out
+
+
 @dataclass(frozen=True)
 class VectorIndex:
-    """``blocks`` of packed vectors, and for every cell its centre, radius and number of vectors."""
+    """``blocks`` of packed vectors, and for every cell its centre, radius, number of vectors and the pool of cells it is stored with."""
 
     blocks: DataFrame
     middle: np.ndarray
     radius: np.ndarray
     count: np.ndarray
+    pool: np.ndarray
 
     @classmethod
     def build(cls, vectors: DataFrame, width: int, cells: int | None = None) -> VectorIndex:
         """Indexes every row of ``vectors`` (id, vector) with ``width`` finite components; others can't be found.
 
         Cells are placed on a bounded sample (``SAMPLE`` rows for each of at most ``CELLS``, those of
-        least hash of their id), then every vector joins its nearest one. A cell's vectors
-        lie in blocks of about ``BLOCK`` by hash of their id, so a cell that holds much of the table is many
-        blocks. One row a cell reaches the driver.
+        least hash of their id), then every vector joins its nearest one. Small cells share a
+        pool, which is one block of at most about ``BLOCK`` vectors; a cell that holds more is a pool of several blocks by
+        hash of the id. One row a cell reaches the driver.
         """
         rows = usable(vectors, width)
         cells = cells or int(min(CELLS, max(1, rows.count() ** 0.5)))
@@ -88,17 +99,19 @@ class VectorIndex:
         seen = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
         count = np.array([seen[c]["n"] if c in seen else 0 for c in range(len(middle))], np.int64)
         radius = np.array([seen[c]["radius"] if c in seen else 0.0 for c in range(len(middle))])
-        parts = F.create_map(*(F.lit(int(x)) for c, n in enumerate(count) for x in (c, -(-n // BLOCK) or 1))) if len(count) else F.create_map(F.lit(0), F.lit(1))
+        pool = pooled(count)
+        held = np.bincount(pool, count, minlength=1) if len(count) else np.zeros(1)
+        of_cell, of_pool = (F.array(*map(F.lit, x)) for x in (pool.tolist() or [0], np.maximum(1, -(-held.astype(np.int64) // BLOCK)).tolist()))
 
         def pack(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"cell": rows["cell"][:1].astype(np.int32), "ids": [rows["id"].to_numpy(np.int64).tobytes()], "points": [np.stack(rows["vector"]).tobytes()]})
+            return pd.DataFrame({"pool": rows["pool"][:1].astype(np.int32), "ids": [rows["id"].to_numpy(np.int64).tobytes()], "cells": [rows["cell"].to_numpy(np.int32).tobytes()], "points": [np.stack(rows["vector"]).tobytes()]})
 
-        blocks = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("cell")))).groupBy("cell", "part").applyInPandas(pack, PACKED)
-        return cls(written(blocks, "blocks"), middle, radius, count)
+        blocks = placed.withColumn("pool", F.get(of_cell, F.col("cell"))).withColumn("part", F.pmod(F.xxhash64("id"), F.get(of_pool, F.col("pool"))))
+        return cls(written(blocks.groupBy("pool", "part").applyInPandas(pack, PACKED), "blocks"), middle, radius, count, pool)
 
     def _sent(self, queries: DataFrame, chosen: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-        """Queries (q, vector, limit) beside the cells they visit: those ``chosen`` by distance to the centre, least possible distance to a vector, and limit."""
-        middle, radius, count = self.middle, self.radius, self.count
+        """Queries (q, vector, limit) beside the pools they visit and the cells there: those ``chosen`` by distance to the centre, least possible distance to a vector, and limit."""
+        middle, radius, count, pool = self.middle, self.radius, self.count, self.pool
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -107,37 +120,45 @@ class VectorIndex:
                     away = apart(matrix(part.column("vector")), middle)
                     low = np.maximum(0, away - radius - SLACK * (1 + away))
                     row, cell = np.nonzero((count > 0) & chosen(away, low, part.column("limit").to_numpy()[:, None]))
-                    yield pa.RecordBatch.from_arrays([part.column("q").take(pa.array(row)), pa.array(cell.astype(np.int32)), part.column("vector").take(pa.array(row))], ["q", "cell", "vector"])
+                    order = np.lexsort((cell, pool[cell], row))
+                    row, cell = row[order], cell[order].astype(np.int32)
+                    first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(pool[cell], prepend=-1))
+                    cells = pa.ListArray.from_arrays(pa.array(np.append(first, len(cell)).astype(np.int32)), pa.array(cell))
+                    yield pa.RecordBatch.from_arrays([part.column("q").take(pa.array(row[first])), pa.array(pool[cell[first]].astype(np.int32)), cells, part.column("vector").take(pa.array(row[first]))], ["q", "pool", "cells", "vector"])
 
-        return queries.select("q", "vector", "limit").mapInArrow(run, "q long, cell int, vector array<double>")
+        return queries.select("q", "vector", "limit").mapInArrow(run, "q long, pool int, cells array<int>, vector array<double>")
 
     def _visit(self, sent: DataFrame, parts: int, cut: Callable[[np.ndarray], np.ndarray], pick: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-        """What each query takes of each block of the cells it visits: by products of matrices all vectors up to ``cut``, then by exact distances what ``pick`` leaves of these. Queries meet a block in blocks of their own, ``parts`` for a cell that all visit."""
+        """What each query takes of the cells it visits: by products of matrices all vectors up to ``cut``, then by exact distances what ``pick`` leaves of these. Queries meet a block in blocks of their own, ``parts`` for a pool that all visit."""
 
         def pack(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"cell": rows["cell"][:1].astype(np.int32), "asking": [rows["q"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(rows["vector"]).tobytes()]})
+            return pd.DataFrame({"pool": rows["pool"][:1].astype(np.int32), "asking": [rows["q"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(rows["vector"]).tobytes()], "visits": [list(rows["cells"])]})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
                     row = b.slice(i, 1).to_pylist()[0]
-                    ids, asking = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["asking"], np.int64)
+                    ids, asking, cells = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["asking"], np.int64), np.frombuffer(row["cells"], np.int32)
                     points, vectors = np.frombuffer(row["points"]).reshape(len(ids), -1), np.frombuffer(row["vectors"]).reshape(len(asking), -1)
                     lengths, others = (points * points).sum(1), (vectors * vectors).sum(1)
                     rough = np.sqrt(np.maximum(0, others[:, None] + lengths[None] - 2 * vectors @ points.T))
-                    near = rough <= (cut(rough) + SLACK * (1 + np.sqrt(max(lengths.max(), others.max()))))[:, None]
+                    here = np.unique(cells)
+                    for k, visited in enumerate(row["visits"]):
+                        if len(visited) < len(here):
+                            rough[k, ~np.isin(cells, visited)] = np.inf
+                    near = (rough <= (cut(rough) + SLACK * (1 + np.sqrt(max(lengths.max(), others.max()))))[:, None]) & np.isfinite(rough)
                     got: list[tuple[np.ndarray, ...]] = []
-                    for q, vector, mine in zip(asking, vectors, near, strict=True):
+                    for q, vector, mine, seen in zip(asking, vectors, near, np.isfinite(rough).sum(1), strict=True):
                         held = np.flatnonzero(mine)
                         if len(held):
                             away = apart(vector[None], points[held])[0]
                             at = pick(away, ids[held])
-                            got.append((np.full(len(at), q), ids[held][at], away[at], np.where(np.arange(len(at)), 0, len(ids))))
+                            got.append((np.full(len(at), q), ids[held][at], away[at], np.where(np.arange(len(at)), 0, seen)))
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], ["q", "id", "distance", "scored"])
 
-        packed = sent.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts))).groupBy("cell", "part").applyInPandas(pack, "cell int, asking binary, vectors binary")
-        return self.blocks.join(packed, "cell").select("ids", "points", "asking", "vectors").mapInArrow(run, FOUND)
+        packed = sent.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts))).groupBy("pool", "part").applyInPandas(pack, "pool int, asking binary, vectors binary, visits array<array<int>>")
+        return self.blocks.join(packed, "pool").select("ids", "cells", "points", "asking", "vectors", "visits").mapInArrow(run, FOUND)
 
     def _asked(self, queries: DataFrame, limit: float = float("inf")) -> tuple[DataFrame, int]:
         """Usable queries with a limit, and in how many blocks they come."""
@@ -175,7 +196,9 @@ class VectorIndex:
         seeds = written(self._visit(begun, parts, last, first), "seeds")
         held = seeds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("q", (F.col("distance") * (1 + SLACK) + SLACK).alias("known"))
         bound = asked.join(held, "q", "left").select("q", "vector", F.coalesce("known", "limit").alias("limit"))
-        later = self._sent(bound, lambda away, low, limit: low <= limit).join(begun.select("q", "cell"), ["q", "cell"], "left_anti")
+        # Cells that were visited first are left out of what follows, pool by pool.
+        later = self._sent(bound, lambda away, low, limit: low <= limit).withColumnRenamed("cells", "all").join(begun.select("q", "pool", "cells"), ["q", "pool"], "left")
+        later = later.select("q", "pool", F.array_except("all", F.coalesce("cells", F.array().cast("array<int>"))).alias("cells"), "vector").where(F.size("cells") > 0)
         found = written(seeds.unionByName(self._visit(later, parts, last, first)), "found")
         seen = found.groupBy("q").agg(F.sum("scored").alias("scored"))
         return found.drop("scored").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(seen, "q")
