@@ -110,6 +110,29 @@ def resolve(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.select("request_id", F.when(F.col("n") == 1, F.col("doc_id")).alias("doc_id"), error.alias("error"))
 
 
+def resolve_in_scope(requests: DataFrame, selected: DataFrame, visible: DataFrame, documents: DataFrame) -> DataFrame:
+    """Which document (UUID text) each request (request_id, user_id, raw) means: request_id, doc_id, error.
+
+    First among the documents of the collections that the user has ``selected`` (user_id, doc_id), by the rules of
+    ``resolve``. A whole id that isn't among them may still be any document that the user may see: ``visible``
+    (user_id, doc_id). Otherwise it does not exist among ``documents`` (``no_such_document``) or is another's (``no_access``).
+    """
+    hexa = lambda c: F.lower(F.replace(c, F.lit("-"), F.lit("")))
+    digits = F.regexp_replace(F.lower(F.regexp_replace("raw", r"</?[A-Za-z0-9_]+>", "")), "[^0-9a-f]", "")
+    rows = requests.select("request_id", "user_id", digits.alias("d")).where("d IS NOT NULL").withColumn("whole", F.length("d") >= 28)
+    rows = rows.withColumn("wanted", F.when(F.col("whole"), F.substring(F.rpad("d", 32, "0"), 1, 32)).otherwise(F.col("d"))).withColumn("start", F.substring("d", 1, 16))
+    own = selected.select("user_id", F.col("doc_id").alias("near"), hexa("doc_id").alias("hex")).distinct().withColumn("start", F.substring("hex", 1, 16))
+    hit = F.when(F.col("whole"), F.col("hex") == F.col("wanted")).otherwise(F.startswith("hex", F.col("wanted")))
+    found = rows.where("length(d) >= 16").join(own, ["user_id", "start"]).where(hit).groupBy("request_id").agg(F.count("*").alias("n"), F.min("near").alias("near"))
+    may = visible.select("user_id", hexa("doc_id").alias("wanted"), F.col("doc_id").alias("far")).distinct()
+    known = documents.select(hexa("doc_id").alias("wanted"), F.lit(True).alias("known")).distinct()
+    some = selected.groupBy("user_id").agg(F.lit(True).alias("some"))
+    out = rows.join(found, "request_id", "left").join(may, ["user_id", "wanted"], "left").join(known, "wanted", "left").join(some, "user_id", "left")
+    doc = F.when(F.col("n") == 1, F.col("near")).when(F.col("whole"), F.col("far"))
+    error = F.when(doc.isNotNull(), None).when(F.col("n") > 1, "ambiguous").when(F.col("whole") & F.col("known"), "no_access").when(F.col("whole"), "no_such_document").when((F.length("d") >= 16) & F.col("some").isNull(), "no_documents").otherwise("invalid")
+    return out.select("request_id", doc.alias("doc_id"), error.alias("error"))
+
+
 def name_key(name: Column) -> Column:
     """A file's or collection's name without folders and ``.md``, lower-cased, with single underscores for spaces and dashes."""
     last = F.regexp_replace(F.trim(name), r"^.*[/\\]", "")

@@ -137,6 +137,58 @@ def preflight(messages: DataFrame, limit: int, completion: int, slack: int = 0,
     return rows.select("conv_id", "turn", F.col("after").alias("text"), tokens.cast("long").alias("max_tokens"))
 
 
+#: Tokens of history and of tools' results, least of both, tokens left aside, least room that is shared out.
+HISTORY, RESULTS, LEAST_HISTORY, LEAST_RESULTS, SLACK, LEAST_SHARED = 12_000, 1_400, 256, 128, 384, 256
+
+
+def budgets(limit: int, completion: int, system: int, slack: int = SLACK, history: int = HISTORY, results: int = RESULTS) -> tuple[int, int, int]:
+    """Tokens for a whole prompt, for history and for tools' results; the first is 0 where nothing can be packed. The two parts share what the system's message leaves as their own sizes ask."""
+    guard, pad = (min(p[2], max(p[1], int(limit * p[0]))) for p in (GUARD, PAD))
+    whole = max(0, limit - completion - guard - pad - slack) if limit > 0 and completion > 0 else 0
+    own, tool = max(LEAST_HISTORY, history), max(LEAST_RESULTS, results)
+    free = whole - PROMPT_TOKENS - system
+    free = free if free >= LEAST_SHARED else max(LEAST_SHARED, whole // 2)
+    return whole, max(LEAST_HISTORY, int(own * free / (own + tool))), max(LEAST_RESULTS, int(tool * free / (own + tool)))
+
+
+def staged(messages: DataFrame, salience: DataFrame) -> DataFrame:
+    """Messages with texts made shorter where that loses least: repeated headers, runs of line breaks, then all but the first sentences of turns of low salience (conv_id, turn, salience), where there is one."""
+    cut = dedupe_headers(messages).withColumn("text", collapse(F.col("text")))
+    rows = messages.drop("text").join(cut, ["conv_id", "turn"]).join(salience, ["conv_id", "turn"], "left")
+    some = rows.where("salience IS NOT NULL")
+    return rows.drop("text").join(shorten_least(some).unionByName(rows.where("salience IS NULL").select("conv_id", "turn", "text")), ["conv_id", "turn"])
+
+
+def pack(messages: DataFrame, salience: DataFrame, limit: int, completion: int, system: int = 0, last: int = 2, **sizes: int) -> DataFrame:
+    """Messages (conv_id, turn, role, text, has_calls) that fit three budgets: conv_id, turn, text, before_tokens, after_tokens.
+
+    After ``staged``, what isn't ``pinned`` goes by rising salience, then age: tools' results until
+    they fit theirs, the rest until it fits its own, then either until the whole prompt fits. A turn goes if what would be
+    left without those before it is still too much, so each step is a running sum in that
+    order. ``system``: tokens of the system's message. With no room for a prompt nothing changes.
+    """
+    whole, own, tool = budgets(limit, completion, system, **sizes)
+    tokens = lambda: message_tokens(F.col("role"), F.col("text"))
+    talk = Window.partitionBy("conv_id")
+    base = PROMPT_TOKENS + system
+    before = messages.groupBy("conv_id").agg((F.sum(tokens()) + base).cast("long").alias("before_tokens"))
+    if whole <= 0:
+        return messages.select("conv_id", "turn", "text").join(before, "conv_id").withColumn("after_tokens", F.col("before_tokens"))
+    rows = staged(messages, salience)
+    rows = rows.join(pinned(rows, last), ["conv_id", "turn"]).withColumn("cost", tokens()).withColumn("evidence", F.coalesce(is_evidence(F.col("role"), F.col("text")), F.lit(False)))
+
+    def fit(rows: DataFrame, part: list[str], fixed: int, most: Column) -> DataFrame:
+        """Without the first turns, in the order in which they go, whose departure still leaves more than ``most``."""
+        group = Window.partitionBy(*part)
+        gone = F.coalesce(F.sum("cost").over(group.orderBy("pinned", F.coalesce("salience", F.lit(0.0)), "turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return rows.withColumn("left", F.sum("cost").over(group) + fixed - gone).where(F.col("pinned") | (F.col("left") <= most)).drop("left")
+
+    rows = fit(rows, ["conv_id", "evidence"], PROMPT_TOKENS, F.when(F.col("evidence"), tool).otherwise(own))
+    rows = fit(rows, ["conv_id"], base, F.lit(whole))
+    after = (F.sum("cost").over(talk) + base).cast("long")
+    return rows.select("conv_id", "turn", "text", after.alias("after_tokens")).join(before, "conv_id").select("conv_id", "turn", "text", "before_tokens", "after_tokens")
+
+
 def summary_prompt(evidence: DataFrame, request: DataFrame, most: int = 8) -> DataFrame:
     """Prompt for a summary of the best evidence (conv_id, n, source, text) under the user's last request (conv_id, text): conv_id, prompt. The model's call is the caller's."""
     lines = evidence.where(F.col("n") <= most).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "source", "text"))), lambda x: F.concat(x["n"].cast("string"), F.lit(". ["), x["source"], F.lit("] "), x["text"])), "\n").alias("lines"))

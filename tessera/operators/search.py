@@ -131,6 +131,30 @@ def pack(results: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     return rows.select("rank", "doc_id", "chunk_number", "title", "citation", T.cut(F.col("content")).alias("text"))
 
 
+def pack_results(results: DataFrame, searches: DataFrame, prefix: str, compact: bool = False) -> DataFrame:
+    """What each search answers: search_id, result (JSON rows), status, message, n, titles (sorted, distinct), shows_images.
+
+    ``results`` (search_id, rank, chunk_id, doc_id, chunk_number, title, content, modality, has_image), a top-k each; ``searches``
+    (search_id, text, scope). A row of a document with an image that can be shown has its type and a link below
+    ``prefix``. ``compact`` rows have short names. A search without rows says what was searched for.
+    """
+    short = {"rank": "r", "chunk_id": "i", "doc_id": "d", "chunk": "c", "title": "n", "citation": "ref", "type": "ty", "text": "x", "image_url": "u"}
+    title = F.coalesce("title", F.lit("Untitled Document"))
+    kind = F.when(F.col("has_image"), F.when(F.col("modality") == "image", "image").otherwise("text_with_image"))
+    link = F.when(F.col("has_image"), F.concat(F.lit(prefix), F.col("doc_id").cast("string"), F.lit("/")))
+    fields = {"rank": F.col("rank"), "chunk_id": F.col("chunk_id"), "doc_id": F.col("doc_id").cast("string"), "chunk": F.col("chunk_number"), "title": title, "citation": T.citation(F.col("doc_id"), F.col("chunk_id")), "type": kind, "text": T.cut(F.col("content")), "image_url": link}
+    rows = results.select("search_id", "rank", title.alias("title"), F.coalesce("has_image", F.lit(False)).alias("shown"), F.struct(*(c.alias(short[k] if compact else k) for k, c in fields.items())).alias("row"))
+    some = rows.groupBy("search_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row"))), lambda x: x["row"])).alias("result"), F.count("*").alias("n"), F.array_sort(F.collect_set("title")).alias("titles"), F.bool_or("shown").alias("shows_images"))
+    scope, text = T.squeeze(F.coalesce(F.nullif(F.col("scope"), F.lit("")), F.lit("documents"))), T.squeeze(F.coalesce("text", F.lit("")))
+    asked = F.when(text == "", "").otherwise(F.concat(F.lit(' for "'), text, F.lit('"')))
+    told = F.concat(F.lit("I searched "), scope, asked, F.lit(", but retrieval returned no relevant passages."))
+    found = F.col("n").isNotNull()
+    return searches.join(some, "search_id", "left").select(
+        "search_id", F.coalesce("result", F.lit("[]")).alias("result"), F.when(found, "results_found").otherwise("no_results").alias("status"), F.when(~found, told).alias("message"),
+        F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("titles", F.array().cast("array<string>")).alias("titles"), F.coalesce("shows_images", F.lit(False)).alias("shows_images"),
+    )
+
+
 def around(chunks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """For each wanted (doc_id, chunk_number) the chunks up to ``k`` before and after, joined by line breaks."""
     if not 1 <= k <= 10:

@@ -148,3 +148,34 @@ def citation_quote(t):
     m = t("benchmark").select("item_id", F.col("text").alias("message"))
     rows = t("documents").withColumn("item_id", F.col("doc_id") % 40).join(m, "item_id")
     return rows.select("doc_id", F.md5(D.quote(F.col("message"), F.col("text"))).alias("quote")).where("quote IS NOT NULL")
+
+
+#: Ids of documents as UUIDs, and who has selected and may see them: users by the rest of the id.
+UUIDS = "SELECT doc_id AS n, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || substring(h, 13, 4) || '-' || substring(h, 17, 4) || '-' || substring(h, 21, 12) AS id FROM (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)"
+
+
+@query("id_scope", f"""WITH u AS ({UUIDS}) SELECT n AS request_id, CASE WHEN n % 6 IN (0, 1, 2) THEN id END AS doc_id, CASE n % 6 WHEN 3 THEN 'no_access' WHEN 4 THEN 'no_such_document' WHEN 5 THEN 'invalid' END AS error FROM u""")
+def id_scope(t):
+    """Whole ids and beginnings of the selected, whole ids of others that may be seen, of others that may not, of none, and beginnings of these."""
+    h = F.md5(F.col("doc_id").cast("string"))
+    u = t("documents").select(F.col("doc_id").alias("n"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5").alias("id"), h.alias("h"))
+    raw = F.expr("CASE n % 6 WHEN 0 THEN concat('<id>', upper(id), '</id>') WHEN 1 THEN substring(h, 1, 18) WHEN 2 THEN id WHEN 3 THEN id WHEN 4 THEN md5(concat('no', n)) ELSE substring(md5(concat('no', n)), 1, 20) END")
+    owned = lambda where: u.where(where).select(F.lit(1).alias("user_id"), F.col("id").alias("doc_id"))
+    return D.resolve_in_scope(u.select(F.col("n").alias("request_id"), F.lit(1).alias("user_id"), raw.alias("raw")), owned("n % 6 IN (0, 1)"), owned("n % 6 IN (0, 1, 2)"), u.select(F.col("id").alias("doc_id")))
+
+
+@query("search_answers", """WITH r AS (SELECT doc_id // 3 AS search_id, doc_id % 3 + 1 AS rank, doc_id, CASE WHEN doc_id % 5 > 0 THEN source END AS title, CASE WHEN length(text) > 1500 THEN rtrim(substring(text, 1, 1500)) || '... [truncated]' ELSE text END AS x, doc_id % 4 = 0 AS img FROM documents WHERE doc_id // 3 % 4 > 0),
+    g AS (SELECT search_id, count(*) AS n, list_sort(list_distinct(list(coalesce(title, 'Untitled Document')))) AS titles, bool_or(img) AS shows_images, string_agg(CAST(rank AS VARCHAR) || ':' || doc_id || ':' || md5(x) || ':' || CASE WHEN img THEN CASE WHEN doc_id % 8 = 0 THEN 'image' ELSE 'text_with_image' END || '/m/' || doc_id || '/' ELSE '' END, ';' ORDER BY rank) AS rows FROM r GROUP BY search_id),
+    s AS (SELECT DISTINCT doc_id // 3 AS search_id FROM documents)
+    SELECT search_id, coalesce(rows, '') AS rows, CASE WHEN n IS NULL THEN 'no_results' ELSE 'results_found' END AS status, CASE WHEN n IS NULL THEN 'I searched ' || CASE WHEN search_id % 8 = 0 THEN 'my papers' ELSE 'documents' END || CASE WHEN search_id % 3 = 0 THEN '' ELSE ' for "dark matter ' || search_id || '"' END || ', but retrieval returned no relevant passages.' END AS message,
+    coalesce(n, 0) AS n, coalesce(titles, []) AS titles, coalesce(shows_images, false) AS shows_images FROM s LEFT JOIN g USING (search_id)""")
+def search_answers(t):
+    """Results of three rows for searches of which every fourth finds nothing; documents with images, as pictures and as text beside one."""
+    from tessera.operators import search
+
+    d = t("documents").withColumn("search_id", F.expr("doc_id div 3"))
+    results = d.where("search_id % 4 > 0").select("search_id", (F.col("doc_id") % 3 + 1).alias("rank"), F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("chunk_number"), F.expr("CASE WHEN doc_id % 5 > 0 THEN source END").alias("title"), F.col("text").alias("content"), F.expr("CASE WHEN doc_id % 8 = 0 THEN 'image' ELSE 'text' END").alias("modality"), (F.col("doc_id") % 4 == 0).alias("has_image"))
+    searches = d.select("search_id").distinct().select("search_id", F.expr("CASE WHEN search_id % 3 = 0 THEN '  ' ELSE concat(' dark  matter ', search_id) END").alias("text"), F.expr("CASE WHEN search_id % 8 = 0 THEN ' my  papers' END").alias("scope"))
+    parsed = F.from_json("result", "array<struct<r:int,d:string,x:string,ty:string,u:string>>")
+    line = F.transform(parsed, lambda x: F.concat(x["r"].cast("string"), F.lit(":"), x["d"], F.lit(":"), F.md5(x["x"]), F.lit(":"), F.coalesce(F.concat(x["ty"], x["u"]), F.lit(""))))
+    return search.pack_results(results, searches, "/m/", compact=True).select("search_id", F.array_join(line, ";").alias("rows"), "status", "message", "n", "titles", "shows_images")

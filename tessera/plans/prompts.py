@@ -65,6 +65,13 @@ def preflight_trim(t):
     return P.preflight(t("conversations"), limit=900, completion=400).select("conv_id", "turn", F.md5("text").alias("text"), "max_tokens")
 
 
+@query("context_pack", None)
+def context_pack(t):
+    """Conversations with tools' results in a small window; every second assistant's turn has asked for one."""
+    rows = tooled(t).withColumn("has_calls", (F.col("role") == "assistant") & (F.col("turn") % 2 == 0))
+    return P.pack(rows, C.salience(rows), 1400, 200, system=40, last=1, history=300, results=150, slack=64).withColumn("text", F.md5("text"))
+
+
 @query("summary_prompt", f"""WITH e AS (SELECT conv_id, turn + 1 AS n, role AS source, text FROM conversations WHERE turn < 8), l AS (SELECT conv_id, string_agg(n || '. [' || source || '] ' || text, chr(10) ORDER BY n) AS lines FROM e GROUP BY conv_id), u AS (SELECT conv_id, arg_max(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id)
     SELECT conv_id, md5('User request: ' || coalesce(nullif(trim(q), ''), 'Summarize the key points from these retrieved document excerpts.') || chr(10) || chr(10) || 'Evidence snippets:' || chr(10) || lines) AS prompt FROM l LEFT JOIN u USING (conv_id)""")
 def summary_prompt(t):
