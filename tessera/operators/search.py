@@ -12,7 +12,7 @@ from pyspark.sql import types as T_
 
 from tessera.functions import text as T
 from tessera.functions.vectors import l2_distance
-from tessera.shared import spread
+from tessera.shared import spread, written
 
 #: Short and long queries by length, the scale of each, the multiplier and caps (fixed values).
 SHORT, LONG, SCALES, MULTIPLIER, CAP = 48, 160, (0.9, 1.0, 1.1), 3.0, 12
@@ -50,8 +50,8 @@ def trigram_codes(plain: str) -> np.ndarray:
     return np.unique(np.concatenate([pack(c[at - 1], c[at], c[at + 1]), pack(np.uint64(32), np.uint64(32), c[first])]))
 
 
-def trigram_scores(chunks: DataFrame, query: str) -> DataFrame:
-    """``chunks`` with ``similarity``: the share of the trigrams of a chunk and the query that are in both.
+def trigram_scores(chunks: DataFrame, query: str, content: bool = True) -> DataFrame:
+    """``chunks``, with or without their content, with ``similarity``: the share of the trigrams of a chunk and the query that are in both.
 
     As ``text.similarity`` of ``text.trigrams``, which make an object for every trigram; here
     a chunk's are numbers in one array.
@@ -67,11 +67,16 @@ def trigram_scores(chunks: DataFrame, query: str) -> DataFrame:
                 out[i] = both / max(1, len(mine) + len(known) - both)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], [*b.schema.names[:-1], "similarity"])
 
-    schema = T_.StructType([*chunks.schema.fields, T_.StructField("similarity", T_.DoubleType())])
-    return chunks.withColumn("_plain", plain_words(F.col("content"))).mapInArrow(run, schema)
+    kept = chunks if content else chunks.drop("content")
+    schema = T_.StructType([*kept.schema.fields, T_.StructField("similarity", T_.DoubleType())])
+    return chunks.select(*kept.columns, plain_words(F.col("content")).alias("_plain")).mapInArrow(run, schema)
 
 
-def trigram_top(chunks: DataFrame, query: str, n: int, least: float = 1e-6) -> DataFrame:
+#: A similarity that counts is above this (fixed value).
+LEAST = 1e-6
+
+
+def trigram_top(chunks: DataFrame, query: str, n: int, least: float = LEAST) -> DataFrame:
     """The ``n`` chunks most similar to the query by trigrams, ties by doc_id and chunk_number."""
     rows = trigram_scores(spread(chunks.select("doc_id", "chunk_number", "content")), query).where(F.col("similarity") > least)
     return rows.orderBy(F.desc("similarity"), "doc_id", "chunk_number").limit(n)
@@ -88,16 +93,16 @@ def exact_top(chunks: DataFrame, terms: Sequence[str], n: int) -> DataFrame:
 
 
 def union_keep_first(legs: Sequence[DataFrame]) -> DataFrame:
-    """Candidates of all legs, (doc_id, chunk_number, content), each under its first leg and place; column ``rank`` from 1.
+    """Candidates of all legs (doc_id, chunk_number, place), each under its first leg and place; column ``rank`` from 1.
 
     Legs are top-k results, so the rows ranked here are bounded by the legs' limits.
     """
     rows = None
     for i, leg in enumerate(legs):
-        part = leg.select("doc_id", "chunk_number", "content", F.lit(i).alias("leg"), "place")
+        part = leg.select("doc_id", "chunk_number", F.lit(i).alias("leg"), "place")
         rows = part if rows is None else rows.union(part)
-    first = rows.groupBy("doc_id", "chunk_number").agg(F.min(F.struct("leg", "place")).alias("at"), F.first("content").alias("content"))
-    return first.select("doc_id", "chunk_number", "content", F.col("at.leg").alias("leg"), F.row_number().over(Window.orderBy("at")).alias("rank"))
+    first = rows.groupBy("doc_id", "chunk_number").agg(F.min(F.struct("leg", "place")).alias("at"))
+    return first.select("doc_id", "chunk_number", F.col("at.leg").alias("leg"), F.row_number().over(Window.orderBy("at")).alias("rank"))
 
 
 def placed(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -113,14 +118,22 @@ def rerank(candidates: DataFrame, top_k: int, score: Callable[[Column], Column]
 
 
 def hybrid(chunks: DataFrame, query: str, top_k: int = 10, vectors: DataFrame | None = None, score: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Vector leg (``vectors``: doc_id, chunk_number, content, distance), trigram leg and exact-term leg, united in this order, then reranked."""
+    """Vector leg (``vectors``: doc_id, chunk_number, distance), trigram leg and exact-term leg, united in this order, then reranked.
+
+    One pass over the texts judges each chunk for both text legs and keeps no text; that of
+    the few candidates is read at the end, from their documents alone.
+    """
     n = limits(query, top_k)
-    legs = [] if vectors is None else [placed(vectors.orderBy("distance", "doc_id", "chunk_number").limit(n), "distance", "doc_id", "chunk_number")]
-    legs.append(placed(trigram_top(chunks, query, n), F.desc("similarity"), "doc_id", "chunk_number"))
     terms = exact_terms(chunks.sparkSession, query)
-    if terms:
-        legs.append(placed(exact_top(chunks, terms, n), "doc_id", "chunk_number"))
-    return rerank(union_keep_first(legs), top_k, score)
+    judged = spread(chunks.select("doc_id", "chunk_number", "content")).withColumn("named", term_match(F.col("content"), terms))
+    judged = written(trigram_scores(judged, query, content=False), "judged")
+    legs = [] if vectors is None else [placed(vectors.orderBy("distance", "doc_id", "chunk_number").limit(n), "distance", "doc_id", "chunk_number")]
+    legs.append(placed(judged.where(F.col("similarity") > LEAST).orderBy(F.desc("similarity"), "doc_id", "chunk_number").limit(n), F.desc("similarity"), "doc_id", "chunk_number"))
+    legs.append(placed(judged.where("named").orderBy("doc_id", "chunk_number").limit(n), "doc_id", "chunk_number"))
+    found = written(union_keep_first(legs), "candidates")
+    few = [r["doc_id"] for r in found.select("doc_id").distinct().collect()]  # as many as the legs give at most
+    texts = chunks.where(F.col("doc_id").isin(few)).select("doc_id", "chunk_number", "content")
+    return rerank(texts.join(F.broadcast(found), ["doc_id", "chunk_number"]), top_k, score)
 
 
 def pack(results: DataFrame, titles: DataFrame | None = None) -> DataFrame:

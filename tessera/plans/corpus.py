@@ -8,6 +8,7 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import chunking, evidence, graph, search, trigram_index, vector_index
 from tessera.plans.registry import query
+from tessera.shared import spread
 from tessera.plans.rules import first_sentence, squeezed, useful
 
 #: Search text of the hybrid queries: a passage of the benchmark.
@@ -92,13 +93,13 @@ def first_chunk_vectors(t, chunks):
     e = t("embeddings")
     q = e.where("vec_id = 7").first()["embedding"]
     near = e.select(F.col("vec_id").alias("doc_id"), V.l2_distance(F.col("embedding"), F.array(*map(F.lit, map(float, q)))).alias("distance"))
-    return chunks.where("chunk_number = 0").join(near, "doc_id").select("doc_id", "chunk_number", "content", "distance")
+    return chunks.where("chunk_number = 0").join(near, "doc_id").select("doc_id", "chunk_number", "distance")
 
 
 @query("hybrid_search", HYBRID + """ SELECT CAST(row_number() OVER (ORDER BY spot) AS INTEGER) AS rank, doc_id, chunk_number, coalesce(source || '-' || lang, 'Untitled Document') AS title, '[doc:' || doc_id || ' chunk:' || chunk_number || ']' AS citation,
         CASE WHEN length(content) > 1500 THEN rtrim(substring(content, 1, 1500)) || '... [truncated]' ELSE content END AS text FROM f JOIN documents USING (doc_id) QUALIFY rank <= 10""")
 def hybrid_search(t):
-    chunks = chunking.chunk(t("documents"))
+    chunks = chunking.chunk(spread(t("documents").select("doc_id", "text")))
     found = search.hybrid(chunks, QUESTION + ' "therouou"', 10, vectors=first_chunk_vectors(t, chunks))
     return search.pack(found, t("documents").select("doc_id", F.concat_ws("-", "source", "lang").alias("title")))
 
