@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shared import written
+
 #: Least and most characters of an anchor; quotes, dashes and the soft hyphen with what they count as.
 LEAST, MOST = 20, 150
 LOOKALIKES = {"­": None, **dict.fromkeys("‘’‚‛", "'"), **dict.fromkeys("“”„‟", '"'), **dict.fromkeys("‐‑‒–—―", "-")}
@@ -47,54 +47,41 @@ def end_anchor(passage: Column) -> Column:
     return F.when(F.length(whole) <= MOST, whole).when((at >= 0) & (at < MOST // 2), F.substring(cut, at + 2, F.lit(MOST))).otherwise(cut)
 
 
-class _Page:
-    """Items of a page as running text without and with spaces, and as letters, each with the item of every character."""
-
-    def __init__(self, items: list[str]):
-        parts = [normal(x) for x in items]
-        letters = [re.sub("[^a-z0-9]+", "", p) for p in parts]
-        self.n = len(parts)
-        self.forms = [self._run(parts, ""), self._run(parts, " "), self._run(letters, "")]
-
-    @staticmethod
-    def _run(parts: list[str], gap: str) -> tuple[str, list[int], list[int]]:
-        owner, starts, at = [], [], 0
-        for i, p in enumerate(parts):
-            starts.append(at)
-            own = [i] * len(p) + [-1] * (len(gap) if i < len(parts) - 1 else 0)
-            owner += own
-            at += len(own)
-        return gap.join(parts), owner, starts
-
-    def find(self, anchor: str, after: int = 0) -> tuple[int, int] | None:
-        """First and last item of the first hit at or after item ``after``."""
-        bare = re.sub("[^a-z0-9]+", "", normal(anchor))
-        for (text, owner, starts), needle in zip(self.forms, (normal(anchor), normal(anchor), bare)):
-            if needle is bare and len(normal(anchor)) < LEAST or len(needle) < LEAST:
-                continue
-            hit = text.find(needle, starts[after] if 0 < after < self.n else 0)
-            if hit >= 0:
-                own = [i for i in owner[hit : hit + len(needle)] if i >= 0]
-                return own[0], own[-1]
-        return None
-
-
-def _spans(pages: list[tuple[int, list[str]]], start: str, end: str, short: bool) -> list[tuple[int, int, int]]:
-    """(page, first item, last item) of the passage between two anchors."""
-    read = [(k, _Page(items)) for k, items in pages]
-    first = next(((k, p, m) for k, p in read if (m := p.find(start))), None)
-    if first is None:
-        return []
-    k0, p0, m0 = first
-    if short:
-        return [(k0, *m0)]
-    last = next(((k, m) for k, p in read if k >= k0 and (m := p.find(end, m0[1] if k == k0 else 0))), None)
-    if last is None:
-        return [(k0, m0[0], p0.n - 1)]
-    k1, m1 = last
-    if k1 == k0:
-        return [(k0, m0[0], max(m0[1], m1[1]))]
-    return [(k0, m0[0], p0.n - 1), *((k, 0, p.n - 1) for k, p in read if k0 < k < k1), (k1, 0, m1[1])]
+#: A page's items as running text: without anything between them, with spaces, and as their letters and digits alone.
+FORMS = ("tight", "spaced", "bare")
+
+
+def bare(text: Column) -> Column:
+    """Letters and digits of a text in normal form."""
+    return F.regexp_replace(text, "[^a-z0-9]+", "")
+
+
+def page_texts(items: DataFrame) -> DataFrame:
+    """Pages of ``items`` (doc_id, page, item, text): doc_id, page, n, and for each form its text and where each item begins in it."""
+    rows = items.select("doc_id", "page", "item", normal_form(F.col("text")).alias("text"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("item", "text"))), lambda x: x["text"])
+    rows = rows.groupBy("doc_id", "page").agg(parts.alias("parts")).withColumn("letters", F.transform("parts", bare))
+
+    def begins(parts: str, gap: int) -> Column:
+        return F.slice(F.aggregate(F.transform(parts, F.length), F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n + gap))), 1, F.size(parts))
+
+    forms = (("tight", "parts", ""), ("spaced", "parts", " "), ("bare", "letters", ""))
+    return rows.select("doc_id", "page", F.size("parts").alias("n"), *(F.array_join(p, gap).alias(name) for name, p, gap in forms), *(begins(p, len(gap)).alias(f"{name}_at") for name, p, gap in forms))
+
+
+def find(anchor: Column, after: Column) -> Column:
+    """First and last item (``first``, ``last``) of an anchor's first hit on a page at or after an item, in the first form that has one; null without."""
+
+    def hit(form: str) -> Column:
+        at = F.col(f"{form}_at")
+        needle = bare(anchor) if form == "bare" else anchor
+        begin = F.when((after > 0) & (after < F.col("n")), F.get(at, after)).otherwise(0)
+        place = F.call_function("locate", needle, F.col(form), begin + 1) - 1
+        item = lambda p: F.size(F.filter(at, lambda s: s <= p)) - 1
+        fits = (F.length(anchor) >= LEAST) & (F.length(needle) >= LEAST) & (place >= 0)
+        return F.when(fits, F.struct(item(place).alias("first"), item(place + F.length(needle) - 1).alias("last")))
+
+    return F.coalesce(*map(hit, FORMS))
 
 
 def locate(items: DataFrame, passages: DataFrame) -> DataFrame:
@@ -103,15 +90,20 @@ def locate(items: DataFrame, passages: DataFrame) -> DataFrame:
     ``items`` (doc_id, page, item, text), ``passages`` (passage_id, doc_id, text). Of a passage
     of up to 150 characters the whole must stand on one page; a longer one reaches from
     its beginning to its end, over pages in between; if the end isn't found, to the end of
-    the first page. Items of one document are read together.
+    the first page. Passages meet the pages of their document one by one; no document is read as a whole.
     """
-    pages = items.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("item", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("texts"))
-    docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "texts"))).alias("pages"))
+    pages = written(page_texts(items), "pages")
     rows = passages.where(F.length(F.trim("text")) >= LEAST).select("passage_id", "doc_id", start_anchor(F.col("text")).alias("start"), end_anchor(F.col("text")).alias("end"), (F.length(F.trim("text")) <= MOST).alias("short"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(r.passage_id, *s) for r in b.itertuples() for s in _spans([(p["page"], list(p["texts"])) for p in r.pages], r.start, r.end, r.short)]
-            yield pd.DataFrame(out, columns=["passage_id", "page", "first_item", "last_item"])
-
-    return rows.join(docs, "doc_id").mapInPandas(run, "passage_id long, page int, first_item int, last_item int")
+    rows = rows.withColumns({c: normal_form(F.col(c)) for c in ("start", "end")})
+    begun = rows.join(pages, "doc_id").withColumn("hit", find(F.col("start"), F.lit(0))).where("hit IS NOT NULL")
+    begun = written(begun.groupBy("passage_id", "doc_id", "end", "short").agg(F.min(F.struct("page", "hit", "n")).alias("at")).select("passage_id", "doc_id", "end", "short", F.col("at.page").alias("k"), "at.hit", F.col("at.n").alias("size")), "begun")
+    after = F.when(F.col("page") == F.col("k"), F.col("hit.last")).otherwise(0)
+    ended = begun.where("NOT short").join(pages, "doc_id").where("page >= k").withColumn("stop", find(F.col("end"), after)).where("stop IS NOT NULL")
+    ended = ended.groupBy("passage_id").agg(F.min(F.struct("page", F.col("stop.last").alias("last"))).alias("to"))
+    known = written(begun.join(ended, "passage_id", "left"), "known")
+    # A passage within its first page, found whole or to that page's end.
+    last = F.when(F.col("short"), F.col("hit.last")).when(F.col("to.page") == F.col("k"), F.greatest("hit.last", "to.last")).otherwise(F.col("size") - 1)
+    first = known.select("passage_id", F.col("k").alias("page"), F.col("hit.first").alias("first_item"), last.alias("last_item"))
+    more = known.where("to.page > k").join(pages.select("doc_id", "page", "n"), "doc_id").where("page > k AND page <= to.page")
+    more = more.select("passage_id", "page", F.lit(0).alias("first_item"), F.when(F.col("page") == F.col("to.page"), F.col("to.last")).otherwise(F.col("n") - 1).alias("last_item"))
+    return first.unionByName(more).select("passage_id", F.col("page").cast("int").alias("page"), F.col("first_item").cast("int").alias("first_item"), F.col("last_item").cast("int").alias("last_item"))
