@@ -59,6 +59,22 @@ def normalise(relations: DataFrame) -> DataFrame:
     return prepared(relations.select("source", "relationship", "destination")).distinct()
 
 
+def extracted(answers: DataFrame) -> DataFrame:
+    """Entities that a model's answers (id, payload: JSON) name in their calls: id, call_no, entity_no, entity, entity_type.
+
+    Arguments may be an object or its text; ``entities`` a list, of which objects count, or a single object. Anything else names none.
+    """
+    kind = lambda v, name: F.startswith(F.schema_of_variant(v), F.lit(name))
+    field = lambda v, name, of: F.try_variant_get(v, f"$.{name}", of)
+    calls = answers.select("id", F.posexplode(field(F.try_parse_json("payload"), "tool_calls", "array<variant>")).alias("call_no", "call"))
+    given = field(F.col("call"), "arguments", "variant")
+    calls = calls.where(kind(F.col("call"), "OBJECT")).select("id", "call_no", F.when(kind(given, "STRING"), F.try_parse_json(F.try_variant_get(given, "$", "string"))).otherwise(given).alias("arguments"))
+    some = field(F.col("arguments"), "entities", "variant")
+    listed = F.when(kind(some, "OBJECT"), F.array(some)).when(kind(some, "ARRAY"), F.filter(F.try_variant_get(some, "$", "array<variant>"), lambda x: kind(x, "OBJECT")))
+    rows = calls.select("id", "call_no", F.posexplode(listed).alias("entity_no", "e"))
+    return rows.select("id", "call_no", "entity_no", field(F.col("e"), "entity", "string").alias("entity"), field(F.col("e"), "entity_type", "string").alias("entity_type"))
+
+
 def by_query(nodes: DataFrame, texts: Sequence[str], limit: int = 256) -> DataFrame:
     """``seeds`` of the query's entity names: those of one word as exact names, all words as parts of names; without any, or if none is found, the newest ``limit`` nodes with a vector."""
     rows = nodes.sparkSession.createDataFrame([(x,) for x in texts], "text string").select(T.seed_terms(F.col("text"))).collect()

@@ -47,3 +47,15 @@ def graph_upsert(t):
     UNION ALL SELECT m.id, m.name, round(m.v[1], 6), true FROM m WHERE m.is_new""")
 def graph_upsert_nodes(t):
     return grown(t)[0].select("id", "name", F.round(F.col("embedding")[0], 6).alias("first_component"), "is_new")
+
+
+@query("graph_entities", """SELECT doc_id AS id, 0 AS call_no, 0 AS entity_no, source AS entity, CASE WHEN doc_id % 5 = 0 THEN 'A' END AS entity_type FROM documents WHERE doc_id % 5 IN (0, 1, 2)
+    UNION ALL SELECT doc_id, 1, 1, lang, 'B' FROM documents WHERE doc_id % 5 = 2""")
+def graph_entities(t):
+    """A single object, a text of arguments, two calls with something else among their entities, no list, no JSON."""
+    payload = F.expr("""CASE doc_id % 5 WHEN 0 THEN concat('{"tool_calls": [{"arguments": {"entities": {"entity": "', source, '", "entity_type": "A"}}}]}')
+        WHEN 1 THEN concat('{"tool_calls": [{"arguments": "{\\\\"entities\\\\": [{\\\\"entity\\\\": \\\\"', source, '\\\\"}]}"}]}')
+        WHEN 2 THEN concat('{"tool_calls": [{"arguments": {"entities": [{"entity": "', source, '"}, "x", 5]}}, {"arguments": {"entities": [{"entity": "', lang, '0"}, {"entity": "', lang, '", "entity_type": "B"}]}}]}')
+        WHEN 3 THEN '{"tool_calls": {"arguments": 1}}' ELSE 'no json' END""")
+    found = graph.extracted(t("documents").select(F.col("doc_id").alias("id"), payload.alias("payload")))
+    return found.where("NOT (call_no = 1 AND entity_no = 0)")

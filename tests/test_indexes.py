@@ -158,3 +158,12 @@ def test_ranks_over_ranges(spark):
     page = ordering.page(spark.createDataFrame(rows, "id long, name string"), "name", "id", size=10, number=50).collect()
     assert sorted(x["rank"] for x in page) == list(range(491, 501))
     assert ordering.ranked(spark.createDataFrame([], "id long"), "id").count() == 0
+
+
+def test_entities_in_answers(spark):
+    rows = [
+        (1, '{"tool_calls": [{"arguments": {"entities": {"entity": "1", "entity_type": "PERSON"}}}]}'), (2, '{"tool_calls": [{"arguments": "{\\"entities\\": [{\\"entity\\": \\"a\\"}]}"}, 7, {"arguments": {"entities": [5, {"entity": "b"}]}}]}'),
+        (3, '{"tool_calls": [{"arguments": "no json"}, {"arguments": {"entities": "x"}}, {}]}'), (4, '{"tool_calls": null}'), (5, None), (6, "[1]"),
+    ]
+    got = graph.extracted(spark.createDataFrame(rows, "id int, payload string")).orderBy("id", "call_no").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, "1", "PERSON"), (2, 0, 0, "a", None), (2, 2, 0, "b", None)]
