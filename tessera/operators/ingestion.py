@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.ordering import ranked
 
 MAX_BYTES = 50 * 1024 * 1024
 
@@ -89,11 +90,11 @@ def error_report(context: Column, kind: Column, message: Column) -> Column:
 
 
 def anchored(children: DataFrame) -> DataFrame:
-    """Rows (id, parent_id, title) in display order: roots by title, each followed by its children by title. Meant for the rows of one view."""
+    """Rows (id, parent_id, title) in display order: roots by title, each followed by its children by title. Ranked over ranges of that order."""
     parent = children.select(F.col("id").alias("pid"), F.lower("title").alias("ptitle"))
     rows = children.join(parent, F.col("parent_id") == F.col("pid"), "left")
-    order = Window.orderBy(F.coalesce("ptitle", F.lower("title")), F.coalesce("pid", "id"), F.col("pid").isNotNull(), F.lower("title"), "id")
-    return rows.select("id", F.row_number().over(order).alias("position"))
+    rows = rows.select("id", F.coalesce("ptitle", F.lower("title")).alias("a"), F.coalesce("pid", "id").alias("b"), F.col("pid").isNotNull().alias("c"), F.lower("title").alias("d"))
+    return ranked(rows, "a", "b", "c", "d", "id", name="position").select("id", F.col("position").cast("int").alias("position"))
 
 
 def delay(stage_ms: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import access
 from tessera.operators.chunking import progress
-from tessera.plans.registry import ORACLES, query
+from tessera.operators.ordering import ranked
+from tessera.plans.registry import query
 
 #: Regions and nations as a collection tree; grants of customers' keys on it.
 TREE = "SELECT CAST(r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent_id, r_name AS name FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_name FROM nation"
@@ -123,11 +124,10 @@ def type_sets(t):
 
 
 def upper_median_of(rows, key, value):
-    """The value in the middle of each key's, the upper of two: counts per value are summed up in order, so no key's values meet in one array."""
-    n = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key)
-    upto = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return n.withColumn("upto", upto).withColumn("total", F.sum("n").over(w)).where("upto > total div 2").groupBy(key).agg(F.min(value).alias("median"))
+    """The value in the middle of each key's, the upper of two: all rows are ranked by key and value over ranges, so no key's values meet in one task."""
+    placed = ranked(rows.where(F.col(value).isNotNull()).select(key, value), key, value)
+    middle = placed.groupBy(key).agg((F.min("rank") + F.floor(F.count("*") / 2)).alias("rank"))
+    return placed.join(middle.select("rank"), "rank").select(key, F.col(value).alias("median"))
 
 
 @query("upper_median", "SELECT event_type, list_sort(list(value))[len(list(value)) // 2 + 1] AS median FROM events GROUP BY event_type")

@@ -6,8 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
-from tessera.operators import graph, ordering, search, trigram_index, vector_index
+from tessera.operators import graph, ordering, trigram_index, vector_index
 
 
 def grouped(seed, n=400, width=16):
@@ -167,3 +166,16 @@ def test_entities_in_answers(spark):
     ]
     got = graph.extracted(spark.createDataFrame(rows, "id int, payload string")).orderBy("id", "call_no").collect()
     assert [tuple(r) for r in got] == [(1, 0, 0, "1", "PERSON"), (2, 0, 0, "a", None), (2, 2, 0, "b", None)]
+
+
+def test_medians_by_rank(spark):
+    from tessera.plans.relational import upper_median_of
+
+    r = random.Random(9)
+    rows = [(k, None if r.random() < 0.1 else r.randrange(20) / 2) for k in "abc" for _ in range(r.randrange(1, 90))] + [("d", None), ("e", 1.0), ("e", 2.0)]
+    want = {}
+    for k in "abcde":
+        values = sorted(v for key, v in rows if key == k and v is not None)
+        want |= {k: values[len(values) // 2]} if values else {}
+    got = {x.k: x.median for x in upper_median_of(spark.createDataFrame(rows, "k string, v double").repartition(5), "k", "v").collect()}
+    assert got == want

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import conversation
 from tessera.operators import prompts as P

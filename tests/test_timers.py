@@ -3,8 +3,6 @@
 import random
 from datetime import datetime, timedelta, timezone
 
-import pytest
-
 from tessera.streaming import events as S
 from tessera.streaming import timers as T
 
