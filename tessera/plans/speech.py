@@ -96,3 +96,13 @@ def overflow_tokens(t):
 def caption_display(t):
     c = F.expr("CASE doc_id % 5 WHEN 0 THEN 'Figure ' || doc_id WHEN 1 THEN 'untitled' WHEN 2 THEN substring(text, 1, 40) WHEN 3 THEN '##$$ %% ' || source ELSE '12 ..' END")
     return t("documents").select("doc_id", S.caption_shown(c, T.useful_sentence(c)).alias("shown"))
+
+
+@query("overflow_retries", """WITH e AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN event_id % 97 + 1 END AS o, event_id % 1500 AS m, event_id % 2 = 0 AS t, event_id % 3 = 0 AS i FROM events), k AS (SELECT *, CASE WHEN t THEN 128 ELSE 384 END AS k, CASE WHEN t THEN 64 ELSE 192 END AS f FROM e)
+    SELECT event_id, CAST(CASE WHEN o IS NULL THEN NULL WHEN m > k THEN greatest(k, m - o - CASE WHEN o <= 4 THEN 8 ELSE greatest(32, least(192, o * 4)) END) WHEN NOT i AND m > f THEN greatest(f, m - o - greatest(16, least(128, o * 4))) ELSE m END AS BIGINT) AS max_tokens,
+    CASE event_id % 4 WHEN 0 THEN 'see' || chr(10) || '[Image removed due to context limit]' WHEN 1 THEN '[Image removed due to context limit]' END AS text FROM k""")
+def overflow_retries(t):
+    """Overflows of many sizes, with and without tools; messages with an image beside text, of an image, of text, and with a part of another kind."""
+    i = F.col("event_id")
+    parts = F.from_json(F.expr("""CASE event_id % 4 WHEN 0 THEN '[{"type": "text", "text": "see"}, {"type": "image_url"}]' WHEN 1 THEN '[{"type": "input_image"}]' WHEN 2 THEN '[{"type": "text", "text": "only"}]' ELSE '[{"type": "image"}, {"type": "audio"}]' END"""), "array<struct<type:string,text:string>>")
+    return t("events").select("event_id", C.retry_tokens(F.when(i % 11 > 0, i % 97 + 1), i % 1500, i % 2 == 0, i % 3 == 0).alias("max_tokens"), C.without_images(parts).alias("text"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions import toolcalls
 from tessera.operators import answers, conversation, prompts
 from tests.test_rules import each
 
@@ -88,3 +89,12 @@ def test_pages_by_name_type_and_date(spark):
     assert ids("name", 1) == [4, 2, 5, 1, 3] and ids("name", 1, descending=True) == [3, 1, 2, 5, 4]
     assert ids("at", 1, kind="date") == [5, 2, 3, 4, 1] and ids("name", 99, 2) == [3] and ids("name", 0, 2) == [4, 2]
     assert answers.sorted_page(frame.where("false"), "name", 3).count() == 0
+
+
+def test_retries_after_an_overflow(spark):
+    cases = [(3, 500, False, False, 489), (100, 500, False, False, 384), (10, 300, False, False, 250), (10, 300, False, True, 300), (5, 100, True, False, 75), (900, 5000, True, True, 3908), (5, 50, True, False, 50), (None, 500, True, False, None)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, o long, m long, t boolean, g boolean, want long")
+    got = rows.select("i", "want", toolcalls.retry_tokens(F.col("o"), F.col("m"), F.col("t"), F.col("g")).alias("got")).collect()
+    assert [r.got for r in sorted(got)] == [c[-1] for c in cases]
+    parts = spark.createDataFrame([(1, [("text", "a"), ("image", None)]), (2, [("text", "a")]), (3, [("image", None), ("audio", None)]), (4, []), (5, None)], "i int, p array<struct<type:string,text:string>>")
+    assert {r.i: r.x for r in parts.select("i", toolcalls.without_images(F.col("p")).alias("x")).collect()} == {1: "a\n[Image removed due to context limit]", 2: None, 3: None, 4: None, 5: None}
