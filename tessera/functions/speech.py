@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import at_least, bound
+
 #: Markup that is not shown.
 THINK, OPEN_THINK = r"(?is)<think\b[^>]*>.*?</think>", r"(?is)<think\b[^>]*>.*$"
 TOOL_BLOCK, TOOL_OPEN = r"(?is)<(tool_code|tool_call|function_call)\b[^>]*>.*?</(tool_code|tool_call|function_call)>", r"(?i)<(tool_code|tool_call|function_call)\b[^>]*>"
@@ -64,56 +66,56 @@ def _plain(text: Column) -> Column:
 
 def transcript(text: Column) -> Column:
     """Whether a text holds a raw tool call."""
-    return _any(F.lower(text), TOOL_TAGS) | text.rlike(TRANSCRIPT)
+    return bound(F.lower(text), lambda low: _any(low, TOOL_TAGS)) | text.rlike(TRANSCRIPT)
 
 
 def deferred(text: Column) -> Column:
     """Whether a text announces a search, or is a raw tool call, instead of answering."""
-    return transcript(text) | _any(_plain(text), SEARCH_CUES) | _plain(text).rlike(SEARCH_PLAN)
+    return transcript(text) | bound(_plain(text), lambda one: _any(one, SEARCH_CUES) | one.rlike(SEARCH_PLAN))
 
 
 def non_answer(text: Column) -> Column:
     """Whether a text is ``deferred``, or a promise of at most 18 words and one sentence."""
-    one = _plain(_strip(F.regexp_replace(text, r"\s+", " ")))
-    short = (one != "") & (words(one) <= 18) & (F.regexp_count(one, F.lit("[.!?]")) <= 1)
-    return deferred(text) | (short & one.rlike("|".join(PROMISES)))
+    promise = lambda one: (one != "") & one.rlike("|".join(PROMISES)) & ~at_least(one, 19) & (F.regexp_count(one, F.lit("[.!?]")) <= 1)
+    return deferred(text) | bound(_plain(_strip(F.regexp_replace(text, r"\s+", " "))), promise)
 
 
 def status_only(text: Column) -> Column:
     """Whether a text is a status line of at most 18 words, by its first word or by trailing dots (below 15 words)."""
-    seen, n = _strip(without_thinking(text)), words(_strip(without_thinking(text)))
-    return (seen != "") & (n <= 18) & (seen.rlike(STATUS) | (seen.rlike(r"(\.\.\.|…)$") & (n < 15)))
+    said = lambda seen: (seen != "") & ~at_least(seen, 19) & (seen.rlike(STATUS) | (seen.rlike(r"(\.\.\.|…)$") & ~at_least(seen, 15)))
+    return bound(_strip(without_thinking(text)), said)
 
 
 def interim(text: Column) -> Column:
     """Whether a text is work in progress: a status line, markup, a list of passages, an announcement."""
-    seen = _strip(without_thinking(text))
-    bare = _strip(without_thinking(without_tools(seen)))
-    dump = F.lit(False)
-    for start in DUMP_STARTS:
-        dump = dump | F.startswith(F.lower(bare), F.lit(start))
-    return (seen != "") & (status_only(seen) | bare.rlike(BARE_TOOL) | dump | deferred(seen))
+
+    def marked(bare: Column) -> Column:
+        dump = lambda low: F.exists(F.array(*map(F.lit, DUMP_STARTS)), lambda start: F.startswith(low, start))
+        return bare.rlike(BARE_TOOL) | bound(F.lower(bare), dump)
+
+    judged = lambda seen: (seen != "") & (status_only(seen) | bound(_strip(without_thinking(without_tools(seen))), marked) | deferred(seen))
+    return bound(_strip(without_thinking(text)), judged)
 
 
 def displayable(text: Column) -> Column:
     """Whether a text may be shown as an answer: not interim, and at least two words (which every other way to qualify implies)."""
-    seen = _strip(without_thinking(text))
-    return (seen != "") & ~interim(seen) & (words(seen) >= 2)
+    return bound(_strip(without_thinking(text)), lambda seen: (seen != "") & ~interim(seen) & at_least(seen, 2))
 
 
 def shown(text: Column) -> Column:
     """What is shown of a finished answer: its text without reasoning and tools if that is displayable, else nothing."""
-    seen = without_tools(without_thinking(text))
-    return F.when(displayable(seen), seen).otherwise("")
+    return bound(without_tools(without_thinking(text)), lambda seen: F.when(displayable(seen), seen).otherwise(""))
 
 
 def streamed(text: Column) -> Column:
     """What is shown of an answer that is still coming in: nothing while it is interim, a promise of under 40 words, or looks like a tool call."""
-    seen = without_tools(without_thinking(text))
-    bare = _strip(seen)
-    begins = (bare != "") & bare.rlike(PROMISE_START) & (words(bare) < 40)
-    call = F.contains(F.lower(bare), F.lit("<tool")) | bare.rlike(r'\{\s*"(name|tool_name)"\s*:') | (F.contains(F.lower(bare), F.lit('"arguments"')) & (words(bare) < 80))
-    return F.when(interim(seen) | begins | call, "").otherwise(seen)
+
+    def hidden(bare: Column) -> Column:
+        begins = (bare != "") & bare.rlike(PROMISE_START) & ~at_least(bare, 40)
+        call = F.contains(F.lower(bare), F.lit("<tool")) | bare.rlike(r'\{\s*"(name|tool_name)"\s*:') | (F.contains(F.lower(bare), F.lit('"arguments"')) & ~at_least(bare, 80))
+        return begins | call
+
+    return bound(without_tools(without_thinking(text)), lambda seen: F.when(interim(seen) | bound(_strip(seen), hidden), "").otherwise(seen))
 
 
 def has_image(text: Column) -> Column:
@@ -142,4 +144,5 @@ def caption_shown(caption: Column, useful: Column) -> Column:
 def is_evidence(role: Column, text: Column) -> Column:
     """Whether a message holds a tool's result: a user's turn whose first line says so."""
     line = F.substring_index(F.substring(F.regexp_replace(text, r"^\s+", ""), 1, 160), "\n", 1)
-    return (role == "user") & ((F.startswith(line, F.lit("Tool ")) & F.contains(line, F.lit("result:"))) | F.startswith(line, F.lit("Tool:")))
+    said = lambda x: (F.startswith(x, F.lit("Tool ")) & F.contains(x, F.lit("result:"))) | F.startswith(x, F.lit("Tool:"))
+    return (role == "user") & bound(line, said)
