@@ -179,6 +179,6 @@ def skills(collections: DataFrame, documents: DataFrame, selected: DataFrame, mo
 def quote(message: Column, chunk: Column) -> Column:
     """The sentence of a chunk that shares most with a message, the first of equals; null if none shares a word. It stands for a model that picks a quote."""
     parts = F.filter(F.split(F.regexp_replace(T.squeeze(chunk), r"([.!?]) ", "$1\n"), "\n"), lambda s: s != "")
-    scored = F.transform(parts, lambda s, i: F.struct(T.lexical_overlap(message, s).alias("score"), (-i).alias("place"), s.alias("sentence")))
-    best = F.array_max(scored)
-    return F.when(best["score"] > 0, best["sentence"])
+    scored = lambda words: F.transform(parts, lambda s, i: F.struct(T.overlap_with(words, s).alias("score"), (-i).alias("place"), s.alias("sentence")))
+    best = F.array_max(T.bound(T.lexical_words(message), scored))
+    return T.bound(best, lambda x: F.when(x["score"] > 0, x["sentence"]))
