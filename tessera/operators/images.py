@@ -39,13 +39,17 @@ def refine_boxes(boxes: DataFrame, parts: DataFrame, cell: float = 64.0) -> Data
     """Each box (page, box_id, x0, y0, x1, y1) fitted to the drawings (page, px0, py0, px1, py1) that overlap it; itself without any.
 
     Boxes and drawings meet in the cells of a grid that both touch, not in all pairs of a
-    page; meeting in several cells changes neither least nor greatest.
+    page; meeting in several cells changes neither least nor greatest. Boxes and drawings of a page that
+    lie alike are one shape each, and only shapes meet: copies, however many, make no pairs.
     """
     cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
     grid = lambda rows, p: rows.withColumn("cx", cells(f"{p}x0", f"{p}x1")).withColumn("cy", cells(f"{p}y0", f"{p}y1"))
-    hit = grid(boxes, "").join(grid(parts.where("px0 <= px1 AND py0 <= py1"), "p"), ["page", "cx", "cy"]).where("px0 < x1 AND px1 > x0 AND py0 < y1 AND py1 > y0")
-    fit = hit.groupBy("page", "box_id").agg(F.min("px0").alias("a"), F.min("py0").alias("b"), F.max("px1").alias("c"), F.max("py1").alias("d"))
-    out = boxes.join(fit, ["page", "box_id"], "left")
+    corners = ["page", "x0", "y0", "x1", "y1"]
+    shapes = boxes.select(*corners).distinct()
+    drawn = parts.where("px0 <= px1 AND py0 <= py1").select("page", "px0", "py0", "px1", "py1").distinct()
+    hit = grid(shapes, "").join(grid(drawn, "p"), ["page", "cx", "cy"]).where("px0 < x1 AND px1 > x0 AND py0 < y1 AND py1 > y0")
+    fit = hit.groupBy(*corners).agg(F.min("px0").alias("a"), F.min("py0").alias("b"), F.max("px1").alias("c"), F.max("py1").alias("d"))
+    out = boxes.join(fit, corners, "left")
     return out.select("page", "box_id", *(F.coalesce(n, o).alias(o) for n, o in zip("abcd", ("x0", "y0", "x1", "y1"))))
 
 
