@@ -9,6 +9,7 @@ from tessera.operators import conversation as C
 from tessera.operators import continuation, graph
 from tessera.plans.registry import query
 from tessera.plans.rules import squeezed
+from tessera.shared import spread
 from tessera.sources import sinks
 
 
@@ -230,7 +231,8 @@ NORMAL_EDGES = f"""SELECT s AS source, CASE r WHEN 'works_on' THEN 'WORKS_ON' WH
 
 
 def raw_edges(t):
-    return t("customer").join(t("nation"), F.expr("c_nationkey = n_nationkey")).select(
+    customers = spread(t("customer").select("c_custkey", "c_name", "c_nationkey"), narrow=True)
+    return customers.join(F.broadcast(t("nation")), F.expr("c_nationkey = n_nationkey")).select(
         F.expr("""CASE WHEN c_custkey % 5 = 0 THEN ' The  User ' WHEN c_custkey % 5 = 1 THEN '"' || c_name || '!"' ELSE 'The ' || c_name END""").alias("source"),
         F.expr("CASE c_custkey % 4 WHEN 0 THEN 'works on' WHEN 1 THEN ' in nation' WHEN 2 THEN 'Likes ' ELSE 'related-to' END").alias("relationship"), F.expr("CASE WHEN c_custkey % 11 = 0 THEN 'assistant' ELSE n_name END").alias("destination"),
     )
