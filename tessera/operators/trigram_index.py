@@ -18,6 +18,8 @@ from tessera.shared import spread, written
 LIST = 4096
 #: Most rows of queries' trigrams that are sent to the lists; more of them meet by a shuffle.
 SENT = 500_000
+#: Most queries that are inverted instead of the texts, and texts that are compared with them together.
+ASKED, TEXTS = 4096, 512
 #: A query's rarest trigrams are looked up first, until so many postings for each wanted row are at hand.
 SEEDS = 8
 
@@ -130,3 +132,49 @@ class TrigramIndex:
         mine = self.sets.select(F.col("key").alias("q"), F.col("n").alias("m"), F.explode("grams").alias("gram"))
         met = self._met(mine, F.col("q") < F.col("key"))
         return met.select(F.col("q").alias("a_id"), F.col("key").alias("b_id"), share(F.col("met"), F.col("m"), F.col("n")).alias("similarity")).where(F.col("similarity") > least)
+
+
+def top(texts: DataFrame, queries: DataFrame, k: int, least: float = 1e-6) -> DataFrame:
+    """The ``k`` of ``texts`` (key, text) of greatest trigram similarity above ``least`` for each of ``queries`` (q, text; q a long number): q, key, similarity, rank; ties by key.
+
+    Up to ``ASKED`` queries are inverted themselves: every text passes the lists of their trigrams once, which counts what it
+    shares with each query, and a task keeps its best ``k``. Nothing of the texts is written or
+    shuffled but these. More queries are looked up in an index of the texts; the result is the same.
+    """
+    asked = written(with_grams(queries.select(F.col("q").cast("long").alias("q"), "text"), "text").select("q", "grams", "n").where("n > 0"), "asked")
+    if asked.count() > ASKED:
+        return TrigramIndex.build(texts).top(queries, k, least)
+    known = asked.toArrow().combine_chunks()
+    ids, sizes = (known.column(c).to_numpy().astype(np.int64) for c in ("q", "n"))
+    gram = np.concatenate([np.asarray(x.as_py(), np.int64) for x in known.column("grams")]) if len(ids) else np.zeros(0, np.int64)
+    order = np.argsort(gram, kind="stable")
+    owner = np.repeat(np.arange(len(ids)), sizes)[order]
+    grams, first = np.unique(gram[order], return_index=True)
+    ends = np.append(first[1:], len(owner)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, held = np.zeros((0, len(ids))), np.zeros((0, len(ids)), np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows if len(ids) else 0, TEXTS):
+                part = b.slice(i, TEXTS)
+                mine = [trigram_codes(x or "").astype(np.int64) for x in part.column("_plain").to_pylist()]
+                n = np.array(list(map(len, mine)))
+                flat, row = np.concatenate(mine), np.repeat(np.arange(len(n)), n)
+                at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
+                hit = grams[at] == flat
+                at, row = at[hit], row[hit]
+                many = ends[at] - first[at]
+                post = np.repeat(first[at] - (many.cumsum() - many), many) + np.arange(many.sum())
+                both = np.bincount(np.repeat(row, many) * len(ids) + owner[post], minlength=len(n) * len(ids)).reshape(len(n), -1)
+                keys = part.column("key").to_numpy()
+                score = np.concatenate([score, both / np.maximum(1, n[:, None] + sizes[None] - both)])
+                held = np.concatenate([held, np.broadcast_to(keys[:, None], both.shape)])
+                best = np.lexsort((held, -score), axis=0)[:k]
+                score, held = np.take_along_axis(score, best, 0), np.take_along_axis(held, best, 0)
+        some = score > least
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids, score.shape)[some]), pa.array(held[some]), pa.array(score[some])], ["q", "key", "similarity"])
+
+    rows = spread(texts.select(F.col("key").cast("long").alias("key"), "text")).select("key", plain_words(F.col("text")).alias("_plain"))
+    found = rows.mapInArrow(run, "q long, key long, similarity double")
+    place = Window.partitionBy("q").orderBy(F.desc("similarity"), "key")
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

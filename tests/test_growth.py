@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera import plans
 from tessera.functions import speech as S
 from tessera.functions import text as T
-from tessera.operators import documents, graph, images
+from tessera.operators import documents, graph, images, trigram_index
 
 
 def regexes(df):
@@ -54,3 +54,15 @@ def test_boxes_that_lie_alike_meet_drawings_once(spark):
     rows = got.collect()
     assert len(rows) == 301 and {tuple(r)[2:] for r in rows if r.box_id < 300} == {(15, 12, 25, 18)} and {tuple(r)[2:] for r in rows if r.box_id == 999} == {(400, 400, 410, 410)}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3
+
+
+def test_queries_meet_texts_without_an_index_of_these(spark, monkeypatch):
+    words = ["dark", "matter", "halo", "star", "", "dust ring", "Staré město"]
+    texts = spark.range(700).select(F.col("id").alias("key"), F.concat_ws(" ", *(F.element_at(F.array(*map(F.lit, words)), ((F.col("id") * p + p) % 7 + 1).cast("int")) for p in (1, 3, 5))).alias("text")).unionByName(spark.createDataFrame([(900, None), (901, "!")], "key long, text string"))
+    queries = spark.createDataFrame([(i, w) for i, w in enumerate(["dark halo", "", "star dust", None, "matter", "zzz"])], "q long, text string")
+    whole = lambda: sorted(map(tuple, trigram_index.top(texts, queries, 5).collect()))
+    got = whole()
+    assert len(got) == 15 and got == sorted(map(tuple, trigram_index.TrigramIndex.build(texts).top(queries, 5).select("q", "key", "similarity", "rank").collect()))
+    monkeypatch.setattr(trigram_index, "ASKED", 1)
+    assert got == sorted((r.q, r.key, r.similarity, r.rank) for r in trigram_index.top(texts, queries, 5).collect())
+    assert trigram_index.top(texts, queries.where("q = 1"), 5).count() == 0
