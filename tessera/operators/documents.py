@@ -15,6 +15,8 @@ from tessera.operators import search
 WHOLE_TOKENS, TITLE_CHARS, NO_TEXT = 150_000, 200, "No text could be extracted from this media. "
 #: Names of skill documents and of collections that hold nothing else, most characters of a prompt, what stands between its parts.
 SKILL_NAMES, SKILL_PACKS, SKILL_CHARS, BETWEEN = ("skill", "skills"), ("skills", "skill_pack"), 12_000, "\n\n---\n\n"
+#: Parts into which a collection's documents are dealt.
+PARTS = 64
 
 
 def unified(subtypes: Mapping[str, DataFrame]) -> DataFrame:
@@ -166,7 +168,14 @@ def skills(collections: DataFrame, documents: DataFrame, selected: DataFrame, mo
     marked = key.isin(*SKILL_NAMES) | F.endswith(key, F.lit("_skill"))
     text_doc = F.col("is_text") | F.endswith(F.lower(F.trim("title")), F.lit(".md"))
     docs = documents.select("collection_id", "title", marked.alias("marked"), text_doc.alias("plain"), skill_text(F.col("title"), F.col("text")).alias("part")).where("part IS NOT NULL AND (marked OR plain)")
-    rows = own.union(below).join(docs, "collection_id").where("CASE WHEN pack THEN plain ELSE marked END")
+    # Users take a collection's documents in one order, so what begins beyond a prompt's length in its collection is left out before
+    # users meet documents. A collection is first dealt into parts: what is beyond in its part is beyond in the collection.
+    docs = docs.join(c.select("collection_id", "pack"), "collection_id").where("CASE WHEN pack THEN plain ELSE marked END")
+    docs = docs.select("collection_id", "title", F.left("part", F.lit(most)).alias("part"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).alias("deal"))
+    for group in (["collection_id", "deal"], ["collection_id"]):
+        ahead = F.sum(F.length("part") + len(BETWEEN)).over(Window.partitionBy(*group).orderBy("title", "part").rowsBetween(Window.unboundedPreceding, -1))
+        docs = docs.withColumn("ahead", F.coalesce(ahead, F.lit(0))).where(F.col("ahead") < most).drop("ahead")
+    rows = own.union(below).join(docs.drop("deal"), "collection_id")
     # What begins beyond the prompt's length can't be in it, so it is left out before anything is gathered.
     keys = ["phase", "name", "collection_id", "title", "part"]
     before = F.coalesce(F.sum(F.length("part") + len(BETWEEN)).over(Window.partitionBy("user_id").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

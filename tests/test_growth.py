@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tessera import plans
 from tessera.functions import speech as S
 from tessera.functions import text as T
-from tessera.operators import documents, graph, images, trigram_index
+from tessera.functions import vectors as V
+from tessera.operators import documents, graph, images, trigram_index, vector_index
 
 
 def regexes(df):
@@ -66,3 +67,30 @@ def test_queries_meet_texts_without_an_index_of_these(spark, monkeypatch):
     monkeypatch.setattr(trigram_index, "ASKED", 1)
     assert got == sorted((r.q, r.key, r.similarity, r.rank) for r in trigram_index.top(texts, queries, 5).collect())
     assert trigram_index.top(texts, queries.where("q = 1"), 5).count() == 0
+
+
+def test_queries_go_to_their_pools_in_bounded_batches(spark, monkeypatch):
+    rows = spark.range(300).select("id", F.array(*(F.sin(F.col("id") * k) for k in (1, 2, 3, 5))).alias("vector"))
+    pairs = lambda: {(r.q, r.id) for r in vector_index.similar(rows, rows.withColumnRenamed("id", "q"), 0.9, 4, 16).collect()}
+    whole = pairs()
+    monkeypatch.setattr(vector_index, "BLOCK", 16)
+    monkeypatch.setattr(vector_index, "SENT", 7)
+    assert pairs() == whole and len(whole) > 300
+
+
+def test_skills_beyond_the_prompt_go_before_users_meet_them(spark, monkeypatch):
+    collections = spark.createDataFrame([(1, None, "a"), (2, 1, "Skills")], "id long, parent_id long, name string")
+    docs = spark.range(200).select((F.col("id") % 2 + 1).alias("collection_id"), F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("_skill.md")).alias("title"), F.concat(F.lit("text "), "id").alias("text"), F.lit(False).alias("is_text"))
+    users = spark.createDataFrame([(7, 1), (8, 2)], "user_id long, collection_id long")
+    prompt = lambda most: {r.user_id: r.prompt for r in documents.skills(collections, docs, users, most).collect()}
+    whole, short = prompt(10**6), prompt(90)
+    assert short == {u: x[:90].rstrip() for u, x in whole.items()} and whole[7].count("text ") == 200
+    assert documents.skills(collections, docs, users)._jdf.queryExecution().optimizedPlan().toString().count("deal") > 0
+
+
+def test_embeddings_do_not_depend_on_the_batch(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"w{i} w{i % 3} x") for i in range(20)] + [(20, None), (21, "")], "i int, text string")
+    embed = lambda: [list(r[0]) for r in texts.orderBy("i").select(V.hashing_embedding(F.col("text"), 8)).collect()]
+    whole = embed()
+    monkeypatch.setattr(V, "TEXTS", 3)
+    assert embed() == whole and sum(whole[0]) == 3 and sum(whole[20]) == 0
