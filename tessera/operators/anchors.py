@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.shared import written
 
@@ -56,11 +60,27 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(text, "[^a-z0-9]+", "")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items of one page that follow each other as one row: their numbers, and their texts in normal form, which has no line break, line by line."""
+    for b in batches:
+        ids, pages = b.column("doc_id").to_pylist(), b.column("page").to_pylist()
+        first = [i for i in range(b.num_rows) if not i or ids[i] != ids[i - 1] or pages[i] != pages[i - 1]]
+        texts = [normal(x or "") for x in b.column("text").to_pylist()]
+        ends = [*first[1:], b.num_rows][: len(first)]
+        at = pa.array(first, pa.int64())
+        items = pa.ListArray.from_arrays(pa.array([*first, b.num_rows], pa.int32()), b.column("item"))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("page").take(at), items, pa.array(["\n".join(texts[i:j]) for i, j in zip(first, ends)], pa.string())], ["doc_id", "page", "items", "texts"])
+
+
 def page_texts(items: DataFrame) -> DataFrame:
     """Pages of ``items`` (doc_id, page, item, text): doc_id, page, n, and for each form its text and where each item begins in it."""
-    rows = items.select("doc_id", "page", "item", normal_form(F.col("text")).alias("text"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("item", "text"))), lambda x: x["text"])
-    rows = rows.groupBy("doc_id", "page").agg(parts.alias("parts")).withColumn("letters", F.transform("parts", bare))
+    runs = items.select("doc_id", "page", "item", F.col("text").cast("string").alias("text"))
+    kinds = runs.schema
+    runs = runs.mapInArrow(_runs, T.StructType([kinds["doc_id"], kinds["page"], T.StructField("items", T.ArrayType(kinds["item"].dataType)), T.StructField("texts", T.StringType())]))
+    # By document alone: passages then meet its pages where they lie.
+    runs = runs.repartition("doc_id").groupBy("doc_id", "page").agg(F.collect_list(F.struct("items", "texts")).alias("runs"))
+    each = F.transform("runs", lambda r: F.zip_with(r["items"], F.split(r["texts"], "\n", -1), lambda i, t: F.struct(i.alias("item"), t.alias("text"))))
+    rows = runs.select("doc_id", "page", F.transform(F.array_sort(F.flatten(each)), lambda x: x["text"]).alias("parts")).withColumn("letters", F.transform("parts", bare))
 
     def begins(parts: str, gap: int) -> Column:
         return F.slice(F.aggregate(F.transform(parts, F.length), F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n + gap))), 1, F.size(parts))
@@ -92,18 +112,21 @@ def locate(items: DataFrame, passages: DataFrame) -> DataFrame:
     its beginning to its end, over pages in between; if the end isn't found, to the end of
     the first page. Passages meet the pages of their document one by one; no document is read as a whole.
     """
-    pages = written(page_texts(items), "pages")
     rows = passages.where(F.length(F.trim("text")) >= LEAST).select("passage_id", "doc_id", start_anchor(F.col("text")).alias("start"), end_anchor(F.col("text")).alias("end"), (F.length(F.trim("text")) <= MOST).alias("short"))
     rows = rows.withColumns({c: normal_form(F.col(c)) for c in ("start", "end")})
-    begun = rows.join(pages, "doc_id").withColumn("hit", find(F.col("start"), F.lit(0))).where("hit IS NOT NULL")
-    begun = written(begun.groupBy("passage_id", "doc_id", "end", "short").agg(F.min(F.struct("page", "hit", "n")).alias("at")).select("passage_id", "doc_id", "end", "short", F.col("at.page").alias("k"), "at.hit", F.col("at.n").alias("size")), "begun")
-    after = F.when(F.col("page") == F.col("k"), F.col("hit.last")).otherwise(0)
-    ended = begun.where("NOT short").join(pages, "doc_id").where("page >= k").withColumn("stop", find(F.col("end"), after)).where("stop IS NOT NULL")
-    ended = ended.groupBy("passage_id").agg(F.min(F.struct("page", F.col("stop.last").alias("last"))).alias("to"))
-    known = written(begun.join(ended, "passage_id", "left"), "known")
+    # The pages' texts meet the passages once; of a page stay where the beginning stands, and the end behind it (``same``) and anywhere (``stop``).
+    met = rows.join(page_texts(items), "doc_id").withColumn("hit", find(F.col("start"), F.lit(0)))
+    same, stop = F.when(F.col("hit").isNotNull() & ~F.col("short"), find(F.col("end"), F.col("hit.last")))["last"], F.when(~F.col("short"), find(F.col("end"), F.lit(0)))["last"]
+    met = written(met.select("passage_id", "doc_id", "short", "page", "n", "hit", same.alias("same"), stop.alias("stop")), "met")
+    begun = met.where("hit IS NOT NULL").groupBy("passage_id", "doc_id", "short").agg(F.min(F.struct("page", "hit", "n", "same")).alias("at"))
+    begun = begun.select("passage_id", "doc_id", "short", F.col("at.page").alias("k"), "at.hit", F.col("at.n").alias("size"), F.col("at.same").alias("same"))
+    later = begun.where("NOT short AND same IS NULL").select("passage_id", "doc_id", "k").join(met.where("stop IS NOT NULL"), ["passage_id", "doc_id"]).where("page > k")
+    later = later.groupBy("passage_id", "doc_id").agg(F.min(F.struct("page", F.col("stop").alias("last"))).alias("later"))
+    to = F.when(F.col("same").isNotNull(), F.struct(F.col("k").alias("page"), F.col("same").alias("last"))).otherwise(F.col("later"))
+    known = written(begun.join(later, ["passage_id", "doc_id"], "left").withColumn("to", to).drop("later", "same"), "known")
     # A passage within its first page, found whole or to that page's end.
     last = F.when(F.col("short"), F.col("hit.last")).when(F.col("to.page") == F.col("k"), F.greatest("hit.last", "to.last")).otherwise(F.col("size") - 1)
     first = known.select("passage_id", F.col("k").alias("page"), F.col("hit.first").alias("first_item"), last.alias("last_item"))
-    more = known.where("to.page > k").join(pages.select("doc_id", "page", "n"), "doc_id").where("page > k AND page <= to.page")
+    more = known.where("to.page > k").join(met.select("passage_id", "doc_id", "page", "n").distinct(), ["passage_id", "doc_id"]).where("page > k AND page <= to.page")
     more = more.select("passage_id", "page", F.lit(0).alias("first_item"), F.when(F.col("page") == F.col("to.page"), F.col("to.last")).otherwise(F.col("n") - 1).alias("last_item"))
     return first.unionByName(more).select("passage_id", F.col("page").cast("int").alias("page"), F.col("first_item").cast("int").alias("first_item"), F.col("last_item").cast("int").alias("last_item"))

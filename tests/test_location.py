@@ -82,3 +82,13 @@ def test_location_equals_the_loops(spark):
                 pages.setdefault(k, []).append(t)
         want += [(p.passage_id, *x) for x in spans(sorted(pages.items()), p.a, p.b, p.short)]
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 25
+
+
+def test_texts_of_pages_are_not_written(spark, monkeypatch):
+    """Texts meet the passages where they were put together; what is written and shuffled on are numbers."""
+    seen = []
+    monkeypatch.setattr(anchors, "written", lambda df, name="step": (seen.append((name, df.columns)), df)[1])
+    items = spark.createDataFrame([(1, 0, k, f"Word{k}\n of") for k in range(30)], "doc_id int, page int, item int, text string")
+    passages = spark.createDataFrame([(5, 1, "".join(f"word{k} of" for k in range(4, 9))), (5, 1, "".join(f"word{k} of" for k in range(4, 9)))], "passage_id long, doc_id int, text string")
+    assert [tuple(r) for r in anchors.locate(items, passages).collect()] == [(5, 0, 4, 8)]
+    assert seen and not {c for _, columns in seen for c in columns} & {*anchors.FORMS, "parts", "end"}
