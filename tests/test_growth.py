@@ -94,3 +94,16 @@ def test_embeddings_do_not_depend_on_the_batch(spark, monkeypatch):
     whole = embed()
     monkeypatch.setattr(V, "TEXTS", 3)
     assert embed() == whole and sum(whole[0]) == 3 and sum(whole[20]) == 0
+
+
+def test_a_query_goes_to_a_shelf_once(spark, monkeypatch):
+    """What is sent grows with the queries times a fixed number of shelves, not with the pools."""
+    rows = spark.range(400).select("id", F.array(*(F.sin(F.col("id") * k) for k in (1, 2, 3, 5))).alias("vector"))
+    monkeypatch.setattr(vector_index, "BLOCK", 8)
+    monkeypatch.setattr(vector_index, "SHELVES", 3)
+    index = vector_index.VectorIndex.build(rows, 4, 64)
+    assert index.blocks.count() > 30 and index.shelf.max() < 4
+    asked = rows.select(F.col("id").alias("q"), "vector", F.lit(9.0).alias("limit"))
+    sent = index._sent(asked, lambda away, low, limit: low <= limit)
+    assert sent.count() <= 4 * 400 and sent.select("q", F.explode("cells")).count() == 400 * int((index.count > 0).sum())
+    assert index.within(rows.withColumnRenamed("id", "q"), 9.0).count() == 400 * 400
