@@ -30,6 +30,8 @@ from tessera.llm.training import held_out, sample
 
 GAP = ~ALPHA
 UNKNOWN = "und"
+#: Bytes worked through at a time: a byte takes some hundred in subwords and their scores.
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -156,7 +158,7 @@ def _text(column: pa.Array) -> pa.Array:
 def _extract(p: Language):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(_text(b.column(1))):
+            for s in slices(_text(b.column(1)), PIECE):
                 parts = list(subwords(s, p))
                 keys = [np.unique(np.concatenate([k[ptr[i] : ptr[i + 1]] for k, ptr in parts]), return_counts=True) for i in range(len(s))]
                 col = lambda j, t: pa.array([k[j].astype(t).tobytes() for k in keys], pa.binary())  # noqa: E731, B023
@@ -166,16 +168,18 @@ def _extract(p: Language):
 
 
 def _predict(m: Model, p: Language, names: list[str]):
+    """Language and score of the texts in the second column, beside the columns in ``names``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(_text(b.column(1))):
+            for s in slices(_text(b.column(1)), PIECE):
                 n = len(s)
                 if m.names:
                     sure = m.confidence(m.raw(s, p))
                     lang, score = [m.names[k] for k in sure.argmax(1)], sure.max(1)
                 else:
                     lang, score = [UNKNOWN] * n, np.zeros(n)
-                same = [b.column(k).slice(s.first, n) for k in range(b.num_columns) if k != 1]
+                same = [b.column(k).slice(s.first, n) for k, name in enumerate(b.schema.names) if name in names]
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), *same], names)
 
     return run
@@ -200,7 +204,10 @@ def identify(docs: DataFrame, folds: int = 4, hold: int = 2, p: Language = Langu
     """
     model = model or train(docs, folds, hold, p)
     lettered = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("judged"), lettered.alias("lettered"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    # A text that is kept goes to Python once: a batch holds up to 10,000 of them on both sides.
+    judged = "kept_text" if "text" in keep and docs.schema["text"].dataType == T.StringType() else "judged"
+    rest = [c for c in keep if f"kept_{c}" != judged]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias(judged), lettered.alias("lettered"), *(F.col(c).alias(f"kept_{c}") for c in rest))
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *(f for f in rows.schema if f.name != "judged")])
     out = rows.mapInArrow(_predict(model, p, schema.names), schema)
     known = F.col("lettered") & (F.col("lang_pred") != UNKNOWN)

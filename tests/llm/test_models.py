@@ -98,6 +98,22 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in unlabelled} == {"und"}
 
 
+def test_a_kept_text_goes_to_python_once(spark, monkeypatch):
+    sent = []
+    real = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, *a, **k: (sent.append(self.columns), real(self, *a, **k))[1])
+    rows = [(1, "ab cd", "x"), (2, None, "y"), (None, "", "x"), (4, "12", None), (1, "cd é", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.Model(["x", "y"], np.random.default_rng(1).normal(size=(2 ** language.Language().bits, 2)))
+    got = [tuple(r) for r in language.identify(docs, model=model, keep=("text", "lang")).select("doc_id", "text", "lang", "lang_pred", "score").collect()]
+    assert len(sent[0]) == 4
+    assert [r[:3] for r in got] == rows
+    plain = language.identify(docs, model=model).collect()
+    assert [r[3:] for r in got] == [(r.lang_pred, r.score) for r in plain]
+    binary = language.identify(docs.withColumn("text", F.col("text").cast("binary")), model=model, keep=("text",)).collect()
+    assert [None if r.text is None else bytes(r.text).decode() for r in binary] == [r[1] for r in rows]
+
+
 def counted(text):
     """The base counts by plain Python."""
     t = text or ""
