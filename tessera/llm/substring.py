@@ -343,14 +343,19 @@ class FingerprintIndex:
 
 
 def dedup(docs: DataFrame, p: Substring = Substring(), batches: int = 5) -> DataFrame:
-    """All rows of ``docs`` through a new index, in ``batches`` of about equal size by ascending doc_id; columns and cases as of ``FingerprintIndex.add``."""
+    """All rows of ``docs`` through a new index, in ``batches`` of about equal size by ascending doc_id; columns and cases as of ``FingerprintIndex.add``.
+
+    Each batch's rows are written when they are judged, so the plan of the result is one scan, however many batches there are.
+    """
     index = FingerprintIndex(docs.sparkSession, p)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = sorted(set(docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
-    out, low = None, None
+    path, low = f"{shared_dir(docs.sparkSession)}/judged", None
     for high in [*cuts, None]:
         above = F.col("doc_id").isNull() if low is None else F.lit(False)  # rows without doc_id go with the first batch
         inside = (F.lit(True) if low is None else F.col("doc_id") > low) & (F.lit(True) if high is None else F.col("doc_id") <= high)
         got = index.add(docs.where(inside | above), docs.where(F.col("doc_id") <= low) if low is not None else None)
-        out, low = got if out is None else out.union(got), high
-    return out
+        # One plan of all batches would hold every batch's joins on the driver at once.
+        got.write.mode("append").option("compression", "zstd").parquet(path)
+        low = high
+    return docs.sparkSession.read.schema(got.schema).parquet(path)

@@ -143,6 +143,13 @@ def test_substring_index_is_compacted_and_reopened(spark, limit):
         index.add(docs)
 
 
+def test_substring_result_is_one_scan(spark):
+    """The joins of all batches would else stand in one plan, which the driver plans and follows at once."""
+    rows = corpus(24)
+    plan = substring.dedup(frame(spark, rows), batches=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan.strip().splitlines()) == 1 and plan.startswith("Relation"), plan
+
+
 def test_substring_of_shared_ids_and_long_texts(spark):
     """Rows of one doc_id lose what smaller ids have, each by its own words; a very long text and windows that begin alike."""
     passage = " ".join(f"p{i}" for i in range(25))
