@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     text (nulls being equal) one stays. An empty table stays empty.
     """
     ship(spark)
-    return near_dup.keep_one(docs.select(*COLUMNS)).dropDuplicates(["doc_id", "text"])
+    return near_dup.keep_one(docs.select(*COLUMNS), once=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.stats import ALPHA
-from tessera.llm.textlib import LANE, Slice, slices
+from tessera.llm.textlib import LANE, Slice, parts, slices
 from tessera.llm.training import held_out, sample
 
 GAP = ~ALPHA
@@ -157,10 +157,10 @@ def _text(column: pa.Array) -> pa.Array:
 
 def _extract(p: Language):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for s in slices(_text(b.column(1)), PIECE):
-                parts = list(subwords(s, p))
-                keys = [np.unique(np.concatenate([k[ptr[i] : ptr[i + 1]] for k, ptr in parts]), return_counts=True) for i in range(len(s))]
+                found = list(subwords(s, p))
+                keys = [np.unique(np.concatenate([k[ptr[i] : ptr[i + 1]] for k, ptr in found]), return_counts=True) for i in range(len(s))]
                 col = lambda j, t: pa.array([k[j].astype(t).tobytes() for k in keys], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), b.column(2).slice(s.first, len(s)), col(0, np.uint32), col(1, np.uint32)], ["doc_id", "label", "buckets", "counts"])
 
@@ -171,7 +171,7 @@ def _predict(m: Model, p: Language, names: list[str]):
     """Language and score of the texts in the second column, beside the columns in ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for s in slices(_text(b.column(1)), PIECE):
                 n = len(s)
                 if m.names:

@@ -207,8 +207,8 @@ def link(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     shared = entries.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
     entries = written(entries.join(shared.select("bucket", "pivot"), "bucket"), "entries")
 
-    # The texts are shuffled once; every later step takes the shingle sets of these classes.
-    shared_ids = entries.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    # The texts are shuffled once and not sorted; every later step takes the shingle sets of these classes.
+    shared_ids = entries.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash")
     sets = written(docs.join(shared_ids, "doc_id", "left_semi").mapInArrow(_sets(p), "id long, shingles binary"), "sets")
 
     def close(pairs: DataFrame, name: str) -> DataFrame:
@@ -241,7 +241,20 @@ def link(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand first in their component; of repeated rows all, and rows without doc_id, stay."""
-    kept = link(docs, p).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id IS NULL"))
+def keep_one(docs: DataFrame, p: NearDup = NearDup(), once: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand first in their component, and those without doc_id.
+
+    Of repeated rows all stay; with ``once``, of those with one doc_id and one text
+    (nulls being equal) one. Texts are shuffled once and not sorted: the ids are hashed,
+    and only rows that share a doc_id, or have none, are compared by text.
+    """
+    kept = link(docs, p).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")).where("kept")
+    kept = written(kept.select("doc_id", "times"), "kept")
+
+    def having(ids: DataFrame) -> DataFrame:
+        return docs.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+
+    nameless = docs.where("doc_id IS NULL")
+    if not once:
+        return having(kept).union(nameless)
+    return having(kept.where("times = 1")).union(having(kept.where("times > 1")).union(nameless).dropDuplicates(["doc_id", "text"]))

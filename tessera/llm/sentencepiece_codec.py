@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.textlib import parts
+
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -115,7 +117,7 @@ def _groups(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
 def _encode(codec: Codec, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = codec.tokenizer()
-        for b in batches:
+        for b in parts(batches):
             texts = [x or "" for x in b.column(1).to_pylist()]
             for i, j in _groups([len(x) for x in texts], codec.batch_bytes):
                 part = texts[i:j]

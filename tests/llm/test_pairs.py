@@ -86,6 +86,38 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dup.keep_one(frame(spark, [(1, None), (2, "")])).count() == 2
 
 
+def test_near_duplicates_sort_no_texts(spark):
+    """The rows of the result reach it by one exchange of whole texts, unsorted; only rows that may repeat are compared by text."""
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h"), (2, "A b c d e f"), (3, "x y z"), (4, None), (4, None), (5, ""), (None, "q"), (None, "q"), (None, None), (None, None)]
+    docs = frame(spark, rows)
+    got = near_dup.keep_one(docs, once=True)
+    want = [r for r in dict.fromkeys(rows) if r[0] != 2]
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(i), str(t)) for i, t in want)
+    assert near_dup.keep_one(docs).count() == len(rows) - 1
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("SortMergeJoin") == 0 and plan.count("ShuffledHashJoin") == 2
+    lone = near_dup.keep_one(docs.where("doc_id IN (2, 3)"), once=True)
+    lone.collect()
+    final = lone._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ShuffledHashJoin") == 1
+
+
+def test_signing_takes_little_memory():
+    """Hashing the words of a text takes some fifty bytes a byte of a slice, whatever the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(9999)}" for _ in range(400)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in near_dup._sign(near_dup.NearDup())(iter([batch]))) == len(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 25 << 20, most
+
+
 def test_signatures_within_the_distance_share_a_bucket():
     import numpy as np
     import pyarrow as pa
