@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from tessera.llm.vectorlib import integers, products, usable
 
 #: Rows and anchors of a block. A task holds two blocks and the scores of ``BAND`` anchors with one of them.
 BLOCK, ANCHORS, BAND = 4096, 512, 32
-PACKED = "slot int, width int, ids binary, labels binary, points binary, known array<array<array<long>>>"
+PACKED = "width int, ids binary, labels binary, points binary, known array<array<array<long>>>"
 SCORED = "anchor_id long, place int, positive_id long, positive_score long, row_id long, score long"
 
 
@@ -31,33 +30,31 @@ class Mining:
     percent: int = 80
 
 
-def _packed(slots: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (vec_id, label, v, known) of a partition in blocks of one width, ordered by id; blocks take slots in turn."""
+def _packed(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (vec_id, label, v, known) of a partition in blocks of one width, ordered by id."""
 
-    def block(rows: pd.DataFrame, width: int, slot: int) -> pa.RecordBatch:
+    def block(rows: pd.DataFrame, width: int) -> pa.RecordBatch:
         rows = rows.sort_values("vec_id", kind="stable")
         points = integers(pa.array(rows["v"].tolist(), pa.list_(pa.float64()))).astype(np.int32)
         ids, labels = (rows[c].to_numpy(np.int64).tobytes() for c in ("vec_id", "label"))
         return pa.RecordBatch.from_arrays(
-            [pa.array([slot % slots], pa.int32()), pa.array([width], pa.int32()), pa.array([ids]), pa.array([labels]), pa.array([points.tobytes()]), pa.array([[[list(y) for y in x] for x in rows["known"]]], pa.list_(pa.list_(pa.list_(pa.int64()))))],
-            ["slot", "width", "ids", "labels", "points", "known"],
+            [pa.array([width], pa.int32()), pa.array([ids]), pa.array([labels]), pa.array([points.tobytes()]), pa.array([[[list(y) for y in x] for x in rows["known"]]], pa.list_(pa.list_(pa.list_(pa.int64()))))],
+            ["width", "ids", "labels", "points", "known"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, pd.DataFrame] = {}
-        slot = TaskContext.get().partitionId()
         for b in batches:
             rows = b.to_pandas()
             for width, part in rows.groupby(rows["v"].map(len)):
                 part = pd.concat([held.pop(width), part]) if width in held else part
                 while len(part) >= size:
-                    yield block(part[:size], width, slot)
-                    part, slot = part[size:], slot + 1
+                    yield block(part[:size], width)
+                    part = part[size:]
                 held[width] = part
         for width, part in held.items():
             if len(part):
-                yield block(part, width, slot)
-                slot += 1
+                yield block(part, width)
 
     return run
 
@@ -98,8 +95,8 @@ def _negatives(row: dict, by: Mining) -> Iterator[tuple]:
                     yield anchor, place, positive, limit, ids[at], scores[at]
 
 
-def _scored(rows: DataFrame, anchors: DataFrame, found: Callable[[dict, Mining], Iterator[tuple]], by: Mining, slots: int) -> DataFrame:
-    """What ``found`` takes from each pair of a block of rows and one of anchors of its width. Anchors go to every slot, each block of rows to its own."""
+def _scored(rows: DataFrame, anchors: DataFrame, found: Callable[[dict, Mining], Iterator[tuple]], by: Mining) -> DataFrame:
+    """What ``found`` takes from each pair of a block of rows and one of anchors of its width. A task meets a partition of blocks with one of anchors; none pass through the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
@@ -110,8 +107,8 @@ def _scored(rows: DataFrame, anchors: DataFrame, found: Callable[[dict, Mining],
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(np.array(x), k) for x, k in zip(got, kinds, strict=True)], ["anchor_id", "place", "positive_id", "positive_score", "row_id", "score"])
 
-    sent = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "width", *(F.col(c).alias("a_" + c) for c in ("ids", "labels", "points", "known")))
-    return rows.drop("known").join(sent, ["slot", "width"]).drop("slot", "width").mapInArrow(run, SCORED)
+    met = anchors.select("width", *(F.col(c).alias("a_" + c) for c in ("ids", "labels", "points", "known"))).hint("shuffle_replicate_nl")
+    return rows.drop("known").join(met, "width").drop("width").mapInArrow(run, SCORED)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -132,28 +129,27 @@ def mine(rows: DataFrame, by: Mining = Mining(), label: Column | None = None) ->
     Rows and anchors meet in blocks. In each pair of blocks an anchor's scores are sorted in
     full; its first positives, and then, once these are known over all blocks, the first negatives
     below each one's limit are cut from the sorted run by binary search. Only what is cut is merged over
-    blocks, so a task holds two blocks whatever the table, and a hot label or vector makes no
-    larger group. Work grows with anchors times rows, as the search asks.
+    blocks, and a hot label or vector makes no larger group. A task meets the blocks of two parts of
+    written files, pair by pair; nothing is broadcast, so the driver holds no anchors whatever the table
+    and its statistics. Work grows with anchors times rows, as the search asks.
 
     Returns anchor_id, positive_id, rank, negative_id, positive_score, negative_score. An
     empty table, or one without anchors, gives an empty result.
     """
-    spark = rows.sparkSession
     named = (F.col("label") if label is None else label).cast("long").alias("label")
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), named, F.col("embedding").cast("array<double>").alias("v"))
     base = base.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v"))).withColumn("known", F.array().cast("array<array<long>>"))
     anchors = base.where(F.col("vec_id") % by.every == 0).groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("x")).select("vec_id", "x.*")
     anchors = written(anchors, "anchors")
-    slots = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = -(-anchors.count() // ANCHORS) or 1
-    blocks = written(base.mapInArrow(_packed(slots, BLOCK), PACKED), "blocks")
+    blocks = written(base.mapInArrow(_packed(BLOCK), PACKED), "blocks")
 
     def packed(frame: DataFrame) -> DataFrame:
-        return frame.select("vec_id", "label", "v", "known").repartition(parts, "vec_id").mapInArrow(_packed(1, ANCHORS), PACKED)
+        return written(frame.select("vec_id", "label", "v", "known").repartition(parts, "vec_id").mapInArrow(_packed(ANCHORS), PACKED), "packed")
 
-    near = _first(_scored(blocks, packed(anchors.withColumn("known", F.array().cast("array<array<long>>"))), _positives, by, slots), by.positives)
+    near = _first(_scored(blocks, packed(anchors.withColumn("known", F.array().cast("array<array<long>>"))), _positives, by), by.positives)
     known = near.groupBy("anchor_id").agg(F.collect_list(F.array(F.col("rank").cast("long"), "positive_id", "positive_score")).alias("known"))
-    anchors = written(anchors.join(known, anchors["vec_id"] == known["anchor_id"]), "known")
-    return _first(_scored(blocks, packed(anchors), _negatives, by, slots), by.negatives).select(
+    anchors = written(anchors.join(known.hint("merge"), anchors["vec_id"] == known["anchor_id"]), "known")
+    return _first(_scored(blocks, packed(anchors), _negatives, by), by.negatives).select(
         "anchor_id", "positive_id", "rank", F.col("row_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
     )

@@ -127,6 +127,25 @@ def test_hard_negatives_without_anchors(spark):
     assert hard_negatives.mine(vectors(spark, lonely)).count() == 0, "no positives"
 
 
+def test_anchors_do_not_pass_through_the_driver(spark, monkeypatch):
+    """However small Spark takes the anchors to be, no step broadcasts them; what adaptive execution makes of the last one included."""
+    rows, _ = drawn(14, n=320, spread=0.3)
+    plans, write = [], hard_negatives.written
+
+    def planned(df, name="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(hard_negatives, "written", planned)
+    monkeypatch.setattr(hard_negatives, "BLOCK", 64)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 2)
+    got = hard_negatives.mine(vectors(spark, rows).repartition(3), label=F.expr(RELABEL))
+    found = sorted(map(tuple, got.collect()))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert found == mined(rows) and len(found)
+    assert "isFinalPlan=true" in plans[-1] and not [p for p in plans if "Broadcast" in p]
+
+
 LONG = "A sentence of the article that says something at some length, as articles do. " * 4
 OTHER = "Another paragraph which goes on about the matter in its own words, and then ends. " * 3
 
